@@ -90,36 +90,49 @@ def date_formats(day_first: bool = True) -> list[str]:
     return dates + [d + j + t for d in dates for t in TIME_SHAPES for j in TIME_JOINERS]
 
 
-def _format_shape(fmt: str) -> str:
-    """Pattern of the texts a format can read.
+# Month names.
+MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august",
+          "september", "october", "november", "december"]
 
-    The datetime parser costs far more than a match, and lets a short year run
-    on into more digits; the pattern guards both.
-    """
-    sizes = [("yyyy", r"\d{4}"), ("MMMM", r"\p{L}{3,}"), ("MMM", r"\p{L}{3,4}"), ("yy", r"\d{2}"),
-             ("MM", r"\d{1,2}"), ("dd", r"\d{1,2}"), ("HH", r"\d{1,2}"), ("mm", r"\d{2}"),
-             ("ss", r"\d{2}"), ("'T'", "T"), ("z", r"[A-Za-z]{1,5}")]
-    out, rest = "", fmt
-    while rest:
-        for token, shape in sizes:
-            if rest.startswith(token):
-                out, rest = out + shape, rest[len(token):]
-                break
-        else:
-            out, rest = out + ("\\" + rest[0] if rest[0] == "." else rest[0]), rest[1:]
-    return f"^{out}$"
+CLOCK = r"(?:[T ]?(\d{1,2}:\d{2}(?::\d{2})?)\s*([A-Za-z]{1,5}|[+-]\d{2}:?\d{2})?)?"
+
+
+def _month_number(name: Column) -> Column:
+    table = F.create_map(*[F.lit(x) for i, m in enumerate(MONTHS, 1)
+                           for x in ([m, str(i)] if m == "may" else [m, str(i), m[:3], str(i)])])
+    return F.try_element_at(table, F.lower(name))
 
 
 def parse_timestamp(raw: Column, day_first: bool = True, formats: list[str] | None = None) -> Column:
-    """First format that reads the text, else the ISO reading, else NULL (UTC session)."""
+    """ISO reading, else a date in one of four layouts with an optional clock, else NULL.
+
+    The layouts cover every combination of ``date_formats``: one pattern per date
+    order rewrites the text to ISO whatever the separator, instead of one parser
+    run per format. Explicit ``formats`` are tried one by one.
+    """
     text = F.trim(raw)
-    attempts = [text.try_cast("timestamp")]
-    for fmt in formats or date_formats(day_first):
-        lenient = fmt.replace("MM", "M") if "MMM" not in fmt else fmt
-        lenient = lenient.replace("dd", "d").replace("HH", "H")
-        attempts.append(F.when(text.rlike(_format_shape(fmt)),
-                               F.try_to_timestamp(text, F.lit(lenient))))
-    return F.coalesce(*attempts)
+    if formats is not None:
+        return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats])
+    # The ISO cast would read a bare year or number as a date; ask for two separators.
+    iso = F.when(text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}"), text.try_cast("timestamp"))
+    day, month = ("$1", "$3") if day_first else ("$3", "$1")
+
+    def rewrite(shape: str, iso_order: str) -> Column:
+        pattern = f"^{shape}{CLOCK}$"
+        iso_text = F.rtrim(F.regexp_replace(text, pattern, f"{iso_order} $5 $6"))
+        return F.when(text.rlike(pattern), iso_text.try_cast("timestamp"))
+
+    numeric = r"(\d{1,2})([-./ ])(\d{1,2})\2"
+    long_year = rewrite(numeric + r"(\d{4})", f"$4-{month}-{day}")
+    old = rewrite(numeric + r"(69|[789]\d)", f"19$4-{month}-{day}")
+    recent = rewrite(numeric + r"(\d\d)", f"20$4-{month}-{day}")
+    year_first = rewrite(r"(\d{4})([-./ ])(\d{1,2})\2(\d{1,2})", "$1-$3-$4")
+    named_shape = r"^(\d{1,2})([-./ ])(\p{L}{3,9})\2(\d{4})" + CLOCK + "$"
+    part = [F.regexp_extract(text, named_shape, i) for i in range(7)]
+    named = F.when(text.rlike(named_shape), F.rtrim(F.concat_ws(
+        "", part[4], F.lit("-"), _month_number(part[3]), F.lit("-"), part[1],
+        F.lit(" "), part[5], F.lit(" "), part[6])).try_cast("timestamp"))
+    return F.coalesce(iso, long_year, old, recent, year_first, named)
 
 
 def parse_typed(raw: Column, data_type: Column) -> Column:

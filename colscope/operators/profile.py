@@ -20,8 +20,6 @@ from ..session import materialize
 from .ranking import quantile_columns, row_positions, running_positions
 
 KEYS = ["fid", "field_id"]
-CNT = F.col("cnt")
-V = F.col("v")
 
 # The two readings of the quantile probabilities. The reference
 # numbers are hundredths of a percent, so its "q25" is the 0.25th percentile.
@@ -50,12 +48,12 @@ def value_histogram(rows: DataFrame, keys: Sequence[str], value: str = "v") -> D
 
 def field_basics(hist: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Length, missing values, type votes and the winning type of each field."""
-    votes = ty.vote_columns(F.col("raw"), CNT)
+    votes = ty.vote_columns(F.col("raw"), F.col("cnt"))
     carried = [F.min(c).alias(c) for c in ("field_name", "ord") if c in hist.columns]
     counted = hist.groupBy(*keys).agg(
         *carried,
         F.sum("cnt").alias("length"),
-        F.sum(F.when(F.col("raw").isNull(), CNT).otherwise(F.lit(0))).alias("num_none"),
+        F.sum(F.when(F.col("raw").isNull(), F.col("cnt")).otherwise(F.lit(0))).alias("num_none"),
         *[c.alias(f"score_{n}") for n, c in votes.items()])
     scores = {n: F.col(f"score_{n}") for n in ty.TYPE_ORDER}
     typed = (counted.withColumn("data_type", ty.winning_type(scores))
@@ -92,15 +90,15 @@ def categorical_stats(hist: DataFrame, keys: Sequence[str] = KEYS, value: str =
     kept = hist.where(F.col(value).isNotNull())
     freq = kept.groupBy(*keys).agg(
         F.sum("cnt").alias("n"),
-        F.sum(CNT * F.ln(CNT)).alias("_clnc"),
+        F.sum(F.col("cnt") * F.ln(F.col("cnt"))).alias("_clnc"),
         F.max("cnt").alias("_mode"))
     lengths = kept.groupBy(*keys, F.length(value).cast("double").alias("v")).agg(F.sum("cnt").alias("cnt"))
-    mean = F.try_divide(F.sum(V * CNT), F.sum("cnt"))
+    mean = F.try_divide(F.sum(F.col("v") * F.col("cnt")), F.sum("cnt"))
     spread = lengths.groupBy(*keys).agg(
         mean.alias("mean_value_length"),
-        F.percentile(V, 0.5, CNT).alias("median_value_length"),
+        F.percentile(F.col("v"), 0.5, F.col("cnt")).alias("median_value_length"),
         F.min("v").alias("min_value_length"), F.max("v").alias("max_value_length"),
-        F.sqrt(F.greatest(F.try_divide(F.sum(V * V * CNT), F.sum("cnt")) - mean * mean, F.lit(0.0)))
+        F.sqrt(F.greatest(F.try_divide(F.sum(F.col("v") * F.col("v") * F.col("cnt")), F.sum("cnt")) - mean * mean, F.lit(0.0)))
         .alias("std_value_length"))
     n = F.col("n")
     return (freq.select(*keys,
@@ -113,11 +111,11 @@ def categorical_stats(hist: DataFrame, keys: Sequence[str] = KEYS, value: str =
 
 def value_totals(hist: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """First pass over values: count, mean, range and the value entropy."""
-    size = F.abs(V)
-    xlnx = F.when(V == 0, F.lit(0.0)).otherwise(size * F.ln(size))
+    size = F.abs(F.col("v"))
+    xlnx = F.when(F.col("v") == 0, F.lit(0.0)).otherwise(size * F.ln(size))
     return (hist.groupBy(*keys).agg(
         F.sum("cnt").alias("n"), F.min("v").alias("min"), F.max("v").alias("max"),
-        F.sum(V * CNT).alias("_sum"), F.sum(size * CNT).alias("_abs"), F.sum(xlnx * CNT).alias("_xlnx"))
+        F.sum(F.col("v") * F.col("cnt")).alias("_sum"), F.sum(size * F.col("cnt")).alias("_abs"), F.sum(xlnx * F.col("cnt")).alias("_xlnx"))
         .withColumn("mean", F.col("_sum") / F.col("n"))
         .withColumn("entropy", F.when(
             (F.col("min") >= 0) | (F.col("max") <= 0),
@@ -132,12 +130,12 @@ def centered_stats(hist: DataFrame, totals: DataFrame, keys: Sequence[str] = KEY
     The totals are one row per group; AQE broadcasts them when they are small and
     splits the skewed side of a sort-merge join otherwise.
     """
-    gap = V - F.col("mean")
+    gap = F.col("v") - F.col("mean")
     joined = hist.join(totals.select(*keys, "mean"), list(keys))
     weight = F.sum("cnt")
     sums = joined.groupBy(*keys).agg(
-        *[(F.sum(F.pow(gap, F.lit(k)) * CNT) / weight).alias(f"moment_{k}") for k in range(2, 11)],
-        (F.sum(F.abs(gap) * CNT) / weight).alias("avg_abs_dev"))
+        *[(F.sum(F.pow(gap, F.lit(k)) * F.col("cnt")) / weight).alias(f"moment_{k}") for k in range(2, 11)],
+        (F.sum(F.abs(gap) * F.col("cnt")) / weight).alias("avg_abs_dev"))
     var = F.col("moment_2")
     out = (sums.withColumn("var", var).withColumn("std", F.sqrt("var"))
            .withColumn("skewness", F.try_divide(F.col("moment_3"), F.pow("moment_2", F.lit(1.5))))
@@ -147,7 +145,7 @@ def centered_stats(hist: DataFrame, totals: DataFrame, keys: Sequence[str] = KEY
 
 def ranked_values(hist: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Histogram rows with ``before``, ``total`` and the next larger value ``nxt``."""
-    return running_positions(hist, keys, ["v"], CNT, lead_of="v")
+    return running_positions(hist, keys, ["v"], F.col("cnt"), lead_of="v")
 
 
 def order_stats(ranked: DataFrame, keys: Sequence[str] = KEYS,
@@ -155,14 +153,14 @@ def order_stats(ranked: DataFrame, keys: Sequence[str] = KEYS,
     """Everything that needs sorted values: quantiles, Gini, spacing, distinct count."""
     probs = {"median": 0.5, **QUANTILE_SCALES[quantile_scale]}
     n = F.max("total")
-    low, high, total = F.min("v"), F.max("v"), F.sum(V * CNT)
+    low, high, total = F.min("v"), F.max("v"), F.sum(F.col("v") * F.col("cnt"))
     shift = F.when(low < 0, -low).otherwise(F.lit(0.0))
-    gini_top = F.sum(CNT * (2 * F.col("before") + CNT - F.col("total")) * V)
-    step = F.col("nxt") - V
+    gini_top = F.sum(F.col("cnt") * (2 * F.col("before") + F.col("cnt") - F.col("total")) * F.col("v"))
+    step = F.col("nxt") - F.col("v")
     # n-1 ratios of neighbours: repeats inside a value give 1, x/0 makes the field NULL.
-    ratio = F.try_divide(V, F.col("nxt"))
-    blocked = F.max(((F.col("nxt") == 0) | ((V == 0) & (CNT > 1))).cast("int"))
-    repeats = F.sum(CNT - 1)
+    ratio = F.try_divide(F.col("v"), F.col("nxt"))
+    blocked = F.max(((F.col("nxt") == 0) | ((F.col("v") == 0) & (F.col("cnt") > 1))).cast("int"))
+    repeats = F.sum(F.col("cnt") - 1)
     ratio_mean = F.try_divide(repeats + F.coalesce(F.sum(ratio), F.lit(0.0)), n - 1)
     ratio_sq = F.try_divide(repeats + F.coalesce(F.sum(ratio * ratio), F.lit(0.0)), n - 1)
     step_mean = F.try_divide(high - low, n - 1)
@@ -172,7 +170,7 @@ def order_stats(ranked: DataFrame, keys: Sequence[str] = KEYS,
         return F.try_divide(F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))), mean)
 
     return (ranked.groupBy(*keys).agg(
-        *[c.alias(name) for name, c in quantile_columns("v", CNT, probs).items()],
+        *[c.alias(name) for name, c in quantile_columns("v", F.col("cnt"), probs).items()],
         F.try_divide(gini_top, n * (total + n * (shift + 1e-7))).alias("gini"),
         F.count(F.lit(1)).alias("num_unique_values"),
         spread(step_sq, step_mean).alias("lin_space_sequence_coeff"),
@@ -185,9 +183,9 @@ def order_stats(ranked: DataFrame, keys: Sequence[str] = KEYS,
 def median_abs_dev(hist: DataFrame, centers: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Median distance from the median; ``centers`` carries ``median`` per group."""
     gaps = (hist.join(centers.select(*keys, "median"), list(keys))
-            .groupBy(*keys, F.abs(V - F.col("median")).alias("v")).agg(F.sum("cnt").alias("cnt")))
-    ranked = running_positions(gaps, keys, ["v"], CNT)
-    middle = quantile_columns("v", CNT, {"med_abs_dev": 0.5})["med_abs_dev"]
+            .groupBy(*keys, F.abs(F.col("v") - F.col("median")).alias("v")).agg(F.sum("cnt").alias("cnt")))
+    ranked = running_positions(gaps, keys, ["v"], F.col("cnt"))
+    middle = quantile_columns("v", F.col("cnt"), {"med_abs_dev": 0.5})["med_abs_dev"]
     return ranked.groupBy(*keys).agg(middle.alias("med_abs_dev"))
 
 
@@ -201,43 +199,45 @@ def outlier_stats(hist: DataFrame, stats: DataFrame, keys: Sequence[str] = KEYS)
         "3std": (F.col("mean") - 3 * F.col("std"), F.col("mean") + 3 * F.col("std")),
     }
     joined = hist.join(stats.select(*keys, "q1", "q25", "q75", "q99", "mean", "std"), list(keys))
-    hits = {name: F.sum(F.when((V < lo) | (V > hi), CNT).otherwise(F.lit(0)))
+    hits = {name: F.sum(F.when((F.col("v") < lo) | (F.col("v") > hi), F.col("cnt")).otherwise(F.lit(0)))
             for name, (lo, hi) in fences.items()}
     return joined.groupBy(*keys).agg(
         *[(h / F.sum("cnt")).alias(f"percent_outliers_{k}") for k, h in hits.items()],
         *[(h > 0).alias(f"has_outliers_{k}") for k, h in hits.items()])
 
 
-def normality_columns(n: Column, skewness: Column, kurtosis: Column) -> dict[str, Column]:
-    """Omnibus K2 test from sample size, biased skewness and excess kurtosis (n >= 8).
+def add_normality(stats: DataFrame) -> DataFrame:
+    """Omnibus K2 test from ``n``, biased ``skewness`` and excess ``kurtosis`` (n >= 8).
 
-    Formulas: D'Agostino (1970) for skewness, Anscombe and Glynn (1983) for kurtosis.
+    Formulas: D'Agostino (1970) for skewness, Anscombe and Glynn (1983) for
+    kurtosis. Shared terms are columns of their own, so none is computed twice.
     """
-    n = n.cast("double")
-    y = skewness * F.sqrt((n + 1) * (n + 3) / (6 * (n - 2)))
+    n, c = F.col("_n"), F.col
     beta = (3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3)
             / ((n - 2) * (n + 5) * (n + 7) * (n + 9)))
-    w2 = F.sqrt(2 * (beta - 1)) - 1
-    alpha = F.sqrt(2 / (w2 - 1))
-    q = F.when(y == 0, F.lit(1.0)).otherwise(y) / alpha
-    z1 = F.ln(q + F.sqrt(q * q + 1)) / F.sqrt(0.5 * F.ln(w2))
-
-    expected = 3 * (n - 1) / (n + 1)
     variance = 24 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3) * (n + 5))
-    x = (kurtosis + 3 - expected) / F.sqrt(variance)
-    s = (6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9))
-         * F.sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3))))
-    a = 6 + 8 / s * (2 / s + F.sqrt(1 + 4 / (s * s)))
-    d = 1 + x * F.sqrt(2 / (a - 4))
-    root = F.cbrt(F.try_divide(1 - 2 / a, F.abs(d)))
-    z2 = (1 - 2 / (9 * a) - F.signum(d) * root) / F.sqrt(2 / (9 * a))
-
-    enough = n >= 8
-    k2 = F.when(enough, z1 * z1 + z2 * z2)
-    p = F.exp(-k2 / 2)
-    return {"skew_z": F.when(enough, z1), "kurtosis_z": F.when(enough, z2),
-            "normality_statistic": k2, "normality_p": p,
-            "is_normal_5": p < 0.05, "is_normal_1": p < 0.01}
+    shape = (6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9))
+             * F.sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3))))
+    steps = [
+        {"_n": F.when(c("n") >= 8, c("n").cast("double"))},
+        {"_y": c("skewness") * F.sqrt((n + 1) * (n + 3) / (6 * (n - 2))),
+         "_w2": F.sqrt(2 * (beta - 1)) - 1,
+         "_x": (c("kurtosis") + 3 - 3 * (n - 1) / (n + 1)) / F.sqrt(variance),
+         "_s": shape},
+        {"_q": F.when(c("_y") == 0, F.lit(1.0)).otherwise(c("_y")) / F.sqrt(2 / (c("_w2") - 1)),
+         "_a": 6 + 8 / c("_s") * (2 / c("_s") + F.sqrt(1 + 4 / (c("_s") * c("_s"))))},
+        {"_d": 1 + c("_x") * F.sqrt(2 / (c("_a") - 4))},
+        {"skew_z": F.ln(c("_q") + F.sqrt(c("_q") * c("_q") + 1)) / F.sqrt(0.5 * F.ln("_w2")),
+         "kurtosis_z": (1 - 2 / (9 * c("_a"))
+                        - F.signum("_d") * F.cbrt(F.try_divide(1 - 2 / c("_a"), F.abs("_d"))))
+         / F.sqrt(2 / (9 * c("_a")))},
+        {"normality_statistic": c("skew_z") * c("skew_z") + c("kurtosis_z") * c("kurtosis_z")},
+        {"normality_p": F.exp(-c("normality_statistic") / 2)},
+        {"is_normal_5": c("normality_p") < 0.05, "is_normal_1": c("normality_p") < 0.01},
+    ]
+    for step in steps:
+        stats = stats.withColumns(step)
+    return stats.drop("_n", "_y", "_w2", "_x", "_s", "_q", "_a", "_d")
 
 
 def numeric_stats(hist: DataFrame, keys: Sequence[str] = KEYS,
@@ -259,11 +259,8 @@ def numeric_stats(hist: DataFrame, keys: Sequence[str] = KEYS,
         F.try_divide("mean", "max").alias("normalized_mean"),
         F.try_divide("median", "max").alias("normalized_median"),
         F.try_divide(value_range, F.col("mean")).alias("normalized_range"),
-        F.try_divide("var", "mean").alias("coeff_var"),
-        *[c.alias(name) for name, c in
-          normality_columns(F.col("n"), F.col("skewness"), F.col("kurtosis")).items()
-          if not name.endswith("_z")])
-    return out.drop("_sum", "q1", "q99")
+        F.try_divide("var", "mean").alias("coeff_var"))
+    return add_normality(out).drop("_sum", "q1", "q99", "skew_z", "kurtosis_z")
 
 
 def summary_vector(hist: DataFrame, prefix: str, keys: Sequence[str] = KEYS,
