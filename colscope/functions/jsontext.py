@@ -106,7 +106,7 @@ def _children(node: Column) -> Column:
     items = F.from_json(node["text"], "array<string>")
     item_kinds = F.from_json(node["text"], "array<variant>")
     of_list = F.transform(items, lambda t, i: child(F.lit(None).cast("string"), t, label(F.get(item_kinds, i)), i))
-    none = F.filter(of_list, lambda x: F.lit(False))
+    none = F.filter(F.array(node), lambda x: F.lit(False))
     return F.coalesce(F.when(node["kind"] == "OBJEC", of_object)
                       .when(node["kind"] == "ARRAY", of_list), none)
 

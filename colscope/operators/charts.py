@@ -65,4 +65,8 @@ def chart_lists(ordered: DataFrame, segment: int = 1000) -> DataFrame:
     out = (ordered.withColumn("segment", F.floor(F.col("ord") / segment).cast("int"))
            .groupBy("segment").agg(packed.alias("p")))
     names = {"x": "x_data", "y": "y_data", "class": "classify"}
-    return out.select("segment", *[F.transform("p", lambda r, c=c: r[c]).alias(names[c]) for c in cols])
+
+    def values(column: str) -> Column:
+        return F.transform("p", lambda r: r[column])
+
+    return out.select("segment", *[values(c).alias(names[c]) for c in cols])

@@ -65,11 +65,13 @@ def field_outcomes(charts: DataFrame, label_mode: str = "reference") -> DataFram
     whole = F.col("broken").isNull()
     columns = [F.when(F.size(mine) > 0, F.get("kinds", at)).alias("trace_type")]
     flags, singles, counts = [], [], []
+    def of_kind(src: str) -> Column:
+        return F.filter("refs", lambda r: r["src"] == src)
+
     for src in SOURCES:
-        of_kind = F.filter("refs", lambda r, s=src: r["src"] == s)
-        n = F.size(F.filter(of_kind, lambda r: r["field_id"] == F.col("field_id")))
+        n = F.size(F.filter(of_kind(src), lambda r: r["field_id"] == F.col("field_id")))
         hit = whole & (n > 0)
-        alone = hit & (n > 1) & (n == F.size(of_kind))
+        alone = hit & (n > 1) & (n == F.size(of_kind(src)))
         flags.append(F.when(hit, F.lit(True)).alias(f"is_{src}"))
         singles.append(F.when(alone, F.lit(True)).alias(f"is_single_{src}"))
         counts.append(F.when(hit, n).alias(f"num_{src}"))

@@ -130,7 +130,7 @@ def database_tables(db_tables: DataFrame, root: str) -> DataFrame:
     return listed.withColumn("path", F.concat_ws("/", F.lit(root), "db_id", F.concat("table", F.lit(".csv"))))
 
 
-RESULT_SCHEMA = T.StructType.fromDDL(
+RESULT_SCHEMA = (
     "data_id STRING, test_case_id BIGINT, status STRING, correct BOOLEAN,"
     " input STRUCT<hardness: STRING, sort: STRING, nl_queries: ARRAY<STRING>, irrelevant_tables: ARRAY<STRING>>,"
     " evaluation STRUCT<final: STRUCT<expected: ARRAY<ARRAY<STRING>>, predicted: ARRAY<ARRAY<STRING>>, correct: BOOLEAN>,"
@@ -141,7 +141,8 @@ RESULT_SCHEMA = T.StructType.fromDDL(
 
 def read_batch_reports(spark: SparkSession, path: str | Sequence[str], list_name: str = "batch_results") -> DataFrame:
     """Results of many report files; unreadable files give no rows."""
-    schema = T.StructType([T.StructField(list_name, T.ArrayType(RESULT_SCHEMA))])
+    row = T.StructType.fromDDL(RESULT_SCHEMA)
+    schema = T.StructType([T.StructField(list_name, T.ArrayType(row))])
     reports = spark.read.option("multiLine", True).schema(schema).json(path)
     return reports.select(F.col("_metadata.file_name").alias("file_name"),
                           F.explode(list_name).alias("r")).select("file_name", "r.*")
