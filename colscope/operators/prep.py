@@ -106,6 +106,12 @@ def one_hot(index: Column, size: Column | int) -> Column:
     return F.transform(F.sequence(F.lit(0), top), lambda i: F.when(i == index, 1.0).otherwise(0.0))
 
 
+def one_hot_by(df: DataFrame, index: str, mapping: DataFrame, name: str) -> DataFrame:
+    """Indicator array over all labels of a mapping."""
+    size = mapping.agg(F.count(F.lit(1)).alias("n")).scalar()
+    return df.withColumn("_size", size).withColumn(name, one_hot(F.col(index), F.col("_size"))).drop("_size")
+
+
 def one_hot_columns(df: DataFrame, column: str, classes: Sequence[str]) -> DataFrame:
     return df.withColumns({f"{column}_{c}": F.when(F.col(column) == c, 1.0).otherwise(0.0) for c in classes})
 

@@ -1,6 +1,6 @@
 """Imports every query module so that the registry is complete."""
 
-from . import corpus_queries, prep_queries, profile_queries  # noqa: F401
+from . import corpus_queries, eval_queries, prep_queries, profile_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -138,7 +138,7 @@ def one_hot(spark, sf):
     mapping = prep.fit_labels(c, "c_mktsegment")
     fresh = c.withColumn("c_mktsegment", F.when(F.col("c_custkey") % 7 == 0, "OTHER").otherwise(F.col("c_mktsegment")))
     coded = prep.encode_labels(fresh, "c_mktsegment", mapping, "idx")
-    hot = coded.withColumn("hot", prep.one_hot(F.col("idx"), mapping.agg(F.count(F.lit(1)).alias("n")).scalar()))
+    hot = prep.one_hot_by(coded, "idx", mapping, "hot")
     flagged = prep.fill_flags(hot.withColumn("flag", F.when(F.col("c_custkey") % 11 != 0, F.col("c_acctbal") > 0)),
                               ["flag"], as_number=True)
     rest = F.aggregate(F.slice("hot", 4, 1000), F.lit(0.0), lambda a, x: a + x)
