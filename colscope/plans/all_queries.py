@@ -1,6 +1,7 @@
 """Imports every query module so that the registry is complete."""
 
-from . import corpus_queries, eval_queries, prep_queries, profile_queries  # noqa: F401
+from . import (  # noqa: F401
+    chart_queries, corpus_queries, eval_queries, prep_queries, profile_queries, text_queries)
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -139,11 +139,15 @@ RESULT_SCHEMA = (
     " execution_time STRING, tokens BIGINT, error_message STRING")
 
 
-def read_batch_reports(spark: SparkSession, path: str | Sequence[str], list_name: str = "batch_results") -> DataFrame:
-    """Results of many report files; unreadable files give no rows."""
+def read_batch_reports(spark: SparkSession, path: str | Sequence[str], list_name: str = "batch_results",
+                       multi_line: bool = True) -> DataFrame:
+    """Results of many report files; unreadable files give no rows.
+
+    ``multi_line=False`` reads the splittable form, one report per line.
+    """
     row = T.StructType.fromDDL(RESULT_SCHEMA)
     schema = T.StructType([T.StructField(list_name, T.ArrayType(row))])
-    reports = spark.read.option("multiLine", True).schema(schema).json(path)
+    reports = spark.read.option("multiLine", multi_line).schema(schema).json(path)
     return reports.select(F.col("_metadata.file_name").alias("file_name"),
                           F.explode(list_name).alias("r")).select("file_name", "r.*")
 
