@@ -10,6 +10,8 @@ Values are JSON texts (``1``, ``1.0``, ``Mon``; NULL for null). Variants:
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,6 +34,12 @@ def as_number(text: Column) -> Column:
     return F.when(text.rlike(_NUMBER), F.trim(text).try_cast("double"))
 
 
+def _name_number(text: Column, names: dict[str, int], top: int) -> Column:
+    table = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
+    digits = F.when(text.rlike(r"^\s*\+?\d+\s*$"), F.trim(text).try_cast("int"))
+    return F.coalesce(F.try_element_at(table, F.lower(text)), F.when(digits.between(1, top), digits))
+
+
 def weekday_number(text: Column) -> Column:
     return _name_number(text, WEEKDAYS, 7)
 
@@ -40,65 +48,79 @@ def month_number(text: Column) -> Column:
     return _name_number(text, MONTHS, 12)
 
 
-def _name_number(text: Column, names: dict[str, int], top: int) -> Column:
-    table = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
-    digits = F.when(text.rlike(r"^\s*\+?\d+\s*$"), F.trim(text).try_cast("int"))
-    return F.coalesce(F.try_element_at(table, F.lower(text)), F.when(digits.between(1, top), digits))
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Compute ``value`` once and use it several times inside a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _cut_close(a: Column, b: Column, tolerance: float) -> Column:
-    """Both numbers cut to the shorter fraction, then compared."""
-    def plain(t: Column) -> Column:
-        # Exponents and trailing zeros away: the text a float prints as.
-        decimal = F.when(F.trim(t).rlike(_PLAIN), F.trim(t)).otherwise(
-            as_number(t).try_cast("decimal(38,12)").cast("string"))
-        return F.regexp_replace(F.regexp_replace(decimal, r"0+$", ""), r"\.$", ".0")
-
-    pa, pb = F.split(plain(a), r"\."), F.split(plain(b), r"\.")
-    k = F.least(F.length(F.get(pa, F.lit(1))), F.length(F.get(pb, F.lit(1))))
-
-    def cut(p: Column) -> Column:
-        return F.concat(F.get(p, F.lit(0)), F.lit("."), F.substring(F.get(p, F.lit(1)), F.lit(1), k)).try_cast("double")
-
-    gap = F.abs(cut(pa) - cut(pb))
-    return F.coalesce(gap < tolerance if tolerance else gap == 0, F.lit(False))
+def describe(text: Column, variant: str = "v1") -> Column:
+    """Everything a comparison needs to know of one value, worked out once per value."""
+    if variant not in ("v1", "v2", "v3"):
+        raise ValueError("variant must be v1, v2 or v3")
+    number = as_number(text)
+    if variant == "v1":
+        return F.struct(text.alias("text"), number.alias("num"))
+    # Exponents and trailing zeros away: the text a float prints as.
+    decimal = F.when(F.trim(text).rlike(_PLAIN), F.trim(text)).otherwise(
+        number.try_cast("decimal(38,12)").cast("string"))
+    plain = F.regexp_replace(F.regexp_replace(decimal, r"0+$", ""), r"\.$", ".0")
+    whole = F.coalesce(text.rlike(_WHOLE), F.lit(False))
+    fraction = number.isNotNull() & ~whole
+    return F.struct(
+        text.alias("text"), number.alias("num"), whole.alias("whole"),
+        (F.signum(number) * F.floor(F.abs(number))).alias("cut0"),
+        F.when(fraction, F.substring_index(plain, ".", 1)).alias("lead"),
+        F.when(fraction, F.substring_index(plain, ".", -1)).alias("frac"),
+        weekday_number(text).alias("day"), month_number(text).alias("month"))
+
+
+def _pair_equal(a: Column, b: Column, variant: str) -> Column:
+    """Equality of two described values; NULL where the reference cannot compare."""
+    same = a["text"].eqNullSafe(b["text"])
+    gap = F.abs(a["num"] - b["num"])
+    if variant == "v1":
+        return same | F.coalesce(gap < TOLERANCE, F.lit(False))
+    k = F.least(F.length(a["frac"]), F.length(b["frac"]))
+
+    def cut(x: Column) -> Column:
+        return F.concat(x["lead"], F.lit("."), F.substring(x["frac"], F.lit(1), k)).try_cast("double")
+
+    cut_gap = F.abs(cut(a) - cut(b))
+    cut_equal = cut_gap < TOLERANCE if variant == "v3" else cut_gap == 0
+    # Cutting moves a number by less than 0.1, so distant ones need no texts.
+    numeric = F.when(a["whole"] | b["whole"], a["cut0"] == b["cut0"]).otherwise((gap < 0.25) & cut_equal)
+    both_days = a["day"].isNotNull() & b["day"].isNotNull()
+    named = F.when(both_days, a["day"] == b["day"]).otherwise(F.coalesce(a["month"] == b["month"], F.lit(False)))
+    null_against_whole = (a["text"].isNull() & b["whole"]) | (b["text"].isNull() & a["whole"])
+    return (F.when(same, F.lit(True)).when(null_against_whole, F.lit(None).cast("boolean"))
+            .when(F.coalesce(numeric, F.lit(False)), F.lit(True)).otherwise(named))
 
 
 def values_equal(a: Column, b: Column, variant: str = "v1") -> Column:
     """Equality of two values; NULL marks a comparison the reference cannot do."""
-    same = a.eqNullSafe(b)
-    na, nb = as_number(a), as_number(b)
-    if variant == "v1":
-        return same | F.coalesce(F.abs(na - nb) < TOLERANCE, F.lit(False))
-    if variant not in ("v2", "v3"):
-        raise ValueError("variant must be v1, v2 or v3")
-    whole_a, whole_b = F.coalesce(a.rlike(_WHOLE), F.lit(False)), F.coalesce(b.rlike(_WHOLE), F.lit(False))
-    either = whole_a | whole_b
-
-    def towards_zero(x: Column) -> Column:
-        return F.signum(x) * F.floor(F.abs(x))
-
-    both = na.isNotNull() & nb.isNotNull()
-    numeric = both & F.when(either, towards_zero(na) == towards_zero(nb)).otherwise(
-        _cut_close(a, b, TOLERANCE if variant == "v3" else 0.0))
-    day_a, day_b = weekday_number(a), weekday_number(b)
-    named = F.when(day_a.isNotNull() & day_b.isNotNull(), day_a == day_b).otherwise(
-        F.coalesce(month_number(a) == month_number(b), F.lit(False)))
-    null_against_whole = (a.isNull() & whole_b) | (b.isNull() & whole_a)
-    return (F.when(same, F.lit(True)).when(null_against_whole, F.lit(None).cast("boolean"))
-            .when(numeric, F.lit(True)).otherwise(named))
+    return _pair_equal(describe(a, variant), describe(b, variant), variant)
 
 
-def _bag_greedy(a: Column, b: Column, variant: str) -> Column:
-    """Each item of ``a`` takes the first equal item left in ``b``."""
-    start = F.struct(b.alias("left"), F.lit(True).alias("ok"))
+def _greedy(want: Column, have: Column, equal: Callable[[Column, Column], Column]) -> Column:
+    """Each item of ``want`` takes the first equal item left in ``have``.
 
-    def step(acc: Column, item: Column) -> Column:
-        at = F.array_position(F.transform(acc["left"], lambda x: values_equal(item, x, variant)), F.lit(True))
+    Stops comparing after the first item without a partner; NULL (a comparison
+    that cannot be done) ends the search as NULL.
+    """
+    start = F.struct(have.alias("left"), F.lit(True).alias("ok"))
+
+    def take(acc: Column, found: Column) -> Column:
+        # The search ends at the first hit; a NULL met before it is an error.
+        at = F.array_position(found, F.lit(True))
+        stop = F.array_position(F.transform(found, lambda x: F.coalesce(x, F.lit(True))), F.lit(True))
         return F.struct(F.filter(acc["left"], lambda x, i: i != at - 1).alias("left"),
-                        (acc["ok"] & (at > 0)).alias("ok"))
+                        F.when((stop > 0) & (stop != at), F.lit(None).cast("boolean")).otherwise(at > 0).alias("ok"))
+
+    def step(acc: Column, item: Column) -> Column:
+        tried = F.transform(acc["left"], lambda x: equal(item, x))
+        return F.when(acc["ok"], _let(tried, lambda found: take(acc, found))).otherwise(acc)
 
-    return F.aggregate(a, start, step, lambda acc: acc["ok"])
+    return F.aggregate(want, start, step, lambda acc: acc["ok"])
 
 
 def _bag_sorted(a: Column, b: Column) -> Column:
@@ -108,28 +130,45 @@ def _bag_sorted(a: Column, b: Column) -> Column:
     tolerance whenever one exists, in n log n instead of n squared.
     """
     def texts(x: Column) -> Column:
-        return F.array_sort(F.filter(x, lambda v: as_number(v).isNull()))
+        return F.array_sort(F.transform(F.filter(x, lambda v: v["num"].isNull()), lambda v: v["text"]))
 
     def numbers(x: Column) -> Column:
-        return F.array_sort(F.filter(F.transform(x, as_number), lambda v: v.isNotNull()))
+        return F.array_sort(F.transform(F.filter(x, lambda v: v["num"].isNotNull()), lambda v: v["num"]))
 
-    na, nb = numbers(a), numbers(b)
-    close = F.forall(F.zip_with(na, nb, lambda p, q: F.coalesce(F.abs(p - q) < TOLERANCE, F.lit(False))), lambda ok: ok)
-    return (texts(a).eqNullSafe(texts(b))) & (F.size(na) == F.size(nb)) & close
+    def close(na: Column, nb: Column) -> Column:
+        return (F.size(na) == F.size(nb)) & F.forall(
+            F.zip_with(na, nb, lambda p, q: F.coalesce(F.abs(p - q) < TOLERANCE, F.lit(False))), lambda ok: ok)
 
+    return texts(a).eqNullSafe(texts(b)) & close(numbers(a), numbers(b))
 
-def lists_equal(a: Column, b: Column, ordered: Column, variant: str = "v1", pairing: str = "sorted") -> Column:
-    """Equality of two value lists, in order or as bags."""
-    in_order = F.forall(F.zip_with(a, b, lambda p, q: values_equal(p, q, variant)), lambda ok: ok)
-    bag = _bag_sorted(a, b) if variant == "v1" and pairing == "sorted" else _bag_greedy(a, b, variant)
+
+def _lists_equal(a: Column, b: Column, ordered: Column, variant: str, pairing: str) -> Column:
+    def equal(p: Column, q: Column) -> Column:
+        return _pair_equal(p, q, variant)
+
+    in_order = F.forall(F.zip_with(a, b, equal), lambda ok: ok)
+    bag = _bag_sorted(a, b) if variant == "v1" and pairing == "sorted" else _greedy(a, b, equal)
     return F.when(F.size(a) != F.size(b), F.lit(False)).when(ordered, in_order).otherwise(bag)
 
 
+def lists_equal(a: Column, b: Column, ordered: Column | bool = False, variant: str = "v1",
+                pairing: str = "sorted") -> Column:
+    """Equality of two value lists, in order or as bags."""
+    flag = F.lit(ordered) if isinstance(ordered, bool) else ordered
+    described = [F.transform(x, lambda v: describe(v, variant)) for x in (a, b)]
+    return _lists_equal(*described, flag, variant, pairing)
+
+
+def _without_zeros(lists: Column) -> Column:
+    zeros = F.array_distinct(F.flatten(F.transform(lists, lambda l: F.filter(
+        F.transform(l, lambda v, i: F.when(v["num"] == 0, i)), lambda i: i.isNotNull()))))
+    return _let(zeros, lambda z: F.transform(lists, lambda l: F.filter(l, lambda v, i: ~F.array_contains(z, i))))
+
+
 def drop_zero_positions(lists: Column) -> Column:
     """Remove the positions at which any list holds a zero."""
-    zeros = F.array_distinct(F.flatten(F.transform(lists, lambda l: F.filter(
-        F.transform(l, lambda v, i: F.when(as_number(v) == 0, i)), lambda i: i.isNotNull()))))
-    return F.transform(lists, lambda l: F.filter(l, lambda v, i: ~F.array_contains(zeros, i)))
+    described = F.transform(lists, lambda l: F.transform(l, lambda v: describe(v)))
+    return F.transform(_without_zeros(described), lambda l: F.transform(l, lambda v: v["text"]))
 
 
 def list_match(expected: Column, predicted: Column, ordered: Column | bool = False,
@@ -139,17 +178,11 @@ def list_match(expected: Column, predicted: Column, ordered: Column | bool = Fal
     Extra predicted lists are allowed. The comparison stays inside the row.
     """
     flag = F.lit(ordered) if isinstance(ordered, bool) else ordered
-    if variant == "v3":
-        want, have = drop_zero_positions(expected), drop_zero_positions(predicted)
-    else:
-        want, have = expected, predicted
-    start = F.struct(have.alias("left"), F.lit(True).alias("ok"))
 
-    def step(acc: Column, item: Column) -> Column:
-        at = F.array_position(
-            F.transform(acc["left"], lambda x: lists_equal(item, x, flag, variant, pairing)), F.lit(True))
-        return F.struct(F.filter(acc["left"], lambda x, i: i != at - 1).alias("left"),
-                        (acc["ok"] & (at > 0)).alias("ok"))
+    def prepared(lists: Column) -> Column:
+        described = F.transform(lists, lambda l: F.transform(l, lambda v: describe(v, variant)))
+        return _let(described, _without_zeros) if variant == "v3" else described
 
-    matched = F.aggregate(want, start, step, lambda acc: acc["ok"])
+    matched = _greedy(prepared(expected), prepared(predicted),
+                      lambda p, q: _lists_equal(p, q, flag, variant, pairing))
     return F.when(F.size(expected) > F.size(predicted), F.lit(False)).otherwise(matched)

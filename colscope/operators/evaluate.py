@@ -120,16 +120,19 @@ def corrected_accuracy(results: DataFrame, corrections: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- chart ranks
 
-def rank_cases(cases: DataFrame, predicted: str = "predicted", truth: str = "expected") -> DataFrame:
+def rank_cases(cases: DataFrame, predicted: str = "predicted", truth: str = "expected",
+               succeeded: Column | None = None) -> DataFrame:
     """Verdict, hit@2 and rank of the true chart type in a ranked list.
 
-    A missing type ranks after the last one; an empty list is an error.
+    A missing type ranks after the last one; an empty list is an error. A run
+    that did not succeed is a failure, whose rank still counts in the total.
     """
+    ended = F.lit(True) if succeeded is None else F.coalesce(succeeded, F.lit(False))
     at = F.array_position(predicted, F.col(truth))
     usable = F.coalesce(F.size(predicted), F.lit(0)) > 0
     rank = F.when(at > 0, at).otherwise(F.size(predicted) + 1)
     return cases.select(
-        "*", F.when(usable, "success").otherwise("error").alias("status"),
+        "*", F.when(~usable, "error").when(ended, "success").otherwise("failure").alias("status"),
         F.when(usable, at == 1).alias("correct"), F.when(usable, at.between(1, 2)).alias("correct_hit2"),
         F.when(usable, rank).cast("bigint").alias("rank"))
 
