@@ -284,28 +284,31 @@ def summary_vector(hist: DataFrame, prefix: str, keys: Sequence[str] = KEYS,
 # ----------------------------------------------------------------- sequences
 
 def sequence_stats(rows: DataFrame, keys: Sequence[str] = KEYS, value: str = "v",
-                   pos: str = "pos", numeric: bool = True) -> DataFrame:
+                   pos: str = "pos", text: str | None = None) -> DataFrame:
     """``is_sorted``, ``is_monotonic`` and ``sortedness`` of values along ``pos``.
 
     The i-th value by position is paired with the i-th value in sorted order;
     both rankings are range-partitioned, the pairing is an equi join on the rank.
+    Fields that are text carry their values in ``text`` and get ``is_sorted`` only.
     """
     keys = list(keys)
-    kept = rows.where(F.col(value).isNotNull()).select(*keys, pos, value)
-    by_pos = row_positions(kept, keys, [pos]).select(*keys, "position", "total", F.col(value).alias("_at"))
-    by_value = row_positions(kept, keys, [value, pos]).select(*keys, "position", F.col(value).alias("_sorted"))
+    words = F.col(text) if text else F.lit(None).cast("string")
+    kept = (rows.select(*keys, F.col(pos).alias("pos"), F.col(value).alias("v"), words.alias("t"))
+            .where("v is not null or t is not null"))
+    by_pos = row_positions(kept, keys, ["pos"]).select(
+        *keys, "position", "total", F.col("v").alias("at_v"), F.col("t").alias("at_t"))
+    by_value = row_positions(kept, keys, ["v", "t", "pos"]).select(
+        *keys, "position", F.col("v").alias("sorted_v"), F.col("t").alias("sorted_t"))
     pairs = by_pos.join(by_value, [*keys, "position"])
-    flags = [F.bool_and(F.col("_at") == F.col("_sorted")).alias("is_sorted")]
-    if not numeric:
-        return pairs.groupBy(*keys).agg(*flags)
+    same = F.col("at_v").eqNullSafe(F.col("sorted_v")) & F.col("at_t").eqNullSafe(F.col("sorted_t"))
     # Both sides hold the same values, so one centre and one variance serve both.
-    centers = kept.groupBy(*keys).agg(F.avg(value).alias("_mean"))
-    gap = F.col("_at") - F.col("_mean")
-    gap_sorted = F.col("_sorted") - F.col("_mean")
+    centers = kept.groupBy(*keys).agg(F.avg("v").alias("mean"))
+    gap, gap_sorted = F.col("at_v") - F.col("mean"), F.col("sorted_v") - F.col("mean")
     r = F.abs(F.try_divide(F.sum(gap * gap_sorted), F.sum(gap * gap)))
-    return (pairs.join(centers, keys).groupBy(*keys).agg(
-        *flags, F.lit(True).alias("is_monotonic"),
-        F.when(F.max("total") < 2, F.lit(1.0)).otherwise(r).alias("sortedness")))
+    is_number = F.count("at_v") > 0
+    return pairs.join(centers, keys).groupBy(*keys).agg(
+        F.bool_and(same).alias("is_sorted"), F.when(is_number, F.lit(True)).alias("is_monotonic"),
+        F.when(is_number, F.when(F.max("total") < 2, F.lit(1.0)).otherwise(r)).alias("sortedness"))
 
 
 # -------------------------------------------------------------- column pairs
@@ -350,23 +353,21 @@ def profile_columns(cells: DataFrame, quantile_scale: str = "reference") -> Data
     words = categorical_stats(texts, KEYS)
     text_unique = uniqueness(texts, KEYS).drop("is_unique_list")
 
-    rows = cells.join(types, KEYS)
-    valued = (rows.where("general_type <> 'c'")
-              .withColumn("v", ty.parse_typed(F.col("raw"), F.col("data_type"))))
-    order_q = sequence_stats(valued, KEYS)
-    order_c = sequence_stats(rows.where("general_type = 'c'"), KEYS, value="raw", numeric=False)
-    order = order_q.unionByName(order_c, allowMissingColumns=True)
+    rows = (cells.join(types, KEYS)
+            .withColumn("v", ty.parse_typed(F.col("raw"), F.col("data_type")))
+            .withColumn("t", F.when(F.col("general_type") == "c", F.col("raw"))))
+    order = sequence_stats(rows, KEYS, text="t")
 
     wide = (basics.join(numbers, KEYS, "left").join(words, KEYS, "left")
             .join(text_unique, KEYS, "left").join(order, KEYS, "left"))
     is_int = F.col("data_type") == "integer"
     n_unique = F.coalesce(F.col("num_unique_elements"), F.when(is_int, F.col("num_unique_values")))
     n_values = F.when(is_int, F.col("n"))
-    wide = (wide.withColumn("unique_percent", F.coalesce("unique_percent", F.try_divide(n_unique, n_values)))
-            .withColumn("is_unique", F.coalesce("is_unique", n_unique == n_values))
-            .withColumn("num_unique_elements", n_unique))
-    for name, c in fn.name_features(F.col("field_name")).items():
-        wide = wide.withColumn(name, c)
+    wide = wide.withColumns({
+        "unique_percent": F.coalesce("unique_percent", F.try_divide(n_unique, n_values)),
+        "is_unique": F.coalesce("is_unique", n_unique == n_values),
+        "num_unique_elements": n_unique})
+    wide = wide.withColumns(fn.name_features(F.col("field_name")))
     flags = [f.name for f in wide.schema.fields if f.dataType.simpleString() == "boolean"]
     drop = ["n", "num_unique_values", *[f"score_{t}" for t in ty.TYPE_ORDER]]
     return wide.fillna(False, subset=flags).drop(*drop)
