@@ -135,7 +135,7 @@ def field_sequences(df: DataFrame, key: str, order: str, features: Sequence[str]
 
 def pad_sequences(seqs: DataFrame, width: int | None = None) -> DataFrame:
     """Pad to one width (the longest sequence by default) and add the mask."""
-    dims = F.size(F.col("x")[0])
+    dims = F.size(F.get("x", F.lit(0)))
     longest = F.lit(width) if width else seqs.agg(F.max(F.size("x")).alias("w")).scalar()
     out = seqs.withColumn("n_valid", F.size("x")).withColumn("width", longest.cast("int"))
     zeros = F.array_repeat(F.lit(0.0), dims)
@@ -149,7 +149,7 @@ def pad_sequences(seqs: DataFrame, width: int | None = None) -> DataFrame:
 
 def matrix_columns(x: Column, y: Column, classify: Column) -> Column:
     """Wide x times classes matrix to three parallel arrays: unit, value, class."""
-    units = x[0]
+    units = F.get(x, F.lit(0))
     n = F.size(units)
 
     def per_class(pick) -> Column:
@@ -163,7 +163,7 @@ def matrix_columns(x: Column, y: Column, classify: Column) -> Column:
 
 def matrix_rows(df: DataFrame, key: str) -> DataFrame:
     """The same matrix as rows ``(key, pos, unit, value, class)``."""
-    cells = (df.select(key, F.col("x_data")[0].alias("units"), "y_data", F.posexplode("classify").alias("i", "class"))
+    cells = (df.select(key, F.get("x_data", F.lit(0)).alias("units"), "y_data", F.posexplode("classify").alias("i", "class"))
              .select(key, "i", "class", F.get("y_data", F.col("i")).alias("ys"),
                      F.size("units").alias("n"), F.posexplode("units").alias("j", "unit")))
     return cells.select(key, (F.col("i") * F.col("n") + F.col("j")).alias("pos"), "unit",

@@ -77,7 +77,7 @@ FROM events GROUP BY 1""")
 def clean_corpus(spark, sf):
     parsed = co.parse_corpus(event_charts(events(spark, sf)))
     kept = co.clean_corpus(parsed).select(F.lit("kept").alias("outcome"), F.size("fields").alias("w"))
-    width = F.size(F.map_values("tables")[0]["cols"])
+    width = F.size(F.get(F.map_values("tables"), F.lit(0))["cols"])
     rest = (parsed.where(F.col("reason").isNotNull() | (width > 25))
             .select(F.coalesce("reason", F.lit("too wide")).alias("outcome"), F.lit(0).alias("w")))
     return kept.unionByName(rest).groupBy("outcome").agg(

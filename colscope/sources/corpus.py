@@ -60,7 +60,7 @@ def clean_corpus(parsed: DataFrame, max_fields: int = 25) -> DataFrame:
 
     Only the first table of a chart counts; map entries keep the JSON order.
     """
-    cols = F.map_entries(F.map_values("tables")[0]["cols"])
+    cols = F.map_entries(F.get(F.map_values("tables"), F.lit(0))["cols"])
     fields = F.transform(cols, lambda e: F.struct(
         e["value"]["order"].alias("ord"), e["key"].alias("name"),
         e["value"]["uid"].alias("uid"), e["value"]["data"].alias("data")))
