@@ -87,6 +87,11 @@ def nesting_depth(text: Column) -> Column:
         lambda acc: acc["top"])
 
 
+def deepest(df: DataFrame, text: str) -> int:
+    """Deepest nesting in the whole column, measured in one pass."""
+    return df.agg(F.max(nesting_depth(F.col(text)))).first()[0] or 0
+
+
 def _children(node: Column) -> Column:
     """Direct children of an object or list node, with their path and JSON type.
 
@@ -120,7 +125,7 @@ def find_keys(df: DataFrame, text: str, keys: Sequence[str], skip_null: bool = F
     null counts as found unless ``skip_null``.
     """
     if depth is None:
-        depth = df.agg(F.max(nesting_depth(F.col(text)))).first()[0] or 0
+        depth = deepest(df, text)
     root_kind = F.substring(F.schema_of_variant(F.try_parse_json(F.col(text))), 1, 5)
     root = F.array(F.struct(F.array().cast("array<int>").alias("path"), F.lit(None).cast("string").alias("key"),
                             F.col(text).alias("text"), root_kind.alias("kind")))

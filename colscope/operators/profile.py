@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import names as fn
 from ..functions import typing as ty
 from ..session import materialize
-from .ranking import quantile_columns, row_positions, running_positions
+from .ranking import PART, quantile_columns, range_stage, row_positions, running_positions, staged_positions
 
 KEYS = ["fid", "field_id"]
 
@@ -143,9 +143,14 @@ def centered_stats(hist: DataFrame, totals: DataFrame, keys: Sequence[str] = KEY
     return out.drop("moment_2", "moment_3", "moment_4")
 
 
-def ranked_values(hist: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Histogram rows with ``before``, ``total`` and the next larger value ``nxt``."""
-    return running_positions(hist, keys, ["v"], F.col("cnt"), lead_of="v")
+def stage_values(hist: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """The histogram written once in value order; every numeric pass reads it."""
+    return range_stage(hist, keys, ["v"])
+
+
+def ranked_values(staged: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Staged rows with ``before``, ``total`` and the next larger value ``nxt``."""
+    return staged_positions(staged, keys, ["v"], F.col("cnt"), lead_of="v")
 
 
 def order_stats(ranked: DataFrame, keys: Sequence[str] = KEYS,
@@ -244,6 +249,7 @@ def numeric_stats(hist: DataFrame, keys: Sequence[str] = KEYS,
                   quantile_scale: str = "reference", with_mad: bool = True) -> DataFrame:
     """All numeric features from ``(keys, v, cnt)``."""
     keys = list(keys)
+    hist = stage_values(hist, keys)
     totals = value_totals(hist, keys)
     centered = centered_stats(hist, totals, keys)
     ordered = order_stats(ranked_values(hist, keys), keys, quantile_scale)
@@ -265,8 +271,9 @@ def numeric_stats(hist: DataFrame, keys: Sequence[str] = KEYS,
 
 def summary_vector(hist: DataFrame, prefix: str, keys: Sequence[str] = KEYS,
                    quantile_scale: str = "reference") -> DataFrame:
-    """Short prefixed summary of a numeric vector."""
+    """Short prefixed summary of a numeric vector, from staged or plain histogram rows."""
     keys = list(keys)
+    hist = hist if PART in hist.columns else stage_values(hist, keys)
     totals = value_totals(hist, keys)
     ordered = order_stats(ranked_values(hist, keys), keys, quantile_scale)
     stats = totals.join(centered_stats(hist, totals, keys), keys).join(ordered, keys)

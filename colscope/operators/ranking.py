@@ -37,7 +37,12 @@ def running_positions(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     With ``lead_of`` the next row's value of that column is added as ``nxt``.
     Every window here covers one (keys, partition) piece or one row per piece.
     """
-    staged = range_stage(df, keys, order)
+    return staged_positions(range_stage(df, keys, order), keys, order, weight, lead_of)
+
+
+def staged_positions(staged: DataFrame, keys: Sequence[str], order: Sequence[str],
+                     weight: Column | None = None, lead_of: str | None = None) -> DataFrame:
+    """``running_positions`` of rows that ``range_stage`` has placed."""
     w = F.lit(1).cast("bigint") if weight is None else weight
     sums = [F.sum(w).alias("_w")]
     if lead_of:
@@ -81,7 +86,7 @@ def quantile_columns(value: str, weight: Column, probs: dict[str, float]) -> dic
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
-                    probs: dict[str, float], accuracy: int = 10000) -> DataFrame:
+                    probs: dict[str, float], accuracy: int = 2000) -> DataFrame:
     """Exact quantiles per group of any size, moving only the rows near them.
 
     A mergeable sketch brackets each quantile: its rank error is at most

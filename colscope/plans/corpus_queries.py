@@ -17,7 +17,7 @@ from ..operators import relational as rl
 from ..sources import corpus as co
 from ..sources import sinks
 from ..sources.cells import role_array_cells, table_cells
-from ..session import scratch_path
+from ..session import scratch_path, spread
 from .registry import query, rounded, table
 
 # Fixed values of the generated corpus: event type to first trace.
@@ -26,7 +26,7 @@ KIND_SQL = ("CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in K
 
 
 def events(spark, sf):
-    return table(spark, sf, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    return spread(table(spark, sf, "events")).withColumn("k", F.get_json_object("props", "$.k").cast("int"))
 
 
 def event_charts(ev):
@@ -169,10 +169,10 @@ def nested_key_find(spark, sf):
     text = F.concat(F.lit(parts[0]), F.col("event_id").cast("string"), F.lit(parts[1]), "props",
                     F.lit(parts[2]), F.col("user_id").cast("string"), F.lit(parts[3]))
     docs = events(spark, sf).select("event_id", text.alias("doc"))
-    found = js.find_keys(docs, "doc", ["id", "k", "deep", "note"])
-    both = js.find_keys(found.withColumnRenamed("note", "note_any").drop("id", "k", "deep"), "doc", ["note"], skip_null=True)
-    first = found.select("event_id", "id", "k", "deep", "note")
-    return first.join(both.select("event_id", F.col("note").alias("note_found")), "event_id")
+    depth = js.deepest(docs, "doc")
+    found = js.find_keys(docs, "doc", ["id", "k", "deep", "note"], depth=depth)
+    again = js.find_keys(found.withColumnRenamed("note", "first_note"), "doc", ["note"], skip_null=True, depth=depth)
+    return again.select("event_id", "id", "k", "deep", F.col("first_note").alias("note"), F.col("note").alias("note_found"))
 
 
 @query("tsv_corpus_scan", oracle="""

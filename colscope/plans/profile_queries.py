@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names as fn
 from ..operators import profile as pr
+from ..session import materialize
 from ..sources.cells import numeric_values, table_cells
 from .registry import query, rounded, table
 
@@ -23,12 +24,7 @@ LINE = unpivot_sql("lineitem", LINE_COLS)
 
 def line_hist(spark, sf):
     rows = numeric_values(table(spark, sf, "lineitem"), LINE_COLS)
-    return pr.value_histogram(rows, FIELD)
-
-
-def rank_sql(src: str) -> str:
-    """Exact order statistics of a long (field_id, v) source."""
-    return f"""WITH c AS ({src}), k AS (SELECT field_id, v FROM c WHERE v IS NOT NULL)"""
+    return pr.stage_values(pr.value_histogram(rows, FIELD), FIELD)
 
 
 # Quantile probabilities of both scales; stated twice here because the check
@@ -164,7 +160,7 @@ SELECT field_id, round(sum((2 * i - n - 1) * x) / (max(n) * sum(x)), 6) AS gini
 def profile_gini(spark, sf):
     rows = (numeric_values(table(spark, sf, "orders"), ["o_totalprice"])
             .unionByName(numeric_values(table(spark, sf, "customer"), ["c_acctbal"])))
-    ranked = pr.ranked_values(pr.value_histogram(rows, FIELD), FIELD)
+    ranked = pr.ranked_values(pr.stage_values(pr.value_histogram(rows, FIELD), FIELD), FIELD)
     return rounded(pr.order_stats(ranked, FIELD).select("field_id", "gini"))
 
 
@@ -174,7 +170,7 @@ MOMENT_SRC = LINE + " UNION ALL " + unpivot_sql("events", ["value"])
 def moment_hist(spark, sf):
     rows = (numeric_values(table(spark, sf, "lineitem"), LINE_COLS)
             .unionByName(numeric_values(table(spark, sf, "events"), ["value"])))
-    return pr.value_histogram(rows, FIELD)
+    return materialize(pr.value_histogram(rows, FIELD), "hist")
 
 
 @query("profile_moments", oracle=f"""
@@ -260,7 +256,8 @@ def profile_sequence(spark, sf):
     rows = (numeric_values(table(spark, sf, "orders"), ["o_totalprice", "o_orderkey"], "o_orderkey")
             .unionByName(numeric_values(table(spark, sf, "events"), ["value"], "event_id")))
     seq = pr.sequence_stats(rows, FIELD)
-    space = pr.order_stats(pr.ranked_values(pr.value_histogram(rows, FIELD), FIELD), FIELD).select(
+    space = pr.order_stats(
+        pr.ranked_values(pr.stage_values(pr.value_histogram(rows, FIELD), FIELD), FIELD), FIELD).select(
         "field_id", "lin_space_sequence_coeff", "log_space_sequence_coeff", "is_lin_space", "is_log_space")
     return rounded(seq.join(space, FIELD), lin_space_sequence_coeff=5)
 

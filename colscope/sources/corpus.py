@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import jsontext as js
 from ..functions import names as fn
 
 CORPUS_SCHEMA = "fid STRING, chart_data STRING, layout STRING, table_data STRING"
@@ -37,22 +36,29 @@ def write_corpus_tsv(df: DataFrame, path: str, mode: str = "errorifexists") -> N
      .option("quote", '"').option("escape", '"').csv(path))
 
 
+def _whole_json(text: Column, kind: str) -> Column:
+    """Parse ``text`` as the value ``r``; ``end`` is read only when nothing follows it."""
+    wrapped = F.concat(F.lit('{"r":'), text, F.lit(',"end":1}'))
+    return F.from_json(wrapped, f"STRUCT<r: {kind}, `end`: INT>")
+
+
 def parse_corpus(raw: DataFrame) -> DataFrame:
     """Parsed corpus with a ``reason`` for rows that cannot be used.
 
     ``reason`` is NULL for good rows, ``unparsable`` when one of the three JSON
-    cells is broken, ``empty`` when there are no traces or no table.
+    cells is broken, ``empty`` when there are no traces or no table. Each cell is
+    parsed once, with only the members that are used.
     """
     parsed = raw.select(
-        "fid", F.from_json("chart_data", TRACE_SCHEMA).alias("traces"),
-        F.map_keys(F.from_json("layout", "map<string,string>")).alias("layout_keys"),
-        F.from_json("table_data", TABLE_SCHEMA).alias("tables"),
-        (js.is_json(F.col("chart_data")) & js.is_json(F.col("layout"))
-         & js.is_json(F.col("table_data"))).alias("_readable"))
-    reason = (F.when(~F.coalesce("_readable", F.lit(False)), "unparsable")
-              .when(F.coalesce(F.size("traces"), F.lit(0)) <= 0, "empty")
-              .when(F.coalesce(F.size("tables"), F.lit(0)) <= 0, "empty"))
-    return parsed.select("fid", "traces", "layout_keys", "tables", reason.alias("reason"))
+        "fid", _whole_json(F.col("chart_data"), TRACE_SCHEMA).alias("c"),
+        _whole_json(F.col("layout"), "MAP<STRING, STRING>").alias("l"),
+        _whole_json(F.col("table_data"), TABLE_SCHEMA).alias("t"))
+    readable = F.col("c.end").isNotNull() & F.col("l.end").isNotNull() & F.col("t.end").isNotNull()
+    reason = (F.when(~readable, "unparsable")
+              .when(F.coalesce(F.size("c.r"), F.lit(0)) <= 0, "empty")
+              .when(F.coalesce(F.size("t.r"), F.lit(0)) <= 0, "empty"))
+    return parsed.select("fid", F.col("c.r").alias("traces"), F.map_keys("l.r").alias("layout_keys"),
+                         F.col("t.r").alias("tables"), reason.alias("reason"))
 
 
 def clean_corpus(parsed: DataFrame, max_fields: int = 25) -> DataFrame:
