@@ -17,7 +17,7 @@ from ..operators import relational as rl
 from ..sources import corpus as co
 from ..sources import sinks
 from ..sources.cells import role_array_cells, table_cells
-from ..session import scratch_path, spread
+from ..session import materialize, scratch_path, spread
 from .registry import query, rounded, table
 
 # Fixed values of the generated corpus: event type to first trace.
@@ -66,7 +66,7 @@ ok AS (SELECT *, u || ':' || event_id AS fid, k % 10 = 0 AS broken,
 
 
 def usable_charts(spark, sf):
-    return co.clean_corpus(co.parse_corpus(event_charts(events(spark, sf))))
+    return materialize(co.clean_corpus(co.parse_corpus(event_charts(events(spark, sf)))), "charts")
 
 
 @query("clean_corpus", oracle="""
@@ -75,7 +75,7 @@ SELECT coalesce(CASE WHEN event_id % 17 = 0 THEN 'unparsable' WHEN event_id % 13
   count(*) AS charts, CAST(sum(CASE WHEN event_id % 17 = 0 OR event_id % 13 = 0 OR event_id % 5 = 0 THEN 0 ELSE 3 END) AS BIGINT) AS fields
 FROM events GROUP BY 1""")
 def clean_corpus(spark, sf):
-    parsed = co.parse_corpus(event_charts(events(spark, sf)))
+    parsed = materialize(co.parse_corpus(event_charts(events(spark, sf))), "parsed")
     kept = co.clean_corpus(parsed).select(F.lit("kept").alias("outcome"), F.size("fields").alias("w"))
     width = F.size(F.get(F.map_values("tables"), F.lit(0))["cols"])
     rest = (parsed.where(F.col("reason").isNotNull() | (width > 25))

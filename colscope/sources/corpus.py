@@ -49,10 +49,12 @@ def parse_corpus(raw: DataFrame) -> DataFrame:
     cells is broken, ``empty`` when there are no traces or no table. Each cell is
     parsed once, with only the members that are used.
     """
-    parsed = raw.select(
-        "fid", _whole_json(F.col("chart_data"), TRACE_SCHEMA).alias("c"),
-        _whole_json(F.col("layout"), "MAP<STRING, STRING>").alias("l"),
-        _whole_json(F.col("table_data"), TABLE_SCHEMA).alias("t"))
+    cells = F.struct(_whole_json(F.col("chart_data"), TRACE_SCHEMA).alias("c"),
+                     _whole_json(F.col("layout"), "MAP<STRING, STRING>").alias("l"),
+                     _whole_json(F.col("table_data"), TABLE_SCHEMA).alias("t"))
+    # A generator of one row: filters on parsed values stay above it. Pushed below
+    # a projection they would parse every cell a second time.
+    parsed = raw.select("fid", F.inline(F.array(cells)))
     readable = F.col("c.end").isNotNull() & F.col("l.end").isNotNull() & F.col("t.end").isNotNull()
     reason = (F.when(~readable, "unparsable")
               .when(F.coalesce(F.size("c.r"), F.lit(0)) <= 0, "empty")
@@ -70,9 +72,8 @@ def clean_corpus(parsed: DataFrame, max_fields: int = 25) -> DataFrame:
     fields = F.transform(cols, lambda e: F.struct(
         e["value"]["order"].alias("ord"), e["key"].alias("name"),
         e["value"]["uid"].alias("uid"), e["value"]["data"].alias("data")))
-    shaped = (parsed.where("reason is null")
-              .select("fid", "traces", "layout_keys", F.array_sort(fields).alias("fields")))
-    return shaped.where(F.size("fields") <= max_fields)
+    kept = parsed.where(F.col("reason").isNull() & (F.size(F.get(F.map_values("tables"), F.lit(0))["cols"]) <= max_fields))
+    return kept.select("fid", "traces", "layout_keys", F.array_sort(fields).alias("fields"))
 
 
 def corpus_cells(charts: DataFrame) -> DataFrame:
