@@ -52,16 +52,21 @@ def summary(results: DataFrame, stages: Sequence[str] = STAGES, by: Sequence[str
         F.coalesce(F.sum("tokens"), F.lit(0)).cast("bigint").alias("total_tokens"))
 
 
+def _counted(results: DataFrame, run: str, order: str, stages: Sequence[str]) -> DataFrame:
+    """Only what a report counts: long lists and texts stay out of the ranking."""
+    return results.select(run, order, *[f"{s}_correct" for s in stages], "tokens")
+
+
 def chunk_reports(results: DataFrame, run: str, order: str, interval: int = 10,
                   stages: Sequence[str] = STAGES) -> DataFrame:
     """Report per chunk of ``interval`` results of a run."""
-    return summary(chunk_numbers(results, run, order, interval), stages, [run, "chunk_number"])
+    return summary(chunk_numbers(_counted(results, run, order, stages), run, order, interval), stages, [run, "chunk_number"])
 
 
 def chunk_rollup(results: DataFrame, run: str, order: str, interval: int = 10,
                  stages: Sequence[str] = STAGES) -> DataFrame:
     """Chunk reports with the total of each run and of everything."""
-    numbered = chunk_numbers(results, run, order, interval)
+    numbered = chunk_numbers(_counted(results, run, order, stages), run, order, interval)
     return numbered.rollup(run, "chunk_number").agg(
         F.count(F.lit(1)).alias("total_cases"), *_stage_aggs(stages),
         F.coalesce(F.sum("tokens"), F.lit(0)).cast("bigint").alias("total_tokens"))

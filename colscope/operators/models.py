@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -95,20 +96,31 @@ def top_importances(imp: DataFrame, n: int = 5) -> DataFrame:
     return imp.orderBy(F.desc("importance"), "feature").limit(n)
 
 
+def value_range(start: float, end: float, step: float) -> list[float]:
+    """Parameter values from ``start`` up to, not including, ``end``."""
+    count = max(0, math.ceil((end - start) / step - 1e-9))
+    return [start + i * step for i in range(count)]
+
+
 def parameter_search(train: DataFrame, features: Sequence[str], label: str, param: str, values: Sequence,
                      seed: int = 100, parallelism: int = 4) -> TrainValidationSplitModel:
-    """Accuracy of the forest for each value of one parameter."""
+    """Forests for each value of one parameter, fitted in parallel and kept as sub-models."""
     forest = RandomForestClassifier(numTrees=20, maxDepth=DEPTH, seed=seed)
     pipe = _pipeline(features, label, forest)
     grid = ParamGridBuilder().addGrid(forest.getParam(param), list(values)).build()
     return TrainValidationSplit(
         estimator=pipe, estimatorParamMaps=grid, trainRatio=0.8, seed=seed, parallelism=parallelism,
+        collectSubModels=True,
         evaluator=MulticlassClassificationEvaluator(labelCol="label", metricName="accuracy")).fit(train)
 
 
-def search_table(spark: SparkSession, searched: TrainValidationSplitModel, values: Sequence) -> DataFrame:
-    return spark.createDataFrame([(float(v), float(m)) for v, m in zip(values, searched.validationMetrics)],
-                                 "param double, acc double")
+def search_table(searched: TrainValidationSplitModel, values: Sequence, test: DataFrame) -> DataFrame:
+    """Accuracy, hit@1, hit@2 and mean rank on ``test`` for each parameter value."""
+    out = None
+    for value, model in zip(values, searched.subModels):
+        row = evaluate_model(model, test).select(F.lit(float(value)).alias("param"), "*")
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 def best_parameter(table: DataFrame) -> DataFrame:

@@ -125,7 +125,7 @@ def field_sequences(df: DataFrame, key: str, order: str, features: Sequence[str]
     A table with at most ``segment`` rows is one array. A longer one continues in
     the next segments, so no task ever holds more than a segment of one key.
     """
-    placed = row_positions(df, [key], [order], "_pos")
+    placed = row_positions(df.select(key, order, *[f for f in features if f not in (key, order)]), [key], [order], "_pos")
     vector = F.array(*[F.col(f).cast("double") for f in features])
     return (placed.withColumn("segment", F.floor(F.col("_pos") / segment).cast("int"))
             .groupBy(key, "segment")
@@ -172,10 +172,28 @@ def matrix_rows(df: DataFrame, key: str) -> DataFrame:
 
 def column_lists(df: DataFrame, key: str, order: str, columns: Sequence[str], segment: int = 1000) -> DataFrame:
     """Result table to value lists per column, in segments of bounded length."""
-    placed = row_positions(df, [key], [order], "_pos")
+    placed = row_positions(df.select(key, order, *[c for c in columns if c not in (key, order)]), [key], [order], "_pos")
     texts = [F.col(c).cast("string").alias(c) for c in columns]
     cells = placed.select(key, "_pos", *texts).unpivot([key, "_pos"], list(columns), "column", "value")
     packed = F.array_sort(F.collect_list(F.struct("_pos", "value")))
     return (cells.withColumn("segment", F.floor(F.col("_pos") / segment).cast("int"))
             .groupBy(key, "column", "segment")
             .agg(F.transform(packed, lambda r: r["value"]).alias("values")))
+
+
+def csv_text(df: DataFrame, key: str, order: str, columns: Sequence[str], null_token: str = "nan",
+             segment: int = 1000) -> DataFrame:
+    """Result table as CSV text per case, in segments of bounded length; segment 0 has the header."""
+    placed = row_positions(df.select(key, order, *[c for c in columns if c not in (key, order)]), [key], [order], "_pos")
+
+    def cell(c: str) -> Column:
+        text = F.coalesce(F.col(c).cast("string"), F.lit(null_token))
+        quoted = F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
+        return F.when(text.rlike('[",\r\n]'), quoted).otherwise(text)
+
+    line = F.concat_ws(",", *[cell(c) for c in columns])
+    lines = F.transform(F.array_sort(F.collect_list(F.struct(F.col("_pos"), line.alias("line")))), lambda r: r["line"])
+    header = F.when(F.col("segment") == 0, F.lit(",".join(columns) + "\n")).otherwise(F.lit(""))
+    packed = (placed.withColumn("segment", F.floor(F.col("_pos") / segment).cast("int"))
+              .groupBy(key, "segment").agg(F.array_join(lines, "\n").alias("_body")))
+    return packed.select(key, "segment", F.concat(header, "_body", F.lit("\n")).alias("csv"))

@@ -322,7 +322,8 @@ def sequence_stats(rows: DataFrame, keys: Sequence[str] = KEYS, value: str = "v"
 
 def range_overlap(hist: DataFrame, table_keys: Sequence[str], field: str = "field_id") -> DataFrame:
     """Overlap flag and share of the value ranges of every two fields of a table."""
-    ends = hist.groupBy(*table_keys, field).agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    # One row per field, written once for both sides of the pairing.
+    ends = materialize(hist.groupBy(*table_keys, field).agg(F.min("v").alias("lo"), F.max("v").alias("hi")), "ends")
     a = ends.select(*table_keys, F.col(field).alias("field_a"), F.col("lo").alias("a_lo"), F.col("hi").alias("a_hi"))
     b = ends.select(*table_keys, F.col(field).alias("field_b"), F.col("lo").alias("b_lo"), F.col("hi").alias("b_hi"))
     pairs = a.join(b, list(table_keys)).where(F.col("field_a") < F.col("field_b"))

@@ -167,7 +167,7 @@ def chat_transcripts(turns: DataFrame, key: str = "conv_id", order: str = "turn"
     """
     names = names or {"user": "User", "assistant": "Assistant"}
     shown = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
-    placed = row_positions(turns, [key], [order], "_pos")
+    placed = row_positions(turns.select(key, order, "role", "text"), [key], [order], "_pos")
     line = F.concat(F.coalesce(F.try_element_at(shown, F.col("role")), F.col("role")), F.lit(": "), F.col("text"))
     packed = F.array_sort(F.collect_list(F.struct(F.col("_pos"), line.alias("line"))))
     body = F.array_join(F.transform(packed, lambda r: r["line"]), "\n")

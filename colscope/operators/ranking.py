@@ -42,26 +42,31 @@ def running_positions(df: DataFrame, keys: Sequence[str], order: Sequence[str],
 
 def staged_positions(staged: DataFrame, keys: Sequence[str], order: Sequence[str],
                      weight: Column | None = None, lead_of: str | None = None) -> DataFrame:
-    """``running_positions`` of rows that ``range_stage`` has placed."""
+    """``running_positions`` of rows that ``range_stage`` has placed.
+
+    Groups are matched as one struct, which is never NULL, so a NULL key is a
+    group like any other and the windows reuse the shuffle of the join.
+    """
     w = F.lit(1).cast("bigint") if weight is None else weight
     sums = [F.sum(w).alias("_w")]
     if lead_of:
         sums.append(F.min(lead_of).alias("_first"))
-    pieces = staged.groupBy(*keys, PART).agg(*sums)
-    along = W.partitionBy(*keys).orderBy(PART)
-    group = W.partitionBy(*keys)
+    group_key = F.struct(*keys).alias("_k")
+    pieces = staged.groupBy(group_key, PART).agg(*sums)
+    along = W.partitionBy("_k").orderBy(PART)
+    group = W.partitionBy("_k")
     offsets = pieces.select(
-        *keys, PART,
+        "_k", PART,
         F.coalesce(F.sum("_w").over(along.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_offset"),
         F.sum("_w").over(group).alias("total"),
         *([F.lead("_first").over(along).alias("_next_first")] if lead_of else []))
-    local = W.partitionBy(*keys, PART).orderBy(*order)
+    local = W.partitionBy("_k", PART).orderBy(*order)
     prior = F.sum(w).over(local.rowsBetween(W.unboundedPreceding, -1))
-    out = (staged.join(offsets, [*keys, PART])
+    out = (staged.select("*", group_key).join(offsets, ["_k", PART])
            .withColumn("before", F.col("_offset") + F.coalesce(prior, F.lit(0))))
     if lead_of:
         out = out.withColumn("nxt", F.coalesce(F.lead(lead_of).over(local), F.col("_next_first")))
-    return out.drop("_offset", "_next_first", PART)
+    return out.drop("_k", "_offset", "_next_first", PART)
 
 
 def row_positions(df: DataFrame, keys: Sequence[str], order: Sequence[str],

@@ -65,14 +65,15 @@ def stratified_sample(df: DataFrame, n: int, stratum: str, key: str, seed: str =
 
 
 def systematic_sample(df: DataFrame, n: int, key: str, seed: str = "", start: int | None = None) -> DataFrame:
-    """Every ``N // n``-th row by key from a hashed start, ``n`` rows in all."""
-    placed = row_positions(df.withColumn("_all", F.lit(0)), ["_all"], [key], "_pos")
+    """Every ``N // n``-th row by (unique) key from a hashed start, ``n`` rows in all."""
+    # Only keys are ranked and written; the few chosen ones then pick their rows.
+    placed = row_positions(df.select(key, F.lit(0).alias("_all")), ["_all"], [key], "_pos")
     step = F.greatest(F.floor(F.col("total") / n), F.lit(1))
     number = F.conv(F.substring(F.md5(F.lit(f"start{seed}").cast("binary")), 1, 8), 16, 10).cast("bigint")
     first = F.pmod(number, step) if start is None else F.lit(start)
     gap = F.col("_pos") - first
-    return (placed.where((gap >= 0) & (gap % step == 0) & (F.floor(gap / step) < n))
-            .drop("_all", "_pos", "total"))
+    chosen = placed.where((gap >= 0) & (gap % step == 0) & (F.floor(gap / step) < n))
+    return df.join(chosen.select(key), key, "left_semi")
 
 
 def sample_examples(df: DataFrame, n: int | None, key: str, method: str = "random",

@@ -91,9 +91,10 @@ def train_network(spark, sf):
 
 @query("param_search")
 def param_search(spark, sf):
-    values = [2, 4]
-    found = ml.parameter_search(vectors(spark, sf), DIMS, "trace_type", "maxDepth", values)
-    return rounded(ml.best_parameter(ml.search_table(spark, found, values)))
+    values = [int(v) for v in ml.value_range(2, 5, 2)]
+    v = vectors(spark, sf)
+    found = ml.parameter_search(v.where("split = 'train'"), DIMS, "trace_type", "maxDepth", values)
+    return rounded(ml.best_parameter(ml.search_table(found, values, v.where("split = 'test'"))))
 
 
 @query("importances")

@@ -188,6 +188,19 @@ def columns_to_lists(spark, sf):
                         F.size("values").cast("bigint").alias("n"))
 
 
+@query("csv_blocks", oracle="""
+WITH p AS (SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS pos,
+  CAST(o_orderkey AS VARCHAR) || ',' || CASE WHEN o_orderstatus = 'F' THEN 'nan' ELSE o_orderstatus END || ',"' || o_orderpriority || ', x"' AS line FROM orders)
+SELECT o_custkey, CAST(pos // 8 AS INTEGER) AS segment, md5(CASE WHEN pos // 8 = 0 THEN 'o_orderkey,status,priority' || chr(10) ELSE '' END || string_agg(line, chr(10) ORDER BY pos) || chr(10)) AS csv_md5
+FROM p GROUP BY o_custkey, pos // 8""")
+def csv_blocks(spark, sf):
+    o = table(spark, sf, "orders").select(
+        "o_custkey", "o_orderkey", F.when(F.col("o_orderstatus") != "F", F.col("o_orderstatus")).alias("status"),
+        F.concat("o_orderpriority", F.lit(", x")).alias("priority"))
+    out = prep.csv_text(o, "o_custkey", "o_orderkey", ["o_orderkey", "status", "priority"], segment=8)
+    return out.select("o_custkey", "segment", F.md5(F.col("csv").cast("binary")).alias("csv_md5"))
+
+
 @query("distinct_ordered", oracle="""
 SELECT p_brand, min(p_partkey) AS first_at FROM part GROUP BY p_brand""")
 def distinct_ordered(spark, sf):

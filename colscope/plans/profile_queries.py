@@ -45,7 +45,7 @@ def profile_basic(spark, sf):
     cells = table_cells(table(spark, sf, "orders"),
                         ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"], "o_orderkey", "orders")
     blanked = cells.withColumn("raw", F.when(~F.col("raw").isin("F", "1-URGENT", "7"), F.col("raw")))
-    out = pr.only_field(pr.field_basics(pr.raw_histogram(blanked)))
+    out = pr.only_field(pr.field_basics(materialize(pr.raw_histogram(blanked), "hist")))
     return rounded(out.select("field_id", "length", "exists", "is_only_field",
                               "num_none", "percentage_none", "has_none"))
 

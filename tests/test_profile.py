@@ -130,6 +130,12 @@ def test_positions_of_a_hot_group(spark):
         assert (g["total"] == len(g)).all()
 
 
+def test_null_keys_are_a_group(spark):
+    df = spark.createDataFrame([(None, 1), (None, 3), ("a", 2)], "k string, o int")
+    rows = sorted((r["k"] or "", r["o"], r["position"], r["total"]) for r in rk.row_positions(df, ["k"], ["o"]).collect())
+    assert rows == [("", 1, 0, 2), ("", 3, 1, 2), ("a", 2, 0, 1)]
+
+
 def test_positions_without_coalescing(spark):
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
