@@ -136,18 +136,28 @@ def parse_timestamp(raw: Column, day_first: bool = True, formats: list[str] | No
 
 
 def parse_typed(raw: Column, data_type: Column) -> Column:
-    """Orderable DOUBLE of a cell under its field type: numbers, or epoch seconds."""
+    """Orderable DOUBLE of a cell under its field type: numbers, or epoch seconds.
+
+    Ambiguous dates read month first; the day comes first where only that works.
+    """
+    stamp = F.coalesce(parse_timestamp(raw, day_first=False), parse_timestamp(raw, day_first=True))
     return (F.when(data_type == "integer", parse_integer(raw))
             .when(data_type == "decimal", parse_decimal(raw))
-            .when(data_type == "time", F.unix_micros(parse_timestamp(raw)) / 1e6))
+            .when(data_type == "time", F.unix_micros(stamp) / 1e6))
 
 
 def example_type(text: Column) -> Column:
     """Schema description of an example value: datetime, float, integer or string."""
-    stamp = parse_timestamp(text)
+    bare = F.trim(text)
     number = parse_decimal(text)
+    # Years that fit a nanosecond clock, months and clock times read as dates too.
+    year = bare.rlike(r"^\d{4}$") & number.between(1678, 2261)
+    partial = bare.rlike(r"^(\d{4}-\d{1,2}|\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?\s*([AaPp][Mm])?)$")
+    worded = bare.rlike(r"^\p{L}{3,9} \d{1,2},? \d{4}") & _month_number(
+        F.substring(F.regexp_extract(bare, r"^(\p{L}+)", 1), 1, 3)).isNotNull()
+    stamp = parse_timestamp(text, False).isNotNull() | parse_timestamp(text, True).isNotNull()
     return (F.when(text.isNull(), "unknown")
-            .when(stamp.isNotNull(), "datetime")
+            .when(year | partial | worded | stamp, "datetime")
             .when(number.isNotNull() & text.contains("."), "float")
             .when(number.isNotNull(), "integer")
             .otherwise("string"))

@@ -80,10 +80,15 @@ def apply_scales(df: DataFrame, scales: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ encoding
 
-def fit_labels(df: DataFrame, column: str) -> DataFrame:
-    """Alphabetical numbering ``(label, idx)`` of the distinct labels."""
-    labels = (df.where(F.col(column).isNotNull()).select(F.col(column).cast("string").alias("label"))
-              .distinct().withColumn("_all", F.lit(0)))
+def fit_labels(df: DataFrame, column: str, null_label: str | None = None) -> DataFrame:
+    """Alphabetical numbering ``(label, idx)`` of the distinct labels.
+
+    Missing labels are left out, or are a class of their own under ``null_label``.
+    """
+    text = F.col(column).cast("string")
+    named = text if null_label is None else F.coalesce(text, F.lit(null_label))
+    labels = (df.select(named.alias("label")).where("label is not null").distinct()
+              .withColumn("_all", F.lit(0)))
     return row_positions(labels, ["_all"], ["label"], "idx").select("label", "idx")
 
 

@@ -6,7 +6,7 @@ import time
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names as fn
@@ -81,6 +81,11 @@ def database_schema(catalog: DataFrame, db_tables: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------- prompts
 
+def read_template(spark: SparkSession, path: str) -> str:
+    """Text of one template file."""
+    return spark.read.text(path, wholetext=True).first()["value"]
+
+
 def render(template: str, values: dict[str, Column]) -> Column:
     """Fill ``{KEY}`` placeholders; the prompt is NULL when a value is NULL.
 

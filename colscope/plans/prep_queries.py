@@ -38,6 +38,18 @@ def split_by_id(spark, sf):
 HASH = "md5('7' || CAST(event_id AS VARCHAR))"
 
 
+@query("split_members", oracle=f"""
+WITH b AS (SELECT DISTINCT o_custkey FROM orders WHERE {BUCKET.format(key="'m' || CAST(o_custkey AS VARCHAR)")} < 700)
+SELECT c_mktsegment AS trace_type, count(*) AS orders, CAST(count(DISTINCT o_custkey) AS BIGINT) AS customers
+FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_custkey IN (SELECT o_custkey FROM b) GROUP BY c_mktsegment""")
+def split_members(spark, sf):
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("fid"), "o_orderkey")
+    train = sm.assign_split(o, "fid", {"train": 0.7, "test": 0.3}, "m").where("split = 'train'").select("fid").distinct()
+    cases = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("chart"))
+    typed = rl.with_chart_type(rl.member_rows(o, train), cases)
+    return typed.groupBy("trace_type").agg(F.count(F.lit(1)).alias("orders"), F.countDistinct("fid").alias("customers"))
+
+
 @query("sample_random", oracle=f"SELECT event_id, event_type FROM events ORDER BY {HASH}, event_id LIMIT 100")
 def sample_random(spark, sf):
     return sm.sample_examples(table(spark, sf, "events").select("event_id", "event_type"), 100, "event_id", "random", seed="7")

@@ -276,3 +276,56 @@ def test_models(spark, tmp_path):
     p = ml.predict(ml.train_axis_model(df, ["a", "b"], trees=5), df).first()
     assert p["predicted_trace_type"] in ("x", "y") and p["top1_prob"] >= p["top2_prob"]
     assert ml.top_importances(ml.importances(spark, ml.train_type_model(df, ["a", "b"], trees=5), ["a", "b"]), 1).first()["feature"] == "a"
+
+
+def test_null_labels_can_be_a_class(spark):
+    df = spark.createDataFrame([("x",), (None,), ("a",)], "v string")
+    assert {r["label"]: r["idx"] for r in prep.fit_labels(df, "v", "nan").collect()} == {"a": 0, "nan": 1, "x": 2}
+    wide = prep.one_hot_columns(df, "v", ["a", "x"]).collect()
+    assert [(r["v_a"], r["v_x"]) for r in wide] == [(0.0, 1.0), (0.0, 0.0), (1.0, 0.0)]
+
+
+def test_features_and_labels_split(spark):
+    df = spark.createDataFrame([("f", "i", True, None, 1, "x", "bar", 2.0)],
+                               "fid string, field_id string, is_xsrc boolean, is_ysrc boolean, trace_type_n int, is_x_or_y string, trace_type string, mean double")
+    x, y = co.split_features_labels(df)
+    assert x.columns == ["mean"] and set(y.columns) == {"fid", "field_id", "is_x_or_y", "trace_type"}
+    assert co.split_features_labels(df, "predict")[1] is None
+    with pytest.raises(ValueError):
+        co.split_features_labels(df, "other")
+
+
+def test_stage_and_batch_flow(spark, tmp_path):
+    (tmp_path / "t.tpl").write_text("Ask {QUESTION} now")
+    assert pt.read_template(spark, str(tmp_path / "t.tpl")) == "Ask {QUESTION} now"
+    requests = spark.createDataFrame([(i, "db", f"pie of {i}", None, ["x"], "S") for i in range(6)],
+                                     "id int, db_id string, query string, describe string, irrelevant_tables array<string>, schema_info string")
+
+    def model(prompt):
+        return {"content": '```json\n{"table_names": ["Orders.csv"]}\n```', "tokens": 7, "model": "m"}
+
+    runs = flows.run_stage(requests, "table_selection", model)
+    assert runs.where("valid").count() == 6
+    tables = F.from_json("data", "struct<table_names:array<string>>")["table_names"]
+    cases = runs.select(
+        F.lit("r").alias("run_id"), F.col("id").alias("test_case_id"), F.lit(None).cast("string").alias("sort"), "tokens",
+        F.array(F.array(F.lit("1"))).alias("expected"), F.array(F.array(F.when(F.col("id") < 4, "1.0").otherwise("2"))).alias("predicted"),
+        tables.alias("predicted_tables"), F.array(F.lit("orders")).alias("tables"),
+        F.create_map(F.lit("orders"), F.array(F.lit("a"))).alias("predicted_columns"), F.create_map(F.lit("orders"), F.array(F.lit("b"))).alias("columns"))
+    judged, chunks, total = flows.evaluate_batch(cases, interval=4)
+    assert judged.count() == 6
+    assert sorted((r["chunk_number"], r["total_cases"], r["final_correct_cases"]) for r in chunks.collect()) == [(1, 4, 4), (2, 2, 0)]
+    t = total.first()
+    assert (t["final_correct_cases"], t["table_correct_cases"], t["column_correct_cases"], t["total_tokens"]) == (4, 6, 0, 42)
+
+
+def test_scoring_new_columns(spark):
+    cells = spark.createDataFrame([("u:1", f"u:{c}", c, i, p, v) for i, (c, vs) in enumerate({"a": ["1", "2", "9"], "b": ["x", "y", "z"]}.items())
+                                   for p, v in enumerate(vs)], "fid string, field_id string, field_name string, ord int, pos bigint, raw string")
+    train = spark.createDataFrame([(float(i % 2), 3.0, "bar" if i % 2 else "line") for i in range(20)], "data_type_is_string double, length double, trace_type string")
+    inputs = ["data_type_is_string", "length"]
+    model = ml.train_type_model(train, inputs, trees=3)
+    bounds = spark.createDataFrame([("length", 1.0, 2.5)], "feature string, lo double, hi double")
+    rows = {r["field_id"]: r for r in flows.score_tables(cells, model, bounds, inputs).collect()}
+    assert rows["u:b"]["predicted_trace_type"] == "bar" and rows["u:a"]["predicted_trace_type"] == "line"
+    assert rows["u:a"]["length"] == 2.5

@@ -116,7 +116,9 @@ def test_dates(spark):
 
 
 def test_example_types(spark):
-    cases = {"2024-01-01": "datetime", "1.5": "float", "7": "integer", "x": "string", None: "unknown"}
+    cases = {"2024-01-01": "datetime", "1.5": "float", "7": "integer", "x": "string", None: "unknown", "2024": "datetime",
+             "3024": "integer", "12:30": "datetime", "2024-05": "datetime", "January 5, 2024": "datetime", "Nation 5 2024": "string",
+             "1e5": "integer", "13/05/2024": "datetime"}
     df = spark.createDataFrame([(k,) for k in cases], "t string")
     assert [r[0] for r in df.select(ty.example_type(F.col("t"))).collect()] == list(cases.values())
 
