@@ -180,8 +180,8 @@ def order_stats(ranked: DataFrame, keys: Sequence[str] = KEYS,
         F.count(F.lit(1)).alias("num_unique_values"),
         spread(step_sq, step_mean).alias("lin_space_sequence_coeff"),
         F.when(blocked == 0, spread(ratio_sq, ratio_mean)).alias("log_space_sequence_coeff"))
-        .withColumn("is_lin_space", F.col("lin_space_sequence_coeff") <= 0.001)
-        .withColumn("is_log_space", F.col("log_space_sequence_coeff") <= 0.001)
+        .withColumn("is_lin_space", F.coalesce(F.col("lin_space_sequence_coeff") <= 0.001, F.lit(False)))
+        .withColumn("is_log_space", F.coalesce(F.col("log_space_sequence_coeff") <= 0.001, F.lit(False)))
         .withColumn("quant_coeff_disp", F.try_divide(F.col("q75") - F.col("q25"), F.col("q75") + F.col("q25"))))
 
 

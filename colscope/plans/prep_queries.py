@@ -112,16 +112,14 @@ def clip_fit_apply(spark, sf):
 
 @query("zscore", oracle=f"""
 WITH {DIRTY_SQL}, s AS (SELECT {', '.join(f"avg({c}) AS {c}_m, stddev_pop({c}) AS {c}_s" for c in FEATURES)} FROM k WHERE split = 'train')
-SELECT split, {', '.join(f"round(avg(({c} - {c}_m) / {c}_s), 5) AS {c}_mean, round(stddev_pop(({c} - {c}_m) / {c}_s), 5) AS {c}_std" for c in FEATURES)}
+SELECT split, {', '.join(f"round(avg(({c} - {c}_m) / {c}_s), 5) + 0.0 AS {c}_mean, round(stddev_pop(({c} - {c}_m) / {c}_s), 5) AS {c}_std" for c in FEATURES)}
 FROM k, s GROUP BY split""")
 def zscore(spark, sf):
     rows = line_features(spark, sf)
     clipped = prep.apply_bounds(rows, prep.fit_bounds(rows.where("split = 'train'"), FEATURES))
     scaled = prep.apply_scales(clipped, prep.fit_scales(clipped.where("split = 'train'"), FEATURES))
     aggs = [a for c in FEATURES for a in (F.avg(c).alias(f"{c}_mean"), F.stddev_pop(c).alias(f"{c}_std"))]
-    # A mean of zero may carry a minus sign.
-    out = rounded(scaled.groupBy("split").agg(*aggs), 5)
-    return out.select("split", *[(F.col(c) + 0.0).alias(c) for c in out.columns if c != "split"])
+    return rounded(scaled.groupBy("split").agg(*aggs), 5)
 
 
 @query("label_encode", oracle="""

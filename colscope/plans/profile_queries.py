@@ -175,17 +175,17 @@ def moment_hist(spark, sf):
 
 @query("profile_moments", oracle=f"""
 WITH c AS ({MOMENT_SRC}), m AS (SELECT field_id, avg(v) AS mean, stddev_pop(v) AS std FROM c GROUP BY field_id)
-SELECT c.field_id, round(avg(pow((v - mean) / std, 3)), 5) AS skewness, round(avg(pow((v - mean) / std, 4)) - 3, 5) AS kurtosis,
-  {', '.join(f'round(avg(pow((v - mean) / std, {k})), 4) AS moment_{k}_std' for k in range(5, 8))},
-  {', '.join(f'round(avg(pow((v - mean) / std, {k})) / 1000000, 6) AS moment_{k}_std' for k in range(8, 11))}
+SELECT c.field_id, round(avg(pow((v - mean) / std, 3)), 5) + 0.0 AS skewness, round(avg(pow((v - mean) / std, 4)) - 3, 5) + 0.0 AS kurtosis,
+  {', '.join(f'round(avg(pow((v - mean) / std, {k})), 4) + 0.0 AS moment_{k}_std' for k in range(5, 8))},
+  {', '.join(f'round(avg(pow((v - mean) / std, {k})) / 1000000, 6) + 0.0 AS moment_{k}_std' for k in range(8, 11))}
 FROM c JOIN m ON c.field_id = m.field_id GROUP BY c.field_id""")
 def profile_moments(spark, sf):
     hist = moment_hist(spark, sf)
     stats = pr.centered_stats(hist, pr.value_totals(hist, FIELD), FIELD)
     scaled = {k: F.col(f"moment_{k}") / F.pow("std", F.lit(k)) for k in range(5, 11)}
     return stats.select(
-        "field_id", F.round("skewness", 5).alias("skewness"), F.round("kurtosis", 5).alias("kurtosis"),
-        *[F.round(c if k < 8 else c / 1000000, 4 if k < 8 else 6).alias(f"moment_{k}_std") for k, c in scaled.items()])
+        "field_id", (F.round("skewness", 5) + F.lit(0.0)).alias("skewness"), (F.round("kurtosis", 5) + F.lit(0.0)).alias("kurtosis"),
+        *[(F.round(c if k < 8 else c / 1000000, 4 if k < 8 else 6) + F.lit(0.0)).alias(f"moment_{k}_std") for k, c in scaled.items()])
 
 
 @query("profile_normality", oracle=f"""
@@ -250,7 +250,7 @@ g AS (SELECT field_id, stddev_pop(nxt - v) / nullif(avg(nxt - v), 0) AS lin, std
 SELECT p.field_id, min(CASE WHEN x = y THEN 1 ELSE 0 END) = 1 AS is_sorted, TRUE AS is_monotonic,
   round(abs(corr(x, y)), 6) AS sortedness, round(max(lin), 5) AS lin_space_sequence_coeff,
   round(max(CASE WHEN blocked = 0 THEN lg END), 6) AS log_space_sequence_coeff,
-  max(lin) <= 0.001 AS is_lin_space, max(CASE WHEN blocked = 0 THEN lg END) <= 0.001 AS is_log_space
+  coalesce(max(lin) <= 0.001, FALSE) AS is_lin_space, coalesce(max(CASE WHEN blocked = 0 THEN lg END) <= 0.001, FALSE) AS is_log_space
 FROM p JOIN g ON p.field_id = g.field_id GROUP BY p.field_id""")
 def profile_sequence(spark, sf):
     rows = (numeric_values(table(spark, sf, "orders"), ["o_totalprice", "o_orderkey"], "o_orderkey")

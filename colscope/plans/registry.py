@@ -26,8 +26,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def rounded(df: DataFrame, digits: int = 6, **special: int) -> DataFrame:
-    """Round every DOUBLE so that summation order does not show."""
+    """Round every DOUBLE so that summation order does not show; no negative zeros."""
     return df.select(*[
-        F.round(F.col(f.name), special.get(f.name, digits)).alias(f.name)
+        (F.round(F.col(f.name), special.get(f.name, digits)) + F.lit(0.0)).alias(f.name)
         if f.dataType.simpleString() == "double" else F.col(f.name)
         for f in df.schema.fields])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -29,15 +30,17 @@ def scratch_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by the cluster.
 
     Only when the session names none (unit tests on one machine) a temporary
-    folder is chosen and recorded in the session.
+    folder is chosen, once per process.
     """
-    root = spark.conf.get(SCRATCH_KEY, None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="colscope-")
-        spark.conf.set(SCRATCH_KEY, root)
+    root = spark.conf.get(SCRATCH_KEY, None) or spark.sparkContext.getCheckpointDir() or _own_root()
     return root.rstrip("/")
 
 
+@functools.cache
+def _own_root() -> str:
+    return tempfile.mkdtemp(prefix="colscope-")
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_dir(spark)}/colscope/{label}-{uuid.uuid4().hex}"
 
