@@ -353,7 +353,7 @@ SELECT b.field_id, data_type, length, FALSE AS has_none, FALSE AS is_only_field,
   CASE WHEN data_type <> 'decimal' THEN CAST(u AS DOUBLE) END AS num_unique_elements, data_type <> 'decimal' AND u = length AS is_unique,
   CASE WHEN data_type = 'string' THEN round(ent, 6) END AS list_entropy, CASE WHEN data_type = 'string' THEN round(mode, 6) END AS percentage_of_mode,
   round(mean, 6) AS mean, round(std, 6) AS std, round(med, 6) AS median, lo AS "min", hi AS "max", round(q25, 6) AS q25, round(mad, 6) AS med_abs_dev,
-  round(skew, 6) AS skewness, round(CASE WHEN data_type <> 'string' THEN o3 END, 6) AS percent_outliers_3iqr,
+  round(skew, 6) + 0.0 AS skewness, round(CASE WHEN data_type <> 'string' THEN o3 END, 6) AS percent_outliers_3iqr,
   s.is_sorted, data_type <> 'string' AS is_monotonic, round(abs(CASE WHEN data_type <> 'string' THEN r END), 6) AS sortedness,
   CAST(length(b.field_id) AS BIGINT) AS field_name_length
 FROM b JOIN m ON b.field_id = m.field_id JOIN s ON b.field_id = s.field_id JOIN e ON b.field_id = e.field_id""")
