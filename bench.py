@@ -40,7 +40,7 @@ def main() -> None:
         times[name] = round(time.time() - start, 3)
         print(f"{name} {times[name]}", file=sys.stderr, flush=True)
     print(json.dumps({"metric": "total_query_seconds", "value": round(sum(times.values()), 3), "unit": "sec",
-                      "queries": times, "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"), "cpus": int(cpus)}), flush=True)
+                      "queries": times, "sf": float(os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")), "cpus": int(cpus)}), flush=True)
     spark.stop()
 
 
