@@ -86,3 +86,24 @@ def _oriented(edges: DataFrame) -> DataFrame:
 
 def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+
+FILTER_BITS = 1 << 24
+
+
+def member_words(df: DataFrame, column: str) -> np.ndarray:
+    """A fixed-size filter of a long column: 2^24 bits, whatever the number of rows.
+
+    It lets through every member and, when crowded, others too; a join must follow.
+    """
+    bit = F.pmod(F.col(column), F.lit(FILTER_BITS))
+    rows = (df.select(F.shiftright(bit, 6).alias("word"), F.expr(f"shiftleft(1L, cast(pmod({column}, 64) as int))").alias("bits"))
+            .groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas())
+    words = np.zeros(FILTER_BITS // 64, np.int64)
+    words[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
+    return words.view(np.uint64)
+
+
+def membership(words: np.ndarray, values: np.ndarray) -> np.ndarray:
+    bit = values.view(np.uint64) & np.uint64(FILTER_BITS - 1)
+    return (words[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) > 0
