@@ -20,10 +20,9 @@ from pyspark.sql import functions as F
 from colscope.session import materialize
 
 from .common import connected_components, key_runs, membership, member_words, per_run
+from .words import BASE, PIECE, mix, powers
 
 GROUP = 192
-PIECE = 1 << 20
-BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def split_lines(text: str | None) -> list[str]:
@@ -37,34 +36,23 @@ def line_hashes(line: str) -> tuple[int, int]:
     return first, xxhash.xxh64_intdigest(raw, first)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(29))
-
-
 class SegmentKeys:
     """Keys of lines: own segments, and substrings that may be a segment of a line shorter by up to ``edits``."""
 
     def __init__(self, edits: int):
         self.edits = edits
-        self.letters = _mix(np.arange(0x110000, dtype=np.uint64) + BASE)
-        inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
-        self.powers, self.inverses = (self._accumulate(b) for b in (BASE, inverse))
+        self.letters = mix(np.arange(0x110000, dtype=np.uint64) + BASE)
+        self._grow(PIECE + 1)
 
-    @staticmethod
-    def _accumulate(base: np.uint64, n: int = PIECE + 1) -> np.ndarray:
-        out = np.full(n, base)
-        out[0] = 1
-        return np.multiply.accumulate(out)
+    def _grow(self, n: int) -> None:
+        self.powers, self.inverses = powers(BASE, n), powers(np.uint64(pow(int(BASE), -1, 1 << 64)), n)
 
     def __call__(self, lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Line numbers and keys; a line's equal keys may repeat."""
         lens = np.fromiter(map(len, lines), np.int64, len(lines))
         codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
         if len(codes) >= len(self.powers):
-            n = 2 * len(codes)
-            self.powers = self._accumulate(BASE, n)
-            self.inverses = self._accumulate(np.uint64(pow(int(BASE), -1, 1 << 64)), n)
+            self._grow(2 * len(codes))
         sums = np.zeros(len(codes) + 1, np.uint64)
         np.cumsum(self.letters[codes] * self.powers[:len(codes)], out=sums[1:])
         ends = np.cumsum(lens)
@@ -82,7 +70,7 @@ class SegmentKeys:
                     s, w = s[ok], width[ok]
                     value = (sums[s + w] - sums[s]) * self.inverses[s]
                     numbers.append(ok)
-                    keys.append(_mix(value ^ (size[ok].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(i * 0x5851F42D))))
+                    keys.append(mix(value ^ (size[ok].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(i * 0x5851F42D))))
         return np.concatenate(numbers), np.concatenate(keys)
 
 
