@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, linededup, mixing, nndescent, simhash
+from . import chat, decontaminate, linededup, mixing, nndescent, simhash, warc
 from .common import read_table
 
 
@@ -12,6 +12,14 @@ def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nndescent.near_vectors(read_table(spark, sf_dir, "embeddings"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.roundtrip(read_table(spark, sf_dir, "pages")).drop("chunks", "digest_ok")
+
+
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_conversations(chat.with_probe(read_table(spark, sf_dir, "conversations")))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read_table(spark, sf_dir, "documents"))
 
@@ -30,11 +38,15 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
+    "op2_warc": op2_warc,
+    "op3_chat_format": op3_chat_format,
     "op4_mixing": op4_mixing,
     "op6_decontamination": op6_decontamination,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_line_dedup": op9_line_dedup,
 }
 ORACLES = {
+    "op2_warc": warc.ORACLE,
+    "op3_chat_format": chat.ORACLE,
     "op4_mixing": mixing.ORACLE,
 }
