@@ -159,3 +159,28 @@ def identify(docs: DataFrame, modulus: int = 3, held: int = 1) -> DataFrame:
     out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus)) == held, F.lit(False))
     known = docs.where(~out).select("text", "lang")
     return predict(docs, learn(known)).select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
+def keep_identified(docs: DataFrame, least: float = 0.04) -> DataFrame:
+    """All columns of the documents whose language can be told.
+
+    Prototypes come from all documents with a language. Rejected are texts that are NULL or
+    have no letter, and those whose best cosine is below ``least``, about what unrelated
+    vectors reach by chance; nothing is rejected for being in the wrong language. If
+    nothing could be learned, only the texts without letters go. One pass, no shuffle.
+    """
+    prototypes = learn(docs)
+    matrix = np.stack([prototypes[x] for x in sorted(prototypes)]) if prototypes else np.zeros((0, DIM))
+    names, at_text = docs.columns, docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        profiles = Profiles(matrix.shape[1])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 64):
+                b = whole.slice(at, 64)
+                vectors, keep = profiles(b.column(at_text).to_pylist())
+                if len(matrix):
+                    keep &= (_units(vectors) @ matrix.T).max(1) >= least
+                yield b.filter(pa.array(keep))
+
+    return docs.select(*names).mapInArrow(run, docs.schema)

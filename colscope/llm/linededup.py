@@ -258,3 +258,15 @@ def dedup_lines(docs: DataFrame, edits: int = 2, least: int = 30) -> DataFrame:
             .withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.col("n_lines")).cast("long"))
             .withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept))
             .drop("__doc", "__gone"))
+
+
+def clean_lines(docs: DataFrame, edits: int = 2, least: int = 30) -> DataFrame:
+    """``docs`` with repeated lines taken out, same columns; ``n_chars`` follows the text.
+
+    A document of which only white space is left was a copy line by line and goes; one
+    that was blank before stays.
+    """
+    out = dedup_lines(docs.drop("n_lines", "n_removed"), edits, least).where("n_removed = 0 or length(trim(both ' \t\n\r' from text)) > 0")
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)

@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from colscope.session import materialize
 
-from .common import connected_components, key_runs, per_run
+from .common import connected_components, key_runs, member_words, membership, per_run
+from .words import WordHashes, mix
 
 LEAF = 512
 TILE = 1024
@@ -147,30 +148,35 @@ def hamming_links(fps: DataFrame, radius: int = 2, sample: int = 8192, per_shard
                   most_shards: int = 1024, least_shards: int = 48) -> DataFrame:
     """Spanning links ``a``, ``b``, ``distance`` of distinct fingerprints within ``radius``.
 
-    ``fps`` has one row per distinct ``fp``. Only the top tree is fitted on a sample
-    (``sample`` fingerprints at most, in hash order, sent to the driver); every
-    fingerprint is indexed and every pair within the radius is found.
+    ``fps`` has one row per distinct ``t`` (number of a fingerprint table, links stay
+    within one) and ``fp``. Only the top trees are fitted on samples (``sample``
+    fingerprints a table at most, in hash order, sent to the driver); every fingerprint is
+    indexed and every pair within the radius is found.
     """
-    n = fps.count()
-    rows = fps.orderBy(F.xxhash64("fp"), "fp").limit(sample).collect()
-    shards = min(most_shards, max(least_shards, -(-n // per_shard)))
-    tree = VpTree(np.array([r.fp for r in rows], np.int64).view(np.uint64), shards, radius)
+    sizes = {r.t: r.n for r in fps.groupBy("t").agg(F.count("*").alias("n")).collect()}
+    trees = {}
+    for t, n in sizes.items():
+        rows = fps.where(F.col("t") == t).orderBy(F.xxhash64("fp"), "fp").limit(sample).toPandas()
+        shards = min(most_shards, max(-(-least_shards // len(sizes)), -(-n // per_shard)))
+        trees[t] = VpTree(rows["fp"].to_numpy(np.int64).view(np.uint64), shards, radius)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            shard, part = tree.deal(b.column(0).to_numpy().view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(part.view(np.int64))], names=["shard", "fp"])
+            tables, fp = b.column("t").to_numpy(), b.column("fp").to_numpy().view(np.uint64)
+            for t in np.unique(tables).tolist():
+                shard, part = trees[t].deal(fp[tables == t])
+                yield pa.RecordBatch.from_arrays([pa.array(shard + (t << 32)), pa.array(part.view(np.int64))], names=["shard", "fp"])
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in key_runs(batches, "shard"):
-            values = table.column("fp").to_numpy().view(np.uint64)
+            shard, values = table.column("shard").to_numpy(), table.column("fp").to_numpy().view(np.uint64)
             for s, e in zip(starts[:-1], starts[1:]):
                 a, b, d = close_forest(values[s:e], radius)
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(d)],
-                                                 names=["a", "b", "distance"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), shard[s] >> 32)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(d)],
+                                                 names=["t", "a", "b", "distance"])
 
-    dealt = fps.select("fp").mapInArrow(deal, "shard long, fp long")
-    return per_run(dealt, "shard", pairs, "a long, b long, distance long")
+    dealt = fps.select(F.col("t").cast("long").alias("t"), "fp").mapInArrow(deal, "shard long, fp long")
+    return per_run(dealt, "shard", pairs, "t long, a long, b long, distance long")
 
 
 def simhash_groups(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col: str = "doc_id",
@@ -186,10 +192,98 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col: s
     """
     marked = materialize(fingerprints(docs, shingle, id_col, text_col), "simhash")
     names = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    parts = connected_components(hamming_links(names, radius), "simhash")
+    parts = connected_components(hamming_links(names.withColumn("t", F.lit(0).cast("long")), radius), "simhash")
     roots = (names.join(parts.select(F.col("node").alias("fp"), "component"), "fp")
              .groupBy("component").agg(F.min("least").alias("first")))
     named = (names.join(parts.join(roots, "component").select(F.col("node").alias("fp"), "first"), "fp", "left")
              .select("fp", F.coalesce("first", "least").alias("component_id")))
     return marked.join(named, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _word_majorities(docs: DataFrame, tables: int) -> DataFrame:
+    """``doc_id``, a 128-bit hash of the word sequence, and ``tables`` SimHashes of the set of words."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashed = WordHashes()
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                b = whole.slice(at, 256)
+                words, n = hashed(b.column(1).to_pylist())
+                ends = np.cumsum(n)
+                same, fps = np.zeros((b.num_rows, 2), np.uint64), np.zeros((b.num_rows, tables), np.uint64)
+                for i, (s, e) in enumerate(zip((ends - n).tolist(), ends.tolist())):
+                    whole_hash = xxhash.xxh3_128_intdigest(words[s:e].tobytes())
+                    same[i] = whole_hash >> 64, whole_hash & 0xFFFFFFFFFFFFFFFF
+                    distinct = np.unique(words[s:e])
+                    for t in range(tables if len(distinct) else 0):
+                        bits = np.unpackbits(mix(distinct + np.uint64(t * 0x9E3779B9)).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+                        fps[i, t] = np.packbits(bits.sum(0, dtype=np.int64) * 2 > len(distinct), bitorder="little").view(np.uint64)[0]
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * tables, pa.int32()), pa.array(fps.reshape(-1).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(same[:, 0].copy().view(np.int64)), pa.array(same[:, 1].copy().view(np.int64)), flat],
+                                                 names=["doc_id", "h1", "h2", "fps"])
+
+    return docs.mapInArrow(run, "doc_id long, h1 long, h2 long, fps array<long>")
+
+
+def _shingle_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """Distinct word shingles of the wanted documents (``doc_id``); a fixed-size filter goes to the tasks."""
+    bits = member_words(wanted.select(F.xxhash64("doc_id").alias("h")), "h")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashed = WordHashes()
+        for whole in batches:
+            b = whole.filter(pa.array(membership(bits, whole.column(2).to_numpy())))
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                words, n = hashed(part.column(1).to_pylist())
+                ends, sets = np.cumsum(n), []
+                for s, e in zip((ends - n).tolist(), ends.tolist()):
+                    k = min(shingle, e - s)
+                    key = np.zeros(e - s - k + 1 if k else 0, np.uint64)
+                    for j in range(k):
+                        key = key * np.uint64(0x9E3779B97F4A7C15) + words[s + j:s + j + len(key)]
+                    sets.append(np.unique(mix(key)).view(np.int64))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
+
+    marked = docs.withColumn("h", F.xxhash64("doc_id")).mapInArrow(run, "doc_id long, shingles array<long>")
+    return marked.join(wanted, "doc_id", "left_semi")
+
+
+def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, tables: int = 8, radius: int = 2) -> DataFrame:
+    """``doc_id`` and ``component_id`` of the documents that have a near copy with a smaller id.
+
+    Texts with the same words in the same order are copies. Other candidates come from
+    ``tables`` SimHashes of the set of words, each searched by vantage-point trees within
+    ``radius`` bits; a candidate counts if the Jaccard similarity of the ``shingle``-word
+    sets is ``similarity`` or more. Small edits move few bits of a word set, and several
+    tables make up for a small radius, at which the trees still prune. Of a cluster of
+    fingerprints only spanning links are candidates. Documents without an id are left out;
+    rows of one id are one document; texts without words are copies of each other.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+    marked = materialize(_word_majorities(docs, tables), "copies-marks")
+    first = materialize(marked.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "fps")).alias("x"))
+                        .select("h1", "h2", F.col("x.doc_id").alias("rep"), F.col("x.fps").alias("fps")), "copies-texts")
+    exact = marked.join(first, ["h1", "h2"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    placed = materialize(first.select("rep", F.posexplode("fps").alias("t", "fp")), "copies-tables")
+    names = materialize(placed.groupBy("t", "fp").agg(F.min("rep").alias("least")), "copies-distinct")
+    links = hamming_links(names, radius)
+    far = (links.join(names.withColumnsRenamed({"fp": "a", "least": "x"}), ["t", "a"])
+           .join(names.withColumnsRenamed({"fp": "b", "least": "y"}), ["t", "b"]))
+    near = placed.join(names, ["t", "fp"]).where("rep <> least").select(F.col("rep").alias("x"), F.col("least").alias("y"))
+    pairs = materialize(far.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).unionByName(
+        near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).where("a <> b").distinct(), "copies-pairs")
+    wanted = materialize(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "copies-wanted")
+    sets = materialize(_shingle_sets(docs, wanted, shingle).dropDuplicates(["doc_id"]), "copies-sets")
+    both = (pairs.join(sets.withColumnsRenamed({"doc_id": "a", "shingles": "sa"}), "a")
+            .join(sets.withColumnsRenamed({"doc_id": "b", "shingles": "sb"}), "b"))
+    common = F.size(F.array_intersect("sa", "sb"))
+    close = both.where(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+    parts = connected_components(exact.unionByName(close), "copies")
+    return parts.where("node <> component").select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """All columns of ``docs``, of each group of near copies the document with the smallest id."""
+    gone = near_copies(docs, **options).select(F.col("doc_id").alias("__doc"))
+    return docs.join(gone, F.col("doc_id") == F.col("__doc"), "left_anti")
