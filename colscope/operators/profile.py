@@ -32,9 +32,16 @@ QUANTILE_SCALES = {
 # ---------------------------------------------------------------- histograms
 
 def raw_histogram(cells: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Distinct raw texts per field with their counts."""
-    carried = [F.min(c).alias(c) for c in ("field_name", "ord") if c in cells.columns]
-    return cells.groupBy(*keys, "raw").agg(F.count(F.lit(1)).alias("cnt"), *carried)
+    """Distinct raw texts per field with their counts.
+
+    A field's name and place belong to its key: carried as aggregates they would make
+    Spark sort every cell before counting.
+    """
+    return cells.groupBy(*keys, *_carried(cells), "raw").agg(F.count(F.lit(1)).alias("cnt"))
+
+
+def _carried(df: DataFrame) -> list[str]:
+    return [c for c in ("field_name", "ord") if c in df.columns]
 
 
 def value_histogram(rows: DataFrame, keys: Sequence[str], value: str = "v") -> DataFrame:
@@ -49,9 +56,7 @@ def value_histogram(rows: DataFrame, keys: Sequence[str], value: str = "v") -> D
 def field_basics(hist: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Length, missing values, type votes and the winning type of each field."""
     votes = ty.vote_columns(F.col("raw"), F.col("cnt"))
-    carried = [F.min(c).alias(c) for c in ("field_name", "ord") if c in hist.columns]
-    counted = hist.groupBy(*keys).agg(
-        *carried,
+    counted = hist.groupBy(*keys, *_carried(hist)).agg(
         F.sum("cnt").alias("length"),
         F.sum(F.when(F.col("raw").isNull(), F.col("cnt")).otherwise(F.lit(0))).alias("num_none"),
         *[c.alias(f"score_{n}") for n, c in votes.items()])

@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .ranking import row_positions
 
 
@@ -16,52 +16,61 @@ def hash_order(key: Column, seed: str = "") -> Column:
     return F.md5(F.concat(F.lit(seed), key.cast("string")).cast("binary"))
 
 
-def hash_bucket(key: Column, seed: str = "", buckets: int = 1000) -> Column:
-    number = F.conv(F.substring(hash_order(key, seed), 1, 8), 16, 10).cast("bigint")
-    return F.pmod(number, F.lit(buckets))
+def hash_number(key: Column, seed: str = "") -> Column:
+    """The first 32 bits of the hash, 0 to 2^32 - 1."""
+    return F.conv(F.substring(hash_order(key, seed), 1, 8), 16, 10).cast("bigint")
 
 
 def assign_split(df: DataFrame, key: str, weights: dict[str, float], seed: str = "",
                  name: str = "split") -> DataFrame:
-    """Split name per row from its key: all rows of a key stay together, no shuffle."""
-    bucket, edge, chain = hash_bucket(F.col(key), seed), 0.0, None
+    """Split name per row from its key: all rows of a key stay together, no shuffle.
+
+    Shares are exact to 2^-32: a key's 32-bit hash is compared with the summed weights.
+    """
+    number, edge, chain = hash_number(F.col(key), seed), 0.0, None
     total = sum(weights.values())
     names = list(weights)
     for split in names[:-1]:
         edge += weights[split] / total
-        hit = bucket < round(edge * 1000)
+        hit = number < round(edge * (1 << 32))
         chain = F.when(hit, split) if chain is None else chain.when(hit, split)
     last = F.lit(names[-1])
     return df.withColumn(name, last if chain is None else chain.otherwise(last))
 
 
 def random_sample(df: DataFrame, n: int, key: str, seed: str = "") -> DataFrame:
-    """``n`` rows with the smallest hashes (all rows when there are fewer)."""
-    return df.orderBy(hash_order(F.col(key), seed), key).limit(n)
+    """``n`` rows with the smallest hashes (all rows when there are fewer).
+
+    Only hashes and keys are ranked, over range partitions; no task holds the sample.
+    """
+    return first_rows(df, n, [hash_order(F.col(key), seed).alias("_h")], key)
+
+
+def first_rows(df: DataFrame, n: int, order: Sequence[Column], key: str) -> DataFrame:
+    """The first ``n`` rows by ``order`` and the unique ``key``, whatever ``n`` is."""
+    narrow = df.select(F.col(key).alias("_key"), F.lit(0).alias("_all"), *order)
+    columns = [c for c in narrow.columns if c not in ("_key", "_all")]
+    placed = row_positions(narrow, ["_all"], [*columns, "_key"], "_pos").where(F.col("_pos") < n)
+    return df.join(placed.select("_key"), F.col(key).eqNullSafe(F.col("_key")), "left_semi")
 
 
 def stratified_sample(df: DataFrame, n: int, stratum: str, key: str, seed: str = "") -> DataFrame:
     """Floor share of each stratum, the rest filled from all other rows.
 
-    Only the first ``n`` rows of a stratum can ever be chosen. The rank filter on
-    the constant ``n`` lets each task cut its strata before the shuffle, so a
-    stratum holding most of the table does not travel.
+    Narrow (stratum, hash, key) rows are ranked once per stratum over range partitions
+    and the left-over ones once more over all; neither the plan nor a task's share
+    depends on ``n`` or on the size of a stratum. ``key`` is unique.
     """
-    hashed = df.withColumn("_h", hash_order(F.col(key), seed))
-    sizes = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("_size"))
-    total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    share = F.floor(F.col("_size") * F.lit(n) / total)
-    quotas = sizes.select(stratum, F.least(share, F.col("_size")).alias("_quota"))
-    near = (hashed.withColumn("_rank", F.row_number().over(W.partitionBy(stratum).orderBy("_h", key)))
-            .where(F.col("_rank") <= n).join(quotas.withColumnRenamed(stratum, "_s"),
-                                             F.col(stratum).eqNullSafe(F.col("_s"))).drop("_s"))
-    chosen = near.where(F.col("_rank") <= F.col("_quota"))
-    missing = F.lit(n) - quotas.agg(F.sum("_quota").alias("n")).scalar()
-    # At most n rows reach the last rank; it needs no distribution.
-    spare = near.where(F.col("_rank") > F.col("_quota")).orderBy("_h", key).limit(n)
-    filled = (spare.withColumn("_place", F.row_number().over(W.partitionBy(F.lit(0)).orderBy("_h", key)))
-              .where(F.col("_place") <= missing).drop("_place"))
-    return chosen.unionByName(filled).drop("_h", "_rank", "_quota")
+    narrow = df.select(F.col(stratum).alias("_s"), F.col(key).alias("_key"), hash_order(F.col(key), seed).alias("_h"))
+    placed = materialize(row_positions(narrow, ["_s"], ["_h", "_key"], "_pos"), "strata")
+    sizes = placed.where("_pos = 0").select("_s", F.col("total").alias("_size"))
+    rows = sizes.agg(F.sum("_size")).first()[0] or 0
+    quota = F.least(F.floor(F.col("total") * F.lit(n) / F.lit(max(rows, 1))), F.col("total"))
+    missing = n - (sizes.withColumnRenamed("_size", "total").agg(F.sum(quota)).first()[0] or 0)
+    spare = placed.where(F.col("_pos") >= quota).select("_key", "_h", F.lit(0).alias("_all"))
+    filled = row_positions(spare, ["_all"], ["_h", "_key"], "_place").where(F.col("_place") < missing)
+    chosen = placed.where(F.col("_pos") < quota).select("_key").unionByName(filled.select("_key"))
+    return df.join(chosen, F.col(key).eqNullSafe(F.col("_key")), "left_semi")
 
 
 def systematic_sample(df: DataFrame, n: int, key: str, seed: str = "", start: int | None = None) -> DataFrame:

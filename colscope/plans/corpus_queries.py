@@ -17,7 +17,7 @@ from ..operators import relational as rl
 from ..sources import corpus as co
 from ..sources import sinks
 from ..sources.cells import role_array_cells, table_cells
-from ..session import materialize, scratch_path, spread
+from ..session import materialize, scratch_path
 from .registry import query, rounded, table
 
 # Fixed values of the generated corpus: event type to first trace.
@@ -26,7 +26,7 @@ KIND_SQL = ("CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in K
 
 
 def events(spark, sf):
-    return spread(table(spark, sf, "events")).withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    return table(spark, sf, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
 
 
 def event_charts(ev):
@@ -66,7 +66,7 @@ ok AS (SELECT *, u || ':' || event_id AS fid, k % 10 = 0 AS broken,
 
 
 def usable_charts(spark, sf):
-    return materialize(co.clean_corpus(co.parse_corpus(event_charts(events(spark, sf)))), "charts")
+    return materialize(co.clean_corpus(co.parse_corpus(event_charts(events(spark, sf))), 25), "charts")
 
 
 @query("clean_corpus", oracle="""
@@ -76,11 +76,10 @@ SELECT coalesce(CASE WHEN event_id % 17 = 0 THEN 'unparsable' WHEN event_id % 13
 FROM events GROUP BY 1""")
 def clean_corpus(spark, sf):
     parsed = materialize(co.parse_corpus(event_charts(events(spark, sf))), "parsed")
-    kept = co.clean_corpus(parsed).select(F.lit("kept").alias("outcome"), F.size("fields").alias("w"))
-    width = F.size(F.get(F.map_values("tables"), F.lit(0))["cols"])
-    rest = (parsed.where(F.col("reason").isNotNull() | (width > 25))
-            .select(F.coalesce("reason", F.lit("too wide")).alias("outcome"), F.lit(0).alias("w")))
-    return kept.unionByName(rest).groupBy("outcome").agg(
+    kept = co.clean_corpus(parsed, 25).select(F.lit("kept").alias("outcome"), F.size("fields").alias("w"))
+    wide = co.wide_charts(parsed, 25).select(F.lit("too wide").alias("outcome"), F.lit(0).alias("w"))
+    broken = parsed.where("reason is not null").select(F.col("reason").alias("outcome"), F.lit(0).alias("w"))
+    return kept.unionByName(wide).unionByName(broken).groupBy("outcome").agg(
         F.count(F.lit(1)).alias("charts"), F.sum("w").alias("fields"))
 
 

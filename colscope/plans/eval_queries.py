@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ..functions import values as va
 from ..operators import evaluate as ev
 from ..operators import relational as rl
-from ..session import spread
 from .registry import query, rounded, table
 
 # Literal pairs with the verdict of each variant; they are checked next to the table rows.
@@ -49,7 +48,7 @@ def value_equal(spark, sf):
 
 def order_lists(spark, sf):
     """Per order: expected lists, and predictions that are exact, shuffled, close or off."""
-    o = spread(table(spark, sf, "orders").select("o_orderkey"))
+    o = table(spark, sf, "orders").select("o_orderkey")
     k = F.col("o_orderkey")
     num = lambda c: c.cast("string")
     m = F.pmod("o_orderkey", F.lit(6))

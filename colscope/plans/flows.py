@@ -21,7 +21,7 @@ from ..session import materialize
 from ..sources import corpus as co
 
 
-def corpus_features(raw: DataFrame, max_fields: int = 25, label_mode: str = "reference",
+def corpus_features(raw: DataFrame, max_fields: int | None = None, label_mode: str = "reference",
                     quantile_scale: str = "reference") -> tuple[DataFrame, DataFrame]:
     """Feature rows and outcome rows of a raw corpus."""
     charts = materialize(co.clean_corpus(co.parse_corpus(raw), max_fields), "charts")

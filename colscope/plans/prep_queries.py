@@ -21,13 +21,14 @@ def dedup_keep_first(spark, sf):
     return first.select("doc_id", "lang", "n_chars", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
-BUCKET = "(('0x' || substr(md5({key}), 1, 8))::BIGINT % 1000)"
+NUMBER = "(('0x' || substr(md5({key}), 1, 8))::BIGINT)"
+EDGE = {share: round(share * (1 << 32)) for share in (0.7, 0.8, 0.85)}
 
 
 @query("split_by_id", oracle=f"""
-WITH b AS (SELECT *, {BUCKET.format(key="'s' || CAST(o_custkey AS VARCHAR)")} AS bc, {BUCKET.format(key="'r' || CAST(o_orderkey AS VARCHAR)")} AS br FROM orders)
-SELECT o_orderkey, CASE WHEN bc < 700 THEN 'train' WHEN bc < 850 THEN 'val' ELSE 'test' END AS by_customer,
-  CASE WHEN br < 800 THEN 'train' ELSE 'test' END AS by_row FROM b""")
+WITH b AS (SELECT *, {NUMBER.format(key="'s' || CAST(o_custkey AS VARCHAR)")} AS bc, {NUMBER.format(key="'r' || CAST(o_orderkey AS VARCHAR)")} AS br FROM orders)
+SELECT o_orderkey, CASE WHEN bc < {EDGE[0.7]} THEN 'train' WHEN bc < {EDGE[0.85]} THEN 'val' ELSE 'test' END AS by_customer,
+  CASE WHEN br < {EDGE[0.8]} THEN 'train' ELSE 'test' END AS by_row FROM b""")
 def split_by_id(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
     out = sm.assign_split(o, "o_custkey", {"train": 0.7, "val": 0.15, "test": 0.15}, "s", "by_customer")
@@ -39,7 +40,7 @@ HASH = "md5('7' || CAST(event_id AS VARCHAR))"
 
 
 @query("split_members", oracle=f"""
-WITH b AS (SELECT DISTINCT o_custkey FROM orders WHERE {BUCKET.format(key="'m' || CAST(o_custkey AS VARCHAR)")} < 700)
+WITH b AS (SELECT DISTINCT o_custkey FROM orders WHERE {NUMBER.format(key="'m' || CAST(o_custkey AS VARCHAR)")} < {EDGE[0.7]})
 SELECT c_mktsegment AS trace_type, count(*) AS orders, CAST(count(DISTINCT o_custkey) AS BIGINT) AS customers
 FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_custkey IN (SELECT o_custkey FROM b) GROUP BY c_mktsegment""")
 def split_members(spark, sf):
@@ -67,6 +68,18 @@ def sample_stratified(spark, sf):
     return sm.sample_examples(ev, 103, "event_id", "stratified", "event_type", "7")
 
 
+@query("sample_stratified_large", oracle=f"""
+WITH h AS (SELECT event_id, event_type, {HASH} AS h FROM events),
+r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY h, event_id) AS rk,
+  least(floor(count(*) OVER (PARTITION BY event_type) * 5000 / count(*) OVER ()), count(*) OVER (PARTITION BY event_type)) AS quota FROM h),
+c AS (SELECT * FROM r WHERE rk <= quota),
+f AS (SELECT *, row_number() OVER (ORDER BY h, event_id) AS place FROM r WHERE rk > quota)
+SELECT event_id, event_type FROM c UNION ALL SELECT event_id, event_type FROM f WHERE place <= 5000 - (SELECT count(*) FROM c)""")
+def sample_stratified_large(spark, sf):
+    ev = table(spark, sf, "events").select("event_id", "event_type")
+    return sm.sample_examples(ev, 5000, "event_id", "stratified", "event_type", "7")
+
+
 @query("sample_systematic", oracle="""
 WITH p AS (SELECT event_id, event_type, row_number() OVER (ORDER BY event_id) - 1 AS pos, count(*) OVER () // 97 AS step FROM events),
 s AS (SELECT *, pos - ('0x' || substr(md5('start7'), 1, 8))::BIGINT % step AS gap FROM p)
@@ -91,7 +104,7 @@ def line_features(spark, sf):
 DIRTY_SQL = f"""d AS (SELECT l_orderkey, l_linenumber, l_suppkey, l_extendedprice, l_discount,
   CASE WHEN (l_suppkey + l_linenumber) % 23 <> 0 THEN l_quantity END AS l_quantity,
   CASE (l_suppkey + l_linenumber) % 23 WHEN 1 THEN 'inf'::DOUBLE WHEN 2 THEN 'nan'::DOUBLE ELSE l_tax END AS l_tax,
-  CASE WHEN {BUCKET.format(key="'c' || CAST(l_orderkey AS VARCHAR)")} < 700 THEN 'train' ELSE 'test' END AS split FROM lineitem),
+  CASE WHEN {NUMBER.format(key="'c' || CAST(l_orderkey AS VARCHAR)")} < {EDGE[0.7]} THEN 'train' ELSE 'test' END AS split FROM lineitem),
 b AS (SELECT {', '.join(f"quantile_cont(CASE WHEN isfinite({c}) THEN {c} END, 0.05) AS {c}_lo, quantile_cont(CASE WHEN isfinite({c}) THEN {c} END, 0.95) AS {c}_hi" for c in FEATURES)}
   FROM d WHERE split = 'train'),
 k AS (SELECT l_orderkey, l_linenumber, l_suppkey, split, {', '.join(f"CASE WHEN {c} BETWEEN {c}_lo AND {c}_hi THEN {c} WHEN {c} < {c}_lo THEN {c}_lo ELSE {c}_hi END AS {c}" for c in FEATURES)} FROM d, b)"""
@@ -151,7 +164,7 @@ def one_hot(spark, sf):
     hot = prep.one_hot_by(coded, "idx", mapping, "hot")
     flagged = prep.fill_flags(hot.withColumn("flag", F.when(F.col("c_custkey") % 11 != 0, F.col("c_acctbal") > 0)),
                               ["flag"], as_number=True)
-    rest = F.aggregate(F.slice("hot", 4, 1000), F.lit(0.0), lambda a, x: a + x)
+    rest = F.aggregate("hot", F.lit(0.0), lambda a, x: a + x) - sum(F.get("hot", F.lit(i)) for i in range(3))
     return flagged.groupBy("c_nationkey").agg(
         *[F.sum(F.get("hot", F.lit(i))).alias(f"hot_{i}") for i in range(3)],
         F.sum(rest).alias("hot_rest"), F.sum("flag").alias("flagged"))
@@ -219,10 +232,11 @@ def distinct_ordered(spark, sf):
 
 @query("union_chunks", oracle="""
 SELECT event_type, count(*) AS n, round(sum(CASE WHEN event_type <> 'view' THEN value END), 3) AS total,
-  count(CASE WHEN event_type <> 'view' THEN value END) AS with_value FROM events WHERE event_type IN ('view', 'click', 'error') GROUP BY event_type""")
+  count(CASE WHEN event_type <> 'view' THEN value END) AS with_value FROM events GROUP BY event_type""")
 def union_chunks(spark, sf):
     ev = table(spark, sf, "events").select("event_id", "event_type", "value")
-    parts = [ev.where("event_type = 'view'").drop("value"), ev.where("event_type = 'click'"), ev.where("event_type = 'error'")]
+    parts = [ev.where("event_type = 'view'").drop("value"), ev.where("event_type = 'click'"),
+             ev.where("event_type is null or event_type not in ('view', 'click')")]
     return rounded(rl.union_chunks(parts).groupBy("event_type").agg(
         F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"), F.count("value").alias("with_value")), 3)
 

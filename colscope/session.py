@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 import tempfile
 import uuid
 
@@ -29,20 +30,29 @@ def build_session(app: str = "colscope", master: str | None = None,
 def scratch_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by the cluster.
 
-    Only when the session names none (unit tests on one machine) a temporary
-    folder is chosen, once per process.
+    Only a session on one machine may name none; a temporary folder is then chosen,
+    once per process. Elsewhere executors would write to disks of their own.
     """
-    root = spark.conf.get(SCRATCH_KEY, None) or spark.sparkContext.getCheckpointDir() or _own_root()
+    root = spark.conf.get(SCRATCH_KEY, None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError(f"set {SCRATCH_KEY} to a folder that all executors share")
+        root = _own_root()
     return root.rstrip("/")
 
 
+def run_folder(spark: SparkSession) -> str:
+    """All files of this application; its owner may delete the folder when the results are read."""
+    return f"{scratch_dir(spark)}/colscope/{spark.sparkContext.applicationId}"
+
+
 @functools.cache
 def _own_root() -> str:
     return tempfile.mkdtemp(prefix="colscope-")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_dir(spark)}/colscope/{label}-{uuid.uuid4().hex}"
+    return f"{run_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
@@ -56,12 +66,3 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for costly per-row work on a source with too few splits.
-
-    A large source comes in more splits than there are cores and is left alone,
-    so no shuffle is ever added at scale.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

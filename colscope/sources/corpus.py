@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import names as fn
+from ..operators.sampling import first_rows
 
 CORPUS_SCHEMA = "fid STRING, chart_data STRING, layout STRING, table_data STRING"
 
@@ -63,16 +64,32 @@ def parse_corpus(raw: DataFrame) -> DataFrame:
                          F.col("t.r").alias("tables"), reason.alias("reason"))
 
 
-def clean_corpus(parsed: DataFrame, max_fields: int = 25) -> DataFrame:
-    """Usable charts with ``fields`` in table order; wider tables are left out.
+def n_fields() -> Column:
+    """Fields of a parsed chart's first table."""
+    return F.size(F.get(F.map_values("tables"), F.lit(0))["cols"])
 
-    Only the first table of a chart counts; map entries keep the JSON order.
+
+def wide_charts(parsed: DataFrame, max_fields: int) -> DataFrame:
+    """``fid`` and ``n_fields`` of the usable charts that ``clean_corpus`` leaves out at this limit."""
+    return (parsed.where(F.col("reason").isNull() & (n_fields() > max_fields))
+            .select("fid", n_fields().alias("n_fields")))
+
+
+def clean_corpus(parsed: DataFrame, max_fields: int | None = None) -> DataFrame:
+    """Usable charts with ``fields`` in table order.
+
+    All charts are kept unless a limit is given; ``wide_charts`` then lists the others.
+    Only the first table of a chart counts; map entries keep the JSON order, and of
+    columns with one name the last stands.
     """
-    cols = F.map_entries(F.get(F.map_values("tables"), F.lit(0))["cols"])
+    entries = F.map_entries(F.get(F.map_values("tables"), F.lit(0))["cols"])
+    cols = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda later: later["key"] == e["key"]))
     fields = F.transform(cols, lambda e: F.struct(
         e["value"]["order"].alias("ord"), e["key"].alias("name"),
         e["value"]["uid"].alias("uid"), e["value"]["data"].alias("data")))
-    kept = parsed.where(F.col("reason").isNull() & (F.size(F.get(F.map_values("tables"), F.lit(0))["cols"]) <= max_fields))
+    kept = parsed.where(F.col("reason").isNull())
+    if max_fields is not None:
+        kept = kept.where(n_fields() <= max_fields)
     return kept.select("fid", "traces", "layout_keys", F.array_sort(fields).alias("fields"))
 
 
@@ -165,6 +182,7 @@ def feature_rows(df: DataFrame, header_column: str = "exists") -> DataFrame:
     return df.where(c.isNull() | (c.cast("string") != header_column))
 
 
+# Identifiers and labels that are no model inputs.
 ID_AND_LABELS = ["field_id", "fid", "is_xsrc", "is_ysrc", "trace_type_n", "is_x_or_y", "trace_type"]
 
 
@@ -187,6 +205,6 @@ def with_default_labels(df: DataFrame, trace_type: str = "unknown", role: str =
     return df.withColumn("trace_type", F.lit(trace_type)).withColumn("is_x_or_y", F.lit(role))
 
 
-def first_cases(df: DataFrame, n: int, key: str | Column = "id") -> DataFrame:
-    """First ``n`` cases by key; -1 keeps all."""
-    return df if n < 0 else df.orderBy(key).limit(n)
+def first_cases(df: DataFrame, n: int, key: str = "id") -> DataFrame:
+    """First ``n`` cases by (unique) key; -1 keeps all."""
+    return df if n < 0 else first_rows(df, n, [], key)
