@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +21,23 @@ def mask_chart_terms(text: Column, terms: Sequence[str] = CHART_TERMS) -> Column
     return text
 
 
+_PARTS = r'(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+"|[^"]++|"'
+
+
+def lenient(text: Column) -> Column:
+    """JSON as model answers write it: raw control characters inside texts are escaped,
+    bare NaN and infinities become null. Other texts are returned as they are."""
+    def part(p: Column) -> Column:
+        quoted = p
+        for raw, shown in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\b", "\\b"), ("\f", "\\f")):
+            quoted = F.replace(quoted, F.lit(raw), F.lit(shown))
+        quoted = F.regexp_replace(quoted, r"[\x00-\x1f]", " ")
+        return F.when(p.startswith('"'), quoted).otherwise(F.regexp_replace(p, r"(?<![\w.])-?(?:NaN|Infinity)(?![\w.])", "null"))
+
+    odd = text.rlike(r"[\x00-\x1f]|NaN|Infinity")
+    return F.when(odd, F.array_join(F.transform(F.regexp_extract_all(text, F.lit(_PARTS), 0), part), "")).otherwise(text)
+
+
 def is_json(text: Column) -> Column:
     """True when the whole text is one JSON value.
 
@@ -39,16 +59,17 @@ def clean_response(text: Column) -> Column:
     inner = F.when(bare.rlike(r"(?s)^[^\[]*\{.*\}"), F.regexp_extract(bare, r"(?s)^[^{\[]*(\{.*\})", 1)) \
         .when(bare.rlike(r"(?s)^[^{]*\[.*\]"), F.regexp_extract(bare, r"(?s)^[^{\[]*(\[.*\])", 1)) \
         .otherwise(F.regexp_extract(bare, r"(?s)([{\[].*)", 1))
-    chosen = F.when((inner != "") & is_json(inner), inner).otherwise(bare)
+    chosen = F.when((inner != "") & is_json(lenient(inner)), inner).otherwise(bare)
     commas = F.regexp_replace(chosen, r",(\s*[}\]])", "$1")
     return F.regexp_replace(commas, r"^\s+|\s+$", "")
 
 
 def recover_json(cleaned: Column) -> Column:
     """The text itself, else wrapped in braces, else with double quotes; NULL when none parses."""
-    wrapped = F.concat(F.lit("{"), cleaned, F.lit("}"))
+    wrapped = lenient(F.concat(F.lit("{"), cleaned, F.lit("}")))
     braced = cleaned.startswith("{") & cleaned.endswith("}")
-    quoted = F.replace(cleaned, F.lit("'"), F.lit('"'))
+    quoted = lenient(F.replace(cleaned, F.lit("'"), F.lit('"')))
+    cleaned = lenient(cleaned)
     return (F.when(is_json(cleaned), cleaned)
             .when(~braced & is_json(wrapped), wrapped)
             .when((quoted != cleaned) & is_json(quoted), quoted))
@@ -74,71 +95,85 @@ def parse_responses(df: DataFrame, text: str) -> DataFrame:
             .drop("_clean", "_json", "_first"))
 
 
-def nesting_depth(text: Column) -> Column:
-    """Deepest bracket level of a JSON text."""
-    brackets = F.regexp_replace(F.regexp_replace(text, r'"(\\.|[^"\\])*"', ""), r"[^\[\]{}]", "")
-    steps = F.transform(F.filter(F.split(brackets, ""), lambda ch: ch != ""),
-                        lambda ch: F.when(ch.isin("{", "["), 1).otherwise(-1))
-    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("top"))
-    return F.aggregate(
-        steps, start,
-        lambda acc, s: F.struct((acc["now"] + s).alias("now"),
-                                F.greatest(acc["top"], acc["now"] + s).alias("top")),
-        lambda acc: acc["top"])
-
-
-def deepest(df: DataFrame, text: str) -> int:
-    """Deepest nesting in the whole column, measured in one pass."""
-    return df.agg(F.max(nesting_depth(F.col(text)))).first()[0] or 0
+_TOKEN = re.compile(r'[ \t\r\n]*(?:([\[\]{}:,])|("[^"\\]*(?:\\.[^"\\]*)*")|(-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null))', re.S)
 
 
-def _children(node: Column) -> Column:
-    """Direct children of an object or list node, with their path and JSON type.
+def walk_keys(text: str | None, keys: Sequence[str]) -> tuple[list[str | None], list[str | None]] | None:
+    """First value, and first value that is not null, of each key in reading order.
 
-    The string map keeps the order of keys and the text of nested values; the
-    variant map tells a nested value from a string that looks like one.
+    One pass over the tokens with a stack of open brackets: linear in the text, at
+    any depth. Nested values are given as their JSON text, texts as what they say.
+    None when the text is not one JSON value.
     """
-    def label(v: Column) -> Column:
-        return F.substring(F.schema_of_variant(v), 1, 5)
-
-    def child(key: Column, text: Column, kind: Column, i: Column) -> Column:
-        return F.struct(F.concat(node["path"], F.array(i)).alias("path"), key.alias("key"),
-                        text.alias("text"), kind.alias("kind"))
-
-    texts = F.map_entries(F.from_json(node["text"], "map<string,string>"))
-    kinds = F.map_values(F.from_json(node["text"], "map<string,variant>"))
-    of_object = F.transform(texts, lambda e, i: child(e["key"], e["value"], label(F.get(kinds, i)), i))
-    items = F.from_json(node["text"], "array<string>")
-    item_kinds = F.from_json(node["text"], "array<variant>")
-    of_list = F.transform(items, lambda t, i: child(F.lit(None).cast("string"), t, label(F.get(item_kinds, i)), i))
-    none = F.filter(F.array(node), lambda x: F.lit(False))
-    return F.coalesce(F.when(node["kind"] == "OBJEC", of_object)
-                      .when(node["kind"] == "ARRAY", of_list), none)
-
-
-def find_keys(df: DataFrame, text: str, keys: Sequence[str], skip_null: bool = False,
-              depth: int | None = None) -> DataFrame:
+    wanted = {k: i for i, k in enumerate(keys)}
+    first: list[str | None] = [None] * len(keys)
+    solid: list[str | None] = [None] * len(keys)
+    met = [False] * len(keys)
+    stack: list[tuple[str, int | None, int]] = []
+    expect, key, at, text = "value", None, 0, text or ""
+
+    def found(i: int | None, value: str | None, order: int) -> None:
+        if i is None:
+            return
+        if not met[i] or slots[i] > order:
+            first[i], met[i], slots[i] = value, True, order
+        if value is not None and (solid[i] is None or solids[i] > order):
+            solid[i], solids[i] = value, order
+
+    slots, solids = [0] * len(keys), [0] * len(keys)
+    while expect != "end":
+        token = _TOKEN.match(text, at)
+        if not token:
+            return None
+        mark, string, literal = token.groups()
+        start, at = token.start(token.lastindex), token.end()
+        closed = None
+        if mark in ("}", "]") and stack and stack[-1][0] == mark and expect in ("comma", "open" + mark):
+            closed = stack.pop()
+        elif expect in ("value", "open]") and mark in ("{", "["):
+            stack.append(("}" if mark == "{" else "]", key, start))
+            expect, key = ("open}" if mark == "{" else "open]"), None
+        elif expect in ("value", "open]") and (string or literal):
+            value = json.loads(string, strict=False) if string else None if literal == "null" else literal
+            found(key, value, start)
+            key, expect = None, "comma"
+        elif expect in ("key", "open}") and string:
+            key, expect = wanted.get(json.loads(string, strict=False)), "colon"
+        elif expect == "colon" and mark == ":":
+            expect = "value"
+        elif expect == "comma" and mark == ",":
+            expect = "key" if stack[-1][0] == "}" else "value"
+        else:
+            return None
+        if closed:
+            found(closed[1], text[closed[2]:at], closed[2])
+            expect = "comma"
+        if expect == "comma" and not stack:
+            expect = "end"
+    return None if text[at:].strip(" \t\r\n") else (first, solid)
+
+
+def find_keys(df: DataFrame, text: str, keys: Sequence[str], suffix: str | None = None, skip_null: bool = False) -> DataFrame:
     """First value of each key at any depth, in reading order, as columns of JSON text.
 
-    Without ``depth`` one pass over the data measures the deepest nesting, so no
-    level is missed. The search stays inside the row: nothing is shuffled. A JSON
-    null counts as found unless ``skip_null``.
+    Each document is walked once, in an Arrow batch: the plan does not know how deep
+    documents are, and nothing is shuffled. A JSON null counts as found unless
+    ``skip_null``. With ``suffix`` both readings come from the one walk: the plain
+    names take nulls, the suffixed ones do not. A text that is not JSON has no keys.
     """
-    if depth is None:
-        depth = deepest(df, text)
-    root_kind = F.substring(F.schema_of_variant(F.try_parse_json(F.col(text))), 1, 5)
-    root = F.array(F.struct(F.array().cast("array<int>").alias("path"), F.lit(None).cast("string").alias("key"),
-                            F.col(text).alias("text"), root_kind.alias("kind")))
-    out = df.withColumn("_level", root).withColumn("_found", F.filter("_level", lambda n: F.lit(False)))
-    wanted = F.array(*[F.lit(k) for k in keys])
-    for _ in range(depth):
-        out = out.withColumn("_level", F.flatten(F.transform("_level", _children)))
-        hits = F.filter("_level", lambda n: F.array_contains(wanted, n["key"]))
-        if skip_null:
-            hits = F.filter(hits, lambda n: n["kind"] != "VOID")
-        out = out.withColumn("_found", F.concat("_found", hits))
-
-    def first(key: str) -> Column:
-        return F.array_min(F.filter("_found", lambda n: n["key"] == key))["text"]
-
-    return out.select("*", *[first(k).alias(k) for k in keys]).drop("_level", "_found")
+    names = list(keys)
+    shape = ", ".join(f"f{i} string, s{i} string" for i in range(len(names)))
+
+    @F.pandas_udf(f"struct<{shape}>")
+    def search(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for value in texts:
+            got = walk_keys(value, names)
+            rows.append([x for pair in zip(*got) for x in pair] if got else [None] * (2 * len(names)))
+        return pd.DataFrame(rows, columns=[f"{kind}{i}" for i in range(len(names)) for kind in "fs"], dtype=object)
+
+    out = df.withColumn("_keys", search(F.col(text)))
+    columns = [F.col(f"_keys.{'s' if skip_null else 'f'}{i}").alias(k) for i, k in enumerate(names)]
+    if suffix:
+        columns += [F.col(f"_keys.s{i}").alias(k + suffix) for i, k in enumerate(names)]
+    return out.select(*df.columns, *columns)

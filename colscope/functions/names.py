@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Names of the name features.
 NAME_FEATURES = [
     "field_name_length", "x_in_name", "y_in_name", "id_in_name", "time_in_name",
     "digit_in_name", "dollar_in_name", "pound_in_name", "euro_in_name", "yen_in_name",

@@ -15,15 +15,14 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .typing import MONTHS
+
 TOLERANCE = 1e-2
 
 # Names that stand for numbers.
 WEEKDAYS = {"monday": 1, "tuesday": 2, "wednesday": 3, "thursday": 4, "friday": 5, "saturday": 6, "sunday": 7,
             "mon": 1, "tue": 2, "wed": 3, "thu": 4, "fri": 5, "sat": 6, "sun": 7, "thur": 4}
-MONTHS = {"january": 1, "february": 2, "march": 3, "april": 4, "may": 5, "june": 6, "july": 7, "august": 8,
-          "september": 9, "october": 10, "november": 11, "december": 12,
-          "jan": 1, "feb": 2, "mar": 3, "apr": 4, "jun": 6, "jul": 7, "aug": 8, "sep": 9, "oct": 10,
-          "nov": 11, "dec": 12}
+MONTH_NUMBERS = {m: i for i, full in enumerate(MONTHS, 1) for m in (full, full[:3])}
 
 _NUMBER = r"(?i)^\s*[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?\s*$"
 _WHOLE = r"^\s*[+-]?\d+\s*$"
@@ -45,7 +44,7 @@ def weekday_number(text: Column) -> Column:
 
 
 def month_number(text: Column) -> Column:
-    return _name_number(text, MONTHS, 12)
+    return _name_number(text, MONTH_NUMBERS, 12)
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -53,13 +52,21 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def describe(text: Column, variant: str = "v1") -> Column:
-    """Everything a comparison needs to know of one value, worked out once per value."""
+def describe(text: Column, variant: str = "v1", quoted: bool = False) -> Column:
+    """Everything a comparison needs to know of one value, worked out once per value.
+
+    ``quoted`` values are JSON texts: those in quotation marks are strings, which is
+    remembered in ``mark``.
+    """
+    mark = F.lit(False)
+    if quoted:
+        mark = F.coalesce(text.startswith('"'), F.lit(False))
+        text = F.when(mark, F.regexp_replace(text, r'(?s)^"(.*)"$', "$1")).otherwise(text)
     if variant not in ("v1", "v2", "v3"):
         raise ValueError("variant must be v1, v2 or v3")
     number = as_number(text)
     if variant == "v1":
-        return F.struct(text.alias("text"), number.alias("num"))
+        return F.struct(text.alias("text"), number.alias("num"), mark.alias("mark"))
     # Exponents and trailing zeros away: the text a float prints as.
     decimal = F.when(F.trim(text).rlike(_PLAIN), F.trim(text)).otherwise(
         number.try_cast("decimal(38,12)").cast("string"))
@@ -67,7 +74,7 @@ def describe(text: Column, variant: str = "v1") -> Column:
     whole = F.coalesce(text.rlike(_WHOLE), F.lit(False))
     fraction = number.isNotNull() & ~whole
     return F.struct(
-        text.alias("text"), number.alias("num"), whole.alias("whole"),
+        text.alias("text"), number.alias("num"), mark.alias("mark"), whole.alias("whole"),
         (F.signum(number) * F.floor(F.abs(number))).alias("cut0"),
         F.when(fraction, F.substring_index(plain, ".", 1)).alias("lead"),
         F.when(fraction, F.substring_index(plain, ".", -1)).alias("frac"),
@@ -161,28 +168,36 @@ def lists_equal(a: Column, b: Column, ordered: Column | bool = False, variant: s
 
 def _without_zeros(lists: Column) -> Column:
     zeros = F.array_distinct(F.flatten(F.transform(lists, lambda l: F.filter(
-        F.transform(l, lambda v, i: F.when(v["num"] == 0, i)), lambda i: i.isNotNull()))))
+        F.transform(l, lambda v, i: F.when((v["num"] == 0) & ~v["mark"], i)), lambda i: i.isNotNull()))))
     return _let(zeros, lambda z: F.transform(lists, lambda l: F.filter(l, lambda v, i: ~F.array_contains(z, i))))
 
 
-def drop_zero_positions(lists: Column) -> Column:
-    """Remove the positions at which any list holds a zero."""
-    described = F.transform(lists, lambda l: F.transform(l, lambda v: describe(v)))
+def drop_zero_positions(lists: Column, quoted: bool = False) -> Column:
+    """Remove the positions at which any list holds the number zero; the text "0" stays if values are ``quoted``."""
+    described = F.transform(lists, lambda l: F.transform(l, lambda v: describe(v, quoted=quoted)))
     return F.transform(_without_zeros(described), lambda l: F.transform(l, lambda v: v["text"]))
 
 
 def list_match(expected: Column, predicted: Column, ordered: Column | bool = False,
-               variant: str = "v1", pairing: str = "sorted") -> Column:
+               variant: str = "v1", pairing: str = "sorted", quoted: bool = False) -> Column:
     """Every expected list equals a predicted list of its own.
 
-    Extra predicted lists are allowed. The comparison stays inside the row.
+    Extra predicted lists are allowed. The comparison stays inside the row. Plain values
+    are numbers where they read as such; ``quoted`` ones are JSON texts (``json_lists``),
+    of which v3 drops the zeros that are numbers and keeps the strings.
     """
     flag = F.lit(ordered) if isinstance(ordered, bool) else ordered
 
     def prepared(lists: Column) -> Column:
-        described = F.transform(lists, lambda l: F.transform(l, lambda v: describe(v, variant)))
+        described = F.transform(lists, lambda l: F.transform(l, lambda v: describe(v, variant, quoted)))
         return _let(described, _without_zeros) if variant == "v3" else described
 
     matched = _greedy(prepared(expected), prepared(predicted),
                       lambda p, q: _lists_equal(p, q, flag, variant, pairing))
     return F.when(F.size(expected) > F.size(predicted), F.lit(False)).otherwise(matched)
+
+
+def json_lists(text: Column) -> Column:
+    """Lists of values from a JSON text, strings with their quotation marks and the rest bare."""
+    lists = F.from_json(text, "array<array<variant>>")
+    return F.transform(lists, lambda l: F.transform(l, lambda v: F.when(~F.is_variant_null(v), F.to_json(v))))

@@ -44,18 +44,11 @@ def chart_data(df: DataFrame, x: str, y: str | None = None, agg: str = "count",
 
 def sort_chart(points: DataFrame, sort: str | None) -> DataFrame:
     """Add the place ``ord`` of each point: by calendar key, or by x or y on request."""
-    orders = {None: ["x_key"], "x": ["x"], "x_desc": ["_dx"], "y": ["y", "x_key"], "y_desc": ["_dy", "x_key"]}
+    orders = {None: ["x_key"], "x": ["x"], "x_desc": [F.desc("x_key")], "y": ["y", "x_key"], "y_desc": [F.desc("y"), "x_key"]}
     order = list(orders[sort])
-    if sort == "x_desc":
-        placed = points.withColumn("_dx", -F.col("x_key").cast("double"))
-    elif sort == "y_desc":
-        placed = points.withColumn("_dy", -F.col("y"))
-    else:
-        placed = points
     if "class" in points.columns:
         order.append("class")
-    ranked = row_positions(placed.withColumn("_all", F.lit(0)), ["_all"], order, "ord")
-    return ranked.drop("_all", "_dx", "_dy", "total")
+    return row_positions(points.withColumn("_all", F.lit(0)), ["_all"], order, "ord").drop("_all", "total")
 
 
 def chart_lists(ordered: DataFrame, segment: int = 1000) -> DataFrame:

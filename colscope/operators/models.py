@@ -103,9 +103,12 @@ def value_range(start: float, end: float, step: float) -> list[float]:
 
 
 def parameter_search(train: DataFrame, features: Sequence[str], label: str, param: str, values: Sequence,
-                     seed: int = 100, parallelism: int = 4) -> TrainValidationSplitModel:
-    """Forests for each value of one parameter, fitted in parallel and kept as sub-models."""
-    forest = RandomForestClassifier(numTrees=20, maxDepth=DEPTH, seed=seed)
+                     seed: int = 100, parallelism: int = 4, trees: int = TREES) -> TrainValidationSplitModel:
+    """Forests for each value of one parameter, fitted in parallel and kept as sub-models.
+
+    The driver holds as many models as there are values: ``trees`` shallow trees each.
+    """
+    forest = RandomForestClassifier(numTrees=trees, maxDepth=DEPTH, seed=seed)
     pipe = _pipeline(features, label, forest)
     grid = ParamGridBuilder().addGrid(forest.getParam(param), list(values)).build()
     return TrainValidationSplit(
@@ -115,7 +118,7 @@ def parameter_search(train: DataFrame, features: Sequence[str], label: str, para
 
 
 def search_table(searched: TrainValidationSplitModel, values: Sequence, test: DataFrame) -> DataFrame:
-    """Accuracy, hit@1, hit@2 and mean rank on ``test`` for each parameter value."""
+    """Accuracy, hit@1, hit@2 and mean rank on ``test`` for each parameter value; ``test`` is best a stored table."""
     out = None
     for value, model in zip(values, searched.subModels):
         row = evaluate_model(model, test).select(F.lit(float(value)).alias("param"), "*")

@@ -27,10 +27,13 @@ def fit_bounds(train: DataFrame, features: Sequence[str], low: float = 0.05, hig
     A feature without a finite value gets the bounds 0 and 1.
     """
     found = exact_quantiles(_long(train, features).where(_finite(F.col("x"))), ["feature"], "x",
-                            {"lo": low, "hi": high})
+                            {"lo": low, "hi": high}, count="n")
     names = train.sparkSession.createDataFrame([(f,) for f in features], "feature string")
-    return names.join(found, "feature", "left").select(
-        "feature", F.coalesce("lo", F.lit(0.0)).alias("lo"), F.coalesce("hi", F.lit(1.0)).alias("hi"))
+    def bound(name: str, default: float) -> Column:
+        missed = F.raise_error(F.concat(F.lit("no exact bound was found for "), F.col("feature"))).cast("double")
+        return F.when(F.col("n").isNull(), default).otherwise(F.coalesce(name, missed)).alias(name)
+
+    return names.join(found, "feature", "left").select("feature", bound("lo", 0.0), bound("hi", 1.0))
 
 
 def clip(value: Column, lo: float, hi: float) -> Column:

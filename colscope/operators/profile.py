@@ -31,6 +31,10 @@ QUANTILE_SCALES = {
 
 # ---------------------------------------------------------------- histograms
 
+# Longest array a repeated value is unfolded into.
+UNFOLD = 65_536
+
+
 def raw_histogram(cells: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Distinct raw texts per field with their counts.
 
@@ -159,9 +163,14 @@ def ranked_values(staged: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 
 
 def order_stats(ranked: DataFrame, keys: Sequence[str] = KEYS,
-                quantile_scale: str = "reference") -> DataFrame:
-    """Everything that needs sorted values: quantiles, Gini, spacing, distinct count."""
+                quantile_scale: str = "reference", also: Sequence[str] = ()) -> DataFrame:
+    """Everything that needs sorted values: quantiles, Gini, spacing, distinct count.
+
+    Quantiles of the scales in ``also`` come from the same pass, prefixed with their name.
+    """
     probs = {"median": 0.5, **QUANTILE_SCALES[quantile_scale]}
+    for other in also:
+        probs |= {f"{other}_{q}": p for q, p in QUANTILE_SCALES[other].items()}
     n = F.max("total")
     low, high, total = F.min("v"), F.max("v"), F.sum(F.col("v") * F.col("cnt"))
     shift = F.when(low < 0, -low).otherwise(F.lit(0.0))
@@ -199,16 +208,19 @@ def median_abs_dev(hist: DataFrame, centers: DataFrame, keys: Sequence[str] = KE
     return ranked.groupBy(*keys).agg(middle.alias("med_abs_dev"))
 
 
-def outlier_stats(hist: DataFrame, stats: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Outlier shares and flags; ``stats`` carries q1, q25, q75, q99, mean and std."""
-    iqr = F.col("q75") - F.col("q25")
-    fences = {
-        "15iqr": (F.col("q25") - 1.5 * iqr, F.col("q75") + 1.5 * iqr),
-        "3iqr": (F.col("q25") - 3 * iqr, F.col("q75") + 3 * iqr),
-        "1_99": (F.col("q1"), F.col("q99")),
-        "3std": (F.col("mean") - 3 * F.col("std"), F.col("mean") + 3 * F.col("std")),
-    }
-    joined = hist.join(stats.select(*keys, "q1", "q25", "q75", "q99", "mean", "std"), list(keys))
+def outlier_stats(hist: DataFrame, stats: DataFrame, keys: Sequence[str] = KEYS, also: Sequence[str] = ()) -> DataFrame:
+    """Outlier shares and flags; ``stats`` carries q1, q25, q75, q99, mean and std.
+
+    The quantiles of the scales in ``also`` give their own prefixed results in the same pass.
+    """
+    fences = {}
+    for prefix in ("", *(f"{scale}_" for scale in also)):
+        q1, q25, q75, q99 = (F.col(f"{prefix}{q}") for q in ("q1", "q25", "q75", "q99"))
+        fences |= {f"{prefix}15iqr": (q25 - 1.5 * (q75 - q25), q75 + 1.5 * (q75 - q25)),
+                   f"{prefix}3iqr": (q25 - 3 * (q75 - q25), q75 + 3 * (q75 - q25)), f"{prefix}1_99": (q1, q99),
+                   f"{prefix}3std": (F.col("mean") - 3 * F.col("std"), F.col("mean") + 3 * F.col("std"))}
+    wanted = [f"{prefix}{q}" for prefix in ("", *(f"{scale}_" for scale in also)) for q in ("q1", "q25", "q75", "q99")]
+    joined = hist.join(stats.select(*keys, *wanted, "mean", "std"), list(keys))
     hits = {name: F.sum(F.when((F.col("v") < lo) | (F.col("v") > hi), F.col("cnt")).otherwise(F.lit(0)))
             for name, (lo, hi) in fences.items()}
     return joined.groupBy(*keys).agg(
@@ -287,7 +299,7 @@ def summary_vector(hist: DataFrame, prefix: str, keys: Sequence[str] = KEYS,
     wanted = {
         "min": F.col("min"), "median": F.col("median"), "mean": F.col("mean"), "max": F.col("max"),
         "var": F.col("var"), "cv": F.try_divide("var", "mean"), "madm": F.col("med_abs_dev"),
-        "qcd": F.col("quant_coeff_disp"),
+        "qcd": F.col("quant_coeff_disp"), "avg_abs_dev": F.col("avg_abs_dev"),
         "normalized_field_length_range": F.try_divide(F.col("max") - F.col("min"), F.col("max")),
     }
     return stats.select(*keys, *[c.alias(f"{prefix}_{n}") for n, c in wanted.items()])
@@ -299,28 +311,33 @@ def sequence_stats(rows: DataFrame, keys: Sequence[str] = KEYS, value: str = "v"
                    pos: str = "pos", text: str | None = None) -> DataFrame:
     """``is_sorted``, ``is_monotonic`` and ``sortedness`` of values along ``pos``.
 
-    The i-th value by position is paired with the i-th value in sorted order;
-    both rankings are range-partitioned, the pairing is an equi join on the rank.
-    Fields that are text carry their values in ``text`` and get ``is_sorted`` only.
+    Rows are ranked by position once, and each is compared with the next. The i-th
+    number by position is paired with the i-th in sorted order, an equi join on the
+    rank of 8-byte values; the sorted side is unfolded from the histogram. Fields that
+    are text carry their values in ``text`` and get ``is_sorted`` only. Rows without
+    a position have no order: they are left out, a field of such rows gets no result.
     """
     keys = list(keys)
     words = F.col(text) if text else F.lit(None).cast("string")
-    kept = (rows.select(*keys, F.col(pos).alias("pos"), F.col(value).alias("v"), words.alias("t"))
-            .where("v is not null or t is not null"))
-    by_pos = row_positions(kept, keys, ["pos"]).select(
-        *keys, "position", "total", F.col("v").alias("at_v"), F.col("t").alias("at_t"))
-    by_value = row_positions(kept, keys, ["v", "t", "pos"]).select(
-        *keys, "position", F.col("v").alias("sorted_v"), F.col("t").alias("sorted_t"))
-    pairs = by_pos.join(by_value, [*keys, "position"])
-    same = F.col("at_v").eqNullSafe(F.col("sorted_v")) & F.col("at_t").eqNullSafe(F.col("sorted_t"))
+    kept = (rows.select(*keys, F.col(pos).alias("pos"), F.struct(F.col(value).alias("v"), words.alias("t")).alias("x"))
+            .where("pos is not null and (x.v is not null or x.t is not null)"))
+    placed = materialize(running_positions(kept, keys, ["pos"], lead_of="x"), "sequence")
+    numbers = placed.where("x.v is not null").select(*keys, F.col("before").alias("position"), F.col("x.v").alias("at"))
+    ranked = running_positions(value_histogram(numbers.withColumnRenamed("at", "v"), keys), keys, ["v"], F.col("cnt"))
+    # A value that fills a third of a large field unfolds in two steps, in bounded arrays.
+    ends = ranked.select(*keys, "v", "cnt", "before", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("cnt") - 1, F.lit(UNFOLD))).alias("_from"))
+    in_order = ends.select(*keys, F.col("v").alias("sorted"), F.explode(F.sequence(
+        F.col("before") + F.col("_from"), F.col("before") + F.least(F.col("_from") + UNFOLD, F.col("cnt")) - 1)).alias("position"))
     # Both sides hold the same values, so one centre and one variance serve both.
-    centers = kept.groupBy(*keys).agg(F.avg("v").alias("mean"))
-    gap, gap_sorted = F.col("at_v") - F.col("mean"), F.col("sorted_v") - F.col("mean")
+    centers = numbers.groupBy(*keys).agg(F.avg("at").alias("mean"), F.count("at").alias("n"))
+    gap, gap_sorted = F.col("at") - F.col("mean"), F.col("sorted") - F.col("mean")
     r = F.abs(F.try_divide(F.sum(gap * gap_sorted), F.sum(gap * gap)))
-    is_number = F.count("at_v") > 0
-    return pairs.join(centers, keys).groupBy(*keys).agg(
-        F.bool_and(same).alias("is_sorted"), F.when(is_number, F.lit(True)).alias("is_monotonic"),
-        F.when(is_number, F.when(F.max("total") < 2, F.lit(1.0)).otherwise(r)).alias("sortedness"))
+    paired = (numbers.join(in_order, [*keys, "position"]).join(centers, keys).groupBy(*keys)
+              .agg(F.when(F.max("n") < 2, F.lit(1.0)).otherwise(r).alias("sortedness")))
+    rising = placed.groupBy(*keys).agg(
+        F.bool_and(F.coalesce(F.col("nxt") >= F.col("x"), F.lit(True))).alias("is_sorted"), F.count("x.v").alias("_n"))
+    return (rising.join(paired, keys, "left")
+            .select(*keys, "is_sorted", F.when(F.col("_n") > 0, F.lit(True)).alias("is_monotonic"), "sortedness"))
 
 
 # -------------------------------------------------------------- column pairs

@@ -49,7 +49,9 @@ def column_examples(cells: DataFrame, head: int = 5) -> DataFrame:
     ``cells`` carries ``pos`` counted from 0 inside each table.
     """
     shown = cells.where((F.col("pos") < head) & F.col("raw").isNotNull())
-    firsts = shown.groupBy("fid", "field_name", "ord").agg(F.min_by("raw", "pos").alias("example"))
+    column = ["fid", "field_name", "ord"]
+    at = shown.groupBy(*column).agg(F.min("pos").alias("pos"))
+    firsts = shown.join(at, [*column, "pos"]).select(*column, F.col("raw").alias("example"))
     return firsts.withColumn("data_type", ty.example_type(F.col("example")))
 
 

@@ -40,7 +40,7 @@ def running_positions(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     return staged_positions(range_stage(df, keys, order), keys, order, weight, lead_of)
 
 
-def staged_positions(staged: DataFrame, keys: Sequence[str], order: Sequence[str],
+def staged_positions(staged: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
                      weight: Column | None = None, lead_of: str | None = None) -> DataFrame:
     """``running_positions`` of rows that ``range_stage`` has placed.
 
@@ -50,7 +50,8 @@ def staged_positions(staged: DataFrame, keys: Sequence[str], order: Sequence[str
     w = F.lit(1).cast("bigint") if weight is None else weight
     sums = [F.sum(w).alias("_w")]
     if lead_of:
-        sums.append(F.min(lead_of).alias("_first"))
+        first = F.min(lead_of) if lead_of == order[0] else F.min_by(lead_of, F.struct(*order))
+        sums.append(first.alias("_first"))
     group_key = F.struct(*keys).alias("_k")
     pieces = staged.groupBy(group_key, PART).agg(*sums)
     along = W.partitionBy("_k").orderBy(PART)
@@ -91,13 +92,14 @@ def quantile_columns(value: str, weight: Column, probs: dict[str, float]) -> dic
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
-                    probs: dict[str, float], accuracy: int = 2000) -> DataFrame:
+                    probs: dict[str, float], accuracy: int = 2000, count: str | None = None) -> DataFrame:
     """Exact quantiles per group of any size, moving only the rows near them.
 
     A mergeable sketch brackets each quantile: its rank error is at most
     ``n / accuracy``, and the bracket is four times as wide on both sides. One
     more scan counts the rows, keeping values inside a bracket and folding all
-    others into one cell per gap. Sorting those few cells gives exact ranks.
+    others into one cell per gap. Sorting those few cells gives exact ranks. ``count``
+    names a column with the group's number of values.
     """
     keys = list(keys)
     kept = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("v"))
@@ -123,4 +125,5 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
              .groupBy(*keys, "_begun", "_beyond", "v").agg(F.count(F.lit(1)).alias("cnt")))
     ranked = running_positions(cells, keys, ["_begun", "_beyond", "v"], F.col("cnt"))
     cols = quantile_columns("v", F.col("cnt"), probs)
-    return ranked.groupBy(*keys).agg(*[c.alias(n) for n, c in cols.items()])
+    counted = [F.max("total").alias(count)] if count else []
+    return ranked.groupBy(*keys).agg(*[c.alias(n) for n, c in cols.items()], *counted)

@@ -168,10 +168,8 @@ def nested_key_find(spark, sf):
     text = F.concat(F.lit(parts[0]), F.col("event_id").cast("string"), F.lit(parts[1]), "props",
                     F.lit(parts[2]), F.col("user_id").cast("string"), F.lit(parts[3]))
     docs = events(spark, sf).select("event_id", text.alias("doc"))
-    depth = js.deepest(docs, "doc")
-    found = js.find_keys(docs, "doc", ["id", "k", "deep", "note"], depth=depth)
-    again = js.find_keys(found.withColumnRenamed("note", "first_note"), "doc", ["note"], skip_null=True, depth=depth)
-    return again.select("event_id", "id", "k", "deep", F.col("first_note").alias("note"), F.col("note").alias("note_found"))
+    return js.find_keys(docs, "doc", ["id", "k", "deep", "note"], suffix="_found").select(
+        "event_id", "id", "k", "deep", "note", "note_found")
 
 
 @query("tsv_corpus_scan", oracle="""

@@ -148,8 +148,7 @@ FROM c JOIN q ON c.field_id = q.field_id GROUP BY c.field_id""")
 def profile_dispersion(spark, sf):
     hist = line_hist(spark, sf)
     vector = pr.summary_vector(hist, "v", FIELD, "quartile").drop("v_mean", "v_var")
-    spread = pr.centered_stats(hist, pr.value_totals(hist, FIELD), FIELD).select("field_id", "avg_abs_dev")
-    return rounded(vector.join(spread, FIELD), avg_abs_dev=5, v_cv=4)
+    return rounded(vector.withColumnRenamed("v_avg_abs_dev", "avg_abs_dev"), avg_abs_dev=5, v_cv=4)
 
 
 @query("profile_gini", oracle=f"""
@@ -228,13 +227,13 @@ def profile_outliers(spark, sf):
     hist = line_hist(spark, sf)
     totals = pr.value_totals(hist, FIELD)
     base = totals.join(pr.centered_stats(hist, totals, FIELD), FIELD).select("field_id", "mean", "std")
-    ranked = pr.ranked_values(hist, FIELD)
-    out = None
-    for scale in pr.QUANTILE_SCALES:
-        stats = base.join(pr.order_stats(ranked, FIELD, scale), FIELD)
-        part = pr.outlier_stats(hist, stats, FIELD).select(F.lit(scale).alias("quantile_scale"), "*")
-        out = part if out is None else out.unionByName(part)
-    return rounded(out)
+    stats = base.join(pr.order_stats(pr.ranked_values(hist, FIELD), FIELD, "reference", also=["quartile"]), FIELD)
+    both = pr.outlier_stats(hist, stats, FIELD, also=["quartile"])
+    kinds = [f"{what}_outliers_" for what in ("percent", "has")]
+    scales = [F.struct(F.lit(scale).alias("quantile_scale"), *[
+        F.col(f"{kind}{prefix}{test}").alias(f"{kind}{test}") for test in ("15iqr", "3iqr", "1_99", "3std") for kind in kinds])
+        for scale, prefix in (("reference", ""), ("quartile", "quartile_"))]
+    return rounded(both.select("field_id", F.explode(F.array(*scales)).alias("s")).select("field_id", "s.*"))
 
 
 @query("profile_sequence", oracle="""
@@ -332,7 +331,7 @@ def shared_values(spark, sf):
     return pr.shared_elements(rows, "o_orderkey", "l_partkey")
 
 
-PART_COLS = ["p_name", "p_brand", "p_size", "p_retailprice"]
+PART_COLS = ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"]
 
 
 @query("profile_full", oracle=f"""

@@ -33,29 +33,35 @@ def mask_terms(spark, sf):
 
 
 def answers(spark, sf):
-    """Model answers made from the event properties: fenced, wrapped in prose, damaged."""
+    """Model answers made from the event properties: fenced, wrapped in prose, damaged.
+
+    Two kinds hold what strict parsers refuse: raw line breaks in a text, and NaN.
+    """
     ev_rows = table(spark, sf, "events")
-    p, m = F.col("props"), F.pmod("event_id", F.lit(9))
+    p, m = F.col("props"), F.pmod("event_id", F.lit(11))
     inner = F.regexp_replace(p, r"^\{|\}$", "")
     text = (F.when(m == 0, p).when(m == 1, F.concat(F.lit("```json\n"), p, F.lit("\n```")))
             .when(m == 2, F.concat(F.lit("Sure: "), p, F.lit(" done")))
             .when(m == 3, F.concat(F.lit("{"), inner, F.lit(",}"))).when(m == 4, inner)
             .when(m == 5, F.regexp_replace(p, '"', "'")).when(m == 6, F.lit("[1,2]"))
-            .when(m == 7, F.lit("no json")).otherwise(F.lit("{}")))
+            .when(m == 7, F.lit("no json")).when(m == 8, F.lit("{}"))
+            .when(m == 9, F.concat(F.lit('{"code": "a\n\tb",\n'), inner, F.lit("}")))
+            .otherwise(F.concat(F.lit('{"score": NaN, '), inner, F.lit("}"))))
     return ev_rows.select("event_id", "props", text.alias("answer"))
 
 
 @query("clean_json", oracle="""
-WITH t AS (SELECT event_id, event_id % 9 AS m, props AS p, substr(props, 2, length(props) - 2) AS i FROM events)
+WITH t AS (SELECT event_id, event_id % 11 AS m, props AS p, substr(props, 2, length(props) - 2) AS i FROM events)
 SELECT event_id, CASE WHEN m <= 2 THEN p WHEN m = 3 THEN p WHEN m = 4 THEN i WHEN m = 5 THEN replace(p, '"', '''')
-  WHEN m = 6 THEN '[1,2]' WHEN m = 7 THEN 'no json' ELSE '{}' END AS cleaned FROM t""")
+  WHEN m = 6 THEN '[1,2]' WHEN m = 7 THEN 'no json' WHEN m = 8 THEN '{}'
+  WHEN m = 9 THEN '{"code": "a' || chr(10) || chr(9) || 'b",' || chr(10) || i || '}' ELSE '{"score": NaN, ' || i || '}' END AS cleaned FROM t""")
 def clean_json(spark, sf):
     return answers(spark, sf).select("event_id", js.clean_response(F.col("answer")).alias("cleaned"))
 
 
 @query("parse_json", oracle="""
-SELECT event_id, event_id % 9 < 6 AS valid, CASE WHEN event_id % 9 < 6 THEN CAST(json_extract(props, '$.k') AS VARCHAR) END AS k,
-  CASE event_id % 9 WHEN 6 THEN 'root is not an object' WHEN 7 THEN 'not readable as JSON' ELSE '' END AS errors FROM events""")
+SELECT event_id, event_id % 11 NOT IN (6, 7, 8) AS valid, CASE WHEN event_id % 11 NOT IN (6, 7, 8) THEN CAST(json_extract(props, '$.k') AS VARCHAR) END AS k,
+  CASE event_id % 11 WHEN 6 THEN 'root is not an object' WHEN 7 THEN 'not readable as JSON' ELSE '' END AS errors FROM events""")
 def parse_json(spark, sf):
     parsed = js.parse_responses(answers(spark, sf), "answer")
     return parsed.select("event_id", "valid", F.get_json_object("data", "$.k").alias("k"),

@@ -34,6 +34,7 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, null_to
             .option("escape", '"').csv(path))
 
 
+# Header of the prediction file.
 PREDICTION_COLUMNS = ["field_id", "fid", "predicted_trace_type", "confidence",
                       "top1_type", "top1_prob", "top2_type", "top2_prob"]
 
