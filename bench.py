@@ -18,7 +18,7 @@ from colscope.session import build_session  # noqa: E402
 HEADLINE = [
     "profile_basic", "profile_types", "profile_uniqueness", "profile_categorical", "profile_numeric",
     "profile_dispersion", "profile_gini", "profile_moments", "profile_outliers", "profile_sequence", "profile_full",
-    "field_outcomes", "clean_corpus", "nested_key_find", "features_join_labels", "dedup_keep_first", "split_by_id",
+    "field_outcomes", "clean_corpus", "nested_key_find", "features_join_labels", "corpus_profile", "corpus_training_table", "score_unlabeled", "csv_database_catalog", "batch_evaluation", "chart_lists", "csv_blocks", "columns_to_lists", "prediction_sink", "sink_roundtrip", "dedup_keep_first", "split_by_id",
     "sample_random", "sample_stratified", "sample_systematic", "clip_fit_apply", "zscore", "sequences_padded",
     "value_equal", "list_match", "evaluate_cases", "eval_chunks", "eval_by_hardness", "chart_rank_eval", "rank_metrics",
     "macro_prf", "mask_terms", "parse_json", "schema_catalog", "prompt_table", "chat_render", "batch_infer",

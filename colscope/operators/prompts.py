@@ -121,9 +121,9 @@ def sections_prompt(sections: dict[str, Column], titles: dict[str, str] | None =
 
 def hint_text(describe: Column, irrelevant: Column) -> Column:
     shown = F.coalesce(F.concat(F.lit("["), F.array_join(F.transform(
-        irrelevant, lambda t: F.concat(F.lit("'"), t, F.lit("'"))), ", "), F.lit("]")), F.lit("None Irrelevant Tables"))
-    words = F.coalesce(F.when(describe != "", describe), F.lit("None Describe"))
-    return F.concat(F.lit("describe: "), words, F.lit("\nirrelevant_tables: "), shown)
+        irrelevant, lambda t: F.concat(F.lit("'"), t, F.lit("'"))), ", "), F.lit("]")), F.lit("none"))
+    words = F.coalesce(F.when(describe != "", describe), F.lit("none"))
+    return F.concat(F.lit("More about the chart: "), words, F.lit("\nTables that do not matter: "), shown)
 
 
 def data_listing(lists: Column) -> Column:

@@ -12,12 +12,16 @@ from pyspark.sql import functions as F
 from ..functions import jsontext as js
 from ..functions import typing as ty
 from ..operators import labels as lb
+from ..operators import models as ml
+from ..operators import prep
 from ..operators import profile as pr
+from ..operators import prompts as pt
 from ..operators import relational as rl
 from ..sources import corpus as co
 from ..sources import sinks
 from ..sources.cells import role_array_cells, table_cells
 from ..session import materialize, scratch_path
+from . import flows
 from .registry import query, rounded, table
 
 # Fixed values of the generated corpus: event type to first trace.
@@ -184,12 +188,15 @@ def tsv_corpus_scan(spark, sf):
 @query("json_map_scan", oracle="""
 SELECT user_id || '-' || event_type AS id, event_type AS chart, count(*) AS points, round(sum(value), 3) AS total FROM events GROUP BY 1, 2""")
 def json_map_scan(spark, sf):
-    # One JSON object per user, keyed by id; each file is such an object.
+    # One JSON object of a user's (and type's) events per file, written as one line each; keys carry the event.
     ev = table(spark, sf, "events").withColumn("id", F.concat_ws("-", F.col("user_id").cast("string"), "event_type"))
-    doc = F.to_json(F.create_map("id", F.struct(F.col("event_type").alias("chart"), "value")))
+    case = F.struct(F.col("event_type").alias("chart"), "value", "id")
+    entry = F.struct(F.concat_ws("-", "id", F.col("event_id").cast("string")).alias("key"), case.alias("value"))
+    docs = ev.groupBy("id").agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value"))
     path = scratch_path(spark, "keyed_json")
-    ev.select(doc.alias("value")).write.text(path)
-    lines = spark.read.text(path).select(F.explode(F.from_json("value", "map<string,string>")).alias("id", "value"))
+    docs.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(16))).repartition("part").select("value").write.option("maxRecordsPerFile", 1).text(path)
+    keyed = co.read_keyed_json(spark, path)
+    lines = keyed.select(F.get_json_object("value", "$.id").alias("id"), "value")
     target = scratch_path(spark, "json_lines")
     co.write_json_lines(lines, target)
     rows = co.read_json_lines(spark, target)
@@ -213,6 +220,64 @@ def role_arrays_to_cells(spark, sf):
     return role_array_cells(rows).select("fid", "field_id", "ord", "is_x_or_y", "pos", "raw")
 
 
+DATABASE = {"geo": {"nation": ("n_nationkey", ["n_nationkey", "n_name", "n_regionkey"]), "region": ("r_regionkey", ["r_regionkey", "r_name"])},
+            "sales": {"customer": ("c_custkey", ["c_custkey", "c_name", "c_mktsegment"])}}
+
+
+@query("csv_database_catalog", oracle=" UNION ALL ".join(
+    f"SELECT '{db}' AS db_id, '{t}' AS table_name, '{c}' AS column_name, '{'string' if c.endswith(('name', 'segment')) else 'integer'}' AS data_type, "
+    f"(SELECT CAST({c} AS VARCHAR) FROM {t} ORDER BY {key} LIMIT 1) AS example, count(*) AS cells, CAST(count(*) - 1 AS BIGINT) AS last_pos FROM {t}"
+    for db, tables in DATABASE.items() for t, (key, cols) in tables.items() for c in cols))
+def csv_database_catalog(spark, sf):
+    root = scratch_path(spark, "database")
+    for db, tables in DATABASE.items():
+        for name, (key, cols) in tables.items():
+            sinks.write_csv(table(spark, sf, name).select(*cols).orderBy(key), f"{root}/{db}/{name}.csv")
+    cells = co.read_database_cells(spark, root)
+    sizes = cells.groupBy("db_id", "fid", "field_name").agg(F.count(F.lit(1)).alias("cells"), F.max("pos").alias("last_pos"))
+    shown = pt.column_examples(cells.withColumn("fid", F.concat_ws("/", "db_id", "fid")))
+    shown = shown.select(F.substring_index("fid", "/", 1).alias("db_id"), F.substring_index("fid", "/", -1).alias("fid"), "field_name", "data_type", "example")
+    return sizes.join(shown, ["db_id", "fid", "field_name"]).select(
+        "db_id", F.col("fid").alias("table_name"), F.col("field_name").alias("column_name"), "data_type", "example", "cells", "last_pos")
+
+
+TRAIN_EDGE = round(0.7 * (1 << 32))
+
+
+@query("corpus_training_table", oracle=f"""
+WITH {USABLE}, o AS (SELECT 'u' || user_id || ':' || uid AS field_id, fid, kind, broken, uid, i, value FROM ok, (SELECT 'a' AS uid, 1 AS i UNION ALL SELECT 'b', 2 UNION ALL SELECT 'c', 3)),
+d AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY field_id ORDER BY fid) = 1),
+t AS (SELECT *, CASE WHEN broken THEN CASE WHEN uid = 'c' THEN NULL ELSE kind END ELSE 'bar' END AS trace_type,
+  CASE WHEN regexp_full_match(CAST(i * value AS VARCHAR), '(0|-?[1-9][0-9]*)') THEN i * value END AS m FROM d),
+k AS (SELECT *, CASE WHEN ('0x' || substr(md5('train' || fid), 1, 8))::BIGINT < {TRAIN_EDGE} THEN 'train' ELSE 'test' END AS split FROM t
+  WHERE trace_type IN ('bar', 'box', 'heatmap', 'histogram', 'line', 'scatter')),
+b AS (SELECT coalesce(quantile_cont(m, 0.05), 0.0) AS lo, coalesce(quantile_cont(m, 0.95), 1.0) AS hi FROM k WHERE split = 'train')
+SELECT split, trace_type, CASE WHEN broken THEN NULL WHEN uid = 'a' THEN 'x' ELSE 'y' END AS is_x_or_y, count(*) AS fields, CAST(sum(2) AS BIGINT) AS cells,
+  CAST(count_if(m IS NOT NULL) AS BIGINT) AS whole, round(sum(CASE WHEN m BETWEEN lo AND hi THEN m WHEN m < lo THEN lo ELSE hi END), 4) AS mean_sum FROM k, b GROUP BY ALL""")
+def corpus_training_table(spark, sf):
+    features, outcomes = flows.corpus_features(event_charts(events(spark, sf)), 25)
+    train, test, _ = flows.prepare_training(features, outcomes, ["mean"], "train")
+    both = train.withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test")))
+    return rounded(both.groupBy("split", "trace_type", "is_x_or_y").agg(
+        F.count(F.lit(1)).alias("fields"), F.sum("length").alias("cells"), F.count_if("data_type_is_integer").alias("whole"), F.sum("mean").alias("mean_sum")), 4)
+
+
+@query("score_unlabeled", oracle="""
+SELECT f AS field_id, TRUE AS known, TRUE AS confident FROM (SELECT unnest(['p_partkey', 'p_name', 'p_brand', 'p_type', 'p_size', 'p_retailprice']) AS f)""")
+def score_unlabeled(spark, sf):
+    inputs = ["length", "mean", "data_type_is_string"]
+    features, outcomes = flows.corpus_features(event_charts(events(spark, sf)), 25)
+    train, _, bounds = flows.prepare_training(features, outcomes, ["length", "mean"], "train")
+    path = scratch_path(spark, "bounds")
+    prep.save_parameters(bounds, path)
+    numbers = train.withColumn("data_type_is_string", F.col("data_type_is_string").cast("double"))
+    model = ml.train_type_model(numbers, inputs)
+    part = table(spark, sf, "part")
+    scored = flows.score_tables(table_cells(part, part.columns, "p_partkey", "part"), model, prep.load_parameters(spark, path), inputs)
+    return scored.select("field_id", F.col("predicted_trace_type").isin(*rl.TRACE_CODES).alias("known"),
+                         ((F.col("top1_prob") >= F.col("top2_prob")) & F.col("confidence").between(0, 1)).alias("confident"))
+
+
 @query("catalog_scan", oracle="""
 SELECT 'demo' AS db_id, 'nation' AS "table", count(*) AS "rows" FROM nation UNION ALL SELECT 'demo', 'region', count(*) FROM region
 UNION ALL SELECT 'sales', 'customer', count(*) FROM customer""")

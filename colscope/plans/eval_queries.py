@@ -248,15 +248,22 @@ def chart_rank_eval(spark, sf):
 
 
 def class_scores(spark, sf):
-    """Embeddings with pseudo-probabilities of ten classes from their first ten values."""
+    """Embeddings with probabilities of their classes, from the likeness to each class's mean vector."""
     e = table(spark, sf, "embeddings")
-    parts = F.transform(F.slice("embedding", 1, 10), lambda v: F.exp(v.cast("double")))
-    scored = e.select("vec_id", "label", parts.alias("p"))
+    means = (e.select("label", F.posexplode("embedding").alias("i", "v")).groupBy("label", "i").agg(F.avg(F.col("v").cast("double")).alias("m"))
+             .groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("mean")).orderBy("label").collect())
+    # One vector per class: fitted parameters.
+    centers = F.array(*[F.array(*[F.lit(x.m) for x in r["mean"]]) for r in means])
+    likeness = F.transform(centers, lambda c: F.exp(F.aggregate(
+        F.zip_with(F.col("embedding"), c, lambda v, m: v.cast("double") * m), F.lit(0.0), lambda t, x: t + x)))
+    scored = e.select("vec_id", "label", likeness.alias("p"))
     total = F.aggregate("p", F.lit(0.0), lambda a, x: a + x)
     return scored.select("vec_id", "label", F.transform("p", lambda x: x / total).alias("probability"))
 
 
-SCORE_SQL = """s AS (SELECT vec_id, label, i - 1 AS cls, exp(CAST(embedding[i] AS DOUBLE)) AS e FROM embeddings, (SELECT unnest(range(1, 11)) AS i)),
+SCORE_SQL = """x AS (SELECT vec_id, label, i, CAST(embedding[i] AS DOUBLE) AS v FROM embeddings, (SELECT unnest(range(1, 65)) AS i)),
+m AS (SELECT label AS cls, i, avg(v) AS m FROM x GROUP BY label, i),
+s AS (SELECT vec_id, any_value(label) AS label, cls, exp(sum(v * m)) AS e FROM x JOIN m USING (i) GROUP BY vec_id, cls),
 p AS (SELECT vec_id, label, cls, e / sum(e) OVER (PARTITION BY vec_id) AS prob FROM s),
 r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY prob DESC, cls) - 1 AS rk FROM p)"""
 
@@ -310,15 +317,15 @@ def class_distribution(spark, sf):
     return ev.class_distribution(table(spark, sf, "labels"), "quality")
 
 
-@query("argmax_accuracy", oracle="""
-WITH v AS (SELECT vec_id, label, i, CAST(embedding[i] AS DOUBLE) AS x FROM embeddings, (SELECT unnest(range(1, 11)) AS i)),
-t AS (SELECT vec_id, max(label) AS label, arg_max(i, x) - 1 AS a FROM v GROUP BY vec_id),
-w AS (SELECT vec_id, arg_max(i, x) - 1 AS a2 FROM v WHERE i <= 2 GROUP BY vec_id)
+@query("argmax_accuracy", oracle=f"""
+WITH {SCORE_SQL}, t AS (SELECT vec_id, label, cls AS a FROM r WHERE rk = 0),
+w AS (SELECT vec_id, (sum(v) FILTER (i > 32) > sum(v) FILTER (i <= 32))::INT AS a2 FROM x GROUP BY vec_id)
 SELECT round(avg((a2 = label % 2)::INT), 6) AS xy, round(avg((a = label)::INT), 6) AS trace, round((avg((a2 = label % 2)::INT) + avg((a = label)::INT)) / 2, 6) AS avg
 FROM t JOIN w USING (vec_id)""")
 def argmax_accuracy(spark, sf):
-    e = table(spark, sf, "embeddings")
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda t, v: t + v.cast("double"))
+    halves = table(spark, sf, "embeddings").select("vec_id", F.array(total(F.slice("embedding", 1, 32)), total(F.slice("embedding", 33, 32))).alias("pr"))
     hot = lambda n, c: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.when(i == c, 1.0).otherwise(0.0))
-    rows = e.select(F.slice("embedding", 1, 10).alias("ps"), F.slice("embedding", 1, 2).alias("pr"),
-                    hot(10, F.col("label")).alias("ys"), hot(2, F.col("label") % 2).alias("yr"))
+    rows = class_scores(spark, sf).join(halves, "vec_id").select(
+        F.col("probability").alias("ps"), "pr", hot(10, F.col("label")).alias("ys"), hot(2, F.col("label") % 2).alias("yr"))
     return rounded(ev.argmax_accuracy(rows, {"xy": ("pr", "yr"), "trace": ("ps", "ys")}))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import functions as F
 
@@ -14,7 +15,8 @@ from ..session import scratch_path
 from ..sources import corpus as co
 from ..sources import sinks
 from ..sources.cells import table_cells
-from .eval_queries import LOG_SQL, class_scores, result_log
+from . import flows
+from .eval_queries import LOG_SQL, SCORE_SQL, class_scores, result_log
 from .registry import query, rounded, table
 
 TERMS_SQL = "text"
@@ -106,7 +108,7 @@ def schema_catalog(spark, sf):
 WITH s AS (SELECT *, row_number() OVER (PARTITION BY table_name) AS rn FROM ({_catalog_sql()})),
 q AS (SELECT doc_id, 'plot ' || source AS text, lang FROM documents)
 SELECT doc_id, TRUE AS has_schema, {TERMS_SQL} AS question, lang <> 'en' AS has_describe,
-  'describe: ' || CASE WHEN lang = 'en' THEN 'None Describe' ELSE lang END || chr(10) || 'irrelevant_tables: [''t_' || lang || ''', ''x'']' AS hint FROM q""")
+  'More about the chart: ' || CASE WHEN lang = 'en' THEN 'none' ELSE lang END || chr(10) || 'Tables that do not matter: [''t_' || lang || ''', ''x'']' AS hint FROM q""")
 def prompt_table(spark, sf):
     dbs = spark.createDataFrame([("shop", "customer.csv"), ("shop", "orders.csv"), ("geo", "nation.csv")], "db_id string, table string")
     schemas = pt.database_schema(pt.schema_catalog(catalog_cells(spark, sf)), dbs)
@@ -119,7 +121,7 @@ def prompt_table(spark, sf):
     return out.select(
         "doc_id", p.contains('"tablename":"').alias("has_schema"),
         F.regexp_extract(p, r"(?s)Question:\n(.*)\n\nHint:", 1).alias("question"),
-        (~p.contains("None Describe")).alias("has_describe"),
+        (~p.contains("More about the chart: none")).alias("has_describe"),
         F.regexp_extract(p, r"(?s)Hint:\n(.*)\n\nAnswer", 1).alias("hint"))
 
 
@@ -181,6 +183,39 @@ def batch_infer(spark, sf):
     return out.select("conv_id", "turn", "status", "error", F.get_json_object("data", "$.words").alias("words"), "tokens")
 
 
+def answering_model(prompt: str) -> dict:
+    """Deterministic stand-in: answers with the numbers of its question, wrong for every third one."""
+    numbers = [int(x) for x in re.findall(r"#(\d+)", prompt)]
+    if numbers[0] % 11 == 0:
+        raise ValueError("refused")
+    given = [numbers[0] + (numbers[0] % 3 == 0), numbers[1]]
+    return {"content": "```json\n" + json.dumps({"values": [[str(x) for x in given]]}) + "\n```", "tokens": 7, "model": "stub"}
+
+
+@query("batch_evaluation", oracle="""
+WITH c AS (SELECT o_custkey AS run_id, o_orderkey AS id, o_orderkey % 11 <> 0 AS ok, o_orderkey % 11 <> 0 AND o_orderkey % 3 <> 0 AS correct FROM orders),
+n AS (SELECT *, (row_number() OVER (PARTITION BY run_id ORDER BY id) - 1) // 10 + 1 AS chunk_number FROM c)
+SELECT run_id, chunk_number, count(*) AS total_cases, CAST(sum(correct::INT) AS BIGINT) AS final_correct_cases, round(avg(correct::INT), 6) AS final_accuracy,
+  CAST(sum(CASE WHEN ok THEN 7 ELSE 0 END) AS BIGINT) AS total_tokens FROM n GROUP BY run_id, chunk_number""")
+def batch_evaluation(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    number = lambda c: F.concat(F.lit("#"), F.col(c).cast("string"))
+    requests = o.select(F.col("o_orderkey").alias("test_case_id"), F.col("o_custkey").alias("run_id"),
+                        F.concat_ws(" ", number("o_orderkey"), number("o_custkey")).alias("query"), F.lit("id").alias("cols"))
+    answered = flows.run_stage(requests, "code_generation", answering_model)
+    values = F.from_json(F.get_json_object("data", "$.values"), "array<array<string>>")
+    text = lambda c: F.col(c).cast("string")
+    used = F.array(F.lit("orders"))
+    columns = F.create_map(F.lit("orders"), F.array(F.lit("o_orderkey")))
+    cases = answered.select(
+        "run_id", "test_case_id", "tokens", F.lit("").alias("sort"), F.array(F.array(text("test_case_id"), text("run_id"))).alias("expected"),
+        F.coalesce(values, F.array().cast("array<array<string>>")).alias("predicted"), used.alias("tables"), used.alias("predicted_tables"),
+        columns.alias("columns"), columns.alias("predicted_columns"))
+    _, chunks, _ = flows.evaluate_batch(cases)
+    return rounded(chunks.select(
+        "run_id", "chunk_number", "total_cases", "final_correct_cases", "final_accuracy", "total_tokens"))
+
+
 @query("stage_stats", oracle="""
 WITH r AS (SELECT event_type AS stage, CASE WHEN value > 100 THEN 'failed' ELSE 'success' END AS status, CAST(round(value) AS BIGINT) AS tokens,
   event_id % 7 + 0.25 AS s FROM events)
@@ -253,11 +288,10 @@ def append_sink(spark, sf):
     return f.join(o, "event_type")
 
 
-@query("prediction_sink", oracle="""
-WITH s AS (SELECT vec_id, i - 1 AS cls, CAST(embedding[i] AS DOUBLE) AS x FROM embeddings, (SELECT unnest(range(1, 11)) AS i)),
-r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY x DESC, cls) AS rk FROM s)
+@query("prediction_sink", oracle=f"""
+WITH {SCORE_SQL}
 SELECT CAST(a.vec_id AS VARCHAR) AS field_id, 'unknown' AS fid, 'class_' || a.cls AS predicted_trace_type, 'class_' || a.cls AS top1_type, 'class_' || b.cls AS top2_type
-FROM r a JOIN r b ON a.vec_id = b.vec_id WHERE a.rk = 1 AND b.rk = 2""")
+FROM r a JOIN r b ON a.vec_id = b.vec_id WHERE a.rk = 0 AND b.rk = 1""")
 def prediction_sink(spark, sf):
     labels = F.array(*[F.lit(f"class_{i}") for i in range(10)])
     scored = ev.top_k(class_scores(spark, sf), "probability", labels).withColumn("field_id", F.col("vec_id").cast("string"))

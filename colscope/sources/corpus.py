@@ -6,10 +6,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
 from ..functions import names as fn
+from ..operators.ranking import row_positions
 from ..operators.sampling import first_rows
+from ..session import materialize
 
 CORPUS_SCHEMA = "fid STRING, chart_data STRING, layout STRING, table_data STRING"
 
@@ -148,6 +151,41 @@ def csv_catalog(spark: SparkSession, root: str) -> DataFrame:
     return files.select(db.alias("db_id"), F.regexp_replace(name, r"\.csv$", "").alias("table"), "path")
 
 
+def csv_cells(line: Column) -> Column:
+    """Cells of one CSV line; quoted cells may hold commas and doubled quotes, an empty one is NULL."""
+    parts = F.regexp_extract_all(F.concat(line, F.lit(",")), F.lit(r'("(?:[^"]|"")*"|[^,]*),'), 1)
+    return F.transform(parts, lambda p: F.when(
+        p.startswith('"'), F.replace(F.regexp_replace(p, '^"|"$', ""), F.lit('""'), F.lit('"'))).when(p != "", p))
+
+
+def read_database_cells(spark: SparkSession, root: str) -> DataFrame:
+    """Cells of every table below ``root/<db_id>/<table>.csv``: ``db_id`` and the columns of cells.
+
+    One scan of all files. A row's ``pos`` counts from 0 in its table and holds when files
+    are split: lines are ranked by file, start of the split and place in it. A table that is
+    a folder has its files in order of name; each file starts with the header. Cells do not
+    run over line ends.
+    """
+    lines = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(root)
+             .select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
+                     F.monotonically_increasing_id().alias("at"), "value"))
+    placed = materialize(row_positions(lines, ["path"], ["block", "at"], "line"), "csv_lines")
+    parts = F.split("path", "/")
+    in_folder = F.element_at(parts, -2).endswith(".csv")
+    name = F.when(in_folder, F.element_at(parts, -2)).otherwise(F.element_at(parts, -1))
+    db = F.when(in_folder, F.element_at(parts, -3)).otherwise(F.element_at(parts, -2))
+    earlier = W.partitionBy("db_id", "fid").orderBy("path").rowsBetween(W.unboundedPreceding, -1)
+    # One row per file: its table, its header and the rows of the table's files before it.
+    files = placed.where("line = 0").select(
+        "path", db.alias("db_id"), F.regexp_replace(name, r"\.csv$", "").alias("fid"), csv_cells(F.col("value")).alias("header"),
+        (F.col("total") - 1).alias("rows"))
+    files = files.withColumn("before", F.coalesce(F.sum("rows").over(earlier), F.lit(0)))
+    rows = (placed.where("line > 0").join(files, "path")
+            .select("db_id", "fid", (F.col("before") + F.col("line") - 1).alias("pos"), "header", csv_cells(F.col("value")).alias("cells")))
+    return rows.select("db_id", "fid", "pos", F.posexplode("header").alias("ord", "field_name"), "cells").select(
+        "db_id", "fid", F.col("field_name").alias("field_id"), "field_name", "ord", "pos", F.get("cells", F.col("ord")).alias("raw"))
+
+
 def database_tables(db_tables: DataFrame, root: str) -> DataFrame:
     """Paths of the listed tables, from ``(db_id, tables ARRAY<STRING>)`` rows."""
     listed = db_tables.select("db_id", F.explode("tables").alias("table"))
