@@ -153,7 +153,7 @@ def walk_keys(text: str | None, keys: Sequence[str]) -> tuple[list[str | None],
     return None if text[at:].strip(" \t\r\n") else (first, solid)
 
 
-def find_keys(df: DataFrame, text: str, keys: Sequence[str], suffix: str | None = None, skip_null: bool = False) -> DataFrame:
+def find_keys(df: DataFrame, text: str, keys: Sequence[str], skip_null: bool = False, suffix: str | None = None) -> DataFrame:
     """First value of each key at any depth, in reading order, as columns of JSON text.
 
     Each document is walked once, in an Arrow batch: the plan does not know how deep

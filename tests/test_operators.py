@@ -54,7 +54,10 @@ def charts(raw):
 def test_cleaning(raw, charts):
     reasons = {r["fid"]: r["reason"] for r in co.parse_corpus(raw).collect()}
     assert reasons == {"u:1": None, "u:2": None, "u:3": None, "u:4": "unparsable", "u:5": "empty", "u:6": None}
-    assert {r["fid"] for r in charts.collect()} == {"u:1", "u:2", "u:3"}
+    assert {r["fid"] for r in charts.collect()} == {"u:1", "u:2", "u:3", "u:6"}
+    parsed = co.parse_corpus(raw)
+    assert {r["fid"] for r in co.clean_corpus(parsed, 25).collect()} == {"u:1", "u:2", "u:3"}
+    assert [(r["fid"], r["n_fields"]) for r in co.wide_charts(parsed, 25).collect()] == [("u:6", 26)]
     cells = co.corpus_cells(charts).where("fid = 'u:1' and ord = 1").orderBy("pos").collect()
     assert [(c["field_id"], c["field_name"], c["raw"]) for c in cells] == [("u:b", "col b", "1"), ("u:b", "col b", "x"), ("u:b", "col b", None)]
 

@@ -8,7 +8,7 @@ from colscope.plans import corpus_queries, flows, profile_queries
 from colscope.plans.all_queries import QUERIES
 from colscope.session import materialize
 
-MODELS = {"train_type_model", "predict_types", "train_axis_model", "train_network", "param_search", "importances"}
+MODELS = {"train_type_model", "train_boosted_type_model", "predict_types", "train_axis_model", "train_network", "param_search", "importances", "score_unlabeled"}
 
 
 def plan_of(df) -> str:
@@ -31,9 +31,7 @@ def test_no_cross_join_and_no_global_window(spark, sf, name, monkeypatch):
         assert "BroadcastNestedLoopJoin" not in plan
         lines = plan.splitlines()
         for above, below in zip(lines, lines[1:]):
-            # The one window in a single task ranks at most n spare rows of a sample.
-            if "Sort [" in above and "Exchange SinglePartition" in below:
-                assert name == "sample_stratified"
+            assert not ("Sort [" in above and "Exchange SinglePartition" in below)
 
 
 def test_filters_and_columns_reach_the_scan(spark, sf):
@@ -51,6 +49,31 @@ def test_histogram_combines_before_the_shuffle(spark, sf):
     assert "partial_count" in plan
 
 
+def test_first_steps_hash_instead_of_sorting(spark, sf):
+    from colscope.operators import relational as rl
+    from colscope.operators.prompts import column_examples
+    from colscope.sources.cells import table_cells
+    cells = table_cells(spark.read.parquet(f"{sf}/orders.parquet"), ["o_orderstatus"], "o_orderkey")
+    hist = pr.raw_histogram(cells)
+    documents = spark.read.parquet(f"{sf}/documents.parquet")
+    for df in (hist, pr.field_basics(hist), column_examples(cells), rl.keep_first(documents, ["text"], "doc_id")):
+        assert "HashAggregate" in plan_of(df) and "SortAggregate" not in plan_of(df)
+    # Texts are compared as digests, and cross a shuffle only with their chosen row.
+    assert "hashpartitioning(text" not in plan_of(rl.keep_first(documents, ["text"], "doc_id"))
+
+
+@pytest.mark.parametrize("n", [103, 5000])
+def test_samples_have_one_plan_at_every_size(spark, sf, n):
+    from colscope.operators import sampling as sm
+    events = spark.read.parquet(f"{sf}/events.parquet").select("event_id", "event_type")
+    shapes = []
+    for size in (3, n):
+        plan = plan_of(sm.stratified_sample(events, size, "event_type", "event_id"))
+        assert "SinglePartition" not in plan and "Limit" not in plan
+        shapes.append([line.strip(" :+-*()0123456789").split(" ")[0].split("(")[0] for line in plan.splitlines()])
+    assert shapes[0] == shapes[1] and plan.count("events.parquet") == 1
+
+
 def test_corpus_parse_stays_below_filters(spark, sf):
     raw = corpus_queries.event_charts(corpus_queries.events(spark, sf))
     plan = plan_of(corpus_queries.co.clean_corpus(corpus_queries.co.parse_corpus(raw)))
