@@ -154,11 +154,22 @@ def _keys(docs: DataFrame, edits: int, least: int) -> DataFrame:
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for table, starts in key_runs(batches, "key"):
-        key, h = table.column("key").to_numpy(), table.column("h1").to_numpy()
-        sizes = np.diff(starts)
-        many = np.repeat((np.minimum.reduceat(h, starts[:-1]) != np.maximum.reduceat(h, starts[:-1])), sizes)
-        yield pa.RecordBatch.from_arrays([pa.array(key[many]), pa.array(h[many])], names=["key", "h1"])
+    """Rows of keys met by two lines, from sorted rows. Only one row is held from batch to
+    batch: a key with a single line so far needs no more, one with two passes straight on."""
+    held_key, held_line, open_key = None, None, None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        key, h = b.column("key").to_numpy(), b.column("h1").to_numpy()
+        if held_key is not None and key[0] == held_key:
+            key, h = np.concatenate([[held_key], key]), np.concatenate([[held_line], h])
+        starts = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1])
+        many = np.minimum.reduceat(h, starts) != np.maximum.reduceat(h, starts)
+        many[0] |= open_key is not None and key[0] == open_key
+        open_key = key[-1] if many[-1] else None
+        held_key, held_line = (None, None) if many[-1] else (key[-1], h[-1])
+        rows = np.repeat(many, np.diff(np.concatenate([starts, [len(key)]])))
+        yield pa.RecordBatch.from_arrays([pa.array(key[rows]), pa.array(h[rows])], names=["key", "h1"])
 
 
 def _lines_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -270,3 +281,19 @@ def clean_lines(docs: DataFrame, edits: int = 2, least: int = 30) -> DataFrame:
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
+
+
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
+x AS (SELECT doc_id, pos, lines[pos] AS raw, regexp_replace(lines[pos], '^\s+|\s+$', '', 'g') AS line
+      FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS pos FROM d)),
+u AS (SELECT line, length(line) AS n, row_number() OVER (ORDER BY line) AS id FROM (SELECT DISTINCT line FROM x WHERE line <> '')),
+p AS (SELECT a.id AS a, b.id AS b FROM u a JOIN (SELECT u.*, unnest(range(-2, 3)) AS s FROM u) b ON a.n = b.n + b.s AND a.id <> b.id
+      WHERE least(a.n, b.n) >= 30 AND levenshtein(a.line, b.line) <= 2),
+r AS (SELECT a, b FROM p UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a),
+c AS (SELECT u.line, least(u.id, coalesce(min(r.b), u.id)) AS class FROM u LEFT JOIN r ON r.a = u.id GROUP BY u.line, u.id),
+f AS (SELECT x.*, class, class IS NOT NULL AND row_number() OVER (PARTITION BY class ORDER BY doc_id, pos) > 1 AS gone FROM x LEFT JOIN c USING (line))
+SELECT doc_id, count(*) AS n_lines, CAST(count_if(gone) AS BIGINT) AS n_removed, coalesce(string_agg(raw, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS text
+FROM f GROUP BY doc_id
+UNION ALL SELECT doc_id, 0, 0, NULL FROM documents WHERE text IS NULL
+"""

@@ -241,3 +241,17 @@ def _links(nodes: DataFrame, lists: DataFrame, threshold: float, k: int) -> tupl
                .unionByName(exact.where("kind < 2").select(F.col("a").alias("node"), "n")))
     degrees = materialize(counted.groupBy("node").agg(F.sum("n").alias("n")), "nn-degrees")
     return degrees, near.unionByName(exact.where("kind = 2").select("a", "b"))
+
+
+ORACLE = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+      AND list_cosine_similarity(a.e, b.e) >= 0.93),
+r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT r.a AS vec_id, coalesce(any_value(n.n), 0) AS n_links, min(r.b) AS component_id, min(r.b) = r.a AS kept
+FROM r LEFT JOIN n ON n.a = r.a GROUP BY r.a
+"""

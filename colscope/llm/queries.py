@@ -61,7 +61,9 @@ QUERIES = {
     "op10_quality": op10_quality,
 }
 ORACLES = {
+    "op1_embedding_near_dedup": nndescent.ORACLE,
     "op2_warc": warc.ORACLE,
     "op3_chat_format": chat.ORACLE,
     "op4_mixing": mixing.ORACLE,
+    "op9_line_dedup": linededup.ORACLE,
 }
