@@ -42,12 +42,13 @@ def field_outcomes(charts: DataFrame, label_mode: str = "reference") -> DataFram
     """Trace type, source flags and counts of each field of each chart.
 
     ``label_mode="reference"``: a referenced field takes the type of the chart's
-    last readable trace. ``"own"``: of the last trace that references it. A trace
+    last readable trace. ``"own"``: of the last trace that references it. ``"both"``
+    gives the second as ``own_trace_type`` beside the first, in one pass. A trace
     naming an unknown field ends the reading of its chart: earlier trace types
     stay, flags and counts are NULL.
     """
-    if label_mode not in ("reference", "own"):
-        raise ValueError("label_mode must be 'reference' or 'own'")
+    if label_mode not in ("reference", "own", "both"):
+        raise ValueError("label_mode must be 'reference', 'own' or 'both'")
     prepared = (charts.select(
         "fid", "fields", F.transform("traces", trace_kind).alias("kinds"),
         _references(F.col("traces")).alias("refs"))
@@ -61,9 +62,11 @@ def field_outcomes(charts: DataFrame, label_mode: str = "reference") -> DataFram
 
     mine = F.filter("seen", lambda r: r["field_id"] == F.col("field_id"))
     own_last = F.array_max(F.transform(mine, lambda r: r["trace"]))
-    at = F.col("last") if label_mode == "reference" else own_last
     whole = F.col("broken").isNull()
-    columns = [F.when(F.size(mine) > 0, F.get("kinds", at)).alias("trace_type")]
+    kind = lambda at: F.when(F.size(mine) > 0, F.get("kinds", at))
+    columns = [kind(own_last if label_mode == "own" else F.col("last")).alias("trace_type")]
+    if label_mode == "both":
+        columns.append(kind(own_last).alias("own_trace_type"))
     flags, singles, counts = [], [], []
     def of_kind(src: str) -> Column:
         return F.filter("refs", lambda r: r["src"] == src)

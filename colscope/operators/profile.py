@@ -342,13 +342,20 @@ def sequence_stats(rows: DataFrame, keys: Sequence[str] = KEYS, value: str = "v"
 
 # -------------------------------------------------------------- column pairs
 
-def range_overlap(hist: DataFrame, table_keys: Sequence[str], field: str = "field_id") -> DataFrame:
-    """Overlap flag and share of the value ranges of every two fields of a table."""
+def range_overlap(hist: DataFrame, table_keys: Sequence[str], field: str = "field_id", wanted: DataFrame | None = None) -> DataFrame:
+    """Overlap flag and share of the value ranges of two fields of a table.
+
+    ``wanted`` (the table keys, ``field_a``, ``field_b``) names the pairs. Without it
+    every two fields of a table are paired, which only suits tables of few fields.
+    """
     # One row per field, written once for both sides of the pairing.
     ends = materialize(hist.groupBy(*table_keys, field).agg(F.min("v").alias("lo"), F.max("v").alias("hi")), "ends")
     a = ends.select(*table_keys, F.col(field).alias("field_a"), F.col("lo").alias("a_lo"), F.col("hi").alias("a_hi"))
     b = ends.select(*table_keys, F.col(field).alias("field_b"), F.col("lo").alias("b_lo"), F.col("hi").alias("b_hi"))
-    pairs = a.join(b, list(table_keys)).where(F.col("field_a") < F.col("field_b"))
+    if wanted is None:
+        pairs = a.join(b, list(table_keys)).where(F.col("field_a") < F.col("field_b"))
+    else:
+        pairs = wanted.join(a, [*table_keys, "field_a"]).join(b, [*table_keys, "field_b"])
     a_lo, a_hi, b_lo, b_hi = (F.col(c) for c in ("a_lo", "a_hi", "b_lo", "b_hi"))
     meets = (a_hi >= b_lo) & (b_hi >= a_lo)
     nested = ((b_hi >= a_hi) & (b_lo <= a_lo)) | ((a_hi >= b_hi) & (a_lo <= b_lo))

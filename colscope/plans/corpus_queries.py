@@ -109,11 +109,9 @@ SELECT label_mode, fid, u || ':' || uid AS field_id,
 
 @query("field_outcomes", oracle=OUTCOME_SQL)
 def field_outcomes(spark, sf):
-    charts = usable_charts(spark, sf)
-    out = None
-    for mode in ("reference", "own"):
-        part = lb.field_outcomes(charts, mode).select(F.lit(mode).alias("label_mode"), "*")
-        out = part if out is None else out.unionByName(part)
+    both = lb.field_outcomes(usable_charts(spark, sf), "both")
+    modes = F.array(*[F.struct(F.lit(m).alias("label_mode"), F.col(c).alias("trace_type")) for m, c in (("reference", "trace_type"), ("own", "own_trace_type"))])
+    out = both.withColumn("_mode", F.explode(modes)).drop("trace_type").select("*", "_mode.*")
     flags = [F.col(c).cast("string").alias(c) for c in ("is_xsrc", "is_ysrc", "is_zsrc", "is_single_xsrc")]
     return out.select("label_mode", "fid", "field_id", "trace_type", *flags,
                       F.col("num_xsrc").cast("double").alias("num_xsrc"),

@@ -8,7 +8,7 @@ from ..functions import names as fn
 from ..operators import prep
 from ..operators import relational as rl
 from ..operators import sampling as sm
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 from ..sources import corpus as co
 from .registry import query, rounded, table
 
@@ -98,7 +98,7 @@ def line_features(spark, sf):
     m = F.pmod(F.col("l_suppkey") + F.col("l_linenumber"), F.lit(23))
     dirty = (li.withColumn("l_quantity", F.when(m != 0, F.col("l_quantity")))
              .withColumn("l_tax", F.when(m == 1, float("inf")).when(m == 2, float("nan")).otherwise(F.col("l_tax"))))
-    return sm.assign_split(dirty, "l_orderkey", {"train": 0.7, "test": 0.3}, "c")
+    return materialize(sm.assign_split(dirty, "l_orderkey", {"train": 0.7, "test": 0.3}, "c"), "line_features")
 
 
 DIRTY_SQL = f"""d AS (SELECT l_orderkey, l_linenumber, l_suppkey, l_extendedprice, l_discount,
