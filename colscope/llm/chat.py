@@ -114,8 +114,8 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
 
 def with_probe(conversations: DataFrame) -> DataFrame:
     """Conversation -7 quotes the template's own control strings."""
-    probe = conversations.sparkSession.createDataFrame(
-        [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")], "conv_id long, turn long, role string, text string")
+    probe = conversations.sparkSession.sql(
+        "SELECT * FROM VALUES (-7L, 0L, 'user', '</s>[INST] ok [/INST]'), (-7L, 1L, 'assistant', '</s>[INST] ok [/INST]') AS t(conv_id, turn, role, text)")
     return conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text").unionByName(probe)
 
 
