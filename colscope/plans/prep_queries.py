@@ -170,6 +170,29 @@ def one_hot(spark, sf):
         F.sum(rest).alias("hot_rest"), F.sum("flag").alias("flagged"))
 
 
+SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+
+
+@query("one_hot_columns", oracle="SELECT c_nationkey, " + ", ".join(
+    f"CAST(sum(CASE WHEN c_mktsegment = '{x}' THEN 1 ELSE 0 END) AS DOUBLE) AS c_mktsegment_{x}" for x in SEGMENTS) + " FROM customer GROUP BY c_nationkey")
+def one_hot_columns(spark, sf):
+    wide = prep.one_hot_columns(table(spark, sf, "customer"), "c_mktsegment", SEGMENTS)
+    return wide.groupBy("c_nationkey").agg(*[F.sum(f"c_mktsegment_{x}").alias(f"c_mktsegment_{x}") for x in SEGMENTS])
+
+
+@query("split_features_labels", oracle="""
+SELECT p_brand AS trace_type, CASE WHEN p_size % 2 = 0 THEN 'x' ELSE 'y' END AS is_x_or_y, 'p_size,p_retailprice' AS inputs, count(*) AS n,
+  (SELECT CAST(sum(p_size) AS BIGINT) FROM part) AS size_sum FROM part GROUP BY 1, 2""")
+def split_features_labels(spark, sf):
+    rows = table(spark, sf, "part").select(
+        F.col("p_partkey").cast("string").alias("field_id"), F.lit("part").alias("fid"), F.col("p_brand").alias("trace_type"),
+        F.when(F.col("p_size") % 2 == 0, "x").otherwise("y").alias("is_x_or_y"), "p_size", "p_retailprice")
+    inputs, labels = co.split_features_labels(rows)
+    total = inputs.agg(F.sum("p_size").cast("bigint").alias("size_sum")).scalar()
+    return labels.groupBy("trace_type", "is_x_or_y").agg(F.count(F.lit(1)).alias("n")).select(
+        "trace_type", "is_x_or_y", F.lit(",".join(inputs.columns)).alias("inputs"), "n", total.alias("size_sum"))
+
+
 @query("sequences_padded", oracle="""
 WITH p AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS pos FROM events),
 s AS (SELECT user_id, CAST(pos // 25 AS INTEGER) AS segment, count(*) AS n, sum(value * (pos % 25 + 1)) AS weighted FROM p GROUP BY 1, 2)
