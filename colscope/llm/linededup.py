@@ -147,7 +147,7 @@ def _keys(docs: DataFrame, edits: int, least: int) -> DataFrame:
                                 lines, hashes, chars = [], [], 0
             if lines:
                 yield emit(lines, hashes)
-            if len(seen) > 500_000:  # only saves repeats; a line may come again
+            if len(seen) > 200_000:  # only saves repeats; a line may come again
                 seen.clear()
 
     return docs.mapInArrow(run, "key long, h1 long")
@@ -178,7 +178,7 @@ def _lines_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for b in batches:
+        for b in (whole.slice(at, 1024) for whole in batches for at in range(0, whole.num_rows, 1024)):
             lines, hashes = [], []
             for text in b.column(1):
                 for line in split_lines(text.as_py()):
@@ -186,7 +186,7 @@ def _lines_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     hashes.append(xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass"), 42) if line else 0)
             h = np.array(hashes, np.uint64).view(np.int64)
             hit = [i for i in np.flatnonzero(membership(words, h)) if hashes[i] not in seen and not seen.add(hashes[i])]
-            if len(seen) > 500_000:
+            if len(seen) > 200_000:
                 seen.clear()
             yield pa.RecordBatch.from_arrays([pa.array(h[hit]), pa.array([lines[i] for i in hit], pa.string())], names=["h1", "line"])
 
@@ -246,6 +246,8 @@ def removed_lines(docs: DataFrame, edits: int = 2, least: int = 30) -> DataFrame
     named = named.withColumn("c2", F.coalesce("c2", F.lit(0)))
     first = (named.groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n"))
              .where("n > 1"))
+    # Written, so that both sides of the join are plain shuffles: Spark splits a class of very many lines.
+    first = materialize(first, "line-firsts")
     return (named.join(first, ["c1", "c2"]).where("doc_id <> first.doc_id or pos <> first.pos")
             .groupBy("doc_id").agg(F.collect_set("pos").alias("removed")))
 
