@@ -195,8 +195,9 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col: s
     parts = connected_components(hamming_links(names.withColumn("t", F.lit(0).cast("long")), radius), "simhash")
     roots = (names.join(parts.select(F.col("node").alias("fp"), "component"), "fp")
              .groupBy("component").agg(F.min("least").alias("first")))
-    named = (names.join(parts.join(roots, "component").select(F.col("node").alias("fp"), "first"), "fp", "left")
-             .select("fp", F.coalesce("first", "least").alias("component_id")))
+    # Written, so that both sides of the last join are plain shuffles, which Spark splits when one is hot.
+    named = materialize(names.join(parts.join(roots, "component").select(F.col("node").alias("fp"), "first"), "fp", "left")
+                        .select("fp", F.coalesce("first", "least").alias("component_id")), "simhash-names")
     return marked.join(named, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
