@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 DIM = 1024
 PIECE = 1 << 18
-CELLS = 1_000_000
+CELLS = 400_000
 
 
 class Profiles:
