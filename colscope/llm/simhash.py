@@ -202,8 +202,38 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col: s
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _word_majorities(docs: DataFrame, tables: int) -> DataFrame:
-    """``doc_id``, a 128-bit hash of the word sequence, and ``tables`` SimHashes of the set of words."""
+def _shingle_keys(words: np.ndarray, n: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the word shingles of texts with ``n`` words each, one text after the other, and their number a text.
+
+    A text with fewer words has one shingle, its whole sequence; one without words has none.
+    """
+    ends = np.cumsum(n)
+    count = np.where(n > 0, np.maximum(n - shingle + 1, 1), 0)
+    long = np.minimum(n, shingle)
+    at = np.arange(count.sum()) + np.repeat(ends - n - (np.cumsum(count) - count), count)
+    width, key = np.repeat(long, count), np.zeros(len(at), np.uint64)
+    for j in range(shingle):
+        more = width > j
+        key = np.where(more, key * np.uint64(0x9E3779B97F4A7C15) + words[np.where(more, at + j, 0)], key) if len(at) else key
+    return mix(key), count
+
+
+def _band_keys(keys: np.ndarray, count: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """``bands`` keys a text, each of ``rows`` min-hashes of its shingles; zeros for texts without words."""
+    out, some = np.zeros((len(count), bands), np.uint64), np.flatnonzero(count)
+    starts = (np.cumsum(count) - count)[some]
+    for band in range(bands if len(some) else 0):
+        key = np.full(len(some), np.uint64(band + 1))
+        for row in range(rows):
+            seed = np.uint64((band * rows + row + 1) * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF)
+            key = key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(mix(keys + seed), starts)
+        out[some, band] = mix(key)
+    return out
+
+
+def _marks(docs: DataFrame, tables: int, bands: int, rows: int, shingle: int) -> DataFrame:
+    """``doc_id``, a 128-bit hash of the word sequence, ``tables`` SimHashes of the set of words and, unless
+    there are no words, ``bands`` min-hash keys of the shingles."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed = WordHashes()
         for whole in batches:
@@ -219,7 +249,8 @@ def _word_majorities(docs: DataFrame, tables: int) -> DataFrame:
                     for t in range(tables if len(distinct) else 0):
                         bits = np.unpackbits(mix(distinct + np.uint64(t * 0x9E3779B9)).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
                         fps[i, t] = np.packbits(bits.sum(0, dtype=np.int64) * 2 > len(distinct), bitorder="little").view(np.uint64)[0]
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * tables, pa.int32()), pa.array(fps.reshape(-1).view(np.int64)))
+                places = np.concatenate([fps, _band_keys(*_shingle_keys(words, n, shingle), bands, rows)], axis=1)
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * (tables + bands), pa.int32()), pa.array(places.reshape(-1).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(same[:, 0].copy().view(np.int64)), pa.array(same[:, 1].copy().view(np.int64)), flat],
                                                  names=["doc_id", "h1", "h2", "fps"])
 
@@ -236,39 +267,37 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame
             b = whole.filter(pa.array(membership(bits, whole.column(2).to_numpy())))
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                words, n = hashed(part.column(1).to_pylist())
-                ends, sets = np.cumsum(n), []
-                for s, e in zip((ends - n).tolist(), ends.tolist()):
-                    k = min(shingle, e - s)
-                    key = np.zeros(e - s - k + 1 if k else 0, np.uint64)
-                    for j in range(k):
-                        key = key * np.uint64(0x9E3779B97F4A7C15) + words[s + j:s + j + len(key)]
-                    sets.append(np.unique(mix(key)).view(np.int64))
+                keys, n = _shingle_keys(*hashed(part.column(1).to_pylist()), shingle)
+                ends = np.cumsum(n)
+                sets = [np.unique(keys[s:e]).view(np.int64) for s, e in zip((ends - n).tolist(), ends.tolist())]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
 
     marked = docs.withColumn("h", F.xxhash64("doc_id")).mapInArrow(run, "doc_id long, shingles array<long>")
     return marked.join(wanted, "doc_id", "left_semi")
 
 
-def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, tables: int = 8, radius: int = 2) -> DataFrame:
+def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, tables: int = 8, radius: int = 2,
+                bands: int = 16, rows: int = 3) -> DataFrame:
     """``doc_id`` and ``component_id`` of the documents that have a near copy with a smaller id.
 
     Texts with the same words in the same order are copies. Other candidates come from
     ``tables`` SimHashes of the set of words, each searched by vantage-point trees within
-    ``radius`` bits; a candidate counts if the Jaccard similarity of the ``shingle``-word
-    sets is ``similarity`` or more. Small edits move few bits of a word set, and several
-    tables make up for a small radius, at which the trees still prune. Of a cluster of
+    ``radius`` bits, and from ``bands`` keys of ``rows`` min-hashes of the ``shingle``-word
+    sets; a candidate counts if the Jaccard similarity of these sets is ``similarity`` or
+    more. Small edits move few bits of a word set. Min-hashes depend on the similarity
+    alone, not on where or how a text was changed: a pair at 0.8 shares one of 16 bands with
+    a probability of 1 - (1 - 0.8^3)^16, all but 1 in 100,000. Of a cluster of
     fingerprints only spanning links are candidates. Documents without an id are left out;
     rows of one id are one document; texts without words are copies of each other.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    marked = materialize(_word_majorities(docs, tables), "copies-marks")
+    marked = materialize(_marks(docs, tables, bands, rows, shingle), "copies-marks")
     first = materialize(marked.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "fps")).alias("x"))
                         .select("h1", "h2", F.col("x.doc_id").alias("rep"), F.col("x.fps").alias("fps")), "copies-texts")
     exact = marked.join(first, ["h1", "h2"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     placed = materialize(first.select("rep", F.posexplode("fps").alias("t", "fp")), "copies-tables")
     names = materialize(placed.groupBy("t", "fp").agg(F.min("rep").alias("least")), "copies-distinct")
-    links = hamming_links(names, radius)
+    links = hamming_links(names.where(F.col("t") < tables), radius)
     far = (links.join(names.withColumnsRenamed({"fp": "a", "least": "x"}), ["t", "a"])
            .join(names.withColumnsRenamed({"fp": "b", "least": "y"}), ["t", "b"]))
     near = placed.join(names, ["t", "fp"]).where("rep <> least").select(F.col("rep").alias("x"), F.col("least").alias("y"))

@@ -141,6 +141,32 @@ def test_near_copies(spark, odd_docs, no_docs):
     assert simhash.keep_one(no_docs).count() == 0
 
 
+def shingle_sets(texts, k=5):
+    words = [t.lower().split() for t in texts]
+    return [{tuple(w[i:i + k]) for i in range(max(1, len(w) - k + 1))} for w in words]
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+def test_inserted_and_dropped_passages_are_near_copies(spark):
+    rng = random.Random(12)
+    texts, pairs = [], []
+    for i in range(120):
+        base = sentence(rng, rng.randrange(60, 260)).split()
+        n = len(base)
+        extra = sentence(rng, max(1, int(n * rng.uniform(0.02, 0.2)))).split()
+        at = rng.randrange(n)
+        copy = [base + extra, extra + base, base[:at] + extra + base[at:], base[:n - len(extra)], base[len(extra):]][i % 5]
+        pairs.append((len(texts), len(texts) + 1))
+        texts += [" ".join(base), " ".join(copy)]
+    sets = shingle_sets(texts)
+    want = {b: a for a, b in pairs if jaccard(sets[a], sets[b]) >= 0.8}
+    got = simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert len(want) > 80 and {r.doc_id: r.component_id for r in got.collect()} == want
+
+
 # ----------------------------------------------------------------------- lines
 
 def distance(a, b):
