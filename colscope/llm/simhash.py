@@ -25,6 +25,8 @@ from .words import WordHashes, mix
 
 LEAF = 512
 TILE = 1024
+BLOCK = 256
+BLOCK_SHINGLES = 1 << 21
 FP_SCHEMA = "doc_id long, fp long"
 
 
@@ -276,6 +278,66 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame
     return marked.join(wanted, "doc_id", "left_semi")
 
 
+def _rest_links(placed: DataFrame, parts: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links ``a``, ``b`` that join what ``parts`` leaves apart among the texts of one place (``t``, ``fp``).
+
+    Every pair of a place that is not yet connected is compared. All members outside a
+    place's largest part meet all its members, in pairs of blocks of bounded size; a block
+    pair emits links that connect, not all links. Places with the same members are taken once.
+    """
+    at = placed.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("t", "fp", "rep", F.coalesce("component", "rep").alias("part"))
+    at = materialize(at, "copies-places")
+    places = (at.groupBy("t", "fp", "part").agg(F.count("*").alias("n"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("h"))
+              .groupBy("t", "fp").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.sum("h").alias("h"), F.max_by("part", "n").alias("main"))
+              .where("parts > 1").dropDuplicates(["n", "h"]).select("t", "fp", "main"))
+    sized = materialize(at.join(places, ["t", "fp"]).join(sets.select(F.col("doc_id").alias("rep"), F.size("shingles").alias("size")), "rep")
+                        .select(F.xxhash64("t", "fp").alias("place"), "rep", "part", "size", (F.col("part") != F.col("main")).alias("asked")), "copies-rest")
+    blocks = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_SHINGLES))
+    split = sized.groupBy("place").agg(
+        blocks(F.count("*"), F.sum("size")).alias("rb"),
+        blocks(F.count_if("asked"), F.sum(F.when(F.col("asked"), F.col("size")).otherwise(0))).alias("qb"))
+    spread = lambda own, other, query: sized.where("asked" if query else "true").join(split, "place").select(
+        F.pmod(F.xxhash64("rep"), F.col(own)).alias("mine"), F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)).alias("theirs"),
+        "place", "rep", "part", F.lit(query).alias("query"))
+    rows = (spread("qb", "rb", True).withColumn("key", F.xxhash64("place", "mine", "theirs"))
+            .unionByName(spread("rb", "qb", False).withColumn("key", F.xxhash64("place", "theirs", "mine"))))
+    rows = rows.join(sets.withColumnRenamed("doc_id", "rep"), "rep").select("key", "rep", "part", "query", "shingles")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for got, starts in key_runs(batches, "key"):
+            for s, e in zip(starts[:-1], starts[1:]):
+                block = got.slice(s, e - s)
+                a, b = _block_links(*(block.column(c).to_numpy() for c in ("rep", "part")), block.column("query").to_numpy().astype(bool),
+                                    block.column("shingles").combine_chunks(), similarity)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return per_run(rows, "key", run, "a long, b long")
+
+
+def _block_links(rep: np.ndarray, part: np.ndarray, query: np.ndarray, sets: pa.ListArray, similarity: float) -> tuple[list, list]:
+    """Similar pairs of a query and a row that join two parts."""
+    n = sets.value_lengths().to_numpy().astype(np.int64)
+    _, code = np.unique(sets.flatten().to_numpy(), return_inverse=True)
+    ends, label = np.cumsum(n), np.unique(part, return_inverse=True)[1]
+    r = np.flatnonzero(~query & (n > 0))
+    codes = np.concatenate([code[ends[i] - n[i]:ends[i]] for i in r]) if len(r) else code[:0]
+    begin, marked = np.cumsum(n[r]) - n[r], np.zeros(len(code) + 1, bool)
+    a, b = [], []
+    for q in np.flatnonzero(query & (n > 0)).tolist():
+        able = (label[r] != label[q]) & (n[r] >= similarity * n[q]) & (n[q] >= similarity * n[r])
+        if not able.any():
+            continue
+        own = code[ends[q] - n[q]:ends[q]]
+        marked[own] = True
+        common = np.add.reduceat(marked[codes], begin, dtype=np.int64)
+        marked[own] = False
+        for i in r[able & (common >= similarity * (n[r] + n[q] - common))].tolist():
+            if label[i] != label[q]:
+                a.append(int(rep[q])), b.append(int(rep[i]))
+                label[label == label[i]] = label[q]
+    return a, b
+
+
 def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, tables: int = 8, radius: int = 2,
                 bands: int = 16, rows: int = 3) -> DataFrame:
     """``doc_id`` and ``component_id`` of the documents that have a near copy with a smaller id.
@@ -286,8 +348,9 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, tabl
     sets; a candidate counts if the Jaccard similarity of these sets is ``similarity`` or
     more. Small edits move few bits of a word set. Min-hashes depend on the similarity
     alone, not on where or how a text was changed: a pair at 0.8 shares one of 16 bands with
-    a probability of 1 - (1 - 0.8^3)^16, all but 1 in 100,000. Of a cluster of
-    fingerprints only spanning links are candidates. Documents without an id are left out;
+    a probability of 1 - (1 - 0.8^3)^16, all but 1 in 100,000. All texts that
+    share a SimHash or a band are compared unless a chain of copies connects them already:
+    first with the smallest id, then what is still apart, in blocks. Documents without an id are left out;
     rows of one id are one document; texts without words are copies of each other.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
@@ -309,7 +372,9 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, tabl
             .join(sets.withColumnsRenamed({"doc_id": "b", "shingles": "sb"}), "b"))
     common = F.size(F.array_intersect("sa", "sb"))
     close = both.where(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
-    parts = connected_components(exact.unionByName(close), "copies")
+    parts = connected_components(close, "copies")
+    rest = materialize(_rest_links(placed, parts, sets, similarity), "copies-more")
+    parts = connected_components(exact.unionByName(parts.select(F.col("node").alias("a"), F.col("component").alias("b"))).unionByName(rest), "copies")
     return parts.where("node <> component").select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
 
 

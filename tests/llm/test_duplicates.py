@@ -167,6 +167,34 @@ def test_inserted_and_dropped_passages_are_near_copies(spark):
     assert len(want) > 80 and {r.doc_id: r.component_id for r in got.collect()} == want
 
 
+def test_smallest_id_need_not_be_similar(spark):
+    rng = random.Random(3)
+    a = sentence(rng, 60).split()
+    b = rng.sample(a, 60)
+    texts = [a, b, [*b, b[-1]], ["spam"], ["spam"] * 5, ["spam"] * 6]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    for options in ({}, {"bands": 0}):
+        assert {r.doc_id: r.component_id for r in simhash.near_copies(docs, **options).collect()} == {2: 1, 5: 4}
+
+
+def test_places_are_compared_whole(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 16)
+    rng = random.Random(9)
+    sets = [set(rng.sample(range(10_000), 40)) for _ in range(60)]
+    while len(sets) < 150:
+        old = list(rng.choice(sets))
+        sets.append(set(old[rng.randrange(6):]) | set(rng.sample(range(10_000), rng.randrange(4))))
+    rng.shuffle(sets)
+    close = [(i, j) for i in range(150) for j in range(i) if jaccard(sets[i], sets[j]) >= 0.8]
+    want = components(range(150), close)
+    known = components(range(150), close[::3])
+    placed = spark.createDataFrame([(i, t, t) for i in range(150) for t in range(3)], "rep long, t int, fp long")
+    parts = spark.createDataFrame([(i, known[i]) for i in known if i % 2 or known[i] != i], "node long, component long")
+    rest = simhash._rest_links(placed, parts, spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(sets)], "doc_id long, shingles array<long>"), 0.8).collect()
+    assert known != want and all((max(r), min(r)) in close for r in rest)
+    assert components(range(150), [*((r.a, r.b) for r in rest), *known.items()]) == want
+
+
 # ----------------------------------------------------------------------- lines
 
 def distance(a, b):
