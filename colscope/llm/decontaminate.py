@@ -1,8 +1,9 @@
 """Benchmark decontamination by spaced seeds.
 
 A seed hashes six of eight words in a row; the words its mask leaves out may differ.
-The two masks together meet every window of 13 words with up to two substitutions. Seeds
-of the corpus are joined with those of the benchmark, and around each hit the aligned
+The two masks together meet every window of 13 words with up to two substitutions, and
+every item of 10 to 12 words with one. Items of 8 and 9 words have their first and their
+last four words as seeds, of which one substitution leaves one. Seeds of the corpus are joined with those of the benchmark, and around each hit the aligned
 words are compared.
 """
 
@@ -21,6 +22,7 @@ from .common import member_words, membership
 from .words import WordHashes, mix
 
 MASKS = ((0, 1, 4, 5, 6, 7), (0, 1, 2, 4, 6, 7))
+ENDS, ENDS_OF = (0, 1, 2, 3), (8, 9)
 WINDOW = 13
 LEAST = 8
 REGION = "doc_id long, start long, doc_words long, words array<long>, seeds array<struct<key:long,at:int>>"
@@ -36,8 +38,23 @@ def _mask_keys(hashes: np.ndarray, mask: tuple[int, ...], number: int) -> np.nda
 
 
 def _masks(short: list[int]) -> list[tuple[int, ...]]:
-    """The fixed masks, and a full one for each length of items too short for them."""
-    return [*MASKS, *(tuple(range(n)) for n in short)]
+    """The fixed masks, the one for the ends of short items, and a full one for each length below ``LEAST``."""
+    return [*MASKS, *([ENDS] if set(short) & set(ENDS_OF) else []), *(tuple(range(n)) for n in short if n < LEAST)]
+
+
+def _seeds_of(hashes: np.ndarray, masks: list[tuple[int, ...]]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of an item's seeds and their places."""
+    n, keys, places = len(hashes), [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for number, mask in enumerate(masks):
+        key = _mask_keys(hashes, mask, number)
+        if mask in MASKS:
+            at = np.arange(len(key))
+        elif n in ENDS_OF and mask == ENDS:
+            at = np.array([0, n - len(ENDS)])
+        else:
+            at = np.arange(int(n < LEAST and len(mask) == n))
+        keys.append(key[at]), places.append(at)
+    return np.concatenate(keys), np.concatenate(places)
 
 
 def tolerance(words: int) -> int:
@@ -61,11 +78,8 @@ def _item_seeds(items: DataFrame, masks: list[tuple[int, ...]]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for item, words in zip(b.column("item_id").to_pylist(), b.column("words")):
-                h = words.values.to_numpy().view(np.uint64)
-                keys = [(k, m) for k, m in enumerate(masks) if k < len(MASKS) or len(m) == len(h)]
-                got = [_mask_keys(h, m, k) for k, m in keys]
-                at = np.concatenate([np.arange(len(g)) for g in got])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(got).view(np.int64)), pa.array(np.full(len(at), item), pa.int64()), pa.array(at, pa.int32())], names=["key", "item_id", "item_at"])
+                key, at = _seeds_of(words.values.to_numpy().view(np.uint64), masks)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.full(len(at), item), pa.int64()), pa.array(at, pa.int32())], names=["key", "item_id", "item_at"])
 
     return items.select("item_id", "words").mapInArrow(run, "key long, item_id long, item_at int")
 

@@ -94,6 +94,24 @@ def test_masks_meet_two_substitutions():
             assert any(not {a, b} & {o + m for m in mask} for mask in decontaminate.MASKS for o in range(13 - max(mask)))
 
 
+def test_short_items_with_a_substitution_anywhere(spark):
+    rng = random.Random(16)
+    items = [(n, sentence(rng, n)) for n in range(1, 14)]
+    docs = [(100 * n, t) for n, t in items]
+    for n, t in items:
+        for p in range(n):
+            w = t.split()
+            w[p] = "other"
+            docs.append((100 * n + p + 1, " ".join(w)))
+            docs.append((100 * n + p + 21, sentence(rng, 9) + " " + ", ".join(w) + "\n" + sentence(rng, 5)))
+            w[(p + 3) % n] = "second"
+            docs.append((100 * n + p + 41, sentence(rng, 3) + " " + " ".join(w)))
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    want = brute_hits(docs, items)
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == want
+    assert {(100 * n + p + 21, n) for n in range(8, 14) for p in range(n)} <= want
+
+
 def test_odd_decontamination(spark, odd_docs, no_docs):
     items = [(1, None), (2, ""), (3, "one"), (4, "one"), (5, "!!!"), (None, "one two three four five six seven eight")]
     bench = spark.createDataFrame(items, "item_id long, text string").selectExpr("*", "'x' as doc_id", "1 as words")
