@@ -5,7 +5,8 @@ buckets give the first lists; each descent round lets the neighbours of a vertex
 ways, meet in bounded chunks and keeps the best of each list. A list that is full of
 links is saturated and is doubled; what is still saturated at the largest length is
 completed exactly, in blocks against its whole cell. Recall is audited against brute
-force for every id divisible by 50, and a poor audit buys more trees and rounds.
+force for every id divisible by 50, vector by vector and without the saturated ones; a
+poor audit buys more trees and rounds, and then exact blocks for all.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colscope.session import materialize
@@ -189,13 +190,14 @@ def near_vectors(df: DataFrame, threshold: float = 0.93, k: int = 8, most_k: int
     empty table gives no rows. Other columns are ignored.
 
     Work per round is linear in the vectors (lists, chunks and trees are bounded); only
-    saturated vectors pay a block comparison with their cell.
+    saturated vectors pay a block comparison with their cell. If after ``retries`` fewer than
+    ``target`` of the audited vectors have all their links, all vectors pay it.
     """
     rows = df.select(F.col("vec_id").cast("long").alias("vec_id"), "label", F.col("embedding").alias("vec"))
     nodes = materialize(distinct_vectors(rows), "nn-nodes")
     truth = materialize(_block_pass(nodes.where("first % 50 = 0"), nodes, threshold, False)
                         .groupBy("a").agg(F.sum("n").alias("n")), "nn-audit")
-    want = truth.agg(F.sum("n")).first()[0] or 0
+    truth = truth.where("n > 0").select(F.col("a").alias("node"), F.col("n").alias("want"))
     lists = nodes.select("node", F.array().cast("array<struct<sim:double,nbr:bigint>>").alias("near"), F.lit(k).alias("k"))
     for attempt in range(retries + 1):
         keys = _chunked(_tree_keys(nodes, range(attempt * trees, (attempt + 1) * trees), leaf), CHUNK)
@@ -209,9 +211,12 @@ def near_vectors(df: DataFrame, threshold: float = 0.93, k: int = 8, most_k: int
             found = _local_join(_members(lists, k), nodes, lists, most_k)
             lists = materialize(_merged(lists, found, threshold, most_k), "nn-lists")
         degrees, links = _links(nodes, lists, threshold, k)
-        have = degrees.join(truth.select(F.col("a").alias("node")), "node").agg(F.sum("n")).first()[0] or 0
-        if have >= target * want:
+        audit = (truth.join(lists.where(_saturated(k, threshold)), "node", "left_anti").join(degrees, "node", "left")
+                 .agg(F.count_if(F.coalesce("n", F.lit(0)) >= F.col("want")).alias("whole"), F.count("*").alias("vectors")).first())
+        if audit.whole >= target * audit.vectors:
             break
+    else:
+        degrees, links = _links(nodes, lists, threshold, k, True)
     parts = connected_components(links, "nn")
     firsts = (nodes.join(parts, "node").groupBy("component").agg(F.min("first").alias("least")))
     named = (nodes.join(parts, "node", "left").join(firsts, "component", "left").join(degrees, "node", "left")
@@ -223,12 +228,17 @@ def near_vectors(df: DataFrame, threshold: float = 0.93, k: int = 8, most_k: int
         "kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
-def _links(nodes: DataFrame, lists: DataFrame, threshold: float, k: int) -> tuple[DataFrame, DataFrame]:
+def _saturated(k: int, threshold: float) -> Column:
+    return (F.size("near") >= k) & (F.get("near", F.size("near") - 1)["sim"] >= threshold)
+
+
+def _links(nodes: DataFrame, lists: DataFrame, threshold: float, k: int, every: bool = False) -> tuple[DataFrame, DataFrame]:
     """Direct links per node (without own copies) and links enough for the components.
 
-    A list of ``k`` or more that ends in a link may be cut off: its node is completed exactly.
+    A list of ``k`` or more that ends in a link may be cut off: its node is completed
+    exactly, with ``every`` all nodes are.
     """
-    full = lists.where((F.size("near") >= k) & (F.get("near", F.size("near") - 1)["sim"] >= threshold)).select("node")
+    full = lists.where(F.lit(True) if every else _saturated(k, threshold)).select("node")
     full = materialize(full, "nn-saturated")
     near = (lists.select("node", F.explode("near").alias("x")).where(F.col("x.sim") >= threshold)
             .select(F.least("node", "x.nbr").alias("a"), F.greatest("node", "x.nbr").alias("b")).distinct()

@@ -72,6 +72,17 @@ def test_near_vectors_match_brute_force(spark):
     assert sorted(map(tuple, got.collect())) == brute_vectors(rows)
 
 
+def test_poor_audit_ends_in_exact_blocks(spark):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((300, 24)).astype("float32")
+    x[100:200] = x[:100] + 0.22 * rng.standard_normal((100, 24)).astype("float32")
+    x[200:300] = x[7] + 0.05 * rng.standard_normal((100, 24)).astype("float32")
+    rows = [(50 * i, [float(v) for v in x[i]], 0) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = nndescent.near_vectors(df, trees=1, leaf=2, rounds=0, retries=0)
+    assert sorted(map(tuple, got.collect())) == brute_vectors(rows)
+
+
 def test_odd_vectors(spark):
     v, w = [1.0, 2.0, 3.0], [1.0, 2.0, 3.01]
     rows = [(1, v, 0), (2, w, 0), (3, v, None), (4, None, 0), (5, [0.0, 0.0, 0.0], 0), (6, [1.0, None, 2.0], 0), (7, [float("nan")] * 3, 0),
