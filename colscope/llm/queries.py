@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, langid, linededup, mixing, nndescent, quality, simhash, toxicity, warc
+from . import chat, decontaminate, fillmiddle, langid, linededup, mixing, nndescent, packing, prefixtrie, quality, simhash, toxicity, warc
 from .common import read_table
 
 
@@ -48,6 +48,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.conversation_trie(read_table(spark, sf_dir, "conversations")).drop("x1", "x2")
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents"), with_ids=False)
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fillmiddle.transformed_digests(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op2_warc": op2_warc,
@@ -59,6 +71,9 @@ QUERIES = {
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_line_dedup": op9_line_dedup,
     "op10_quality": op10_quality,
+    "op11_conversation_trie": op11_conversation_trie,
+    "op12_packing": op12_packing,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 ORACLES = {
     "op1_embedding_near_dedup": nndescent.ORACLE,
@@ -66,4 +81,6 @@ ORACLES = {
     "op3_chat_format": chat.ORACLE,
     "op4_mixing": mixing.ORACLE,
     "op9_line_dedup": linededup.ORACLE,
+    "op11_conversation_trie": prefixtrie.ORACLE,
+    "op13_fill_in_middle": fillmiddle.ORACLE,
 }
