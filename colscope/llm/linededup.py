@@ -4,7 +4,9 @@ Equal lines collapse on a 128-bit hash. Of a line pair within ``edits`` edits, s
 the ``edits + 1`` even segments of the shorter line stands unchanged in the longer one,
 at a place that its index and the length difference bound. Segments and the few
 substrings that may equal one become 64-bit keys; keys met by two lines give
-candidates, which a banded bit-parallel edit distance verifies.
+candidates. Keys met by the same lines count once. A key's lines are compared in blocks:
+letter pairs that differ too much settle most candidates, the others go through a banded
+bit-parallel edit distance for many pairs at once, unless they are connected already.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,7 +25,11 @@ from colscope.session import materialize
 from .common import connected_components, key_runs, membership, member_words, per_run
 from .words import BASE, PIECE, mix, powers
 
-GROUP = 192
+GROUP = 512
+PAIRS = 4096
+SMALL = 16
+HOT, SALTS = 64, 64
+SIGNATURE = 512
 
 
 def split_lines(text: str | None) -> list[str]:
@@ -74,37 +81,69 @@ class SegmentKeys:
         return np.concatenate(numbers), np.concatenate(keys)
 
 
+class Lines:
+    """Code points of many lines in one array."""
+
+    def __init__(self, lines: list[str]):
+        self.lens = np.fromiter(map(len, lines), np.int64, len(lines))
+        self.codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.starts = np.cumsum(self.lens) - self.lens
+
+    def padded(self, rows: np.ndarray, width: int, front: int, fill: int) -> np.ndarray:
+        """Lines as columns of equal height, ``front`` fillers before and ``fill`` behind."""
+        at = np.arange(width)[:, None] - front
+        inside = (at >= 0) & (at < self.lens[rows])
+        return np.where(inside, self.codes[np.where(inside, self.starts[rows] + at, 0)] if len(self.codes) else 0, np.uint32(fill))
+
+    def signatures(self) -> np.ndarray:
+        """Which hashed pairs of neighbouring letters a line has, in ``SIGNATURE`` bits: an edit changes four at most."""
+        rows = np.repeat(np.arange(len(self.lens)), self.lens)
+        bits = np.zeros((len(self.lens), SIGNATURE), bool)
+        if len(rows) > 1:
+            same = rows[1:] == rows[:-1]
+            pair = mix(self.codes[:-1].astype(np.uint64) * BASE + self.codes[1:])
+            bits[rows[1:][same], (pair[same] % np.uint64(SIGNATURE)).astype(np.int64)] = True
+        return np.packbits(bits, axis=1).view(np.uint64)
+
+    def within(self, x: np.ndarray, y: np.ndarray, edits: int) -> np.ndarray:
+        """Whether lines ``x`` and ``y`` lie within ``edits``, pair by pair.
+
+        Banded bit-parallel edit distance: bit w of row d says that, with d edits, the first
+        j letters of y match the first j - edits + w of x.
+        """
+        longest = int(max(self.lens[x].max(initial=0), self.lens[y].max(initial=0)))
+        step = max(1, min(PAIRS, (1 << 22) // (longest + 1)))
+        return np.concatenate([np.zeros(0, bool), *(self._within(x[i:i + step], y[i:i + step], edits) for i in range(0, len(x), step))])
+
+    def _within(self, x: np.ndarray, y: np.ndarray, edits: int) -> np.ndarray:
+        more = self.lens[x] - self.lens[y]
+        width = int(self.lens[y].max())
+        a, b = self.padded(x, width + 2 * edits + 1, edits, 0xFFFFFFFF), self.padded(y, width, 0, 0xFFFFFFFE)
+        kind = np.uint8 if edits < 4 else np.uint64
+        mask = kind((1 << (2 * edits + 1)) - 1)
+        rows = [np.full(len(x), kind((((1 << (d + 1)) - 1) << edits) & int(mask))) for d in range(edits + 1)]
+        last = rows[edits].copy()
+        for j in range(width):
+            same = np.zeros(len(x), kind)
+            for w in range(2 * edits + 1):
+                same |= (a[j + w] == b[j]).astype(kind) << kind(w)
+            before = fresh = None
+            for d in range(edits + 1):
+                new = rows[d] & same
+                if d:
+                    new |= (before >> kind(1)) | before | (fresh << kind(1))
+                new &= mask
+                rows[d], before, fresh = new, rows[d], new
+            np.copyto(last, rows[edits], where=self.lens[y] > j)
+            if not rows[edits].any():
+                last[self.lens[y] > j] = 0
+                break
+        near = np.abs(more) <= edits
+        return near & ((last >> np.where(near, more + edits, 0).astype(kind)) & kind(1) > 0)
+
+
 def within_edits(a: str, b: str, edits: int) -> bool:
-    """Banded bit-parallel edit distance: bit w of row d says that, with d edits, a text
-    prefix of j matches the pattern prefix of j - edits + w."""
-    if abs(len(a) - len(b)) > edits:
-        return False
-    if a == b:
-        return True
-    low, high = 0, min(len(a), len(b))
-    while low < high:
-        mid = (low + high + 1) // 2
-        low, high = (mid, high) if a[low:mid] == b[low:mid] else (low, mid - 1)
-    a, b = a[low:], b[low:]
-    places: dict[str, int] = {}
-    for i, c in enumerate(a):
-        places[c] = places.get(c, 0) | 1 << (i + 1 + edits)
-    mask = (1 << (2 * edits + 1)) - 1
-    rows = [((1 << (d + 1)) - 1) << edits for d in range(edits + 1)]
-    rows = [r & mask for r in rows]
-    for j, c in enumerate(b):
-        same = places.get(c, 0) >> (j + 1)
-        before, fresh = None, None
-        for d in range(edits + 1):
-            r = rows[d]
-            new = r & same
-            if d:
-                new |= (before >> 1) | before | (fresh << 1)
-            new &= mask
-            rows[d], before, fresh = new, r, new
-        if not rows[edits]:
-            return False
-    return bool(rows[edits] >> (len(a) - len(b) + edits) & 1)
+    return bool(Lines([a, b]).within(np.array([0]), np.array([1]), edits)[0])
 
 
 def _occurrences(docs: DataFrame) -> DataFrame:
@@ -124,13 +163,28 @@ def _occurrences(docs: DataFrame) -> DataFrame:
 
 
 def _keys(docs: DataFrame, edits: int, least: int) -> DataFrame:
-    """Keys of the lines of ``least`` characters or more; repeats within a task once."""
+    """Keys of the lines of ``least`` characters or more; repeats within a task once.
+
+    A key that ``HOT`` lines of one batch meet is spread by line (``salt`` from 1 on). Two
+    of its lines also go to salt 0, so that the key counts as shared there.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keyed, seen = SegmentKeys(edits), set()
 
         def emit(lines: list[str], hashes: list[int]) -> pa.RecordBatch:
             number, key = keyed(lines)
-            return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.array(hashes, np.uint64).view(np.int64)[number])], names=["key", "h1"])
+            key, h = key.view(np.int64), np.array(hashes, np.uint64).view(np.int64)[number]
+            order = np.lexsort((h, key))
+            key, h = key[order], h[order]
+            fresh = np.concatenate([[True], (np.diff(key) != 0) | (np.diff(h) != 0)])[:len(key)]
+            key, h = key[fresh], h[fresh]
+            starts = np.flatnonzero(np.concatenate([[True], np.diff(key) != 0])[:len(key)])
+            sizes = np.diff(np.concatenate([starts, [len(key)]]))
+            hot = starts[sizes >= HOT]
+            salt = np.where(np.repeat(sizes >= HOT, sizes), 1 + h % SALTS, 0)
+            seen_by = np.concatenate([hot, hot + 1]).astype(np.int64)
+            columns = [np.concatenate([key, key[seen_by]]), np.concatenate([salt, np.zeros(len(seen_by), np.int64)]), np.concatenate([h, h[seen_by]])]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "salt", "h1"])
 
         for b in batches:
             lines, hashes, chars = [], [], 0
@@ -150,21 +204,23 @@ def _keys(docs: DataFrame, edits: int, least: int) -> DataFrame:
             if len(seen) > 200_000:  # only saves repeats; a line may come again
                 seen.clear()
 
-    return docs.mapInArrow(run, "key long, h1 long")
+    return docs.mapInArrow(run, "key long, salt long, h1 long")
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of keys met by two lines, from sorted rows. Only one row is held from batch to
-    batch: a key with a single line so far needs no more, one with two passes straight on."""
+    batch: a key with a single line so far needs no more, one with two passes straight on,
+    and so do spread rows."""
     held_key, held_line, open_key = None, None, None
     for b in batches:
         if not b.num_rows:
             continue
-        key, h = b.column("key").to_numpy(), b.column("h1").to_numpy()
+        key, h, spread = b.column("key").to_numpy(), b.column("h1").to_numpy(), b.column("salt").to_numpy() > 0
         if held_key is not None and key[0] == held_key:
-            key, h = np.concatenate([[held_key], key]), np.concatenate([[held_line], h])
+            key, h, spread = np.concatenate([[held_key], key]), np.concatenate([[held_line], h]), np.concatenate([[False], spread])
         starts = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1])
         many = np.minimum.reduceat(h, starts) != np.maximum.reduceat(h, starts)
+        many |= np.logical_or.reduceat(spread, starts)
         many[0] |= open_key is not None and key[0] == open_key
         open_key = key[-1] if many[-1] else None
         held_key, held_line = (None, None) if many[-1] else (key[-1], h[-1])
@@ -193,47 +249,117 @@ def _lines_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "h1 long, line string").join(wanted, "h1", "left_semi").dropDuplicates(["h1"])
 
 
+def _roots(root: np.ndarray) -> np.ndarray:
+    while True:
+        up = root[root]
+        if (up == root).all():
+            return root
+        root = up
+
+
+def _candidates(table: pa.Table, starts: np.ndarray, lens: np.ndarray, marks: np.ndarray, edits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one block that length and letter pairs allow; close neighbours in line order first."""
+    side, sizes = table.column("side").to_numpy(), np.diff(starts)
+    two = np.minimum.reduceat(side, starts[:-1]) != np.maximum.reduceat(side, starts[:-1])
+
+    def allowed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return (np.abs(lens[x] - lens[y]) <= edits) & (np.bitwise_count(marks[x] ^ marks[y]).sum(axis=1) <= 4 * edits)
+
+    small, row = sizes <= SMALL, np.arange(len(side))
+    ends, crossing = (np.repeat(a, sizes) for a in (np.where(small, starts[1:], 0), two))
+    for step in range(1, min(SMALL, int(sizes.max()))):
+        x = row[row + step < ends]
+        x = x[~crossing[x] | (side[x] != side[x + step])]
+        x = x[allowed(x, x + step)]
+        yield x, x + step
+    for k in np.flatnonzero(~small).tolist():
+        s, e = int(starts[k]), int(starts[k + 1])
+        close = np.abs(lens[s:e, None] - lens[s:e]) <= edits
+        apart = np.zeros((e - s, e - s), np.uint16)
+        for word in range(marks.shape[1]):
+            apart += np.bitwise_count(marks[s:e, word, None] ^ marks[s:e, word])
+        close &= apart <= 4 * edits
+        if two[k]:
+            close &= side[s:e, None] != side[s:e]
+        x, y = np.nonzero(np.triu(close, 1))
+        order = np.argsort(y - x, kind="stable")
+        yield x[order] + s, y[order] + s
+
+
 def _verified(groups: DataFrame, edits: int) -> DataFrame:
-    """Spanning links of every group's lines that lie within ``edits``; groups are bounded."""
+    """Spanning links (``a``, ``b``) of every block's lines that lie within ``edits``.
+
+    ``groups`` has ``part`` (the block, bounded in size), ``side`` (of a block of two sides
+    only crossing pairs count), ``h1``, ``known`` (its class so far) and ``line``.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in key_runs(batches, "part"):
-            ids, side, lines = (table.column(c).to_pylist() for c in ("h1", "side", "line"))
-            out = []
-            for s, e in zip(starts[:-1].tolist(), starts[1:].tolist()):
-                root = list(range(e - s))
-
-                def find(i: int) -> int:
-                    while root[i] != i:
-                        root[i] = root[root[i]]
-                        i = root[i]
-                    return i
-
-                crossing = len(set(side[s:e])) > 1
-                order = sorted(range(e - s), key=lambda i: len(lines[s + i]))
-                for n, i in enumerate(order):
-                    for j in reversed(order[:n]):
-                        if len(lines[s + i]) - len(lines[s + j]) > edits:
-                            break
-                        if crossing and side[s + i] == side[s + j]:
-                            continue
-                        x, y = find(i), find(j)
-                        if x != y and within_edits(lines[s + i], lines[s + j], edits):
-                            root[x] = y
-                            out.append((ids[s + i], ids[s + j]))
+            table = table.combine_chunks()
+            order = np.lexsort((pc.rank(table.column("line"), tiebreaker="dense").to_numpy(), table.column("part").to_numpy()))
+            table = table.take(pa.array(order))
+            ids, lines = table.column("h1").to_numpy(), Lines(table.column("line").to_pylist())
+            known, root_of = np.unique(table.column("known").to_numpy(), return_inverse=True)
+            root, marks, out = np.arange(len(known)), lines.signatures(), []
+
+            def settle(pairs: list[tuple[np.ndarray, np.ndarray]]) -> None:
+                nonlocal root
+                x, y = (np.concatenate([p[i] for p in pairs]) for i in (0, 1))
+                for at in range(0, len(x), PAIRS):
+                    root = _roots(root)
+                    u, v = x[at:at + PAIRS], y[at:at + PAIRS]
+                    apart = root[root_of[u]] != root[root_of[v]]
+                    u, v = u[apart], v[apart]
+                    near = lines.within(u, v, edits)
+                    for i, j in zip(u[near].tolist(), v[near].tolist()):
+                        p, q = root_of[i], root_of[j]
+                        while root[p] != p:
+                            p = root[p]
+                        while root[q] != q:
+                            q = root[q]
+                        if p != q:
+                            root[max(p, q)] = min(p, q)
+                            out.append((ids[i], ids[j]))
+
+            held, count = [], 0
+            for pair in _candidates(table, starts, lines.lens, marks, edits):
+                held.append(pair)
+                count += len(pair[0])
+                if count >= PAIRS:
+                    settle(held)
+                    held, count = [], 0
+            if held:
+                settle(held)
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     return per_run(groups, "part", run, "a long, b long")
 
 
 def similar_lines(docs: DataFrame, edits: int, least: int) -> DataFrame:
-    """Spanning links (``a``, ``b``: line hashes) of the distinct lines within ``edits``."""
-    met = materialize(per_run(_keys(docs, edits, least), "key", _shared, "key long, h1 long").distinct(), "line-keys")
+    """Spanning links (``a``, ``b``: line hashes) of the distinct lines within ``edits``.
+
+    First every key's blocks are compared inside; where a key has several blocks, lines of
+    different ones are then compared unless the links found so far connect them. A key
+    whose lines are all connected needs no more.
+    """
+    keys = _keys(docs, edits, least).repartition("key", "salt").sortWithinPartitions("key", "salt").mapInArrow(_shared, "key long, h1 long")
+    met = materialize(keys.distinct(), "line-keys")
     text = materialize(_lines_of(docs, met.select("h1").distinct()), "line-texts")
-    parts = met.groupBy("key").agg(F.ceil(F.count("*") / GROUP).alias("parts"))
-    dealt = (met.join(parts, "key").withColumn("side", F.pmod(F.xxhash64("h1"), F.col("parts")))
-             .select("key", "h1", "side", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other")))
-    dealt = dealt.select(F.xxhash64("key", F.least("side", "other"), F.greatest("side", "other")).alias("part"), "h1", "side")
-    return _verified(dealt.join(text, "h1"), edits)
+    sets = met.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("h1")).alias("s1"), F.bit_xor(F.xxhash64(F.lit(1), "h1")).alias("s2"))
+    kept = materialize(sets.groupBy("n", "s1", "s2").agg(F.min("key").alias("key")).where("n > 1")
+                       .select("key", F.ceil(F.col("n") / GROUP).alias("parts")), "line-sets")
+    dealt = met.join(kept, "key").withColumn("side", F.pmod(F.xxhash64("h1"), F.col("parts")))
+    inside = dealt.select(F.xxhash64("key", "side").alias("part"), F.lit(0).cast("long").alias("side"), "h1", F.col("h1").alias("known"))
+    links = materialize(_verified(inside.join(text, "h1"), edits), "line-links")
+    wide = materialize(dealt.where("parts > 1"), "line-wide")
+    if wide.isEmpty():
+        return links
+    classes = materialize(connected_components(links, "line-inner").withColumnRenamed("node", "h1"), "line-classes")
+    wide = materialize(wide.join(classes, "h1", "left").withColumn("known", F.coalesce("component", "h1")), "line-known")
+    open_ = materialize(wide.groupBy("key").agg(F.min("known").alias("low"), F.max("known").alias("high")).where("low <> high").select("key"), "line-open")
+    across = (wide.join(open_, "key").select("key", "h1", "known", "side", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
+              .where("side <> other"))
+    across = across.select(F.xxhash64("key", F.least("side", "other"), F.greatest("side", "other")).alias("part"), "side", "h1", "known")
+    return links.unionByName(_verified(across.join(text, "h1"), edits))
 
 
 def removed_lines(docs: DataFrame, edits: int = 2, least: int = 30) -> DataFrame:
@@ -262,15 +388,15 @@ def dedup_lines(docs: DataFrame, edits: int = 2, least: int = 30) -> DataFrame:
     are returned unchanged, and rows of one id count as one document. An empty table gives
     no rows. A document's own columns ``n_lines`` and ``n_removed`` are replaced.
     """
-    gone = removed_lines(docs, edits, least).withColumnRenamed("doc_id", "__doc")
-    lines = F.split("text", "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("__gone"), i)), "\n")
-    wide = docs.drop("n_lines", "n_removed").join(gone.withColumnRenamed("removed", "__gone"), F.col("doc_id") == F.col("__doc"), "left")
-    return (wide.withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long"))
-            .withColumn("n_removed", F.coalesce(F.size("__gone"), F.lit(0)).cast("long"))
-            .withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.col("n_lines")).cast("long"))
-            .withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept))
-            .drop("__doc", "__gone"))
+    rows = docs.drop("n_lines", "n_removed")
+    gone = removed_lines(docs, edits, least).select(F.col("doc_id").alias("id"), "removed")
+    lines = F.split("row.text", "\n", -1)
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "removed")
+    kept = F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
+    count = lambda c: F.when(c.isNull(), 0).otherwise(F.size(c)).cast("long")
+    text = F.when(F.col("removed").isNull(), F.col("row.text")).otherwise(kept)
+    return (rows.select(F.struct(*rows.columns).alias("row")).join(gone, F.col("row.doc_id") == F.col("id"), "left")
+            .select(*[text.alias(c) if c == "text" else F.col(f"row.`{c}`") for c in rows.columns], count(lines).alias("n_lines"), count(F.col("removed")).alias("n_removed")))
 
 
 def clean_lines(docs: DataFrame, edits: int = 2, least: int = 30) -> DataFrame:

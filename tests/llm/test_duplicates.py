@@ -1,9 +1,11 @@
 """Embeddings, SimHash and line deduplication against brute force, and odd input."""
 
 import random
+import time
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -263,10 +265,58 @@ def test_hot_segment_is_split(spark):
     docs = [(i, line + f"{i:06d} {i * i:010d}") for i in range(900)]
     got = linededup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     texts = [t for _, t in docs]
-    links = [(a, b) for i, a in enumerate(texts) for b in texts[:i] if linededup.within_edits(a, b, 2)]
+    x, y = np.triu_indices(len(texts), 1)
+    near = linededup.Lines(texts).within(x, y, 2)
+    links = [(texts[i], texts[j]) for i, j in zip(x[near], y[near])]
     assert len(got) == 900 and sum(r.n_removed for r in got) == len(texts) - len(set(components(texts, links).values()))
 
 
+def test_many_lines_share_a_beginning(spark):
+    """4000 lines meet in the same segments; only the planted copies within two edits go, and no pair is compared twice in a block."""
+    rng = random.Random(12)
+    start = "a shared beginning that a great many lines have in common, and then "
+    texts = [start + "".join(rng.choice("abcdefghijklmnop 0123456789") for _ in range(40)) for _ in range(4000)]
+    copies = [mutate(rng, texts[i], 2) for i in range(0, 4000, 80)]
+    docs = spark.createDataFrame(list(enumerate(texts + copies)), "doc_id long, text string").repartition(7)
+    keys = linededup.SegmentKeys(2)(texts)
+    met = np.unique(np.stack(keys[::-1]).view(np.int64), axis=1)
+    assert np.unique(met[0], return_counts=True)[1].max() == 4000
+    began = time.time()
+    got = {r.doc_id: r.n_removed for r in linededup.dedup_lines(docs).collect()}
+    assert {i for i, n in got.items() if n} == set(range(4000, 4050))
+    assert time.time() - began < 120
+
+
+def test_pairs_offered_once(spark):
+    """Blocks of one and of two sides: each allowed pair once, none within a side of two."""
+    rng = random.Random(3)
+    texts = [sentence(rng, 6)[:30] for _ in range(90)]
+    table = pa.table({"part": [1] * 40 + [2] * 50, "side": [0] * 40 + [i % 2 for i in range(50)], "line": texts})
+    lines = linededup.Lines(texts)
+    for small in (0, 16, 100):
+        linededup.SMALL, kept = small, linededup.SMALL
+        try:
+            pairs = [(int(a), int(b)) for x, y in linededup._candidates(table, np.array([0, 40, 90]), lines.lens, np.zeros((90, 8), np.uint64), 30) for a, b in zip(x, y)]
+        finally:
+            linededup.SMALL = kept
+        assert len(pairs) == len(set(pairs)) == 40 * 39 // 2 + 25 * 25 and all(a < b for a, b in pairs)
+
+
+def test_letter_pairs_never_lose_a_near_line():
+    rng = random.Random(6)
+    for _ in range(300):
+        a = sentence(rng, rng.randrange(2, 30))
+        marks = linededup.Lines([a, mutate(rng, a, 2), mutate(rng, a, 1)]).signatures()
+        assert all(np.bitwise_count(marks[0] ^ m).sum() <= 8 for m in marks)
+
+
+def test_working_columns_may_clash(spark):
+    docs = spark.createDataFrame([(1, "same line that is long enough to count\nx", "a", "b", "c", "d"), (2, "same line that is long enough to count\ny", "a", "b", "c", "d")],
+                                 "doc_id long, text string, id string, removed string, row string, __gone string")
+    got = {r.doc_id: r for r in linededup.dedup_lines(docs).collect()}
+    assert (got[2].text, got[2].n_removed, got[2].id, got[2].removed, got[2].row, got[2]["__gone"]) == ("y", 1, "a", "b", "c", "d") and got[1].n_removed == 0
+
+
 def test_odd_lines(spark, odd_docs, no_docs):
     got = linededup.dedup_lines(odd_docs)
     by = {r.doc_id: r for r in got.collect()}
