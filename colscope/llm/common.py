@@ -54,19 +54,20 @@ def connected_components(edges: DataFrame, label: str, rounds: int = 60) -> Data
 
     ``edges`` has long columns ``a`` and ``b``; the result has ``node`` and
     ``component``. Large-star and small-star rounds: every step is a minimum per
-    node (combined before the shuffle) and a join to one row per node, so a hub with
-    a third of the edges is split by the skew join, never gathered. Each round is
-    written to the shared folder, which also cuts its lineage.
+    node (combined before the shuffle) and a join to one row per node. The minima are
+    written first: both sides of the joins are then plain shuffles, so Spark splits a hub
+    with a third of the edges. Each round is written to the shared folder, which also
+    cuts its lineage.
     """
     stars = materialize(_oriented(edges.select("a", "b")), f"{label}-edges")
     before = _mark(stars)
     for _ in range(rounds):
         both = stars.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
             stars.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"{label}-least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         large = materialize(_oriented(large), f"{label}-large")
-        root = large.groupBy("a").agg(F.min("b").alias("m"))
+        root = materialize(large.groupBy("a").agg(F.min("b").alias("m")), f"{label}-root")
         small = large.join(root, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
             root.select("a", F.col("m").alias("b")))
         stars = materialize(_oriented(small), f"{label}-small")
@@ -88,22 +89,27 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
-FILTER_BITS = 1 << 24
+LEAST_BITS, MOST_BITS = 1 << 24, 1 << 28
 
 
 def member_words(df: DataFrame, column: str) -> np.ndarray:
-    """A fixed-size filter of a long column: 2^24 bits, whatever the number of rows.
+    """A filter of a long column: 16 bits a row, rounded up to a power of two, 2 MiB at least and 32 MiB at most.
 
-    It lets through every member and, when crowded, others too; a join must follow.
+    It lets through every member and some others, more of them when rows outnumber the
+    bits; a join must follow.
     """
-    bit = F.pmod(F.col(column), F.lit(FILTER_BITS))
+    bits = LEAST_BITS
+    rows = df.count()
+    while bits < MOST_BITS and bits < 16 * rows:
+        bits *= 2
+    bit = F.pmod(F.col(column), F.lit(bits))
     rows = (df.select(F.shiftright(bit, 6).alias("word"), F.expr(f"shiftleft(1L, cast(pmod({column}, 64) as int))").alias("bits"))
             .groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas())
-    words = np.zeros(FILTER_BITS // 64, np.int64)
+    words = np.zeros(bits // 64, np.int64)
     words[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
     return words.view(np.uint64)
 
 
 def membership(words: np.ndarray, values: np.ndarray) -> np.ndarray:
-    bit = values.view(np.uint64) & np.uint64(FILTER_BITS - 1)
+    bit = values.view(np.uint64) & np.uint64(64 * len(words) - 1)
     return (words[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) > 0

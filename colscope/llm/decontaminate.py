@@ -79,9 +79,10 @@ def _item_seeds(items: DataFrame, masks: list[tuple[int, ...]]) -> DataFrame:
         for b in batches:
             for item, words in zip(b.column("item_id").to_pylist(), b.column("words")):
                 key, at = _seeds_of(words.values.to_numpy().view(np.uint64), masks)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.full(len(at), item), pa.int64()), pa.array(at, pa.int32())], names=["key", "item_id", "item_at"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.full(len(at), item), pa.int64()), pa.array(at, pa.int32()), pa.array(np.full(len(at), len(words.values)), pa.int32())],
+                                                 names=["key", "item_id", "item_at", "item_n"])
 
-    return items.select("item_id", "words").mapInArrow(run, "key long, item_id long, item_at int")
+    return items.select("item_id", "words").mapInArrow(run, "key long, item_id long, item_at int, item_n int")
 
 
 def _regions(docs: DataFrame, masks: list[tuple[int, ...]], filter_words: np.ndarray) -> DataFrame:
@@ -173,8 +174,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     regions = _regions(docs, masks, member_words(seeds, "key")).withColumn("region", F.monotonically_increasing_id())
     regions = materialize(regions, "bench-regions")
     hits = regions.select("region", F.explode("seeds").alias("seed")).select("region", F.col("seed.key").alias("key"), F.col("seed.at").alias("at"))
-    pairs = hits.join(seeds, "key").select("region", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
+    pairs = hits.join(seeds, "key").select("region", "item_id", "item_n", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
+    # Only the words under the item go on, however long the stretch around them.
+    ahead, behind = F.greatest("shift", F.lit(0)), F.least("shift", F.lit(0))
     laid = (pairs.join(regions.drop("seeds"), "region")
+            .select("doc_id", "item_id", behind.alias("shift"), (F.col("start") + ahead).alias("start"), "doc_words",
+                    F.slice("words", ahead + 1, F.col("item_n") + behind).alias("words"))
             .join(items.select("item_id", F.col("words").alias("item_words")), "item_id")
             .select("doc_id", "item_id", "shift", "start", "doc_words", "words", "item_words"))
     found = laid.mapInArrow(_verify, "doc_id long, item_id long, window_matches long, matches long, item_words long, doc_at long")
@@ -186,5 +191,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Documents that hold no benchmark passage, all columns; those without an id stay."""
-    bad = contaminated(docs, benchmark).select(F.col("doc_id").alias("__doc")).distinct()
-    return docs.join(bad, F.col("doc_id") == F.col("__doc"), "left_anti")
+    return docs.join(contaminated(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)

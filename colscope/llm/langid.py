@@ -57,10 +57,9 @@ class Profiles:
         return self.grams[at].astype(np.float32)
 
     def _codes(self, piece: str) -> np.ndarray:
-        """Code points with every run of other characters as one gap (0)."""
+        """Code points of the lower-cased letters, 0 for other characters."""
         codes = np.frombuffer(piece.lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        codes = np.where(self._is_letter(codes), codes, 0) if len(codes) else codes
-        return codes[np.concatenate([[True], (codes[1:] != 0) | (codes[:-1] != 0)])] if len(codes) else codes
+        return np.where(self._is_letter(codes), codes, 0) if len(codes) else codes
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """A vector per text, and whether the text holds a letter.
@@ -85,10 +84,12 @@ class Profiles:
             ids, owners, held = [], [], 0
 
         for i, text in enumerate(texts):
-            text = text or ""
-            for at in range(0, len(text), PIECE):
-                codes = self._codes((" " if at == 0 else text[max(0, at - 2):at]) + text[at:at + PIECE] + (" " if at + PIECE >= len(text) else ""))
+            text, before = text or "", np.zeros(1, np.int64)
+            for at in range(0, len(text), PIECE):  # the last two codes go on, so no trigram is lost at a cut
+                codes = np.concatenate([before, self._codes(text[at:at + PIECE]), np.zeros(int(at + PIECE >= len(text)), np.int64)])
                 lettered[i] |= bool((codes > 0).any())
+                codes = codes[np.concatenate([[True], (codes[1:] != 0) | (codes[:-1] != 0)])]
+                before = codes[-2:]
                 if len(codes) > 2:
                     gram = codes[:-2] << 42 | codes[1:-1] << 21 | codes[2:]
                     ids.append(gram), owners.append(np.full(len(gram), i))

@@ -98,11 +98,13 @@ def mix_sources(docs: DataFrame, budget_share: float = 1.0, entropy: float = 0.9
 
     Everything per document is a hash, an aggregate or a window over one block of about
     ``block_tokens``; blocks are put in order in two levels, so no source, however large,
-    meets in one task.
+    meets in one task. The hash takes in the text, so that rows of one id, or without one,
+    spread over the blocks too.
     """
+    name = hash60(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.md5(F.col("text").cast("binary")))
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("-")).alias("source"),
-                         n_words(F.col("text")).alias("tokens")).where("tokens > 0")
-    narrow = materialize(narrow.withColumn("h", hash60(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")))), "mix-docs")
+                         n_words(F.col("text")).alias("tokens"), name.alias("h")).where("tokens > 0")
+    narrow = materialize(narrow, "mix-docs")
     sources = source_totals(narrow)
     step, budget = exponent(sources, budget_share, entropy, repeats)
     power = F.pow("share", F.lit(step / STEPS))
@@ -132,7 +134,7 @@ def mix_sources(docs: DataFrame, budget_share: float = 1.0, entropy: float = 0.9
 ORACLE = r"""
 WITH docs AS (
   SELECT doc_id, coalesce('s' || source, '-') AS source, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS tokens,
-         ('0x' || substr(md5('mix:' || doc_id), 1, 15))::BIGINT AS h
+         ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '-') || ':' || md5(text)), 1, 15))::BIGINT AS h
   FROM documents WHERE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) > 0),
 sources AS (
   SELECT source, sum(tokens)::BIGINT AS n, sum(tokens) / sum(sum(tokens)) OVER () AS share, sum(sum(tokens)) OVER ()::BIGINT AS total

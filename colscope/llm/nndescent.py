@@ -34,17 +34,17 @@ def _units(column: pa.ChunkedArray, rows: int) -> np.ndarray:
 
 
 def distinct_vectors(df: DataFrame) -> DataFrame:
-    """Usable vectors, equal ones collapsed: ``node``, ``cell``, ``first``, ``copies``, ``vec``."""
+    """Usable vectors, equal ones collapsed: ``node``, ``cell``, ``first``, ``copies``, ``audited`` (one has an id divisible by 50), ``vec``."""
     ok = df.where("label is not null and exists(vec, x -> x <> 0) and "
                   "not exists(vec, x -> x is null or isnan(x) or abs(x) = double('infinity'))")
-    return (ok.groupBy("label", "vec").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"))
+    return (ok.groupBy("label", "vec").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"), F.coalesce(F.bool_or(F.col("vec_id") % 50 == 0), F.lit(False)).alias("audited"))
             .select(F.monotonically_increasing_id().alias("node"), F.xxhash64("label", F.size("vec")).alias("cell"),
-                    "label", "first", "copies", "vec"))
+                    "label", "first", "copies", "audited", "vec"))
 
 
 def _chunked(keys: DataFrame, most: int) -> DataFrame:
     """Split keys with more than ``most`` members by a hash of the member."""
-    big = keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > most)
+    big = materialize(keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > most), "nn-crowded")
     return keys.join(big, "key", "left").select(
         F.when(F.col("n").isNull(), F.col("key")).otherwise(
             F.xxhash64("key", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / most)))).alias("key"), "node")
@@ -73,7 +73,13 @@ def _tree_keys(nodes: DataFrame, trees: range, leaf: int) -> DataFrame:
     return sized.select("node", "cell", "n", "vec").mapInArrow(run, "key long, node long")
 
 
-def _local_join(members: DataFrame, nodes: DataFrame, lists: DataFrame | None, keep: int) -> DataFrame:
+def ranked_similarity(sim: np.ndarray, threshold: float) -> np.ndarray:
+    """Similarities rounded, so that a pair has one value wherever it is met, but never across the threshold."""
+    near = np.round(sim, 10)
+    return np.where(sim >= threshold, np.maximum(near, threshold), np.minimum(near, np.nextafter(threshold, -1)))
+
+
+def _local_join(members: DataFrame, nodes: DataFrame, lists: DataFrame | None, keep: int, threshold: float) -> DataFrame:
     """All pairs of every chunk's members that beat a list: ``node``, ``nbr``, ``sim``."""
     table = nodes.select("node", "vec", "cell")
     if lists is None:
@@ -98,7 +104,7 @@ def _local_join(members: DataFrame, nodes: DataFrame, lists: DataFrame | None, k
                 a.append(node[s:e][i]), b.append(node[s:e][j]), sim.append(own[i, j])
             if not a:
                 continue
-            a, b, sim = np.concatenate(a), np.concatenate(b), np.round(np.concatenate(sim), 10)
+            a, b, sim = np.concatenate(a), np.concatenate(b), ranked_similarity(np.concatenate(sim), threshold)
             order = np.lexsort((b, -sim, a))
             a, b, sim = a[order], b[order], sim[order]
             new = np.concatenate([[True], (np.diff(a) != 0) | (np.diff(b) != 0)]) if len(a) else np.zeros(0, bool)
@@ -124,7 +130,7 @@ def _members(lists: DataFrame, k: int) -> DataFrame:
     """Neighbours of every vertex both ways; many reverse neighbours come in chunks."""
     ahead = lists.select(F.col("node").alias("v"), F.explode("near.nbr").alias("u"))
     back = ahead.select(F.col("u").alias("v"), F.col("v").alias("u"))
-    parts = back.groupBy("v").agg(F.ceil(F.count("*") / (2 * k)).alias("parts"))
+    parts = materialize(back.groupBy("v").agg(F.ceil(F.count("*") / (2 * k)).alias("parts")), "nn-reverse")
     some = back.join(parts, "v").select("v", "u", F.pmod(F.xxhash64("u"), F.col("parts")).alias("c"))
     every = (ahead.join(parts, "v", "left")
              .select("v", "u", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)).alias("c")))
@@ -195,20 +201,20 @@ def near_vectors(df: DataFrame, threshold: float = 0.93, k: int = 8, most_k: int
     """
     rows = df.select(F.col("vec_id").cast("long").alias("vec_id"), "label", F.col("embedding").alias("vec"))
     nodes = materialize(distinct_vectors(rows), "nn-nodes")
-    truth = materialize(_block_pass(nodes.where("first % 50 = 0"), nodes, threshold, False)
+    truth = materialize(_block_pass(nodes.where("audited"), nodes, threshold, False)
                         .groupBy("a").agg(F.sum("n").alias("n")), "nn-audit")
     truth = truth.where("n > 0").select(F.col("a").alias("node"), F.col("n").alias("want"))
     lists = nodes.select("node", F.array().cast("array<struct<sim:double,nbr:bigint>>").alias("near"), F.lit(k).alias("k"))
     for attempt in range(retries + 1):
         keys = _chunked(_tree_keys(nodes, range(attempt * trees, (attempt + 1) * trees), leaf), CHUNK)
-        lists = materialize(_merged(lists, _local_join(keys, nodes, lists, k), threshold, most_k), "nn-lists")
+        lists = materialize(_merged(lists, _local_join(keys, nodes, lists, k, threshold), threshold, most_k), "nn-lists")
         seen = -1
         for _ in range(rounds):
             now = lists.agg(F.sum(F.size(F.filter("near", lambda x: x["sim"] >= threshold)))).first()[0] or 0
             if now == seen:
                 break
             seen = now
-            found = _local_join(_members(lists, k), nodes, lists, most_k)
+            found = _local_join(_members(lists, k), nodes, lists, most_k, threshold)
             lists = materialize(_merged(lists, found, threshold, most_k), "nn-lists")
         degrees, links = _links(nodes, lists, threshold, k)
         audit = (truth.join(lists.where(_saturated(k, threshold)), "node", "left_anti").join(degrees, "node", "left")

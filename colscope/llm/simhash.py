@@ -146,20 +146,20 @@ def _spanning(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.
     return np.array(a, np.uint64), np.array(b, np.uint64), np.array(d, np.int64)
 
 
-def hamming_links(fps: DataFrame, radius: int = 2, sample: int = 8192, per_shard: int = 20_000,
-                  most_shards: int = 1024, least_shards: int = 48) -> DataFrame:
+def hamming_links(fps: DataFrame, radius: int = 2, sample: int = 8192, per_shard: int = 20_000, least_shards: int = 48) -> DataFrame:
     """Spanning links ``a``, ``b``, ``distance`` of distinct fingerprints within ``radius``.
 
     ``fps`` has one row per distinct ``t`` (number of a fingerprint table, links stay
     within one) and ``fp``. Only the top trees are fitted on samples (``sample``
-    fingerprints a table at most, in hash order, sent to the driver); every fingerprint is
-    indexed and every pair within the radius is found.
+    fingerprints a table or 16 a shard, in hash order, sent to the driver); every
+    fingerprint is indexed and every pair within the radius is found. The number of shards
+    follows the fingerprints, ``per_shard`` each, so a shard always fits one task.
     """
     sizes = {r.t: r.n for r in fps.groupBy("t").agg(F.count("*").alias("n")).collect()}
     trees = {}
     for t, n in sizes.items():
-        rows = fps.where(F.col("t") == t).orderBy(F.xxhash64("fp"), "fp").limit(sample).toPandas()
-        shards = min(most_shards, max(-(-least_shards // len(sizes)), -(-n // per_shard)))
+        shards = max(-(-least_shards // len(sizes)), -(-n // per_shard))
+        rows = fps.where(F.col("t") == t).orderBy(F.xxhash64("fp"), "fp").limit(max(sample, 16 * shards)).toPandas()
         trees[t] = VpTree(rows["fp"].to_numpy(np.int64).view(np.uint64), shards, radius)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,12 +290,15 @@ def _rest_links(placed: DataFrame, parts: DataFrame, sets: DataFrame, similarity
     places = (at.groupBy("t", "fp", "part").agg(F.count("*").alias("n"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("h"))
               .groupBy("t", "fp").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.sum("h").alias("h"), F.max_by("part", "n").alias("main"))
               .where("parts > 1").dropDuplicates(["n", "h"]).select("t", "fp", "main"))
+    places = materialize(places, "copies-open")
     sized = materialize(at.join(places, ["t", "fp"]).join(sets.select(F.col("doc_id").alias("rep"), F.size("shingles").alias("size")), "rep")
                         .select(F.xxhash64("t", "fp").alias("place"), "rep", "part", "size", (F.col("part") != F.col("main")).alias("asked")), "copies-rest")
     blocks = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_SHINGLES))
+    # Written, as the other side of a join that may be hot must be a plain shuffle.
     split = sized.groupBy("place").agg(
         blocks(F.count("*"), F.sum("size")).alias("rb"),
         blocks(F.count_if("asked"), F.sum(F.when(F.col("asked"), F.col("size")).otherwise(0))).alias("qb"))
+    split = materialize(split, "copies-split")
     spread = lambda own, other, query: sized.where("asked" if query else "true").join(split, "place").select(
         F.pmod(F.xxhash64("rep"), F.col(own)).alias("mine"), F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)).alias("theirs"),
         "place", "rep", "part", F.lit(query).alias("query"))
@@ -380,5 +383,4 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, tabl
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """All columns of ``docs``, of each group of near copies the document with the smallest id."""
-    gone = near_copies(docs, **options).select(F.col("doc_id").alias("__doc"))
-    return docs.join(gone, F.col("doc_id") == F.col("__doc"), "left_anti")
+    return docs.join(near_copies(docs, **options).select("doc_id"), "doc_id", "left_anti").select(*docs.columns)

@@ -37,7 +37,7 @@ def allowed_errors(term: str) -> int:
 
 
 class Automaton:
-    """Deterministic table of a trie with errors. State 0 is dead, 1 the start.
+    """Deterministic table of a trie with errors. State 0 is dead, 1 the start; rows fill as texts need them.
 
     ``terms`` are matched whole with ``allowed_errors`` edits (a swap of neighbours is
     one), ``stems`` without errors at the start of a word.
@@ -46,10 +46,9 @@ class Automaton:
     def __init__(self, terms: list[str], stems: list[str]):
         self.names = [*terms, *stems]
         letters = sorted({c for t in self.names for c in t})
-        self.classes = np.zeros(0x110000, np.uint8)
-        for i, c in enumerate(letters[:250]):
-            self.classes[ord(c)] = i + 1
-        self.width = len(letters[:250]) + 1
+        self.classes = np.zeros(0x110000, np.uint32)  # 0: a character of no term
+        self.classes[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        self.width = len(letters) + 1
         nodes: list[dict[int, int]] = [{}]
         ends: dict[int, tuple[int, bool]] = {}
         limits = [0]
@@ -63,66 +62,77 @@ class Automaton:
                     limits.append(errors)
                 at = nodes[at][step]
             ends.setdefault(at, (number, number >= len(terms)))
-        self._compile(nodes, ends, limits)
-
-    def _compile(self, nodes: list[dict], ends: dict, limits: list[int]) -> None:
-        def closed(items: set) -> frozenset:
-            todo, got = list(items), set(items)
-            while todo:
-                node, errors, swap = todo.pop()
-                if not swap and errors < limits[node]:
-                    for child in nodes[node].values():
-                        if (child, errors + 1, 0) not in got:
-                            got.add((child, errors + 1, 0))
-                            todo.append((child, errors + 1, 0))
-            return frozenset(got)
-
-        def step(state: frozenset, c: int) -> frozenset:
-            out = set()
-            for node, errors, swap in state:
-                if swap:
-                    if c == swap:
-                        out.add((node, errors, 0))
-                    continue
-                child = nodes[node].get(c)
-                if child is not None:
-                    out.add((child, errors, 0))
-                if errors < limits[node]:
-                    out.add((node, errors + 1, 0))
-                    for first, x in nodes[node].items():
-                        out.add((x, errors + 1, 0))
-                        if c in nodes[x] and first != c:
-                            out.add((nodes[x][c], errors + 1, first))
-            return closed(out)
-
-        def verdict(state: frozenset) -> tuple[int, int, bool]:
-            best = min(((e, ends[n][0], ends[n][1]) for n, e, swap in state if not swap and n in ends), default=None)
-            return (best[1], best[0], best[2]) if best else (-1, 0, False)
-
-        start = closed({(root, 0, 0) for root in nodes[0].values()})
-        numbers, table, self.term, self.errors, self.final = {frozenset(): 0, start: 1}, [], [], [], []
-        order, at = [frozenset(), start], 0
-        while at < len(order):
-            term, errors, stem = verdict(order[at])
-            self.term.append(term), self.errors.append(errors), self.final.append(stem)
-            row = []
-            for c in range(self.width):
-                nxt = step(order[at], c) if at and not stem else frozenset()
-                if nxt not in numbers:
-                    numbers[nxt] = len(order)
-                    order.append(nxt)
-                row.append(numbers[nxt])
-            table.append(row)
-            at += 1
-        self.table = np.array(table, np.int32)
-        self.term, self.errors, self.final = np.array(self.term), np.array(self.errors), np.array(self.final)
+        self.nodes, self.ends, self.limits = nodes, ends, limits
+        start = self._closed({(root, 0, 0) for root in nodes[0].values()})
+        self.sets, self.numbers = [], {}
+        self.table = np.full((64, self.width), -1, np.int32)
+        self.term, self.errors, self.final = np.full(64, -1), np.zeros(64, np.int64), np.zeros(64, bool)
+        self._number(frozenset())
+        self._number(start)
+        self.table[0] = 0
+
+    def _closed(self, items: set) -> frozenset:
+        """With what is reached by leaving letters out."""
+        todo, got = list(items), set(items)
+        while todo:
+            node, errors, swap = todo.pop()
+            if not swap and errors < self.limits[node]:
+                for child in self.nodes[node].values():
+                    if (child, errors + 1, 0) not in got:
+                        got.add((child, errors + 1, 0))
+                        todo.append((child, errors + 1, 0))
+        return frozenset(got)
+
+    def _step(self, state: frozenset, c: int) -> frozenset:
+        nodes, out = self.nodes, set()
+        for node, errors, swap in state:
+            if swap:
+                if c == swap:
+                    out.add((node, errors, 0))
+                continue
+            child = nodes[node].get(c)
+            if child is not None:
+                out.add((child, errors, 0))
+            if errors < self.limits[node]:
+                out.add((node, errors + 1, 0))
+                for first, x in nodes[node].items():
+                    out.add((x, errors + 1, 0))
+                    if c in nodes[x] and first != c:
+                        out.add((nodes[x][c], errors + 1, first))
+        return self._closed(out)
+
+    def _number(self, state: frozenset) -> int:
+        """The state's number; a new state gets an empty row."""
+        if state not in self.numbers:
+            n = self.numbers[state] = len(self.sets)
+            self.sets.append(state)
+            if n >= len(self.table):
+                self.table = np.concatenate([self.table, np.full_like(self.table, -1)])
+                self.term, self.errors, self.final = (np.concatenate([x, np.full_like(x, fill)]) for x, fill in ((self.term, -1), (self.errors, 0), (self.final, False)))
+            best = min(((e, *self.ends[at]) for at, e, swap in state if not swap and at in self.ends), default=None)
+            if best:
+                self.errors[n], self.term[n], self.final[n] = best
+            if best and best[2]:
+                self.table[n] = 0
+        return self.numbers[state]
+
+    def _next(self, state: np.ndarray, classes: np.ndarray) -> np.ndarray:
+        """Following states; steps met for the first time are worked out and kept."""
+        out = self.table[state, classes]
+        new = np.flatnonzero(out < 0)
+        if len(new):
+            for s, c in {*zip(state[new].tolist(), classes[new].tolist())}:
+                to = self._number(self._step(self.sets[s], c))
+                self.table[s, c] = to
+            out = self.table[state, classes]
+        return out
 
     def run(self, classes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the words that match, and their last states."""
         words, state, at = np.arange(len(starts)), np.ones(len(starts), np.int32), starts.copy()
         hit_words, hit_states = [], []
         while len(words):
-            state = self.table[state, classes[at]]
+            state = self._next(state, classes[at])
             at = at + 1
             live = state > 0
             words, state, at = words[live], state[live], at[live]
@@ -208,29 +218,31 @@ class Scanner:
         return weight
 
 
-def learned_terms(sample: DataFrame, most: int = 64, ratio: float = 20.0, support: float = 0.01) -> tuple[list[str], list[str]]:
+def learned_terms(sample: DataFrame, ratio: float = 20.0, support: float = 0.01) -> tuple[list[str], list[str]]:
     """Whole words and stems that mark label 1 in the sample (``text``, ``y``).
 
-    A term is taken if its rate in toxic documents is ``ratio`` times that in the others
-    and it stands in ``support`` of the toxic ones (5 at least). Counts are aggregates over
-    distinct words per document; only the chosen terms come to the driver.
+    A term of any length is taken if its rate in toxic documents is ``ratio`` times that in
+    the others and it stands in ``support`` of the toxic ones (5 at least); a stem is the
+    first 4 to 8 letters of such words, and none that begins with another stem. Counts are
+    aggregates over distinct words per document; only the chosen terms come to the driver,
+    and the sample bounds their number.
     """
     sizes = {r.y: r.n for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     bad, good = sizes.get(1, 0), sizes.get(0, 0)
     if not bad or not good:
         return [], []
     words = sample.select("y", F.explode(F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+"))).alias("term"))
-    counted = words.where(F.length("term").between(4, 24)).groupBy("term").agg(F.sum("y").alias("bad"), F.count_if(F.col("y") == 0).alias("good"))
+    counted = words.where("term <> ''").groupBy("term").agg(F.sum("y").alias("bad"), F.count_if(F.col("y") == 0).alias("good"))
     counted = materialize(counted, "tox-words")
     strong = (F.col("bad") >= max(5, support * bad)) & ((F.col("bad") + 0.5) / bad >= ratio * (F.col("good") + 0.5) / good)
-    top = lambda df, n: [r.term for r in df.where(strong).orderBy(F.desc("bad"), F.length("term"), "term").limit(n).collect()]
-    whole = top(counted, most)
-    prefixes = counted.select(F.explode(F.transform(F.sequence(F.lit(4), F.least(F.lit(8), F.length("term"))), lambda n: F.substring("term", 1, n))).alias("term"), "bad", "good")
-    stems, kept = top(prefixes.groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")), 8 * most), []
-    for stem in sorted(stems, key=len):
-        if not any(stem.startswith(k) for k in kept):
-            kept.append(stem)
-    return whole, kept[:most]
+    chosen = lambda df: sorted(r.term for r in df.where(strong).select("term").collect())
+    prefixes = counted.where(F.length("term") >= 4).select(
+        F.explode(F.transform(F.sequence(F.lit(4), F.least(F.lit(8), F.length("term"))), lambda n: F.substring("term", 1, n))).alias("term"), "bad", "good")
+    stems: set[str] = set()
+    for stem in sorted(chosen(prefixes.groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))), key=len):
+        if not any(stem[:n] in stems for n in range(4, len(stem))):
+            stems.add(stem)
+    return chosen(counted), sorted(stems)
 
 
 def hit_sums(docs: DataFrame, terms: list[str], stems: list[str]) -> DataFrame:
