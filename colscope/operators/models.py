@@ -6,8 +6,7 @@ import math
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (GBTClassifier, MultilayerPerceptronClassifier, OneVsRest,
-                                       RandomForestClassifier)
+from pyspark.ml.classification import MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -15,6 +14,7 @@ from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit, TrainValid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import boosting
 from .evaluate import rank_metrics, top_k
 
 # Size of the tree models.
@@ -27,6 +27,9 @@ def _pipeline(features: Sequence[str], label: str, classifier) -> Pipeline:
     return Pipeline(stages=[assemble, index, classifier])
 
 
+Model = PipelineModel | boosting.BoostedModel
+
+
 def train_type_model(train: DataFrame, features: Sequence[str], label: str = "trace_type",
                      trees: int = TREES, depth: int = DEPTH, seed: int = 100) -> PipelineModel:
     """Chart-type classifier over many classes (a forest of shallow trees)."""
@@ -35,19 +38,15 @@ def train_type_model(train: DataFrame, features: Sequence[str], label: str = "tr
 
 
 def train_boosted_type_model(train: DataFrame, features: Sequence[str], label: str = "trace_type",
-                             trees: int = TREES, depth: int = DEPTH, seed: int = 100) -> PipelineModel:
-    """Chart-type classifier as one boosted model per class."""
-    boosted = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=LEARNING_RATE, subsamplingRate=0.8, seed=seed)
-    return _pipeline(features, label, OneVsRest(classifier=boosted)).fit(train)
+                             trees: int = TREES, depth: int = DEPTH, seed: int = 100) -> boosting.BoostedModel:
+    """Chart-type classifier: boosted trees over all classes at once (see ``boosting.fit``)."""
+    return boosting.fit(train, features, label, trees, depth=depth, rate=LEARNING_RATE, seed=seed)
 
 
 def train_axis_model(train: DataFrame, features: Sequence[str], label: str = "is_x_or_y",
-                     trees: int = TREES, depth: int = DEPTH, seed: int = 100) -> PipelineModel:
-    """Axis-role classifier (boosted trees, two classes)."""
-    assemble = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
-    index = StringIndexer(inputCol=label, outputCol="label", stringOrderType="alphabetAsc", handleInvalid="error")
-    boosted = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=LEARNING_RATE, subsamplingRate=0.8, seed=seed)
-    return Pipeline(stages=[assemble, index, boosted]).fit(train)
+                     trees: int = TREES, depth: int = DEPTH, seed: int = 100) -> boosting.BoostedModel:
+    """Axis-role classifier: boosted trees, two classes."""
+    return boosting.fit(train, features, label, trees, depth=depth, rate=LEARNING_RATE, seed=seed)
 
 
 def train_network(train: DataFrame, features: Sequence[str], classes: int, label: str = "trace_type",
@@ -59,35 +58,32 @@ def train_network(train: DataFrame, features: Sequence[str], classes: int, label
     return Pipeline(stages=[assemble, index, net]).fit(train)
 
 
-def class_labels(model: PipelineModel) -> list[str]:
+def class_labels(model: Model) -> list[str]:
     """Class names by index, as numbered in training."""
-    return list(model.stages[1].labels)
+    return list(model.labels if isinstance(model, boosting.BoostedModel) else model.stages[1].labels)
 
 
-def score(model: PipelineModel, df: DataFrame) -> DataFrame:
+def score(model: Model, df: DataFrame) -> DataFrame:
     """Rows with ``probability`` as an array and the true class number when known."""
     out = model.transform(df)
-    if "probability" not in out.columns:
-        # One-vs-rest gives margins only; the logistic of each margin ranks the classes.
-        raw = F.transform(vector_to_array("rawPrediction"), lambda m: 1 / (1 + F.exp(-2 * m)))
-        total = F.aggregate(raw, F.lit(0.0), lambda a, p: a + p)
-        return out.withColumn("probability", F.transform(raw, lambda p: p / total))
+    if isinstance(model, boosting.BoostedModel):
+        return out
     return out.withColumn("probability", vector_to_array("probability"))
 
 
-def predict(model: PipelineModel, df: DataFrame, k: int = 2) -> DataFrame:
+def predict(model: Model, df: DataFrame, k: int = 2) -> DataFrame:
     """Best types with probabilities; numbers outside the mapping give ``unknown``."""
     labels = F.array(*[F.lit(x) for x in class_labels(model)])
     return top_k(score(model, df), "probability", labels, k)
 
 
-def evaluate_model(model: PipelineModel, test: DataFrame) -> DataFrame:
+def evaluate_model(model: Model, test: DataFrame) -> DataFrame:
     return rank_metrics(score(model, test), "probability", "label")
 
 
-def importances(spark: SparkSession, model: PipelineModel, features: Sequence[str]) -> DataFrame:
-    """Importance per input feature of a tree model."""
-    weights = model.stages[-1].featureImportances.toArray()
+def importances(spark: SparkSession, model: Model, features: Sequence[str]) -> DataFrame:
+    """Importance per input feature of a tree model (a boosted model's share of the total gain)."""
+    weights = model.importances() if isinstance(model, boosting.BoostedModel) else model.stages[-1].featureImportances.toArray()
     return spark.createDataFrame([(f, float(w)) for f, w in zip(features, weights)],
                                  "feature string, importance double")
 
