@@ -24,31 +24,45 @@ def mask_chart_terms(text: Column, terms: Sequence[str] = CHART_TERMS) -> Column
 _PARTS = r'(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+"|[^"]++|"'
 
 
-def lenient(text: Column) -> Column:
-    """JSON as model answers write it: raw control characters inside texts are escaped,
+def lenient(text: Column, control: bool = True) -> Column:
+    """JSON as model answers write it: raw control characters inside texts are escaped (with ``control``),
     bare NaN and infinities become null. Other texts are returned as they are."""
     def part(p: Column) -> Column:
         quoted = p
-        for raw, shown in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\b", "\\b"), ("\f", "\\f")):
+        for raw, shown in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\b", "\\b"), ("\f", "\\f")) if control else ():
             quoted = F.replace(quoted, F.lit(raw), F.lit(shown))
-        quoted = F.regexp_replace(quoted, r"[\x00-\x1f]", " ")
+        quoted = F.regexp_replace(quoted, r"[\x00-\x1f]", " ") if control else quoted
         return F.when(p.startswith('"'), quoted).otherwise(F.regexp_replace(p, r"(?<![\w.])-?(?:NaN|Infinity)(?![\w.])", "null"))
 
-    odd = text.rlike(r"[\x00-\x1f]|NaN|Infinity")
+    odd = text.rlike(r"[\x00-\x1f]|NaN|Infinity" if control else "NaN|Infinity")
     return F.when(odd, F.array_join(F.transform(F.regexp_extract_all(text, F.lit(_PARTS), 0), part), "")).otherwise(text)
 
 
-def is_json(text: Column) -> Column:
-    """True when the whole text is one JSON value.
+def is_json(text: Column, strict: bool = False) -> Column:
+    """True when the whole text is one JSON value, read as ``json.loads`` does.
 
-    The variant parser stops after the first value, so the text is read inside a
+    NaN and infinities and repeated keys are allowed, raw control characters inside texts
+    unless ``strict``. The parser stops after the first value, so the text is read inside a
     list and inside an object: trailing text breaks at least one of them.
     """
-    in_list = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    in_object = F.try_parse_json(F.concat(F.lit('{"r":'), text, F.lit("}")))
-    one = F.try_variant_get(in_list, "$[0]", "variant").isNotNull()
-    more = F.try_variant_get(in_list, "$[1]", "variant").isNotNull()
-    return F.coalesce(in_list.isNotNull() & in_object.isNotNull() & one & ~more, F.lit(False))
+    text = lenient(text, not strict)
+    listed, keyed = F.concat(F.lit("["), text, F.lit("]")), F.concat(F.lit('{"r":'), text, F.lit("}"))
+    in_list, in_object = F.try_parse_json(listed), F.try_parse_json(keyed)
+    first = F.try_variant_get(in_list, "$[0]", "variant").isNotNull()
+    plain = in_list.isNotNull() & in_object.isNotNull() & first & F.try_variant_get(in_list, "$[1]", "variant").isNull()
+    # The variant parser refuses repeated keys; a text that may hold some goes through the other one.
+    names = F.regexp_extract_all(text, F.lit(r'"((?:[^"\\]++|\\.)*+)"\s*:'), 1)
+    options = {"allowSingleQuotes": "false"}
+    tolerant = (F.size(F.from_json(listed, "array<string>", options)) == 1) & (F.size(F.map_keys(F.from_json(keyed, "map<string,string>", options))) == 1)
+    return F.coalesce(F.when(plain, F.lit(True)).when(F.size(F.array_distinct(names)) < F.size(names), tolerant), F.lit(False))
+
+
+def last_keys(text: Column) -> Column:
+    """JSON text in which the last of equal keys stands; meant for the few texts that have such keys, NULL for others."""
+    def settled(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else json.dumps(json.loads(t, strict=False), ensure_ascii=False, separators=(",", ":")))
+
+    return F.pandas_udf(settled, "string")(text)
 
 
 def clean_response(text: Column) -> Column:
@@ -59,20 +73,22 @@ def clean_response(text: Column) -> Column:
     inner = F.when(bare.rlike(r"(?s)^[^\[]*\{.*\}"), F.regexp_extract(bare, r"(?s)^[^{\[]*(\{.*\})", 1)) \
         .when(bare.rlike(r"(?s)^[^{]*\[.*\]"), F.regexp_extract(bare, r"(?s)^[^{\[]*(\[.*\])", 1)) \
         .otherwise(F.regexp_extract(bare, r"(?s)([{\[].*)", 1))
-    chosen = F.when((inner != "") & is_json(lenient(inner)), inner).otherwise(bare)
+    chosen = F.when((inner != "") & is_json(inner), inner).otherwise(bare)
     commas = F.regexp_replace(chosen, r",(\s*[}\]])", "$1")
     return F.regexp_replace(commas, r"^\s+|\s+$", "")
 
 
 def recover_json(cleaned: Column) -> Column:
-    """The text itself, else wrapped in braces, else with double quotes; NULL when none parses."""
-    wrapped = lenient(F.concat(F.lit("{"), cleaned, F.lit("}")))
+    """The text itself, else wrapped in braces, else with double quotes; NULL when none parses.
+
+    Repaired texts are read strictly, as they are by ``json.loads`` without options.
+    """
+    wrapped = F.concat(F.lit("{"), cleaned, F.lit("}"))
     braced = cleaned.startswith("{") & cleaned.endswith("}")
-    quoted = lenient(F.replace(cleaned, F.lit("'"), F.lit('"')))
-    cleaned = lenient(cleaned)
+    quoted = F.replace(cleaned, F.lit("'"), F.lit('"'))
     return (F.when(is_json(cleaned), cleaned)
-            .when(~braced & is_json(wrapped), wrapped)
-            .when((quoted != cleaned) & is_json(quoted), quoted))
+            .when(~braced & is_json(wrapped, True), wrapped)
+            .when((quoted != cleaned) & is_json(quoted, True), quoted))
 
 
 def parse_responses(df: DataFrame, text: str) -> DataFrame:
@@ -82,7 +98,9 @@ def parse_responses(df: DataFrame, text: str) -> DataFrame:
     invalid without an error, as are objects with no key.
     """
     stepped = (df.withColumn("_clean", clean_response(F.col(text)))
-               .withColumn("_json", recover_json(F.col("_clean")))
+               .withColumn("_raw", recover_json(F.col("_clean")))
+               .withColumn("_json", lenient(F.col("_raw")))
+               .withColumn("_json", F.coalesce(last_keys(F.when(F.try_parse_json("_json").isNull(), F.col("_json"))), "_json"))
                .withColumn("_first", F.substring("_json", 1, 1)))
     hollow = F.col("_json").rlike(r'^(\{\s*\}|\[\s*\]|-?0+(\.0+)?|""|null|false)$')
     good = F.col("_json").isNotNull() & ~hollow & (F.col("_first") == "{")
@@ -92,7 +110,7 @@ def parse_responses(df: DataFrame, text: str) -> DataFrame:
     return (stepped.withColumn("valid", F.coalesce(good, F.lit(False)))
             .withColumn("data", F.when(good, F.col("_json")))
             .withColumn("errors", errors)
-            .drop("_clean", "_json", "_first"))
+            .drop("_clean", "_raw", "_json", "_first"))
 
 
 _TOKEN = re.compile(r'[ \t\r\n]*(?:([\[\]{}:,])|("[^"\\]*(?:\\.[^"\\]*)*")|(-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null))', re.S)

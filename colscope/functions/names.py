@@ -47,3 +47,16 @@ def field_id(fid: Column, uid: Column) -> Column:
 def bare_table_name(name: Column) -> Column:
     """Lower case, without a ``.csv`` ending."""
     return F.regexp_replace(F.lower(name), r"\.csv$", "")
+
+
+def unique_names(header: Column) -> Column:
+    """Column names as pandas reads them: a repeated ``a`` is ``a.1``, a blank one ``Unnamed: 0`` by its place."""
+    named = F.transform(header, lambda h, i: F.coalesce(h, F.concat(F.lit("Unnamed: "), i.cast("string"))))
+    none = F.array().cast("array<string>")
+
+    def add(taken: Column, name: Column) -> Column:
+        fresh = F.filter(F.transform(F.sequence(F.lit(1), F.size(named) + F.lit(1)), lambda k: F.concat(name, F.lit("."), k.cast("string"))),
+                         lambda c: ~F.array_contains(taken, c) & ~F.array_contains(named, c))
+        return F.concat(taken, F.array(F.when(F.array_contains(taken, name), F.get(fresh, F.lit(0))).otherwise(name)))
+
+    return F.aggregate(named, none, add)

@@ -377,10 +377,26 @@ def shared_elements(hist: DataFrame, field_a: str, field_b: str, table_keys: Seq
 
 # ------------------------------------------------------------------ assembly
 
+def distinct_fields(cells: DataFrame, fields: DataFrame) -> DataFrame:
+    """Cells in which equally named columns of one table are fields of their own: ``a``, ``a.1`` by place.
+
+    ``fields`` has a row per ``fid``, ``field_id`` and ``ord``. A number that another column
+    of the table already bears is passed over.
+    """
+    ids = fields.select(*KEYS, "ord").distinct().groupBy("fid").agg(F.array_sort(F.collect_list(F.struct("ord", "field_id"))).alias("all"))
+    names = F.transform("all", lambda f: f["field_id"])
+    named = ids.select("fid", F.posexplode(F.arrays_zip(F.transform("all", lambda f: f["ord"]).alias("ord"), names.alias("old"), fn.unique_names(names).alias("new"))).alias("i", "f"))
+    named = materialize(named.select("fid", F.col("f.ord").alias("ord"), F.col("f.old").alias("field_id"), F.col("f.new").alias("_new")).where("field_id <> _new"), "renamed")
+    return (cells.join(named, ["fid", "field_id", "ord"], "left")
+            .select(*[F.coalesce("_new", "field_id").alias(c) if c == "field_id" else F.col(c) for c in cells.columns]))
+
+
 def profile_columns(cells: DataFrame, quantile_scale: str = "reference") -> DataFrame:
     """One wide feature row per field; flags default to FALSE, numbers to NULL."""
     hist = materialize(raw_histogram(cells), "hist")
     basics = materialize(only_field(field_basics(hist)), "basics")
+    if "ord" in cells.columns and not basics.groupBy(*KEYS).agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return profile_columns(distinct_fields(cells, basics), quantile_scale)
     types = basics.select(*KEYS, "data_type", "general_type")
     typed = hist.join(types, KEYS)
     numeric = value_histogram(

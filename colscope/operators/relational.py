@@ -14,21 +14,39 @@ from .ranking import row_positions
 TRACE_CODES = {"bar": 0, "box": 1, "heatmap": 2, "histogram": 3, "line": 4, "scatter": 5}
 
 
+# Types whose values fit, as a whole number, above 60 bits of hash in one decimal.
+WHOLE = ("tinyint", "smallint", "int", "bigint", "date")
+
+
 def keep_first(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """First row per key by ``order``; NULL comes last, ties go by a hash of the row.
 
-    Two aggregates over narrow rows (digests of text keys, the order, a hash of the
-    row) choose, so copies of a key collapse map-side and no payload is sorted or
-    combined; one semi-join then fetches the chosen rows.
+    Keys become two 64-bit hashes, a row one; maps are hashed as JSON. With a whole-number
+    order, that and the row's hash are packed into one decimal, so a single aggregate over
+    narrow rows chooses, combined map-side and without a sort; other orders take two. One
+    semi-join then fetches the chosen rows.
     """
-    hashed = [c for c, kind in df.dtypes if "map<" not in kind]
-    marked = df.withColumns({"_key": F.sha2(F.to_json(F.struct(*keys)), 256), "_row": F.xxhash64(*hashed)})
-    narrow = marked.select("_key", F.col(order).alias("_order"), "_row")
-    least = narrow.groupBy("_key").agg(F.min("_order").alias("_least"))
-    best = (narrow.join(least, "_key").where(F.col("_order").eqNullSafe(F.col("_least")))
-            .groupBy("_key").agg(F.min("_row").alias("_row")))
+    kinds = dict(df.dtypes)
+    flat = lambda c: F.to_json(F.struct(c)) if "map<" in kinds[c] else F.col(f"`{c}`")
+    named = [x for k in keys for x in (F.col(f"`{k}`").isNull(), flat(k))]
+    hashed = F.xxhash64(*[x for c in df.columns for x in (F.col(f"`{c}`").isNull(), flat(c))])
+    ids = {"_k1": F.xxhash64(*named), "_k2": F.xxhash64(F.lit(1), *named)}
+    by = list(ids)
+    if kinds[order] in WHOLE:
+        place = F.unix_date(order) if kinds[order] == "date" else F.col(order)
+        whole = F.coalesce(place.cast("decimal(20,0)"), F.lit(str(1 << 63)).cast("decimal(20,0)"))
+        packed = (whole * F.lit(str(1 << 60)).cast("decimal(19,0)") + F.shiftrightunsigned(hashed, 4)).cast("decimal(38,0)")
+        marked = df.withColumns({**ids, "_row": packed})
+        best = marked.groupBy(*by).agg(F.min("_row").alias("_row"))
+    else:
+        marked = df.withColumns({**ids, "_row": hashed})
+        narrow = marked.select(*by, F.col(order).alias("_order"), "_row")
+        least = narrow.groupBy(*by).agg(F.min("_order").alias("_least"))
+        best = narrow.join(least, by).where(F.col("_order").eqNullSafe(F.col("_least"))).groupBy(*by).agg(F.min("_row").alias("_row"))
+    chosen = marked.join(best, [*by, "_row"], "left_semi")
     # The rows are dealt by key and hash already: equal rows meet without another shuffle.
-    return marked.join(best, ["_key", "_row"], "left_semi").distinct().select(*df.columns)
+    once = chosen.dropDuplicates([*by, "_row"]) if any("map<" in k for k in kinds.values()) else chosen.distinct()
+    return once.select(*df.columns)
 
 
 def distinct_ordered(df: DataFrame, value: str, order: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -38,12 +39,37 @@ def assign_split(df: DataFrame, key: str, weights: dict[str, float], seed: str =
     return df.withColumn(name, last if chain is None else chain.otherwise(last))
 
 
+# Hex digits of the hash by which rows are counted before any is ranked: 4096 buckets.
+DIGITS = 3
+BEYOND = "g"  # after every hex digit
+
+
+def _bucket(hashed: Column) -> Column:
+    return F.substring(hashed, 1, DIGITS)
+
+
 def random_sample(df: DataFrame, n: int, key: str, seed: str = "") -> DataFrame:
-    """``n`` rows with the smallest hashes (all rows when there are fewer).
+    """``n`` rows with the smallest hashes (all rows when there are fewer). ``key`` is unique.
 
-    Only hashes and keys are ranked, over range partitions; no task holds the sample.
+    One pass counts rows by the first digits of the hash. Keys in buckets below the one in
+    which the n-th row lies are taken by a filter; only that one bucket's keys are ranked.
     """
-    return first_rows(df, n, [hash_order(F.col(key), seed).alias("_h")], key)
+    hashed = hash_order(F.col(key), seed)
+    counts = sorted(map(tuple, df.groupBy(_bucket(hashed).alias("b")).agg(F.count("*").alias("n")).collect()), key=lambda r: r[0] or BEYOND)
+    before, edge = 0, BEYOND
+    for bucket, rows in counts:
+        if before + rows > n:
+            edge = bucket
+            break
+        before += rows
+    if edge == BEYOND:
+        return df
+    narrow = df.select(F.col(key).alias("_key"), hashed.alias("_h"))
+    at_edge = narrow.where(_bucket(F.col("_h")).eqNullSafe(F.lit(edge)))
+    few = row_positions(at_edge.withColumn("_all", F.lit(0)), ["_all"], ["_h", "_key"], "_pos").where(F.col("_pos") < n - before)
+    below = narrow.where(_bucket(F.col("_h")) < F.coalesce(F.lit(edge), F.lit(BEYOND)))
+    chosen = materialize(below.select("_key").unionByName(few.select("_key")), "sample")
+    return df.join(chosen, F.col(key).eqNullSafe(F.col("_key")), "left_semi")
 
 
 def first_rows(df: DataFrame, n: int, order: Sequence[Column], key: str) -> DataFrame:
@@ -55,21 +81,40 @@ def first_rows(df: DataFrame, n: int, order: Sequence[Column], key: str) -> Data
 
 
 def stratified_sample(df: DataFrame, n: int, stratum: str, key: str, seed: str = "") -> DataFrame:
-    """Floor share of each stratum, the rest filled from all other rows.
+    """Floor share of each stratum, the rest filled from all other rows; small hashes first. ``key`` is unique.
 
-    Narrow (stratum, hash, key) rows are ranked once per stratum over range partitions
-    and the left-over ones once more over all; neither the plan nor a task's share
-    depends on ``n`` or on the size of a stratum. ``key`` is unique.
+    One pass counts rows by stratum and first digits of the hash. That gives, per stratum,
+    the bucket its share ends in: what lies below is taken by a filter, and only the rows
+    of those buckets, and of the few buckets that fill the rest, are ranked.
     """
-    narrow = df.select(F.col(stratum).alias("_s"), F.col(key).alias("_key"), hash_order(F.col(key), seed).alias("_h"))
-    placed = materialize(row_positions(narrow, ["_s"], ["_h", "_key"], "_pos"), "strata")
-    sizes = placed.where("_pos = 0").select("_s", F.col("total").alias("_size"))
-    rows = sizes.agg(F.sum("_size")).first()[0] or 0
-    quota = F.least(F.floor(F.col("total") * F.lit(n) / F.lit(max(rows, 1))), F.col("total"))
-    missing = n - (sizes.withColumnRenamed("_size", "total").agg(F.sum(quota)).first()[0] or 0)
-    spare = placed.where(F.col("_pos") >= quota).select("_key", "_h", F.lit(0).alias("_all"))
-    filled = row_positions(spare, ["_all"], ["_h", "_key"], "_place").where(F.col("_place") < missing)
-    chosen = placed.where(F.col("_pos") < quota).select("_key").unionByName(filled.select("_key"))
+    hashed = F.coalesce(hash_order(F.col(key), seed), F.lit("f" * 32))
+    narrow = df.select(F.struct(F.col(stratum)).alias("_s"), F.col(key).alias("_key"), hashed.alias("_h"))
+    counts = materialize(narrow.groupBy("_s", _bucket(F.col("_h")).alias("_b")).agg(F.count("*").alias("n")), "strata")
+    rows = counts.agg(F.sum("n")).first()[0] or 0
+    along = W.partitionBy("_s").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    size = F.sum("n").over(W.partitionBy("_s"))
+    run = counts.withColumns({"_before": F.coalesce(F.sum("n").over(along), F.lit(0)),
+                              "_quota": F.least(F.floor(size * F.lit(n) / F.lit(max(rows, 1))), size)})
+    taken = F.greatest(F.lit(0), F.least("n", F.col("_quota") - F.col("_before")))
+    run = materialize(run.withColumn("_over", F.col("n") - taken), "strata-run")
+    # One row per stratum: the bucket its share ends in, and how many of its rows are wanted.
+    edges = run.groupBy("_s").agg(F.coalesce(F.min(F.when(F.col("_over") > 0, F.col("_b"))), F.lit(BEYOND)).alias("_edge"),
+                                  F.max(F.when(F.col("_over") > 0, F.greatest(F.lit(0), F.col("_quota") - F.col("_before")))).alias("_need"))
+    buckets = sorted(map(tuple, run.groupBy("_b").agg(F.sum("n"), F.sum("_over")).collect()))
+    missing = n - sum(all_ - over for _, all_, over in buckets)
+    last, spare = "", 0
+    for bucket, _, over in buckets:
+        if spare >= missing:
+            break
+        last, spare = bucket, spare + over
+    close = narrow.join(edges, "_s").withColumn("_b", _bucket(F.col("_h")))
+    at_edge = row_positions(close.where("_b = _edge"), ["_s"], ["_h", "_key"], "_pos")
+    at_edge = at_edge.select("_key", "_h", "_b", (F.col("_pos") < F.col("_need")).alias("_in"))
+    left = at_edge.where(~F.col("_in") & (F.col("_b") <= last)).select("_key", "_h").unionByName(
+        close.where((F.col("_b") > F.col("_edge")) & (F.col("_b") <= last)).select("_key", "_h"))
+    filled = row_positions(left.withColumn("_all", F.lit(0)), ["_all"], ["_h", "_key"], "_place").where(F.col("_place") < missing)
+    below = close.where("_b < _edge")
+    chosen = materialize(below.select("_key").unionByName(at_edge.where("_in").select("_key")).unionByName(filled.select("_key")), "sample")
     return df.join(chosen, F.col(key).eqNullSafe(F.col("_key")), "left_semi")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
 from ..functions import names as fn
-from ..operators.ranking import row_positions
+from ..operators.ranking import PART, range_stage, row_positions, running_positions
 from ..operators.sampling import first_rows
 from ..session import materialize
 
@@ -104,14 +104,44 @@ def corpus_cells(charts: DataFrame) -> DataFrame:
                           F.posexplode("f.data").alias("pos", "raw")))
 
 
+# A whole JSON text, the rest of one that began earlier, and the start of one that goes on.
+_TEXT, _TEXT_END, _TEXT_START = r'"(?:[^"\\]++|\\.)*+"', r'^(?:[^"\\]++|\\.)*+"', r'"(?:[^"\\]++|\\.)*+$'
+
+
+def _deeper(outside: Column) -> Column:
+    """Brackets opened less those closed."""
+    opened = F.length(outside) - F.length(F.translate(outside, "{[", ""))
+    return opened - (F.length(outside) - F.length(F.translate(outside, "}]", "")))
+
+
 def read_keyed_json(spark: SparkSession, path: str) -> DataFrame:
     """One JSON object keyed by id, to rows ``(id, value)`` with value as JSON text.
 
-    A single JSON document cannot be split, so convert it once with
-    ``write_json_lines`` and let later jobs read that.
+    The file is read in ranges, a row up to each closing brace. Each row knows how many
+    quotes it holds and, for a start inside and outside a text, how much deeper it ends; two
+    running sums over the rows tell which braces end a top-level entry, so the entries of
+    one large document are cut, and then parsed, in many tasks. An entry must fit into a row.
     """
-    text = spark.read.text(path, wholetext=True)
-    return text.select(F.explode(F.from_json("value", "map<string,string>")).alias("id", "value"))
+    rows = (spark.read.option("lineSep", "}").text(path)
+            .select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
+                    F.monotonically_increasing_id().alias("at"), "value"))
+    rows = rows.withColumn("quotes", F.length(F.regexp_replace("value", r'(?s)\\.|[^"\\]', '')))
+    order = ["block", "at"]
+    placed = running_positions(rows, ["path"], order, F.col("quotes")).withColumnRenamed("before", "seen").drop("total")
+    inside = F.col("seen") % 2 == 1
+    rest = F.when(~inside, F.col("value")).when(F.col("quotes") > 0, F.regexp_replace("value", "(?s)" + _TEXT_END, "")).otherwise("")
+    outside = F.regexp_replace(F.regexp_replace(rest, "(?s)" + _TEXT, ""), "(?s)" + _TEXT_START, "")
+    placed = placed.withColumn("ends_outside", (F.col("seen") + F.col("quotes")) % 2 == 0).withColumn("deeper", _deeper(outside) - F.col("ends_outside").cast("int"))
+    depths = running_positions(placed, ["path"], order, F.col("deeper")).withColumnRenamed("before", "depth").drop("total")
+    # A row at whose end the depth is 1 or 0 ends an entry; the next row begins another.
+    depths = depths.withColumn("ends", (F.col("ends_outside") & (F.col("depth") + F.col("deeper") <= 1)).cast("int"))
+    entries = running_positions(depths, ["path"], order, F.col("ends")).withColumnRenamed("before", "entry")
+    whole = entries.groupBy("path", "entry").agg(F.array_sort(F.collect_list(F.struct("block", "at", "value"))).alias("rows"), F.max("ends").alias("closed"),
+                                                 F.min_by(F.col("depth") + F.col("deeper"), F.when(F.col("ends") == 1, 0)).alias("after"))
+    text = F.array_join(F.transform("rows", lambda r: r["value"]), "}")
+    text = F.when((F.col("closed") == 1) & (F.col("after") == 1), F.concat(text, F.lit("}"))).otherwise(text)
+    bare = F.when(F.col("entry") == 0, F.regexp_replace(text, r"^\x{FEFF}?\s*\{", "")).otherwise(F.regexp_replace(text, r"^\s*,", ""))
+    return whole.select(F.explode(F.from_json(F.concat(F.lit("{"), bare, F.lit("}")), "map<string,string>")).alias("id", "value"))
 
 
 def write_json_lines(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -151,37 +181,88 @@ def csv_catalog(spark: SparkSession, root: str) -> DataFrame:
     return files.select(db.alias("db_id"), F.regexp_replace(name, r"\.csv$", "").alias("table"), "path")
 
 
-def csv_cells(line: Column) -> Column:
-    """Cells of one CSV line; quoted cells may hold commas and doubled quotes, an empty one is NULL."""
-    parts = F.regexp_extract_all(F.concat(line, F.lit(",")), F.lit(r'("(?:[^"]|"")*"|[^,]*),'), 1)
+_CELL = r'(?:"(?:[^"]++|"")*+"[^,]*+|[^",][^,]*+|)'
+
+
+def csv_cells(record: Column) -> Column:
+    """Cells of one CSV record; quoted cells may hold commas, line breaks and doubled quotes, an empty one is NULL.
+
+    What stands behind a closing quote is kept, as is a quote inside an unquoted cell.
+    """
+    parts = F.regexp_extract_all(F.concat(record, F.lit(",")), F.lit(f'({_CELL}|"[^,]*+),'), 1)
+    quoted = r'(?s)^"((?:[^"]++|"")*+)"(.*)$'
     return F.transform(parts, lambda p: F.when(
-        p.startswith('"'), F.replace(F.regexp_replace(p, '^"|"$', ""), F.lit('""'), F.lit('"'))).when(p != "", p))
+        p.rlike(quoted), F.nullif(F.concat(F.replace(F.regexp_extract(p, quoted, 1), F.lit('""'), F.lit('"')), F.regexp_extract(p, quoted, 2)), F.lit("")))
+        .when(p != "", p))
+
+
+def csv_records(lines: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Lines (``value``, without their line feed) to records: ``keys``, ``record`` from 0, ``total``, ``value``.
+
+    Whether a line starts inside quotes follows from the lines before it. Each line is a
+    small function: it swaps the state, keeps it, or sets it whatever it was. Swaps are
+    summed up and the last setting line is found, first in each range of lines and then over
+    the ranges, so a file may be split anywhere. Only lines of records over several lines
+    are gathered. A carriage return before the line feed is dropped.
+    """
+    keys, order = list(keys), list(order)
+    line = F.regexp_replace("value", "\r$", "")
+    whole = f"^{_CELL}(?:,{_CELL})*+$"
+    has = F.contains("value", F.lit('"'))
+    opens = F.when(has, ~line.rlike(whole)).otherwise(False)
+    closing = F.regexp_replace(line, r'^(?:[^"]++|"")*+"', "x")
+    stays = F.when(has & line.rlike(r'^(?:[^"]++|"")*+"'), ~closing.rlike(whole)).otherwise(True)
+    marked = lines.withColumns({"_open": opens, "_stay": stays})
+    staged = range_stage(marked.withColumn("_swap", (F.col("_open") & ~F.col("_stay")).cast("int")), keys, order)
+    pieces = staged.groupBy(*keys, PART).agg(F.sum("_swap").alias("_s"), F.count("*").alias("_n"))
+    parts = W.partitionBy(*keys).orderBy(PART).rowsBetween(W.unboundedPreceding, -1)
+    offsets = pieces.select(*keys, PART, F.coalesce(F.sum("_s").over(parts), F.lit(0)).alias("_s0"), F.coalesce(F.sum("_n").over(parts), F.lit(0)).alias("_n0"))
+    local = W.partitionBy(*keys, PART).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    placed = (staged.join(materialize(offsets, "csv-offsets"), [*keys, PART])
+              .withColumns({"_swaps": F.col("_s0") + F.coalesce(F.sum("_swap").over(local), F.lit(0)),
+                            "_line": F.col("_n0") + F.coalesce(F.count("*").over(local), F.lit(0))}).drop("_s0", "_n0"))
+    # The state a setting line leaves, seen from the start: later swaps come on top.
+    left = F.when(F.col("_open") == F.col("_stay"), F.struct("_line", (F.col("_open").cast("int") + F.col("_swaps")).alias("state")))
+    placed = materialize(placed.withColumn("_set", left), "csv-lines")
+    set_before = materialize(placed.groupBy(*keys, PART).agg(F.max("_set").alias("_m")).select(*keys, PART, F.max("_m").over(parts).alias("_m0")), "csv-set")
+    known = placed.join(set_before, [*keys, PART]).withColumn("_last", F.greatest(F.max("_set").over(local), F.col("_m0")))
+    inside = (F.coalesce(F.col("_last.state"), F.lit(0)) + F.col("_swaps")) % 2 == 1
+    ends_inside = F.when(inside, F.col("_stay")).otherwise(F.col("_open"))
+    known = known.select(*keys, "_line", line.alias("value"), F.col("value").alias("_raw"), inside.alias("_in"), ends_inside.alias("_on"))
+    numbered = running_positions(known, keys, ["_line"], (~F.col("_in")).cast("int"))
+    record = F.when(F.col("_in"), F.col("before") - 1).otherwise(F.col("before")).alias("record")
+    numbered = materialize(numbered.select(*keys, record, "_line", "value", "_raw", "total", (~F.col("_in") & ~F.col("_on")).alias("_alone")), "csv-records")
+    joined = (numbered.where("not _alone").groupBy(*keys, "record").agg(F.array_sort(F.collect_list(F.struct("_line", "_raw"))).alias("rows"), F.max("total").alias("total"))
+              .select(*keys, "record", "total", F.regexp_replace(F.array_join(F.transform("rows", lambda r: r["_raw"]), "\n"), "\r$", "").alias("value")))
+    return numbered.where("_alone").select(*keys, "record", "total", "value").unionByName(joined)
 
 
 def read_database_cells(spark: SparkSession, root: str) -> DataFrame:
     """Cells of every table below ``root/<db_id>/<table>.csv``: ``db_id`` and the columns of cells.
 
-    One scan of all files. A row's ``pos`` counts from 0 in its table and holds when files
-    are split: lines are ranked by file, start of the split and place in it. A table that is
-    a folder has its files in order of name; each file starts with the header. Cells do not
-    run over line ends.
+    One scan of all files, which may be split: lines are ranked by file, start of the split
+    and place in it, and put together to records (see ``csv_records``), so quoted cells may
+    hold line breaks. A row's ``pos`` counts from 0 in its table. A table that is a folder
+    has its files in order of name; each file starts with the header. Blank lines are no
+    rows. Names are made unique as ``functions.names.unique_names`` says. Lines end in LF or CR LF.
     """
-    lines = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(root)
+    lines = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").option("lineSep", "\n").text(root)
              .select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
                      F.monotonically_increasing_id().alias("at"), "value"))
-    placed = materialize(row_positions(lines, ["path"], ["block", "at"], "line"), "csv_lines")
+    records = csv_records(lines, ["path"], ["block", "at"]).where("value <> ''").drop("total")
+    placed = materialize(row_positions(records, ["path"], ["record"], "row"), "csv-rows")
     parts = F.split("path", "/")
     in_folder = F.element_at(parts, -2).endswith(".csv")
     name = F.when(in_folder, F.element_at(parts, -2)).otherwise(F.element_at(parts, -1))
     db = F.when(in_folder, F.element_at(parts, -3)).otherwise(F.element_at(parts, -2))
     earlier = W.partitionBy("db_id", "fid").orderBy("path").rowsBetween(W.unboundedPreceding, -1)
     # One row per file: its table, its header and the rows of the table's files before it.
-    files = placed.where("line = 0").select(
-        "path", db.alias("db_id"), F.regexp_replace(name, r"\.csv$", "").alias("fid"), csv_cells(F.col("value")).alias("header"),
+    files = placed.where("row = 0").select(
+        "path", db.alias("db_id"), F.regexp_replace(name, r"\.csv$", "").alias("fid"), csv_cells(F.regexp_replace("value", "^\\x{FEFF}", "")).alias("header"),
         (F.col("total") - 1).alias("rows"))
-    files = files.withColumn("before", F.coalesce(F.sum("rows").over(earlier), F.lit(0)))
-    rows = (placed.where("line > 0").join(files, "path")
-            .select("db_id", "fid", (F.col("before") + F.col("line") - 1).alias("pos"), "header", csv_cells(F.col("value")).alias("cells")))
+    files = materialize(files.withColumn("header", fn.unique_names(F.col("header"))).withColumn("before", F.coalesce(F.sum("rows").over(earlier), F.lit(0))), "csv-files")
+    rows = (placed.where("row > 0").join(files, "path")
+            .select("db_id", "fid", (F.col("before") + F.col("row") - 1).alias("pos"), "header", csv_cells(F.col("value")).alias("cells")))
     return rows.select("db_id", "fid", "pos", F.posexplode("header").alias("ord", "field_name"), "cells").select(
         "db_id", "fid", F.col("field_name").alias("field_id"), "field_name", "ord", "pos", F.get("cells", F.col("ord")).alias("raw"))
 
