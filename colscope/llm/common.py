@@ -49,25 +49,30 @@ def per_run(df: DataFrame, key: str, fn: Callable[[Iterator[pa.RecordBatch]], It
     return df.repartition(F.col(key)).sortWithinPartitions(key).mapInArrow(fn, schema)
 
 
+FEW_EDGES = 1_000_000
+
+
 def connected_components(edges: DataFrame, label: str, rounds: int = 60) -> DataFrame:
     """Smallest reachable node of every node that has an edge.
 
     ``edges`` has long columns ``a`` and ``b``; the result has ``node`` and
     ``component``. Large-star and small-star rounds: every step is a minimum per
-    node (combined before the shuffle) and a join to one row per node. The minima are
-    written first: both sides of the joins are then plain shuffles, so Spark splits a hub
-    with a third of the edges. Each round is written to the shared folder, which also
-    cuts its lineage.
+    node (combined before the shuffle) and a join to one row per node. Of more edges than
+    ``FEW_EDGES`` the minima are written first: both sides of the joins are then plain
+    shuffles, so Spark splits a hub with a third of the edges. Fewer edges fit any task,
+    and the write would take longer than the join. Each round is written to the shared
+    folder, which also cuts its lineage.
     """
     stars = materialize(_oriented(edges.select("a", "b")), f"{label}-edges")
     before = _mark(stars)
     for _ in range(rounds):
         both = stars.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
             stars.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"{label}-least")
+        written = materialize if before[0] > FEW_EDGES else lambda df, _: df
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"{label}-least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         large = materialize(_oriented(large), f"{label}-large")
-        root = materialize(large.groupBy("a").agg(F.min("b").alias("m")), f"{label}-root")
+        root = written(large.groupBy("a").agg(F.min("b").alias("m")), f"{label}-root")
         small = large.join(root, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
             root.select("a", F.col("m").alias("b")))
         stars = materialize(_oriented(small), f"{label}-small")

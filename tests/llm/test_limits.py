@@ -6,7 +6,7 @@ import re
 
 import numpy as np
 
-from colscope.llm import decontaminate, langid, mixing, nndescent, quality, simhash, toxicity
+from colscope.llm import common, decontaminate, langid, mixing, nndescent, quality, simhash, toxicity
 from colscope.llm.common import member_words, membership, read_table
 
 from .conftest import sentence
@@ -140,6 +140,16 @@ def test_shards_follow_the_fingerprints(spark):
     assert {tuple(sorted((int(a), int(b)))) for a, b in zip(fps[:300], near)} <= got
 
 
+def test_components_both_ways(spark, monkeypatch):
+    """A hub, a chain and a pair, with the minima written before the joins and without."""
+    edges = [(0, i) for i in range(10, 400)] + [(i, i + 1) for i in range(1000, 1060)] + [(5000, 4000)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    want = {n: 0 for n in (0, *range(10, 400))} | {n: 1000 for n in range(1000, 1061)} | {5000: 4000, 4000: 4000}
+    for few in (0, 1_000_000):
+        monkeypatch.setattr(common, "FEW_EDGES", few)
+        assert {r.node: r.component for r in common.connected_components(df, "t").collect()} == want
+
+
 def test_filter_grows_with_its_rows(spark):
     rows = spark.range(3_000_000).selectExpr("xxhash64(id) as h")
     words = member_words(rows, "h")
