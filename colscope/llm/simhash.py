@@ -20,13 +20,10 @@ from pyspark.sql import functions as F
 
 from colscope.session import materialize
 
-from .common import connected_components, key_runs, member_words, membership, per_run
-from .words import WordHashes, mix
+from .common import connected_components, key_runs, per_run
 
 LEAF = 512
 TILE = 1024
-BLOCK = 256
-BLOCK_SHINGLES = 1 << 21
 FP_SCHEMA = "doc_id long, fp long"
 
 
@@ -204,183 +201,15 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col: s
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _shingle_keys(words: np.ndarray, n: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the word shingles of texts with ``n`` words each, one text after the other, and their number a text.
+def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
+    """All columns of ``docs``, of each group of ``simhash_groups`` the document with the smallest id.
 
-    A text with fewer words has one shingle, its whole sequence; one without words has none.
+    Rows of one id are one document: they stay if any of them names its group. Rows
+    without an id cannot be told apart and stay. Empty texts are one group, as their
+    fingerprints are equal. An empty table gives no rows.
     """
-    ends = np.cumsum(n)
-    count = np.where(n > 0, np.maximum(n - shingle + 1, 1), 0)
-    long = np.minimum(n, shingle)
-    at = np.arange(count.sum()) + np.repeat(ends - n - (np.cumsum(count) - count), count)
-    width, key = np.repeat(long, count), np.zeros(len(at), np.uint64)
-    for j in range(shingle):
-        more = width > j
-        key = np.where(more, key * np.uint64(0x9E3779B97F4A7C15) + words[np.where(more, at + j, 0)], key) if len(at) else key
-    return mix(key), count
-
-
-def _band_keys(keys: np.ndarray, count: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """``bands`` keys a text, each of ``rows`` min-hashes of its shingles; zeros for texts without words."""
-    out, some = np.zeros((len(count), bands), np.uint64), np.flatnonzero(count)
-    starts = (np.cumsum(count) - count)[some]
-    for band in range(bands if len(some) else 0):
-        key = np.full(len(some), np.uint64(band + 1))
-        for row in range(rows):
-            seed = np.uint64((band * rows + row + 1) * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF)
-            key = key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(mix(keys + seed), starts)
-        out[some, band] = mix(key)
-    return out
-
-
-def _marks(docs: DataFrame, tables: int, bands: int, rows: int, shingle: int) -> DataFrame:
-    """``doc_id``, a 128-bit hash of the word sequence, ``tables`` SimHashes of the set of words and, unless
-    there are no words, ``bands`` min-hash keys of the shingles."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed = WordHashes()
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                b = whole.slice(at, 256)
-                words, n = hashed(b.column(1).to_pylist())
-                ends = np.cumsum(n)
-                same, fps = np.zeros((b.num_rows, 2), np.uint64), np.zeros((b.num_rows, tables), np.uint64)
-                for i, (s, e) in enumerate(zip((ends - n).tolist(), ends.tolist())):
-                    whole_hash = xxhash.xxh3_128_intdigest(words[s:e].tobytes())
-                    same[i] = whole_hash >> 64, whole_hash & 0xFFFFFFFFFFFFFFFF
-                    distinct = np.unique(words[s:e])
-                    for t in range(tables if len(distinct) else 0):
-                        bits = np.unpackbits(mix(distinct + np.uint64(t * 0x9E3779B9)).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-                        fps[i, t] = np.packbits(bits.sum(0, dtype=np.int64) * 2 > len(distinct), bitorder="little").view(np.uint64)[0]
-                places = np.concatenate([fps, _band_keys(*_shingle_keys(words, n, shingle), bands, rows)], axis=1)
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * (tables + bands), pa.int32()), pa.array(places.reshape(-1).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(same[:, 0].copy().view(np.int64)), pa.array(same[:, 1].copy().view(np.int64)), flat],
-                                                 names=["doc_id", "h1", "h2", "fps"])
-
-    return docs.mapInArrow(run, "doc_id long, h1 long, h2 long, fps array<long>")
-
-
-def _shingle_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """Distinct word shingles of the wanted documents (``doc_id``); a fixed-size filter goes to the tasks."""
-    bits = member_words(wanted.select(F.xxhash64("doc_id").alias("h")), "h")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed = WordHashes()
-        for whole in batches:
-            b = whole.filter(pa.array(membership(bits, whole.column(2).to_numpy())))
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                keys, n = _shingle_keys(*hashed(part.column(1).to_pylist()), shingle)
-                ends = np.cumsum(n)
-                sets = [np.unique(keys[s:e]).view(np.int64) for s, e in zip((ends - n).tolist(), ends.tolist())]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
-
-    marked = docs.withColumn("h", F.xxhash64("doc_id")).mapInArrow(run, "doc_id long, shingles array<long>")
-    return marked.join(wanted, "doc_id", "left_semi")
-
-
-def _rest_links(placed: DataFrame, parts: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Links ``a``, ``b`` that join what ``parts`` leaves apart among the texts of one place (``t``, ``fp``).
-
-    Every pair of a place that is not yet connected is compared. All members outside a
-    place's largest part meet all its members, in pairs of blocks of bounded size; a block
-    pair emits links that connect, not all links. Places with the same members are taken once.
-    """
-    at = placed.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("t", "fp", "rep", F.coalesce("component", "rep").alias("part"))
-    at = materialize(at, "copies-places")
-    places = (at.groupBy("t", "fp", "part").agg(F.count("*").alias("n"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("h"))
-              .groupBy("t", "fp").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.sum("h").alias("h"), F.max_by("part", "n").alias("main"))
-              .where("parts > 1").dropDuplicates(["n", "h"]).select("t", "fp", "main"))
-    places = materialize(places, "copies-open")
-    sized = materialize(at.join(places, ["t", "fp"]).join(sets.select(F.col("doc_id").alias("rep"), F.size("shingles").alias("size")), "rep")
-                        .select(F.xxhash64("t", "fp").alias("place"), "rep", "part", "size", (F.col("part") != F.col("main")).alias("asked")), "copies-rest")
-    blocks = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_SHINGLES))
-    # Written, as the other side of a join that may be hot must be a plain shuffle.
-    split = sized.groupBy("place").agg(
-        blocks(F.count("*"), F.sum("size")).alias("rb"),
-        blocks(F.count_if("asked"), F.sum(F.when(F.col("asked"), F.col("size")).otherwise(0))).alias("qb"))
-    split = materialize(split, "copies-split")
-    spread = lambda own, other, query: sized.where("asked" if query else "true").join(split, "place").select(
-        F.pmod(F.xxhash64("rep"), F.col(own)).alias("mine"), F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)).alias("theirs"),
-        "place", "rep", "part", F.lit(query).alias("query"))
-    rows = (spread("qb", "rb", True).withColumn("key", F.xxhash64("place", "mine", "theirs"))
-            .unionByName(spread("rb", "qb", False).withColumn("key", F.xxhash64("place", "theirs", "mine"))))
-    rows = rows.join(sets.withColumnRenamed("doc_id", "rep"), "rep").select("key", "rep", "part", "query", "shingles")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for got, starts in key_runs(batches, "key"):
-            for s, e in zip(starts[:-1], starts[1:]):
-                block = got.slice(s, e - s)
-                a, b = _block_links(*(block.column(c).to_numpy() for c in ("rep", "part")), block.column("query").to_numpy().astype(bool),
-                                    block.column("shingles").combine_chunks(), similarity)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    return per_run(rows, "key", run, "a long, b long")
-
-
-def _block_links(rep: np.ndarray, part: np.ndarray, query: np.ndarray, sets: pa.ListArray, similarity: float) -> tuple[list, list]:
-    """Similar pairs of a query and a row that join two parts."""
-    n = sets.value_lengths().to_numpy().astype(np.int64)
-    _, code = np.unique(sets.flatten().to_numpy(), return_inverse=True)
-    ends, label = np.cumsum(n), np.unique(part, return_inverse=True)[1]
-    r = np.flatnonzero(~query & (n > 0))
-    codes = np.concatenate([code[ends[i] - n[i]:ends[i]] for i in r]) if len(r) else code[:0]
-    begin, marked = np.cumsum(n[r]) - n[r], np.zeros(len(code) + 1, bool)
-    a, b = [], []
-    for q in np.flatnonzero(query & (n > 0)).tolist():
-        able = (label[r] != label[q]) & (n[r] >= similarity * n[q]) & (n[q] >= similarity * n[r])
-        if not able.any():
-            continue
-        own = code[ends[q] - n[q]:ends[q]]
-        marked[own] = True
-        common = np.add.reduceat(marked[codes], begin, dtype=np.int64)
-        marked[own] = False
-        for i in r[able & (common >= similarity * (n[r] + n[q] - common))].tolist():
-            if label[i] != label[q]:
-                a.append(int(rep[q])), b.append(int(rep[i]))
-                label[label == label[i]] = label[q]
-    return a, b
-
-
-def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, tables: int = 8, radius: int = 2,
-                bands: int = 16, rows: int = 3) -> DataFrame:
-    """``doc_id`` and ``component_id`` of the documents that have a near copy with a smaller id.
-
-    Texts with the same words in the same order are copies. Other candidates come from
-    ``tables`` SimHashes of the set of words, each searched by vantage-point trees within
-    ``radius`` bits, and from ``bands`` keys of ``rows`` min-hashes of the ``shingle``-word
-    sets; a candidate counts if the Jaccard similarity of these sets is ``similarity`` or
-    more. Small edits move few bits of a word set. Min-hashes depend on the similarity
-    alone, not on where or how a text was changed: a pair at 0.8 shares one of 16 bands with
-    a probability of 1 - (1 - 0.8^3)^16, all but 1 in 100,000. All texts that
-    share a SimHash or a band are compared unless a chain of copies connects them already:
-    first with the smallest id, then what is still apart, in blocks. Documents without an id are left out;
-    rows of one id are one document; texts without words are copies of each other.
-    """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    marked = materialize(_marks(docs, tables, bands, rows, shingle), "copies-marks")
-    first = materialize(marked.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "fps")).alias("x"))
-                        .select("h1", "h2", F.col("x.doc_id").alias("rep"), F.col("x.fps").alias("fps")), "copies-texts")
-    exact = marked.join(first, ["h1", "h2"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    placed = materialize(first.select("rep", F.posexplode("fps").alias("t", "fp")), "copies-tables")
-    names = materialize(placed.groupBy("t", "fp").agg(F.min("rep").alias("least")), "copies-distinct")
-    links = hamming_links(names.where(F.col("t") < tables), radius)
-    far = (links.join(names.withColumnsRenamed({"fp": "a", "least": "x"}), ["t", "a"])
-           .join(names.withColumnsRenamed({"fp": "b", "least": "y"}), ["t", "b"]))
-    near = placed.join(names, ["t", "fp"]).where("rep <> least").select(F.col("rep").alias("x"), F.col("least").alias("y"))
-    pairs = materialize(far.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).unionByName(
-        near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).where("a <> b").distinct(), "copies-pairs")
-    wanted = materialize(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "copies-wanted")
-    sets = materialize(_shingle_sets(docs, wanted, shingle).dropDuplicates(["doc_id"]), "copies-sets")
-    both = (pairs.join(sets.withColumnsRenamed({"doc_id": "a", "shingles": "sa"}), "a")
-            .join(sets.withColumnsRenamed({"doc_id": "b", "shingles": "sb"}), "b"))
-    common = F.size(F.array_intersect("sa", "sb"))
-    close = both.where(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
-    parts = connected_components(close, "copies")
-    rest = materialize(_rest_links(placed, parts, sets, similarity), "copies-more")
-    parts = connected_components(exact.unionByName(parts.select(F.col("node").alias("a"), F.col("component").alias("b"))).unionByName(rest), "copies")
-    return parts.where("node <> component").select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
-
-
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """All columns of ``docs``, of each group of near copies the document with the smallest id."""
-    return docs.join(near_copies(docs, **options).select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    groups = simhash_groups(docs, shingle, radius)
+    # Written, so that the join below has a plain side, which Spark splits when an id is hot.
+    gone = materialize(groups.groupBy("doc_id").agg(F.bool_and(F.col("doc_id") != F.col("component_id")).alias("gone"))
+                       .where("gone").select("doc_id"), "simhash-gone")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

@@ -137,75 +137,44 @@ def test_odd_documents_group(spark, odd_docs, no_docs):
     assert simhash.simhash_groups(no_docs).count() == 0
 
 
-def test_near_copies(spark, odd_docs, no_docs):
+def plain_kept(rows):
+    """Ids kept of (doc_id, text) rows: every pair of fingerprints is compared."""
+    fps = [(i, simhash.word_fingerprint(t, 3)) for i, t in rows]
+    at = range(len(fps))
+    name = components(at, [(x, y) for x in at for y in range(x) if (fps[x][1] ^ fps[y][1]).bit_count() <= 2])
+    least = {}
+    for x in at:
+        least[name[x]] = min(least.get(name[x], fps[x][0]), fps[x][0])
+    return {fps[x][0] for x in at if least[name[x]] == fps[x][0]}
+
+
+def test_one_document_of_each_group_stays(spark, odd_docs, no_docs):
     rng = random.Random(5)
-    texts = [sentence(rng, rng.randrange(80, 200)) for _ in range(60)]
+    texts = [sentence(rng, rng.randrange(80, 900)) for _ in range(80)]
     rows = [(i, t) for i, t in enumerate(texts)]
     for i, t in enumerate(texts):
         w = t.split(" ")
-        w[len(w) // 2] = "changed"
-        rows += [(1000 + i, " ".join(w)), (2000 + i, t.upper())]
-    got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert {k: v for k, v in got.items() if k >= 2000} == {2000 + i: i for i in range(60)}
-    assert sum(got.get(1000 + i) == i for i in range(60)) >= 57 and not set(got) & set(range(60))
+        w[rng.randrange(len(w))] = "changed"
+        rows += [(1000 + i, " ".join(w)), (2000 + i, t.upper()), (3000 + i, t + " end")]
+    rows += [(4000, ""), (4001, None), (4002, " \n"), (4003, "short"), (4004, "SHORT")]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("component_id", F.lit("own")).withColumn("gone", F.lit(1))
+    kept = simhash.keep_one(docs)
+    got = [r.doc_id for r in kept.collect()]
+    assert kept.columns == docs.columns and len(got) == len(set(got)) and set(got) == plain_kept(rows)
+    assert not any(2000 <= i < 3000 for i in got) and {4001, 4002, 4004}.isdisjoint(got) and set(range(80)) <= set(got)
     kept = simhash.keep_one(odd_docs)
     assert kept.columns == odd_docs.columns
-    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [0, 3, 4, 5, 5, 5, 6, 7, 8]
+    # Text 9 has one word, a NUL character: not the fingerprint of empty texts.
+    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [0, 3, 4, 5, 5, 5, 6, 7, 8, 9]
     assert simhash.keep_one(no_docs).count() == 0
 
 
-def shingle_sets(texts, k=5):
-    words = [t.lower().split() for t in texts]
-    return [{tuple(w[i:i + k]) for i in range(max(1, len(w) - k + 1))} for w in words]
-
-
-def jaccard(a, b):
-    return len(a & b) / len(a | b)
-
-
-def test_inserted_and_dropped_passages_are_near_copies(spark):
-    rng = random.Random(12)
-    texts, pairs = [], []
-    for i in range(120):
-        base = sentence(rng, rng.randrange(60, 260)).split()
-        n = len(base)
-        extra = sentence(rng, max(1, int(n * rng.uniform(0.02, 0.2)))).split()
-        at = rng.randrange(n)
-        copy = [base + extra, extra + base, base[:at] + extra + base[at:], base[:n - len(extra)], base[len(extra):]][i % 5]
-        pairs.append((len(texts), len(texts) + 1))
-        texts += [" ".join(base), " ".join(copy)]
-    sets = shingle_sets(texts)
-    want = {b: a for a, b in pairs if jaccard(sets[a], sets[b]) >= 0.8}
-    got = simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
-    assert len(want) > 80 and {r.doc_id: r.component_id for r in got.collect()} == want
-
-
-def test_smallest_id_need_not_be_similar(spark):
-    rng = random.Random(3)
-    a = sentence(rng, 60).split()
-    b = rng.sample(a, 60)
-    texts = [a, b, [*b, b[-1]], ["spam"], ["spam"] * 5, ["spam"] * 6]
-    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
-    for options in ({}, {"bands": 0}):
-        assert {r.doc_id: r.component_id for r in simhash.near_copies(docs, **options).collect()} == {2: 1, 5: 4}
-
-
-def test_places_are_compared_whole(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "BLOCK", 16)
-    rng = random.Random(9)
-    sets = [set(rng.sample(range(10_000), 40)) for _ in range(60)]
-    while len(sets) < 150:
-        old = list(rng.choice(sets))
-        sets.append(set(old[rng.randrange(6):]) | set(rng.sample(range(10_000), rng.randrange(4))))
-    rng.shuffle(sets)
-    close = [(i, j) for i in range(150) for j in range(i) if jaccard(sets[i], sets[j]) >= 0.8]
-    want = components(range(150), close)
-    known = components(range(150), close[::3])
-    placed = spark.createDataFrame([(i, t, t) for i in range(150) for t in range(3)], "rep long, t int, fp long")
-    parts = spark.createDataFrame([(i, known[i]) for i in known if i % 2 or known[i] != i], "node long, component long")
-    rest = simhash._rest_links(placed, parts, spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(sets)], "doc_id long, shingles array<long>"), 0.8).collect()
-    assert known != want and all((max(r), min(r)) in close for r in rest)
-    assert components(range(150), [*((r.a, r.b) for r in rest), *known.items()]) == want
+def test_stage_keeps_what_the_operator_names(spark, sf):
+    """The pipeline's stage and the operator agree on every document of the corpus."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    groups = {r.doc_id: r.component_id for r in simhash.simhash_groups(docs).collect()}
+    assert {r.doc_id for r in simhash.keep_one(docs).collect()} == {i for i, c in groups.items() if i == c}
 
 
 # ----------------------------------------------------------------------- lines
