@@ -15,6 +15,7 @@ from ..operators import models as ml
 from ..operators import prep
 from ..operators import profile as pr
 from ..operators import prompts as pt
+from ..operators.ledger import answer_once
 from ..operators import relational as rl
 from ..operators import sampling as sm
 from ..session import materialize
@@ -56,14 +57,18 @@ def score_tables(cells: DataFrame, model: PipelineModel, bounds: DataFrame, inpu
     return ml.predict(model, ready.select("fid", "field_id", *inputs))
 
 
-def run_stage(requests: DataFrame, stage: str, model: pt.Model, schemas: DataFrame | None = None) -> DataFrame:
+def run_stage(requests: DataFrame, stage: str, model: pt.Model, schemas: DataFrame | None = None,
+              ledger: str | None = None) -> DataFrame:
     """Prompts, model answers and parsed answers of one stage, kept as a record table.
 
     The answers are written before they are read again: a model call is neither
-    free nor repeatable.
+    free nor repeatable. With a ``ledger`` folder a stopped run goes on where it was.
     """
     prompted = pt.stage_prompts(requests, stage, schemas)
-    runs = materialize(pt.batch_infer(prompted, model, stage=stage), f"stage_{stage}")
+    if ledger:
+        runs = answer_once(prompted, model, ledger, stage=stage)
+    else:
+        runs = materialize(pt.batch_infer(prompted, model, stage=stage), f"stage_{stage}")
     return js.parse_responses(runs, "raw_response")
 
 

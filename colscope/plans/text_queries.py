@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import jsontext as js
 from ..operators import evaluate as ev
+from ..operators import ledger
 from ..operators import prompts as pt
 from ..operators import sampling as sm
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 from ..sources import corpus as co
 from ..sources import sinks
 from ..sources.cells import table_cells
@@ -183,6 +184,20 @@ def batch_infer(spark, sf):
     return out.select("conv_id", "turn", "status", "error", F.get_json_object("data", "$.words").alias("words"), "tokens")
 
 
+@query("resumable_inference", oracle="""
+SELECT conv_id, turn, CASE WHEN text LIKE '%?' THEN 'failed' ELSE 'success' END AS status, CASE WHEN text LIKE '%?' THEN 'question' END AS error,
+  CASE WHEN text LIKE '%?' THEN 0 ELSE length(text) END AS tokens, CAST(CASE WHEN text LIKE '%?' THEN 2 ELSE 1 END AS BIGINT) AS calls FROM conversations""")
+def resumable_inference(spark, sf):
+    """The stage run twice on one ledger: the second run asks only what failed."""
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", F.col("text").alias("prompt"))
+    path = scratch_path(spark, "ledger")
+    ledger.answer_once(turns, stub_model, path, stage="answer", unit=500, units=8)
+    out = ledger.answer_once(turns, stub_model, path, stage="answer", unit=500, units=8)
+    calls = materialize(spark.read.parquet(path).groupBy("digest").agg(F.count(F.lit(1)).alias("calls")), "calls")
+    return (out.withColumn("digest", ledger.request_digest("answer", F.col("prompt"))).join(calls, "digest")
+            .select("conv_id", "turn", "status", "error", "tokens", "calls"))
+
+
 def answering_model(prompt: str) -> dict:
     """Deterministic stand-in: answers with the numbers of its question, wrong for every third one."""
     numbers = [int(x) for x in re.findall(r"#(\d+)", prompt)]
