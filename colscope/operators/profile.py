@@ -342,28 +342,69 @@ def sequence_stats(rows: DataFrame, keys: Sequence[str] = KEYS, value: str = "v"
 
 # -------------------------------------------------------------- column pairs
 
+def _ends(hist: DataFrame, table_keys: Sequence[str], field: str) -> DataFrame:
+    """One row per field with its least and largest value."""
+    return hist.groupBy(*table_keys, field).agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+
+
+def _with_overlap(pairs: DataFrame, table_keys: Sequence[str]) -> DataFrame:
+    """Overlap flag and share of pairs with their four ends."""
+    a_lo, a_hi, b_lo, b_hi = (F.col(c) for c in ("a_lo", "a_hi", "b_lo", "b_hi"))
+    meets = (a_hi >= b_lo) & (b_hi >= a_lo)
+    nested = ((b_hi >= a_hi) & (b_lo <= a_lo)) | ((a_hi >= b_hi) & (a_lo <= b_lo))
+    shared = F.when(b_lo >= a_lo, a_hi - b_lo).otherwise(b_hi - a_lo)
+    share = F.greatest(F.try_divide(shared, a_hi - a_lo), F.try_divide(shared, b_hi - b_lo))
+    return pairs.select(
+        *table_keys, "field_a", "field_b", meets.alias("has_overlap"),
+        F.when(nested, F.lit(1.0)).when(meets, share).otherwise(F.lit(0.0)).alias("overlap_percent"))
+
+
 def range_overlap(hist: DataFrame, table_keys: Sequence[str], field: str = "field_id", wanted: DataFrame | None = None) -> DataFrame:
     """Overlap flag and share of the value ranges of two fields of a table.
 
     ``wanted`` (the table keys, ``field_a``, ``field_b``) names the pairs. Without it
-    every two fields of a table are paired, which only suits tables of few fields.
+    every two fields of a table are paired, which only suits tables of few fields;
+    ``overlapping_fields`` gives the pairs that meet of tables of any width.
     """
     # One row per field, written once for both sides of the pairing.
-    ends = materialize(hist.groupBy(*table_keys, field).agg(F.min("v").alias("lo"), F.max("v").alias("hi")), "ends")
+    ends = materialize(_ends(hist, table_keys, field), "ends")
     a = ends.select(*table_keys, F.col(field).alias("field_a"), F.col("lo").alias("a_lo"), F.col("hi").alias("a_hi"))
     b = ends.select(*table_keys, F.col(field).alias("field_b"), F.col("lo").alias("b_lo"), F.col("hi").alias("b_hi"))
     if wanted is None:
         pairs = a.join(b, list(table_keys)).where(F.col("field_a") < F.col("field_b"))
     else:
         pairs = wanted.join(a, [*table_keys, "field_a"]).join(b, [*table_keys, "field_b"])
-    a_lo, a_hi, b_lo, b_hi = (F.col(c) for c in ("a_lo", "a_hi", "b_lo", "b_hi"))
-    meets = (a_hi >= b_lo) & (b_hi >= a_lo)
-    nested = ((b_hi >= a_hi) & (b_lo <= a_lo)) | ((a_hi >= b_hi) & (a_lo <= b_lo))
-    shared = F.when(b_lo >= a_lo, a_hi - b_lo).otherwise(b_hi - a_lo)
-    share = F.greatest(F.try_divide(shared, a_hi - a_lo), F.try_divide(shared, b_hi - b_lo))
-    return pairs.select(
-        *table_keys, "field_a", "field_b", meets.alias("has_overlap"),
-        F.when(nested, F.lit(1.0)).when(meets, share).otherwise(F.lit(0.0)).alias("overlap_percent"))
+    return _with_overlap(pairs, table_keys)
+
+
+def overlapping_fields(hist: DataFrame, table_keys: Sequence[str], field: str = "field_id", block: int = 64) -> DataFrame:
+    """The pairs of ``range_overlap`` whose ranges meet, without pairing the others.
+
+    The lower ends of a table are ranked; a running count gives for each field how many
+    of them lie at or below its upper end. The fields it meets to its right are then
+    one run of ranks, cut into blocks of ``block`` ranks for an equality join. Work and rows
+    follow the meeting pairs: besides them at most two blocks a field are looked at.
+    Fields without a value meet nothing; NULL table keys belong to no table.
+    """
+    keys = list(table_keys)
+    ends = _ends(hist.where(F.col("v").isNotNull()), keys, field)
+    events = ends.select(*keys, field, F.posexplode(F.array("lo", "hi")).alias("end", "x"))
+    placed = running_positions(events, keys, ["x", "end", field], (F.col("end") == 0).cast("bigint"))
+    at = lambda end, name: F.max(F.when(F.col("end") == end, F.col(name)))
+    spans = placed.groupBy(*keys, field).agg(at(0, "x").alias("lo"), at(1, "x").alias("hi"),
+                                             at(0, "before").alias("rank"), at(1, "before").alias("reach"))
+    # Written once for both sides, which are then plain and can be split when a table is wide.
+    spans = materialize(spans, "spans")
+    left = (spans.where("reach > rank + 1")
+            .withColumn("block", F.explode(F.sequence(F.floor((F.col("rank") + 1) / block), F.floor((F.col("reach") - 1) / block))))
+            .select(*keys, "block", F.col(field).alias("f"), F.col("lo").alias("f_lo"), F.col("hi").alias("f_hi"), F.col("rank").alias("f_rank"), "reach"))
+    right = spans.withColumn("block", F.floor(F.col("rank") / block)).drop("reach")
+    met = left.join(right, [*keys, "block"]).where("rank > f_rank and rank < reach")
+    first = F.col("f") < F.col(field)
+    pick = lambda mine, other, name: F.when(first, F.col(mine)).otherwise(F.col(other)).alias(name)
+    return _with_overlap(met.select(
+        *keys, pick("f", field, "field_a"), pick(field, "f", "field_b"), pick("f_lo", "lo", "a_lo"), pick("f_hi", "hi", "a_hi"),
+        pick("lo", "f_lo", "b_lo"), pick("hi", "f_hi", "b_hi")), keys)
 
 
 def shared_elements(hist: DataFrame, field_a: str, field_b: str, table_keys: Sequence[str] = (),

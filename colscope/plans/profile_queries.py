@@ -323,6 +323,22 @@ def profile_overlap(spark, sf):
     return rounded(out.drop("fid"))
 
 
+@query("overlapping_ranges", oracle="""
+WITH e AS (SELECT o_custkey AS fid, l_orderkey AS field_id, CAST(min(epoch(l_shipdate) // 86400) AS DOUBLE) AS lo, CAST(max(epoch(l_shipdate) // 86400) AS DOUBLE) AS hi
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2),
+p AS (SELECT a.fid, a.field_id AS field_a, b.field_id AS field_b, a.lo AS a_lo, a.hi AS a_hi, b.lo AS b_lo, b.hi AS b_hi,
+  CASE WHEN b.lo >= a.lo THEN a.hi - b.lo ELSE b.hi - a.lo END AS w
+  FROM e a JOIN e b ON a.fid = b.fid AND a.field_id < b.field_id AND a.hi >= b.lo AND b.hi >= a.lo)
+SELECT fid, field_a, field_b, round(CASE WHEN (b_hi >= a_hi AND b_lo <= a_lo) OR (a_hi >= b_hi AND a_lo <= b_lo) THEN 1.0
+  ELSE greatest(w / (a_hi - a_lo), w / (b_hi - b_lo)) END, 6) AS overlap_percent FROM p""")
+def overlapping_ranges(spark, sf):
+    """Orders of a customer whose shipping days overlap."""
+    day = F.unix_date(F.col("l_shipdate").cast("date")).cast("double")
+    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("field_id"), day.alias("v"))
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("field_id"), F.col("o_custkey").alias("fid"))
+    return rounded(pr.overlapping_fields(lines.join(orders, "field_id"), ["fid"]).drop("has_overlap"))
+
+
 @query("shared_values", oracle="""
 SELECT DISTINCT CAST(o_orderkey AS DOUBLE) AS v FROM orders WHERE o_orderkey IN (SELECT l_partkey FROM lineitem)""")
 def shared_values(spark, sf):

@@ -1,6 +1,7 @@
 """Cases the queries' tables do not hold: wide, deep, rare, NULL and misread values."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -117,3 +118,28 @@ def test_scratch_needs_a_shared_folder(spark, monkeypatch):
         session.scratch_dir(Session())
     Session.conf = {"spark.checkpoint.dir": "hdfs://shared/x/"}
     assert session.run_folder(Session()) == "hdfs://shared/x/colscope/app"
+
+
+def test_overlap_of_a_wide_table_follows_the_meeting_pairs(spark):
+    """5,000 fields of one table, each meeting its neighbours only: 20 million pairs are never formed."""
+    rng = random.Random(7)
+    spans = {f"f{i:04d}": (i * 10.0, i * 10.0 + rng.choice([0.0, 5.0, 10.0, 25.0])) for i in range(5000)}
+    rows = [("t", f, v) for f, ends in spans.items() for v in ends] + [("t", "none", None), (None, "x", 1.0), (None, "y", 1.0)]
+    got = pr.overlapping_fields(spark.createDataFrame(rows, "fid string, field_id string, v double"), ["fid"])
+    names = sorted(spans)
+    want = {(a, b) for i, a in enumerate(names) for b in names[i + 1:i + 5] if spans[a][1] >= spans[b][0] and spans[b][1] >= spans[a][0]}
+    rows = got.collect()
+    assert len(rows) == len(want) and {(r.field_a, r.field_b) for r in rows} == want and all(r.has_overlap for r in rows)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "block" in plan and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_overlapping_fields_equal_the_paired_ones(spark):
+    rng = random.Random(8)
+    rows = [(f"t{rng.randrange(3)}", f"f{rng.randrange(60):02d}", float(rng.choice([rng.randrange(50), rng.randrange(1000)]))) for _ in range(400)]
+    hist = spark.createDataFrame(rows, "fid string, field_id string, v double")
+    key = lambda r: (r.fid, r.field_a, r.field_b)
+    want = {key(r): r.overlap_percent for r in pr.range_overlap(hist, ["fid"]).collect() if r.has_overlap}
+    for block in (1, 4, 64):
+        assert {key(r): r.overlap_percent for r in pr.overlapping_fields(hist, ["fid"], block=block).collect()} == want
+    assert pr.overlapping_fields(hist.where("false"), ["fid"]).count() == 0
