@@ -303,6 +303,21 @@ def append_sink(spark, sf):
     return f.join(o, "event_type")
 
 
+@query("append_chunks", oracle="""
+SELECT user_id % 3 AS chunk, event_type, count(*) AS features, count(DISTINCT user_id) AS outcomes FROM events WHERE user_id IS NOT NULL GROUP BY 1, 2""")
+def append_chunks(spark, sf):
+    """All events appended in three chunks, the second one twice."""
+    e = table(spark, sf, "events").select("event_id", "event_type", "user_id").where("user_id is not null")
+    users = e.select("event_type", "user_id").distinct()
+    root = scratch_path(spark, "chunks")
+    for chunk in (0, 1, 1, 2):
+        mine = F.col("user_id") % 3 == chunk
+        sinks.append_chunk({"features": e.where(mine), "outcomes": users.where(mine)}, root, chunk)
+    count = lambda df, name: df.groupBy("chunk", "event_type").agg(F.count(F.lit(1)).alias(name))
+    f = count(sinks.read_chunks(spark, root, "features", e.schema), "features")
+    return f.join(count(sinks.read_chunks(spark, root, "outcomes", users.schema), "outcomes"), ["chunk", "event_type"])
+
+
 @query("prediction_sink", oracle=f"""
 WITH {SCORE_SQL}
 SELECT CAST(a.vec_id AS VARCHAR) AS field_id, 'unknown' AS fid, 'class_' || a.cls AS predicted_trace_type, 'class_' || a.cls AS top1_type, 'class_' || b.cls AS top2_type

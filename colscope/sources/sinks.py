@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +18,39 @@ def write_features(features: DataFrame, outcomes: DataFrame, root: str, append:
         df.write.mode(mode).format(fmt).option("header", True).save(f"{root}/{name}")
 
 
+# Fixed value: columns of a chunk manifest.
+MANIFEST = "chunk long, attempt string"
+
+
+def append_chunk(tables: dict[str, DataFrame], root: str, chunk: int) -> None:
+    """Append one numbered chunk of several tables to ``root``; a repeated chunk replaces itself.
+
+    Each attempt writes to folders of its own. Only when all tables are whole does one row
+    of the manifest name the attempt, so readers see a chunk of all tables or of none,
+    and a job that stopped midway or ran twice leaves no rows behind. Attempts of one
+    chunk are ordered by their start; two at the same time are both whole, the later start counts.
+    """
+    attempt = f"{time.time_ns():020d}-{uuid.uuid4().hex}"
+    for name, df in tables.items():
+        df.write.parquet(f"{root}/{name}/chunk={chunk}/attempt={attempt}")
+    spark = next(iter(tables.values())).sparkSession
+    spark.range(1).select(F.lit(chunk).cast("long").alias("chunk"), F.lit(attempt).alias("attempt")).write.mode("append").parquet(f"{root}/manifest")
+
+
+def read_chunks(spark: SparkSession, root: str, name: str, schema: T.StructType | str) -> DataFrame:
+    """Rows of table ``name`` from the last whole attempt of each chunk, with the number ``chunk``.
+
+    The manifest has a row per attempt and meets the partition columns, so that Spark
+    prunes the folders of other attempts.
+    """
+    last = (spark.read.schema(MANIFEST).parquet(f"{root}/manifest")
+            .groupBy("chunk").agg(F.max("attempt").alias("attempt")))
+    own = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    placed = T.StructType([*own.fields, T.StructField("chunk", T.LongType()), T.StructField("attempt", T.StringType())])
+    rows = spark.read.schema(placed).parquet(f"{root}/{name}")
+    return rows.join(last, ["chunk", "attempt"], "left_semi").select(*own.names, "chunk")
+
+
 def write_by_width(features: DataFrame, root: str, table_key: str = "fid",
                    subsets: dict[str, Sequence[str]] | None = None) -> None:
     """Features partitioned by the number of fields of their table, and column subsets."""

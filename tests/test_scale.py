@@ -143,3 +143,22 @@ def test_overlapping_fields_equal_the_paired_ones(spark):
     for block in (1, 4, 64):
         assert {key(r): r.overlap_percent for r in pr.overlapping_fields(hist, ["fid"], block=block).collect()} == want
     assert pr.overlapping_fields(hist.where("false"), ["fid"]).count() == 0
+
+
+def test_chunks_are_whole_or_absent_and_replace_themselves(spark, tmp_path):
+    from colscope.sources import sinks
+    root = str(tmp_path / "chunks")
+    rows = lambda *ids: spark.createDataFrame([(i, f"v{i}") for i in ids], "id long, v string")
+    read = lambda name="f": sorted((r.chunk, r.id) for r in sinks.read_chunks(spark, root, name, "id long, v string").collect())
+    sinks.append_chunk({"f": rows(1, 2), "o": rows(1)}, root, 0)
+    sinks.append_chunk({"f": rows(3), "o": rows(3)}, root, 1)
+    sinks.append_chunk({"f": rows(1, 2), "o": rows(1)}, root, 0)
+    assert read() == [(0, 1), (0, 2), (1, 3)] and read("o") == [(0, 1), (1, 3)]
+    broken = rows(9).withColumn("v", F.raise_error(F.lit("stopped")).cast("string"))
+    with pytest.raises(Exception, match="stopped"):
+        sinks.append_chunk({"f": rows(7, 8), "o": broken}, root, 1)
+    assert read() == [(0, 1), (0, 2), (1, 3)] and read("o") == [(0, 1), (1, 3)]
+    sinks.append_chunk({"f": rows(4), "o": rows(4).where("false")}, root, 1)
+    assert read() == [(0, 1), (0, 2), (1, 4)] and read("o") == [(0, 1)]
+    plan = sinks.read_chunks(spark, root, "f", "id long, v string")._jdf.queryExecution().executedPlan().toString()
+    assert "chunk" in plan.split("PartitionFilters: [")[1].split("]")[0]
