@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import names as fn
 from ..operators import profile as pr
-from ..session import materialize
+from ..operators import state as st
+from ..session import materialize, scratch_path
 from ..sources.cells import numeric_values, table_cells
 from .registry import query, rounded, table
 
@@ -347,6 +348,32 @@ def shared_values(spark, sf):
     return pr.shared_elements(rows, "o_orderkey", "l_partkey")
 
 
+STATE_COLS = ["o_orderstatus", "o_orderpriority", "o_custkey", "o_totalprice"]
+
+
+@query("profile_states", oracle=f"""
+WITH c AS ({unpivot_sql('orders', STATE_COLS, 'VARCHAR')}), x AS (SELECT field_id, v, try_cast(v AS DOUBLE) AS d FROM c),
+t AS (SELECT field_id, v, count(*) AS cnt FROM x WHERE v IS NOT NULL GROUP BY 1, 2), m AS (SELECT field_id, max(cnt) AS top, count(*) AS u FROM t GROUP BY 1)
+SELECT x.field_id, count(*) AS n, count(*) - count(v) AS nulls, count(d) AS numbers, round(min(d), 6) AS lo, round(max(d), 6) AS hi, max(u) AS n_values,
+  CASE WHEN max(u) <= 1000 THEN max(top) END AS top_count, true AS distinct_close, true AS median_close
+FROM x JOIN m ON x.field_id = m.field_id GROUP BY x.field_id""")
+def profile_states(spark, sf):
+    """States of four chunks, the third kept twice, merged and held against the exact values."""
+    cells = table_cells(table(spark, sf, "orders"), STATE_COLS, "o_orderkey", fid="orders")
+    root = scratch_path(spark, "states")
+    for chunk in (0, 1, 2, 2, 3):
+        st.add_chunk(cells.where(F.pmod("pos", F.lit(4)) == chunk), root, chunk)
+    got = materialize(st.state_profile(st.corpus_state(spark, root), common=1), "states")
+    number = F.expr("try_cast(raw as double)")
+    exact = cells.join(got.select("field_id", "q50"), "field_id").groupBy("field_id").agg(
+        F.count_distinct("raw").alias("n_values"), F.avg((number <= F.col("q50")).cast("int")).alias("upto"), F.avg((number < F.col("q50")).cast("int")).alias("below"))
+    out = got.join(exact, "field_id")
+    return rounded(out.select(
+        "field_id", "n", "nulls", "numbers", "lo", "hi", "n_values", F.when(F.col("n_values") <= 1000, F.col("common")[0]["count"]).alias("top_count"),
+        (F.abs(F.col("n_distinct") - F.col("n_values")) <= 0.07 * F.col("n_values")).alias("distinct_close"),
+        F.when(F.col("numbers") > 0, (F.col("upto") >= 0.48) & (F.col("below") <= 0.52)).otherwise(F.col("q50").isNull()).alias("median_close")))
+
+
 PART_COLS = ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"]
 
 
