@@ -69,7 +69,8 @@ def run_stage(requests: DataFrame, stage: str, model: pt.Model, schemas: DataFra
         runs = answer_once(prompted, model, ledger, stage=stage)
     else:
         runs = materialize(pt.batch_infer(prompted, model, stage=stage), f"stage_{stage}")
-    return js.parse_responses(runs, "raw_response")
+    # Written: a filter on ``valid`` would be pushed through the parse and repeat its steps beyond measure.
+    return materialize(js.parse_responses(runs, "raw_response"), f"parsed_{stage}")
 
 
 def evaluate_batch(cases: DataFrame, run: str = "run_id", order: str = "test_case_id", interval: int = 10,
