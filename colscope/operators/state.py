@@ -5,7 +5,8 @@ state keeps per field what can be merged: counts and ends exactly, distinct valu
 frequent values and quantiles as sketches of bounded size. Stated errors, of the merged
 state: distinct values within 1.04 / sqrt(2^12) = 1.7 % (one standard error; exact for a few
 hundred), frequent values exact while a field has no more than ``TRACKED`` distinct ones,
-else their counts are off by at most 3.5 n / 8192, ranks of quantiles within about 0.5 %.
+else their counts are off by at most 3.5 n / 8192 and values no more frequent than that may
+be missing (all of them, in a long flat field), ranks of quantiles within about 0.5 %.
 """
 
 from __future__ import annotations

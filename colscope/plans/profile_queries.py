@@ -369,7 +369,7 @@ def profile_states(spark, sf):
         F.count_distinct("raw").alias("n_values"), F.avg((number <= F.col("q50")).cast("int")).alias("upto"), F.avg((number < F.col("q50")).cast("int")).alias("below"))
     out = got.join(exact, "field_id")
     return rounded(out.select(
-        "field_id", "n", "nulls", "numbers", "lo", "hi", "n_values", F.when(F.col("n_values") <= 1000, F.col("common")[0]["count"]).alias("top_count"),
+        "field_id", "n", "nulls", "numbers", "lo", "hi", "n_values", F.when(F.col("n_values") <= 1000, F.get("common", F.lit(0))["count"]).alias("top_count"),
         (F.abs(F.col("n_distinct") - F.col("n_values")) <= 0.07 * F.col("n_values")).alias("distinct_close"),
         F.when(F.col("numbers") > 0, (F.col("upto") >= 0.48) & (F.col("below") <= 0.52)).otherwise(F.col("q50").isNull()).alias("median_close")))
 

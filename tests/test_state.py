@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from colscope.operators import state as st
+from colscope.plans import all_queries
 
 SCHEMA = "fid string, field_id string, raw string"
 
@@ -42,3 +43,15 @@ def test_states_combine_before_the_shuffle(spark):
     plan = st.field_state(spark.range(10).select(F.lit("t").alias("fid"), F.lit("f").alias("field_id"), F.col("id").cast("string").alias("raw")))
     plan = plan._jdf.queryExecution().executedPlan().toString()
     assert "partial_hll_sketch_agg" in plan and "partial_kll" in plan
+
+
+def test_a_long_flat_field_has_no_frequent_value(spark, tmp_path):
+    orders = spark.range(240_000).select(
+        F.col("id").alias("o_orderkey"), F.col("id").alias("o_custkey"), F.lit("F").alias("o_orderstatus"),
+        (F.col("id") + 0.25).alias("o_totalprice"), F.lit("5-LOW").alias("o_orderpriority"))
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    got = {r.field_id: r for r in all_queries.QUERIES["profile_states"](spark, str(tmp_path)).collect()}
+    assert {k: (r.n, r.n_values, r.top_count) for k, r in got.items()} == {
+        "o_orderstatus": (240_000, 1, 240_000), "o_orderpriority": (240_000, 1, 240_000),
+        "o_custkey": (240_000, 240_000, None), "o_totalprice": (240_000, 240_000, None)}
+    assert all(r.distinct_close and r.median_close for r in got.values())
