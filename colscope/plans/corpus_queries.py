@@ -183,16 +183,22 @@ def tsv_corpus_scan(spark, sf):
     return co.parse_corpus(co.read_corpus_tsv(spark, path)).select("fid", "reason")
 
 
+EVENTS_PER_FILE = 20_000
+
+
 @query("json_map_scan", oracle="""
 SELECT user_id || '-' || event_type AS id, event_type AS chart, count(*) AS points, round(sum(value), 3) AS total FROM events GROUP BY 1, 2""")
 def json_map_scan(spark, sf):
-    # One JSON object of a user's (and type's) events per file, written as one line each; keys carry the event.
+    # One JSON object of some thousand events per file, written as one line each; keys carry the event. A file per
+    # user and type would make as many files as there are users.
     ev = table(spark, sf, "events").withColumn("id", F.concat_ws("-", F.col("user_id").cast("string"), "event_type"))
     case = F.struct(F.col("event_type").alias("chart"), "value", "id")
     entry = F.struct(F.concat_ws("-", "id", F.col("event_id").cast("string")).alias("key"), case.alias("value"))
-    docs = ev.groupBy("id").agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value"))
+    files = max(16, -(-ev.count() // EVENTS_PER_FILE))
+    docs = (ev.groupBy(F.pmod(F.xxhash64("event_id"), F.lit(files)).alias("part"))
+            .agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value")))
     path = scratch_path(spark, "keyed_json")
-    docs.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(16))).repartition("part").select("value").write.option("maxRecordsPerFile", 1).text(path)
+    docs.select("value").write.option("maxRecordsPerFile", 1).text(path)
     keyed = co.read_keyed_json(spark, path)
     lines = keyed.select(F.get_json_object("value", "$.id").alias("id"), "value")
     target = scratch_path(spark, "json_lines")

@@ -14,6 +14,7 @@ from colscope.operators import prep
 from colscope.operators import profile as pr
 from colscope.operators import relational as rl
 from colscope.operators import sampling as sm
+from colscope.plans import all_queries
 from colscope.sources import corpus as co
 
 
@@ -162,3 +163,19 @@ def test_chunks_are_whole_or_absent_and_replace_themselves(spark, tmp_path):
     assert read() == [(0, 1), (0, 2), (1, 4)] and read("o") == [(0, 1)]
     plan = sinks.read_chunks(spark, root, "f", "id long, v string")._jdf.queryExecution().executedPlan().toString()
     assert "chunk" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_keyed_json_files_do_not_follow_the_users(spark, tmp_path, monkeypatch):
+    ev = spark.range(600).select(
+        F.col("id").alias("event_id"), (F.col("id") % 200).alias("user_id"), F.lit("view").alias("event_type"), (F.col("id") * 0.5).alias("value"))
+    ev.write.parquet(f"{tmp_path}/events.parquet")
+    read, seen = co.read_keyed_json, []
+
+    def counted(spark, path):
+        seen.append(spark.read.format("binaryFile").load(path).count())
+        return read(spark, path)
+
+    monkeypatch.setattr(co, "read_keyed_json", counted)
+    got = {r.id: (r.points, r.total) for r in all_queries.QUERIES["json_map_scan"](spark, str(tmp_path)).collect()}
+    assert got == {f"{u}-view": (3, 1.5 * u + 300) for u in range(200)}
+    assert 0 < seen[0] <= 16
