@@ -2,9 +2,10 @@
 
 Features are binned once, to one byte each, and written in blocks of rows, column by
 column, as only the passes read them. A pass over that table adds up gradients and
-Hessians by (class, new leaf, feature, bin); the executors' sums are added, and the driver,
-which sees classes x features x bins numbers whatever the number of rows, picks the
-splits. The trees of a round, one per class, grow in the same passes.
+Hessians by (class, new leaf, feature, bin); the sums are shuffled by (class, feature) and
+added, and the executors pick the best split of their features, so the driver sees a few
+splits a pass whatever the number of rows, features and bins. The trees of a round, one
+per class, grow in the same passes.
 """
 
 from __future__ import annotations
@@ -46,7 +47,8 @@ class Tree:
             right = x > (self.bin[i] if binned else self.cut[i])
             if not self.missing_left[i]:
                 right |= (x == 0) if binned else np.isnan(x)
-            at[(at == leaf) & right] = i + 1
+            # Bytes are added, not assigned under a mask, which takes several times as long.
+            at += (right & (at == leaf)).view(np.uint8) * np.uint8(i + 1 - leaf)
         return at
 
 
@@ -65,7 +67,7 @@ class BoostedModel:
         def probability(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
             for columns in batches:
                 x = [c.to_numpy(float, na_value=np.nan) for c in columns]
-                yield pd.Series(list(softmax(add_trees(np.tile(base, (len(x[0]), 1)), rounds, x, False))))
+                yield pd.Series(list(softmax(add_trees(start_scores(base, len(x[0])), rounds, x, False)).T))
 
         return probability(*[F.col(f"`{c}`").cast("double") for c in self.features])
 
@@ -98,15 +100,21 @@ class BoostedModel:
         return BoostedModel(**{**kept, "rounds": [[Tree(**t) for t in trees] for trees in kept["rounds"]]})
 
 
+def start_scores(base: np.ndarray, rows: int) -> np.ndarray:
+    """Scores by class and row: a class is one run of memory."""
+    return np.repeat(base[:, None], rows, axis=1)
+
+
 def softmax(scores: np.ndarray) -> np.ndarray:
-    e = np.exp(scores - scores.max(axis=1, keepdims=True))
-    return e / e.sum(axis=1, keepdims=True)
+    e = np.exp(scores - scores.max(axis=0))
+    return e / e.sum(axis=0)
 
 
 def add_trees(scores: np.ndarray, rounds: Sequence[Sequence[Tree]], columns: Sequence[np.ndarray], binned: bool) -> np.ndarray:
     for trees in rounds:
         for k, tree in enumerate(trees):
-            scores[:, k] += np.array(tree.value)[tree.leaves(columns, binned)]
+            if tree.leaf:
+                scores[k] += np.take(np.array(tree.value), tree.leaves(columns, binned))
     return scores
 
 
@@ -128,7 +136,7 @@ class Block:
     scores: np.ndarray
 
     def take(self, rows: np.ndarray) -> Block:
-        return Block(self.y[rows], self.key[rows], self.bins[:, rows], self.scores[rows])
+        return Block(self.y[rows], self.key[rows], self.bins[:, rows], self.scores[:, rows])
 
 
 def _packed(block: Block) -> pa.RecordBatch:
@@ -145,7 +153,7 @@ def binned_table(train: DataFrame, features: Sequence[str], label: str, labels:
             for i, e in enumerate(edges):
                 x = b.column(i + 2).to_numpy(zero_copy_only=False).astype(float)
                 bins[i] = np.where(np.isnan(x), 0, np.searchsorted(e, x) + 1)
-            yield _packed(Block(b.column(0).to_numpy(), b.column(1).to_numpy(), bins, np.tile(start, (b.num_rows, 1))))
+            yield _packed(Block(b.column(0).to_numpy(), b.column(1).to_numpy(), bins, start_scores(start, b.num_rows)))
 
     number = F.array_position(F.array(*[F.lit(x) for x in labels]), F.col(f"`{label}`").cast("string")).cast("int") - 1
     columns = [F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(features)]
@@ -165,7 +173,7 @@ def _read_blocks(binned: DataFrame) -> RDD:
     """
     def block(row) -> Block:
         y = np.frombuffer(row.y, np.int32)
-        return Block(y, np.frombuffer(row.key, np.int64), np.frombuffer(row.bins, np.uint8).reshape(-1, len(y)), np.frombuffer(row.scores, float).reshape(len(y), -1))
+        return Block(y, np.frombuffer(row.key, np.int64), np.frombuffer(row.bins, np.uint8).reshape(-1, len(y)), np.frombuffer(row.scores, float).reshape(-1, len(y)))
 
     return binned.rdd.map(block).persist(StorageLevel.MEMORY_AND_DISK)
 
@@ -187,37 +195,29 @@ def in_bag(keys: np.ndarray, bag: int, share: float, seed: int) -> np.ndarray:
     return (x ^ (x >> np.uint64(31))) < np.uint64(min(int(share * 2.0 ** 64), mask))
 
 
-def gradient_cells(bins: np.ndarray, scores: np.ndarray, y: np.ndarray, trees: Sequence[Tree], wanted: Sequence[Sequence[int]]) -> np.ndarray:
-    """Gradients, Hessians and rows by (class, wanted leaf, feature, bin) as an array of three sums a cell."""
-    k, f = scores.shape[1], bins.shape[0]
-    p, slots = softmax(scores), max(1, max(map(len, wanted)))
-    out = np.zeros((k, slots, f, BINS, 3))
+def gradient_cells(block: Block, trees: Sequence[Tree], wanted: Sequence[Sequence[int]], allowed: Sequence[Sequence[int]]) -> list[np.ndarray]:
+    """Per class: gradients, Hessians and rows by (allowed feature, wanted leaf, bin) as an array of three sums a cell."""
+    k, columns = len(block.scores), list(block.bins)
+    p, out = softmax(block.scores), []
     for c in range(k):
-        g = p[:, c] - (y == c)
-        h = np.maximum(k / (k - 1) * p[:, c] * (1 - p[:, c]), 1e-16) if k > 1 else np.full(len(y), 1e-16)
-        at = trees[c].leaves(list(bins), True) if wanted[c] else None
-        for s, leaf in enumerate(wanted[c]):
-            rows = np.flatnonzero(at == leaf)
-            for i in range(f):
-                cell = bins[i][rows]
-                for j, w in enumerate((g[rows], h[rows], None)):
-                    out[c, s, i, :, j] += np.bincount(cell, weights=w, minlength=BINS)
+        slots = len(wanted[c])
+        sums = np.zeros((len(allowed[c]), slots, BINS, 3))
+        out.append(sums)
+        if not slots:
+            continue
+        g = p[c] - (block.y == c)
+        h = np.maximum(k / (k - 1) * p[c] * (1 - p[c]), 1e-16) if k > 1 else np.full(len(block.y), 1e-16)
+        # Cells of all leaves are counted at once; a leaf that is not wanted goes behind the others.
+        start = np.full(len(trees[c].leaf) + 1, slots * BINS)
+        start[list(wanted[c])] = np.arange(slots) * BINS
+        first = np.take(start, trees[c].leaves(columns, True))
+        for i, f in enumerate(allowed[c]):
+            cell = first + columns[f]
+            for j, w in enumerate((g, h, None)):
+                sums[i, :, :, j] = np.bincount(cell, weights=w, minlength=(slots + 1) * BINS)[:slots * BINS].reshape(slots, BINS)
     return out
 
 
-def _histograms(blocks: RDD, rounds: Sequence[Sequence[Tree]], trees: Sequence[Tree], wanted: Sequence[Sequence[int]], bag: int, share: float, seed: int) -> np.ndarray:
-    """Sums of all blocks; beyond 32 partitions executors add up theirs before the driver does."""
-    def partial(part: Iterator[Block]) -> Iterator[np.ndarray | int]:
-        total = 0
-        for block in part:
-            drawn = block.take(np.flatnonzero(in_bag(block.key, bag, share, seed)))
-            scores = add_trees(drawn.scores, rounds, list(drawn.bins), True)
-            total = total + gradient_cells(drawn.bins, scores, drawn.y, trees, wanted)
-        yield total
-
-    return blocks.mapPartitions(partial).treeReduce(lambda a, b: a + b, depth=1 if blocks.getNumPartitions() <= 32 else 2)
-
-
 @dataclass
 class Split:
     gain: float
@@ -228,21 +228,59 @@ class Split:
     right: np.ndarray
 
 
-def best_split(cells: np.ndarray, allowed: Sequence[int], least_rows: int, least_hessian: float) -> Split | None:
-    """The split of one leaf that gains most; ``cells`` are sums by (feature, bin). The first of equal ones."""
-    best, whole = None, cells[allowed[0]].sum(axis=0)
+def best_split(cells: np.ndarray, feature: int, least_rows: int, least_hessian: float) -> Split | None:
+    """The split of one leaf by one feature that gains most; ``cells`` are sums by bin. The first of equal ones."""
+    best, whole = None, cells.sum(axis=0)
     parent = whole[0] ** 2 / max(whole[1], 1e-16)
-    for f in allowed:
-        for missing_left in ((True, False) if cells[f, 0, 2] else (True,)):
-            left = np.cumsum(cells[f, 1:-1], axis=0) + (cells[f, 0] if missing_left else 0)
-            right = whole - left
-            ok = (np.minimum(left[:, 2], right[:, 2]) >= least_rows) & (np.minimum(left[:, 1], right[:, 1]) >= least_hessian)
-            if not ok.any():
-                continue
-            gain = np.where(ok, left[:, 0] ** 2 / np.maximum(left[:, 1], 1e-16) + right[:, 0] ** 2 / np.maximum(right[:, 1], 1e-16) - parent, -1.0)
-            at = int(np.argmax(gain))
-            if gain[at] > 1e-9 and (best is None or gain[at] > best.gain):
-                best = Split(float(gain[at]), f, at + 1, missing_left, left[at], right[at])
+    for missing_left in ((True, False) if cells[0, 2] else (True,)):
+        left = np.cumsum(cells[1:-1], axis=0) + (cells[0] if missing_left else 0)
+        right = whole - left
+        ok = (np.minimum(left[:, 2], right[:, 2]) >= least_rows) & (np.minimum(left[:, 1], right[:, 1]) >= least_hessian)
+        if not ok.any():
+            continue
+        gain = np.where(ok, left[:, 0] ** 2 / np.maximum(left[:, 1], 1e-16) + right[:, 0] ** 2 / np.maximum(right[:, 1], 1e-16) - parent, -1.0)
+        at = int(np.argmax(gain))
+        if gain[at] > 1e-9 and (best is None or gain[at] > best.gain):
+            best = Split(float(gain[at]), feature, at + 1, missing_left, left[at], right[at])
+    return best
+
+
+def _keep_best(found: dict[tuple[int, int], Split], key: tuple[int, int], split: Split | None) -> None:
+    """Of equal gains that of the first feature stands, in whatever order the splits come."""
+    if split and (key not in found or (split.gain, -split.feature) > (found[key].gain, -found[key].feature)):
+        found[key] = split
+
+
+def _best_splits(blocks: RDD, rounds: Sequence[Sequence[Tree]], trees: Sequence[Tree], wanted: Sequence[Sequence[int]], allowed: Sequence[Sequence[int]], features: int,
+                 bag: int, share: float, seed: int, least_rows: int, least_hessian: float) -> dict[tuple[int, int], Split]:
+    """The split of most gain by (class, leaf); the sums of a class and feature meet in one task, only splits go to the driver."""
+    def partial(part: Iterator[Block]) -> Iterator[tuple[int, np.ndarray]]:
+        total = None
+        for block in part:
+            drawn = block.take(np.flatnonzero(in_bag(block.key, bag, share, seed)))
+            drawn.scores = add_trees(drawn.scores, rounds, list(drawn.bins), True)
+            cells = gradient_cells(drawn, trees, wanted, allowed)
+            total = [a + b for a, b in zip(total, cells)] if total else cells
+        for c, sums in enumerate(total or []):
+            if wanted[c]:
+                yield from ((c * features + f, cells) for f, cells in zip(allowed[c], sums))
+
+    def choose(part: Iterator[tuple[int, np.ndarray]]) -> Iterator[dict[tuple[int, int], Split]]:
+        found = {}
+        for key, cells in part:
+            c, f = divmod(key, features)
+            for slot, leaf in enumerate(wanted[c]):
+                _keep_best(found, (c, leaf), best_split(cells[slot], f, least_rows, least_hessian))
+        yield found
+
+    sums, pieces = blocks.mapPartitions(partial), blocks.getNumPartitions()
+    if pieces > 1:
+        tasks = min(pieces, blocks.context.defaultParallelism, len(trees) * features)
+        sums = sums.reduceByKey(lambda a, b: a + b, tasks, int)
+    best = {}
+    for found in sums.mapPartitions(choose).collect():
+        for key, split in found.items():
+            _keep_best(best, key, split)
     return best
 
 
@@ -257,11 +295,9 @@ class _Growing:
         """Leaves whose sums a further split needs."""
         return [n for n in self.new if self.depth[n] < self.deepest] if len(self.depth) < self.leaves else []
 
-    def grow(self, cells: np.ndarray, least_rows: int, least_hessian: float, edges: Sequence[np.ndarray]) -> None:
-        for slot, leaf in enumerate(self.wanted()):
-            split = best_split(cells[slot], self.allowed, least_rows, least_hessian)
-            if split:
-                self.open[leaf] = split
+    def grow(self, splits: dict[int, Split], edges: Sequence[np.ndarray]) -> None:
+        """Take the best splits of the wanted leaves and make those of most gain."""
+        self.open |= splits
         self.new = []
         while self.open and len(self.depth) < self.leaves and not self.wanted():
             leaf = max(self.open, key=lambda n: self.open[n].gain)
@@ -281,7 +317,7 @@ class _Growing:
 
 
 def fit(train: DataFrame, features: Sequence[str], label: str, trees: int = 100, leaves: int = 3, depth: int = 2, rate: float = 0.1, least_rows: int = 40,
-        least_hessian: float = 3.0, feature_share: float = 0.8, row_share: float = 0.8, row_every: int = 5, refresh: int = 20, seed: int = 100) -> BoostedModel:
+        least_hessian: float = 3.0, feature_share: float = 0.8, row_share: float = 0.8, row_every: int = 5, refresh: int = 5, seed: int = 100) -> BoostedModel:
     """Boosted trees for the classes in ``label``; rows without a label take no part.
 
     Every round grows one tree per class to at most ``leaves`` leaves and ``depth`` levels
@@ -303,9 +339,9 @@ def fit(train: DataFrame, features: Sequence[str], label: str, trees: int = 100,
         size = max(1, round(feature_share * len(features)))
         growing = [_Growing(sorted(rng.choice(len(features), size, replace=False).tolist()), leaves, depth) for _ in labels]
         while any(wanted := [g.wanted() for g in growing]):
-            cells = _histograms(blocks, fresh, [g.tree for g in growing], wanted, r // row_every, row_share, seed)
+            best = _best_splits(blocks, fresh, [g.tree for g in growing], wanted, [g.allowed for g in growing], len(features), r // row_every, row_share, seed, least_rows, least_hessian)
             for c, g in enumerate(growing):
-                g.grow(cells[c], least_rows, least_hessian, edges)
+                g.grow({leaf: split for (k, leaf), split in best.items() if k == c}, edges)
         if not any(g.tree.leaf for g in growing):
             break
         fresh = fresh + [[g.close(rate) for g in growing]]

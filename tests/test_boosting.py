@@ -1,6 +1,7 @@
 """Boosted trees against a plain row-by-row version."""
 
 import math
+import pickle
 import random
 
 import numpy as np
@@ -126,3 +127,25 @@ def test_table_in_many_pieces(spark):
     df = spark.createDataFrame(rows, "a double, b double, kind string").repartition(40)
     model = bo.fit(df, ["a", "b"], "kind", trees=30, refresh=10)
     assert ml.evaluate_model(model, df).first().acc > 0.99 and len(model.rounds) == 30
+
+
+def test_the_driver_sees_splits_only(spark, monkeypatch):
+    rows = [(float(i % 97), float(i % 13), "abc"[(i % 97) // 33]) for i in range(6_000)]
+    df = spark.createDataFrame(rows, "a double, b double, kind string").repartition(12)
+    collect, sizes = bo.RDD.collect, []
+
+    def weighed(rdd):
+        got = collect(rdd)
+        sizes.append(len(pickle.dumps(got)))
+        return got
+
+    monkeypatch.setattr(bo.RDD, "collect", weighed)
+    model = bo.fit(df, ["a", "b"], "kind", trees=3)
+    assert len(model.rounds) == 3 and len(sizes) >= 6 and max(sizes) < 20_000
+
+
+def test_no_pass_walks_many_rounds_again(spark, monkeypatch):
+    walked, best = [], bo._best_splits
+    monkeypatch.setattr(bo, "_best_splits", lambda blocks, rounds, *rest: walked.append(len(rounds)) or best(blocks, rounds, *rest))
+    df = spark.createDataFrame([(float(i % 97), float(i % 13), "ab"[i % 97 > 33]) for i in range(2_000)], "a double, b double, kind string")
+    assert len(bo.fit(df, ["a", "b"], "kind", trees=12).rounds) == 12 and max(walked) <= 5
