@@ -171,10 +171,58 @@ def walk_keys(text: str | None, keys: Sequence[str]) -> tuple[list[str | None],
     return None if text[at:].strip(" \t\r\n") else (first, solid)
 
 
+_QUOTED = re.compile(r'"([^"\\]*(?:\\.[^"\\]*)*)"([ \t\r\n]*:[ \t\r\n]*)?', re.S)
+
+
+def _no_json(name: str) -> None:
+    raise ValueError(name)
+
+
+def json_reader() -> json.JSONDecoder:
+    """Reader of strict JSON; numbers stay texts, as nothing is read of them but where they end."""
+    return json.JSONDecoder(strict=False, parse_int=str, parse_float=str, parse_constant=_no_json)
+
+
+def scan_keys(text: str | None, keys: Sequence[str], reader: json.JSONDecoder) -> tuple[list[str | None], list[str | None]] | None:
+    """What ``walk_keys`` finds, by the json module's reader.
+
+    One call tells whether the text is JSON. In JSON a string before a colon is a key, so the
+    strings are then passed over once, and only the values of wanted keys are read again, one
+    of a key at most besides nulls. Texts too deep for the reader are walked token by token.
+    """
+    if not text:
+        return None
+    try:
+        reader.decode(text)
+        left, first, solid = set(keys), {}, {}
+        for token in _QUOTED.finditer(text):
+            name, colon = token.groups()
+            if colon is None:
+                continue
+            key = json.loads(token[0][:len(name) + 2], strict=False) if "\\" in name else name
+            if key not in left:
+                continue
+            start = token.end()
+            value, end = reader.raw_decode(text, start)
+            # A text is what it says, other values stay as they are written.
+            shown = None if value is None else value if text[start] == '"' else text[start:end]
+            first.setdefault(key, shown)
+            if shown is not None:
+                solid[key] = shown
+                left.remove(key)
+                if not left:
+                    break
+    except RecursionError:
+        return walk_keys(text, keys)
+    except ValueError:
+        return None
+    return [first.get(k) for k in keys], [solid.get(k) for k in keys]
+
+
 def find_keys(df: DataFrame, text: str, keys: Sequence[str], skip_null: bool = False, suffix: str | None = None) -> DataFrame:
     """First value of each key at any depth, in reading order, as columns of JSON text.
 
-    Each document is walked once, in an Arrow batch: the plan does not know how deep
+    Each document is read in an Arrow batch: the plan does not know how deep
     documents are, and nothing is shuffled. A JSON null counts as found unless
     ``skip_null``. With ``suffix`` both readings come from the one walk: the plain
     names take nulls, the suffixed ones do not. A text that is not JSON has no keys.
@@ -184,9 +232,9 @@ def find_keys(df: DataFrame, text: str, keys: Sequence[str], skip_null: bool = F
 
     @F.pandas_udf(f"struct<{shape}>")
     def search(texts: pd.Series) -> pd.DataFrame:
-        rows = []
+        rows, reader = [], json_reader()
         for value in texts:
-            got = walk_keys(value, names)
+            got = scan_keys(value, names, reader)
             rows.append([x for pair in zip(*got) for x in pair] if got else [None] * (2 * len(names)))
         return pd.DataFrame(rows, columns=[f"{kind}{i}" for i in range(len(names)) for kind in "fs"], dtype=object)
 

@@ -1,6 +1,8 @@
 """Typing, names, JSON recovery, masking and prompts."""
 
 import json
+import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -90,6 +92,43 @@ def test_find_keys_in_reading_order(spark):
             assert (json.loads(got) if got is not None else None) == want, (d, got)
 
 
+def test_key_scan_equals_the_walk(spark):
+    rng = random.Random(4)
+
+    def value(depth):
+        kind = rng.randrange(9 if depth < 4 else 6)
+        if kind < 6:
+            return (None, True, -1.5e-7, 10 ** 25, 'q"k": \\ é\n', "k")[kind]
+        if kind == 6:
+            return [value(depth + 1) for _ in range(rng.randrange(4))]
+        return {rng.choice(["k", "n", "a b", 'q"', "é", "\\"]): value(depth + 1) for _ in range(rng.randrange(4))}
+
+    keys = ["k", "n", 'q"', "é", "\\", "absent"]
+    texts = [json.dumps(value(0), ensure_ascii=rng.random() < 0.5, indent=rng.choice([None, 1])) for _ in range(3000)]
+    texts += [t[:rng.randrange(len(t) + 1)] + rng.choice(["", "}", "]", '"', ",", " ", "\ufeff"]) for t in texts]
+    texts += ['{"k":NaN}', '{"k":1}{"k":2}', '{"k":1,}', '{"k":01}', '{"k":"a\nb"}', '[1 ,\t{"k" :\r\n {"n":[ ]} } ]', "", " ", "[" * 50_000 + '{"k":1}' + "]" * 50_000]
+    def walked(text, keys):
+        try:
+            return js.walk_keys(text, keys)
+        except json.JSONDecodeError:  # an escape that JSON does not have
+            return None
+
+    def scanned(text, keys):
+        return js.scan_keys(text, keys, js.json_reader())
+
+    for text in texts:
+        assert scanned(text, keys) == walked(text, keys), text[:200]
+    bad = spark.createDataFrame([('{"a":"\\x","k":1}',), ('{"k":"\\x"}',), ('{"k":1}',)], "doc string")
+    assert [r.k for r in js.find_keys(bad, "doc", ["k"]).collect()] == [None, None, "1"]
+    doc = json.dumps({"a": list(range(200)), "b": {str(i): "x" for i in range(200)}, "k": 1})
+    times = []
+    for search in (scanned, walked):
+        start = time.process_time()
+        assert all(search(doc, ["k", "z"])[0] == ["1", None] for _ in range(300))
+        times.append(time.process_time() - start)
+    assert times[0] < 0.5 * times[1]
+
+
 def test_names(spark):
     df = spark.createDataFrame([("",), ("x Time id",), ("Größe €9",), ("timeId",)], "n string")
     rows = df.select(*[c.alias(k) for k, c in fn.name_features(F.col("n")).items()]).collect()
