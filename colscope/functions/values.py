@@ -47,38 +47,59 @@ def month_number(text: Column) -> Column:
     return _name_number(text, MONTH_NUMBERS, 12)
 
 
+def _names() -> Column:
+    """Weekday and month number of every name, in one map."""
+    number = lambda names, name: F.lit(names.get(name)).cast("int")
+    return F.create_map(*[x for name in {**WEEKDAYS, **MONTH_NUMBERS} for x in (
+        F.lit(name), F.struct(number(WEEKDAYS, name).alias("day"), number(MONTH_NUMBERS, name).alias("month")))])
+
+
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Compute ``value`` once and use it several times inside a lambda."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def describe(text: Column, variant: str = "v1", quoted: bool = False) -> Column:
+def describe(text: Column, variant: str = "v1", quoted: bool = False, inner: bool = False) -> Column:
     """Everything a comparison needs to know of one value, worked out once per value.
 
     ``quoted`` values are JSON texts: those in quotation marks are strings, which is
-    remembered in ``mark``.
+    remembered in ``mark``. ``inner`` is for use inside a lambda, where Spark works out an
+    expression as often as it is named: each step is then bound to a name.
     """
-    mark = F.lit(False)
-    if quoted:
-        mark = F.coalesce(text.startswith('"'), F.lit(False))
-        text = F.when(mark, F.regexp_replace(text, r'(?s)^"(.*)"$', "$1")).otherwise(text)
     if variant not in ("v1", "v2", "v3"):
         raise ValueError("variant must be v1, v2 or v3")
-    number = as_number(text)
-    if variant == "v1":
-        return F.struct(text.alias("text"), number.alias("num"), mark.alias("mark"))
-    # Exponents and trailing zeros away: the text a float prints as.
-    decimal = F.when(F.trim(text).rlike(_PLAIN), F.trim(text)).otherwise(
-        number.try_cast("decimal(38,12)").cast("string"))
-    plain = F.regexp_replace(F.regexp_replace(decimal, r"0+$", ""), r"\.$", ".0")
-    whole = F.coalesce(text.rlike(_WHOLE), F.lit(False))
-    fraction = number.isNotNull() & ~whole
-    return F.struct(
-        text.alias("text"), number.alias("num"), mark.alias("mark"), whole.alias("whole"),
-        (F.signum(number) * F.floor(F.abs(number))).alias("cut0"),
-        F.when(fraction, F.substring_index(plain, ".", 1)).alias("lead"),
-        F.when(fraction, F.substring_index(plain, ".", -1)).alias("frac"),
-        weekday_number(text).alias("day"), month_number(text).alias("month"))
+    bind = _let if inner else lambda value, body: body(value)
+
+    def shape(text: Column, mark: Column) -> Column:
+        if variant == "v1":
+            return F.struct(text.alias("text"), as_number(text).alias("num"), mark.alias("mark"))
+        return bind(F.coalesce(text.rlike(_WHOLE), F.lit(False)), lambda whole: bind(
+            F.when(whole | text.rlike(_NUMBER), F.trim(text).try_cast("double")), lambda number: read(text, mark, whole, number)))
+
+    def read(text: Column, mark: Column, whole: Column, number: Column) -> Column:
+        # No number is a name, and only whole ones can stand for a day or month.
+        place = F.struct(F.when(whole, F.trim(text).try_cast("int")).alias("digits"),
+                         F.when(number.isNull(), F.try_element_at(_names(), F.lower(text))).alias("name"))
+        return bind(place, lambda p: bind(fraction(text, number, whole), lambda plain: F.struct(
+            text.alias("text"), number.alias("num"), mark.alias("mark"), whole.alias("whole"),
+            (F.signum(number) * F.floor(F.abs(number))).alias("cut0"),
+            F.substring_index(plain, ".", 1).alias("lead"), F.substring_index(plain, ".", -1).alias("frac"),
+            stands_for(p, "day", 7), stands_for(p, "month", 12))))
+
+    def stands_for(p: Column, kind: str, top: int) -> Column:
+        return F.coalesce(p["name"][kind], F.when(p["digits"].between(1, top), p["digits"])).alias(kind)
+
+    def fraction(text: Column, number: Column, whole: Column) -> Column:
+        # Exponents and trailing zeros away: the text a float prints as.
+        decimal = F.when(F.trim(text).rlike(_PLAIN), F.trim(text)).otherwise(
+            number.try_cast("decimal(38,12)").cast("string"))
+        plain = F.regexp_replace(F.regexp_replace(decimal, r"0+$", ""), r"\.$", ".0")
+        return F.when(number.isNotNull() & ~whole, plain)
+
+    if not quoted:
+        return shape(text, F.lit(False))
+    mark = F.coalesce(text.startswith('"'), F.lit(False))
+    return bind(mark, lambda m: bind(F.when(m, F.regexp_replace(text, r'(?s)^"(.*)"$', "$1")).otherwise(text), lambda t: shape(t, m)))
 
 
 def _pair_equal(a: Column, b: Column, variant: str) -> Column:
@@ -116,16 +137,21 @@ def _greedy(want: Column, have: Column, equal: Callable[[Column, Column], Column
     """
     start = F.struct(have.alias("left"), F.lit(True).alias("ok"))
 
-    def take(acc: Column, found: Column) -> Column:
-        # The search ends at the first hit; a NULL met before it is an error.
-        at = F.array_position(found, F.lit(True))
-        stop = F.array_position(F.transform(found, lambda x: F.coalesce(x, F.lit(True))), F.lit(True))
+    def look(item: Column) -> Callable[[Column, Column], Column]:
+        # Place of the first hit, 0 so far; -1 after a comparison that cannot be done. Later items are not compared.
+        def at(seen: Column, verdict: Column) -> Column:
+            return F.struct((seen["i"] + 1).alias("i"), F.when(verdict.isNull(), -1).when(verdict, seen["i"] + 1).otherwise(0).alias("at"))
+
+        return lambda seen, x: F.when(seen["at"] != 0, seen).otherwise(_let(equal(item, x), lambda verdict: at(seen, verdict)))
+
+    def take(acc: Column, at: Column) -> Column:
         return F.struct(F.filter(acc["left"], lambda x, i: i != at - 1).alias("left"),
-                        F.when((stop > 0) & (stop != at), F.lit(None).cast("boolean")).otherwise(at > 0).alias("ok"))
+                        F.when(at < 0, F.lit(None).cast("boolean")).otherwise(at > 0).alias("ok"))
 
     def step(acc: Column, item: Column) -> Column:
-        tried = F.transform(acc["left"], lambda x: equal(item, x))
-        return F.when(acc["ok"], _let(tried, lambda found: take(acc, found))).otherwise(acc)
+        none = F.struct(F.lit(0).alias("i"), F.lit(0).alias("at"))
+        found = F.aggregate(acc["left"], none, look(item), lambda seen: seen["at"])
+        return F.when(acc["ok"], _let(found, lambda at: take(acc, at))).otherwise(acc)
 
     return F.aggregate(want, start, step, lambda acc: acc["ok"])
 
@@ -154,7 +180,8 @@ def _lists_equal(a: Column, b: Column, ordered: Column, variant: str, pairing: s
         return _pair_equal(p, q, variant)
 
     in_order = F.forall(F.zip_with(a, b, equal), lambda ok: ok)
-    bag = _bag_sorted(a, b) if variant == "v1" and pairing == "sorted" else _greedy(a, b, equal)
+    bag = _bag_sorted(a, b) if variant == "v1" and pairing == "sorted" else \
+        F.when(a.eqNullSafe(b), F.lit(True)).otherwise(_greedy(a, b, equal))  # of equal lists each item takes its twin
     return F.when(F.size(a) != F.size(b), F.lit(False)).when(ordered, in_order).otherwise(bag)
 
 
@@ -162,19 +189,20 @@ def lists_equal(a: Column, b: Column, ordered: Column | bool = False, variant: s
                 pairing: str = "sorted") -> Column:
     """Equality of two value lists, in order or as bags."""
     flag = F.lit(ordered) if isinstance(ordered, bool) else ordered
-    described = [F.transform(x, lambda v: describe(v, variant)) for x in (a, b)]
+    described = [F.transform(x, lambda v: describe(v, variant, inner=True)) for x in (a, b)]
     return _lists_equal(*described, flag, variant, pairing)
 
 
 def _without_zeros(lists: Column) -> Column:
     zeros = F.array_distinct(F.flatten(F.transform(lists, lambda l: F.filter(
         F.transform(l, lambda v, i: F.when((v["num"] == 0) & ~v["mark"], i)), lambda i: i.isNotNull()))))
-    return _let(zeros, lambda z: F.transform(lists, lambda l: F.filter(l, lambda v, i: ~F.array_contains(z, i))))
+    return _let(zeros, lambda z: F.when(F.size(z) == 0, lists).otherwise(
+        F.transform(lists, lambda l: F.filter(l, lambda v, i: ~F.array_contains(z, i)))))
 
 
 def drop_zero_positions(lists: Column, quoted: bool = False) -> Column:
     """Remove the positions at which any list holds the number zero; the text "0" stays if values are ``quoted``."""
-    described = F.transform(lists, lambda l: F.transform(l, lambda v: describe(v, quoted=quoted)))
+    described = F.transform(lists, lambda l: F.transform(l, lambda v: describe(v, quoted=quoted, inner=True)))
     return F.transform(_without_zeros(described), lambda l: F.transform(l, lambda v: v["text"]))
 
 
@@ -189,7 +217,7 @@ def list_match(expected: Column, predicted: Column, ordered: Column | bool = Fal
     flag = F.lit(ordered) if isinstance(ordered, bool) else ordered
 
     def prepared(lists: Column) -> Column:
-        described = F.transform(lists, lambda l: F.transform(l, lambda v: describe(v, variant, quoted)))
+        described = F.transform(lists, lambda l: F.transform(l, lambda v: describe(v, variant, quoted, True)))
         return _let(described, _without_zeros) if variant == "v3" else described
 
     matched = _greedy(prepared(expected), prepared(predicted),

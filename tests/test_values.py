@@ -92,3 +92,14 @@ def test_matrix_columns(spark):
     assert classes == ["Electrical"] * 3 + ["Mechanical"] * 3 + ["TV, Video"] * 3
     rows = prep.matrix_rows(df, "id").orderBy("pos").collect()
     assert [(r["unit"], str(r["value"]), r["class"]) for r in rows] == list(zip(units, values, classes))
+
+
+def test_lists_read_each_value_once(spark):
+    odd = ["1", "+5", "-5", " 7 ", "May", "5", "99999999999", "1e3", "1000", "3.140", "3.1", "", None, "sun", "NaN", "1e400", "0.004", "x"]
+    df = spark.createDataFrame([(a, b) for a in odd for b in odd], "a string, b string")
+    for variant in ("v2", "v3"):
+        got = df.select(va.values_equal(F.col("a"), F.col("b"), variant).alias("one"),
+                        va.lists_equal(F.array("a"), F.array("b"), False, variant).alias("list"), "a", "b").collect()
+        assert all(r.one == r["list"] or r.a is r.b is None for r in got)
+    plan = df.select(va.lists_equal(F.array("a"), F.array("b"), False, "v3"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") <= 60  # 180 when each use of a number or name reads the text again
