@@ -24,6 +24,8 @@ from ..session import materialize, scratch_path
 from . import flows
 from .registry import query, rounded, table
 
+EVENTS_PER_TASK = 50_000
+
 # Fixed values of the generated corpus: event type to first trace.
 KINDS = {"view": "scatter", "click": "bar", "error": "box", "signup": "heatmap", "purchase": "histogram"}
 KIND_SQL = ("CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in KINDS.items()) + " END")
@@ -33,6 +35,12 @@ def events(spark, sf):
     return table(spark, sf, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
 
 
+def spread_events(spark, sf):
+    """Events dealt out evenly: a chart is many times as long as its event, so a file's splits make few and heavy tasks."""
+    ev = events(spark, sf)
+    return ev.repartition(max(spark.sparkContext.defaultParallelism, -(-ev.count() // EVENTS_PER_TASK)))
+
+
 def event_charts(ev):
     """Raw corpus rows (JSON texts) of events."""
     user = F.concat(F.lit("u"), F.col("user_id").cast("string"))
@@ -70,7 +78,7 @@ ok AS (SELECT *, u || ':' || event_id AS fid, k % 10 = 0 AS broken,
 
 
 def usable_charts(spark, sf):
-    return materialize(co.clean_corpus(co.parse_corpus(event_charts(events(spark, sf))), 25), "charts")
+    return materialize(co.clean_corpus(co.parse_corpus(event_charts(spread_events(spark, sf))), 25), "charts")
 
 
 @query("clean_corpus", oracle="""
@@ -79,7 +87,7 @@ SELECT coalesce(CASE WHEN event_id % 17 = 0 THEN 'unparsable' WHEN event_id % 13
   count(*) AS charts, CAST(sum(CASE WHEN event_id % 17 = 0 OR event_id % 13 = 0 OR event_id % 5 = 0 THEN 0 ELSE 3 END) AS BIGINT) AS fields
 FROM events GROUP BY 1""")
 def clean_corpus(spark, sf):
-    parsed = materialize(co.parse_corpus(event_charts(events(spark, sf))), "parsed")
+    parsed = materialize(co.parse_corpus(event_charts(spread_events(spark, sf))), "parsed")
     kept = co.clean_corpus(parsed, 25).select(F.lit("kept").alias("outcome"), F.size("fields").alias("w"))
     wide = co.wide_charts(parsed, 25).select(F.lit("too wide").alias("outcome"), F.lit(0).alias("w"))
     broken = parsed.where("reason is not null").select(F.col("reason").alias("outcome"), F.lit(0).alias("w"))
@@ -179,7 +187,7 @@ SELECT 'u' || user_id || ':' || event_id AS fid,
   CASE WHEN event_id % 17 = 0 THEN 'unparsable' WHEN event_id % 13 = 0 THEN 'empty' END AS reason FROM events""")
 def tsv_corpus_scan(spark, sf):
     path = scratch_path(spark, "corpus_tsv")
-    co.write_corpus_tsv(event_charts(events(spark, sf)), path)
+    co.write_corpus_tsv(event_charts(spread_events(spark, sf)), path)
     return co.parse_corpus(co.read_corpus_tsv(spark, path)).select("fid", "reason")
 
 
@@ -259,7 +267,7 @@ b AS (SELECT coalesce(quantile_cont(m, 0.05), 0.0) AS lo, coalesce(quantile_cont
 SELECT split, trace_type, CASE WHEN broken THEN NULL WHEN uid = 'a' THEN 'x' ELSE 'y' END AS is_x_or_y, count(*) AS fields, CAST(sum(2) AS BIGINT) AS cells,
   CAST(count_if(m IS NOT NULL) AS BIGINT) AS whole, round(sum(CASE WHEN m BETWEEN lo AND hi THEN m WHEN m < lo THEN lo ELSE hi END), 4) AS mean_sum FROM k, b GROUP BY ALL""")
 def corpus_training_table(spark, sf):
-    features, outcomes = flows.corpus_features(event_charts(events(spark, sf)), 25)
+    features, outcomes = flows.corpus_features(event_charts(spread_events(spark, sf)), 25)
     train, test, _ = flows.prepare_training(features, outcomes, ["mean"], "train")
     both = train.withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test")))
     return rounded(both.groupBy("split", "trace_type", "is_x_or_y").agg(
@@ -270,7 +278,7 @@ def corpus_training_table(spark, sf):
 SELECT f AS field_id, TRUE AS known, TRUE AS confident FROM (SELECT unnest(['p_partkey', 'p_name', 'p_brand', 'p_type', 'p_size', 'p_retailprice']) AS f)""")
 def score_unlabeled(spark, sf):
     inputs = ["length", "mean", "data_type_is_string"]
-    features, outcomes = flows.corpus_features(event_charts(events(spark, sf)), 25)
+    features, outcomes = flows.corpus_features(event_charts(spread_events(spark, sf)), 25)
     train, _, bounds = flows.prepare_training(features, outcomes, ["length", "mean"], "train")
     path = scratch_path(spark, "bounds")
     prep.save_parameters(bounds, path)

@@ -14,7 +14,7 @@ from colscope.operators import prep
 from colscope.operators import profile as pr
 from colscope.operators import relational as rl
 from colscope.operators import sampling as sm
-from colscope.plans import all_queries
+from colscope.plans import all_queries, corpus_queries
 from colscope.sources import corpus as co
 
 
@@ -165,6 +165,10 @@ def test_chunks_are_whole_or_absent_and_replace_themselves(spark, tmp_path):
     assert "chunk" in plan.split("PartitionFilters: [")[1].split("]")[0]
 
 
+def test_charts_of_one_small_file_are_made_in_many_tasks(spark, sf):
+    assert len(corpus_queries.usable_charts(spark, sf).inputFiles()) >= spark.sparkContext.defaultParallelism
+
+
 def test_keyed_json_files_do_not_follow_the_users(spark, tmp_path, monkeypatch):
     ev = spark.range(600).select(
         F.col("id").alias("event_id"), (F.col("id") % 200).alias("user_id"), F.lit("view").alias("event_type"), (F.col("id") * 0.5).alias("value"))
