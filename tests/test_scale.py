@@ -14,7 +14,7 @@ from colscope.operators import prep
 from colscope.operators import profile as pr
 from colscope.operators import relational as rl
 from colscope.operators import sampling as sm
-from colscope.plans import all_queries, corpus_queries
+from colscope.plans import all_queries, corpus_queries, flows
 from colscope.sources import corpus as co
 
 
@@ -169,6 +169,12 @@ def test_charts_of_one_small_file_are_made_in_many_tasks(spark, sf):
     assert len(corpus_queries.usable_charts(spark, sf).inputFiles()) >= spark.sparkContext.defaultParallelism
 
 
+def test_features_and_outcomes_are_worked_out_once(spark, sf):
+    raw = corpus_queries.event_charts(corpus_queries.events(spark, sf).where("event_id < 60"))
+    for name, df in zip(("features", "outcomes"), flows.corpus_features(raw, 25)):
+        assert df.inputFiles() and all(f"/{name}-" in f for f in df.inputFiles())
+
+
 def test_keyed_json_files_do_not_follow_the_users(spark, tmp_path, monkeypatch):
     ev = spark.range(600).select(
         F.col("id").alias("event_id"), (F.col("id") % 200).alias("user_id"), F.lit("view").alias("event_type"), (F.col("id") * 0.5).alias("value"))
