@@ -9,9 +9,10 @@ field in one task.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import names as fn
@@ -57,13 +58,13 @@ def value_histogram(rows: DataFrame, keys: Sequence[str], value: str = "v") -> D
 
 # ------------------------------------------------- basics, types, uniqueness
 
-def field_basics(hist: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Length, missing values, type votes and the winning type of each field."""
+def field_basics(hist: DataFrame, keys: Sequence[str] = KEYS, also: Sequence[Column] = ()) -> DataFrame:
+    """Length, missing values, type votes and the winning type of each field, and the aggregates in ``also``."""
     votes = ty.vote_columns(F.col("raw"), F.col("cnt"))
     counted = hist.groupBy(*keys, *_carried(hist)).agg(
         F.sum("cnt").alias("length"),
         F.sum(F.when(F.col("raw").isNull(), F.col("cnt")).otherwise(F.lit(0))).alias("num_none"),
-        *[c.alias(f"score_{n}") for n, c in votes.items()])
+        *[c.alias(f"score_{n}") for n, c in votes.items()], *also)
     scores = {n: F.col(f"score_{n}") for n in ty.TYPE_ORDER}
     typed = (counted.withColumn("data_type", ty.winning_type(scores))
              .withColumn("general_type", ty.general_type(F.col("data_type"))))
@@ -121,15 +122,22 @@ def categorical_stats(hist: DataFrame, keys: Sequence[str] = KEYS, value: str =
 def value_totals(hist: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """First pass over values: count, mean, range and the value entropy."""
     size = F.abs(F.col("v"))
-    xlnx = F.when(F.col("v") == 0, F.lit(0.0)).otherwise(size * F.ln(size))
-    return (hist.groupBy(*keys).agg(
+    return _with_mean(hist.groupBy(*keys).agg(
         F.sum("cnt").alias("n"), F.min("v").alias("min"), F.max("v").alias("max"),
-        F.sum(F.col("v") * F.col("cnt")).alias("_sum"), F.sum(size * F.col("cnt")).alias("_abs"), F.sum(xlnx * F.col("cnt")).alias("_xlnx"))
-        .withColumn("mean", F.col("_sum") / F.col("n"))
-        .withColumn("entropy", F.when(
-            (F.col("min") >= 0) | (F.col("max") <= 0),
-            F.when(F.col("_abs") > 0, F.ln("_abs") - F.try_divide("_xlnx", "_abs"))))
-        .drop("_abs", "_xlnx"))
+        F.sum(F.col("v") * F.col("cnt")).alias("_sum"), F.sum(size * F.col("cnt")).alias("_abs"), F.sum(_xlnx(F.col("v")) * F.col("cnt")).alias("_xlnx")))
+
+
+def _xlnx(v: Column) -> Column:
+    return F.when(v == 0, F.lit(0.0)).otherwise(F.abs(v) * F.ln(F.abs(v)))
+
+
+def _with_mean(totals: DataFrame) -> DataFrame:
+    """Mean and value entropy of totals."""
+    return (totals.withColumn("mean", F.col("_sum") / F.col("n"))
+            .withColumn("entropy", F.when(
+                (F.col("min") >= 0) | (F.col("max") <= 0),
+                F.when(F.col("_abs") > 0, F.ln("_abs") - F.try_divide("_xlnx", "_abs"))))
+            .drop("_abs", "_xlnx"))
 
 
 def centered_stats(hist: DataFrame, totals: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -145,6 +153,11 @@ def centered_stats(hist: DataFrame, totals: DataFrame, keys: Sequence[str] = KEY
     sums = joined.groupBy(*keys).agg(
         *[(F.sum(F.pow(gap, F.lit(k)) * F.col("cnt")) / weight).alias(f"moment_{k}") for k in range(2, 11)],
         (F.sum(F.abs(gap) * F.col("cnt")) / weight).alias("avg_abs_dev"))
+    return _with_shape(sums)
+
+
+def _with_shape(sums: DataFrame) -> DataFrame:
+    """Variance and shape of the moments."""
     var = F.col("moment_2")
     out = (sums.withColumn("var", var).withColumn("std", F.sqrt("var"))
            .withColumn("skewness", F.try_divide(F.col("moment_3"), F.pow("moment_2", F.lit(1.5))))
@@ -185,18 +198,24 @@ def order_stats(ranked: DataFrame, keys: Sequence[str] = KEYS,
     step_mean = F.try_divide(high - low, n - 1)
     step_sq = F.try_divide(F.coalesce(F.sum(step * step), F.lit(0.0)), n - 1)
 
-    def spread(square: Column, mean: Column) -> Column:
-        return F.try_divide(F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))), mean)
-
-    return (ranked.groupBy(*keys).agg(
+    return _with_spacing(ranked.groupBy(*keys).agg(
         *[c.alias(name) for name, c in quantile_columns("v", F.col("cnt"), probs).items()],
         F.try_divide(gini_top, n * (total + n * (shift + 1e-7))).alias("gini"),
         F.count(F.lit(1)).alias("num_unique_values"),
-        spread(step_sq, step_mean).alias("lin_space_sequence_coeff"),
-        F.when(blocked == 0, spread(ratio_sq, ratio_mean)).alias("log_space_sequence_coeff"))
-        .withColumn("is_lin_space", F.coalesce(F.col("lin_space_sequence_coeff") <= 0.001, F.lit(False)))
-        .withColumn("is_log_space", F.coalesce(F.col("log_space_sequence_coeff") <= 0.001, F.lit(False)))
-        .withColumn("quant_coeff_disp", F.try_divide(F.col("q75") - F.col("q25"), F.col("q75") + F.col("q25"))))
+        _coefficient(step_sq, step_mean).alias("lin_space_sequence_coeff"),
+        F.when(blocked == 0, _coefficient(ratio_sq, ratio_mean)).alias("log_space_sequence_coeff")))
+
+
+def _coefficient(square: Column, mean: Column) -> Column:
+    """Standard deviation over mean, from the means of squares and values."""
+    return F.try_divide(F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))), mean)
+
+
+def _with_spacing(ordered: DataFrame) -> DataFrame:
+    """Spacing flags and the quartile dispersion."""
+    return (ordered.withColumn("is_lin_space", F.coalesce(F.col("lin_space_sequence_coeff") <= 0.001, F.lit(False)))
+            .withColumn("is_log_space", F.coalesce(F.col("log_space_sequence_coeff") <= 0.001, F.lit(False)))
+            .withColumn("quant_coeff_disp", F.try_divide(F.col("q75") - F.col("q25"), F.col("q75") + F.col("q25"))))
 
 
 def median_abs_dev(hist: DataFrame, centers: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -213,12 +232,7 @@ def outlier_stats(hist: DataFrame, stats: DataFrame, keys: Sequence[str] = KEYS,
 
     The quantiles of the scales in ``also`` give their own prefixed results in the same pass.
     """
-    fences = {}
-    for prefix in ("", *(f"{scale}_" for scale in also)):
-        q1, q25, q75, q99 = (F.col(f"{prefix}{q}") for q in ("q1", "q25", "q75", "q99"))
-        fences |= {f"{prefix}15iqr": (q25 - 1.5 * (q75 - q25), q75 + 1.5 * (q75 - q25)),
-                   f"{prefix}3iqr": (q25 - 3 * (q75 - q25), q75 + 3 * (q75 - q25)), f"{prefix}1_99": (q1, q99),
-                   f"{prefix}3std": (F.col("mean") - 3 * F.col("std"), F.col("mean") + 3 * F.col("std"))}
+    fences = _fences(also)
     wanted = [f"{prefix}{q}" for prefix in ("", *(f"{scale}_" for scale in also)) for q in ("q1", "q25", "q75", "q99")]
     joined = hist.join(stats.select(*keys, *wanted, "mean", "std"), list(keys))
     hits = {name: F.sum(F.when((F.col("v") < lo) | (F.col("v") > hi), F.col("cnt")).otherwise(F.lit(0)))
@@ -228,6 +242,17 @@ def outlier_stats(hist: DataFrame, stats: DataFrame, keys: Sequence[str] = KEYS,
         *[(h > 0).alias(f"has_outliers_{k}") for k, h in hits.items()])
 
 
+def _fences(also: Sequence[str] = ()) -> dict[str, tuple[Column, Column]]:
+    """The ends beyond which a value lies outside, by rule."""
+    fences = {}
+    for prefix in ("", *(f"{scale}_" for scale in also)):
+        q1, q25, q75, q99 = (F.col(f"{prefix}{q}") for q in ("q1", "q25", "q75", "q99"))
+        fences |= {f"{prefix}15iqr": (q25 - 1.5 * (q75 - q25), q75 + 1.5 * (q75 - q25)),
+                   f"{prefix}3iqr": (q25 - 3 * (q75 - q25), q75 + 3 * (q75 - q25)), f"{prefix}1_99": (q1, q99),
+                   f"{prefix}3std": (F.col("mean") - 3 * F.col("std"), F.col("mean") + 3 * F.col("std"))}
+    return fences
+
+
 def add_normality(stats: DataFrame) -> DataFrame:
     """Omnibus K2 test from ``n``, biased ``skewness`` and excess ``kurtosis`` (n >= 8).
 
@@ -275,7 +300,11 @@ def numeric_stats(hist: DataFrame, keys: Sequence[str] = KEYS,
         # Three consumers follow; the table has one row per field.
         stats = materialize(stats, "field_stats")
         stats = stats.join(median_abs_dev(hist, stats, keys), keys)
-    stats = stats.join(outlier_stats(hist, stats, keys), keys)
+    return _with_ratios(stats.join(outlier_stats(hist, stats, keys), keys))
+
+
+def _with_ratios(stats: DataFrame) -> DataFrame:
+    """Ratios of the numeric features and the test for normality."""
     value_range = F.col("max") - F.col("min")
     out = stats.select(
         "*", value_range.alias("range"),
@@ -433,11 +462,36 @@ def distinct_fields(cells: DataFrame, fields: DataFrame) -> DataFrame:
 
 
 def profile_columns(cells: DataFrame, quantile_scale: str = "reference") -> DataFrame:
-    """One wide feature row per field; flags default to FALSE, numbers to NULL."""
+    """One wide feature row per field, written; flags default to FALSE, numbers to NULL.
+
+    A table of at most ``ROW_CELLS`` cells meets in one task and each of its fields in one row;
+    its features are expressions over that row's array. Larger tables, and those with NULL field
+    ids or equal column names, go through histograms and ranks, where no task holds a whole field.
+    """
+    sizes = cells.where("fid is not null").groupBy("fid").agg(
+        ((F.count(F.lit(1)) > ROW_CELLS) | F.bool_or(F.col("field_id").isNull())).alias("large"))
+    sizes = materialize(sizes, "sizes")
+    kinds = {r.large for r in sizes.select("large").distinct().collect()}
+    large, parts = sizes.where("large").select("fid"), []
+    if False in kinds:
+        small = cells.where("fid is not null")
+        small = materialize(_profile_rows(small.join(large, "fid", "left_anti") if True in kinds else small, quantile_scale), "features")
+        parts.append(small.where("not _renamed").drop("_renamed"))
+        renamed = small.where("_renamed").select("fid").distinct()
+        if not renamed.isEmpty():
+            large, kinds = large.union(renamed), kinds | {True}
+    if True in kinds or not parts:
+        whole = cells.join(large, "fid", "left_semi") if parts else cells
+        parts.append(materialize(_profile_long(whole.select(*cells.columns), quantile_scale), "features"))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def _profile_long(cells: DataFrame, quantile_scale: str) -> DataFrame:
+    """``profile_columns`` of fields of any length."""
     hist = materialize(raw_histogram(cells), "hist")
     basics = materialize(only_field(field_basics(hist)), "basics")
     if "ord" in cells.columns and not basics.groupBy(*KEYS).agg(F.count("*").alias("n")).where("n > 1").isEmpty():
-        return profile_columns(distinct_fields(cells, basics), quantile_scale)
+        return _profile_long(distinct_fields(cells, basics), quantile_scale)
     types = basics.select(*KEYS, "data_type", "general_type")
     typed = hist.join(types, KEYS)
     numeric = value_histogram(
@@ -454,6 +508,11 @@ def profile_columns(cells: DataFrame, quantile_scale: str = "reference") -> Data
 
     wide = (basics.join(numbers, KEYS, "left").join(words, KEYS, "left")
             .join(text_unique, KEYS, "left").join(order, KEYS, "left"))
+    return _with_defaults(wide)
+
+
+def _with_defaults(wide: DataFrame) -> DataFrame:
+    """Distinct counts of whole numbers, name features and defaults."""
     is_int = F.col("data_type") == "integer"
     n_unique = F.coalesce(F.col("num_unique_elements"), F.when(is_int, F.col("num_unique_values")))
     n_values = F.when(is_int, F.col("n"))
@@ -461,7 +520,149 @@ def profile_columns(cells: DataFrame, quantile_scale: str = "reference") -> Data
         "unique_percent": F.coalesce("unique_percent", F.try_divide(n_unique, n_values)),
         "is_unique": F.coalesce("is_unique", n_unique == n_values),
         "num_unique_elements": n_unique})
-    wide = wide.withColumns(fn.name_features(F.col("field_name")))
+    if "space_in_name" not in wide.columns:
+        wide = wide.withColumns(fn.name_features(F.col("field_name")))
     flags = [f.name for f in wide.schema.fields if f.dataType.simpleString() == "boolean"]
     drop = ["n", "num_unique_values", *[f"score_{t}" for t in ty.TYPE_ORDER]]
     return wide.fillna(False, subset=flags).drop(*drop)
+
+
+# ----------------------------------------------------- fields held in one row
+
+# Cells of the largest table whose fields are profiled as arrays.
+ROW_CELLS = 1_000
+
+
+def _total(items: Column, of: Callable[[Column], Column]) -> Column:
+    """Sum of a number of each item."""
+    return F.aggregate(items, F.lit(0.0), lambda acc, x: acc + of(x))
+
+
+def _runs(ordered: Column) -> Column:
+    """Histogram of a sorted array: ``v``, ``cnt`` and ``before`` in order."""
+    begins = F.filter(F.sequence(F.lit(0), F.size(ordered) - 1), lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1)))
+    return F.transform(begins, lambda i: F.struct(F.get(ordered, i).alias("v"), i.cast("bigint").alias("before")))
+
+
+def _counted(runs: Column, total: Column) -> Column:
+    """Runs with ``cnt`` and the next value ``nxt``."""
+    def one(r: Column, i: Column) -> Column:
+        after = F.get(runs, i + 1)
+        return F.struct(r["v"].alias("v"), (F.coalesce(after["before"], total) - r["before"]).alias("cnt"), r["before"].alias("before"), after["v"].alias("nxt"))
+    return F.transform(runs, one)
+
+
+def _quantile(ordered: Column, p: float) -> Column:
+    """Linearly interpolated quantile of a sorted array."""
+    place = (F.size(ordered) - 1) * F.lit(float(p))
+    low, high = F.floor(place), F.ceil(place)
+    at = lambda k: F.get(ordered, k.cast("int"))
+    return at(low) + (place - low) * (at(high) - at(low))
+
+
+def _profile_rows(cells: DataFrame, quantile_scale: str) -> DataFrame:
+    """``profile_columns`` of small tables; fields of tables with equal column names are marked ``_renamed``.
+
+    Tables are dealt out once; grouping by field and counting by table need no other shuffle.
+    """
+    of = F.struct(*_carried(cells))
+    dealt = cells.select(*KEYS, of.alias("_of"), F.struct("pos", "raw").alias("_cell"), "raw", F.lit(1).alias("cnt")).repartition("fid")
+    rows = field_basics(dealt, KEYS, [F.min("_of").alias("_of"), (~F.min("_of").eqNullSafe(F.max("_of"))).alias("_twice"), F.collect_list("_cell").alias("_cells")])
+    table = W.partitionBy("fid")
+    rows = rows.withColumns({"is_only_field": F.count(F.lit(1)).over(table) == 1, "_renamed": F.max("_twice").over(table)})
+    basic = [F.col("_of")[c].alias(c) for c in _carried(cells)] + [F.col(c) for c in rows.columns if c not in (*KEYS, "_of", "_twice", "_cells", "_renamed")]
+    names = F.struct(*[c.alias(name) for name, c in fn.name_features(F.col("_of.field_name")).items()])
+    # Finished features are carried on as one struct each: every step over arrays copies all columns of its row. Steps without
+    # arrays stand between such with arrays: fused at the end they make one method too long for the JVM to compile.
+    rows = _row_values(rows.select(*KEYS, F.struct(*basic).alias("_basic"), names.alias("_names"), "general_type", "data_type", "_renamed", "_cells"))
+    for step, source in ((lambda r: _row_numbers(r, quantile_scale), "_sorted"), (_row_words, "_words"), (_row_order, "_rows")):
+        made = step(rows)
+        fresh = [c for c in made.columns if c not in rows.columns]
+        rows = made.select(*[c for c in rows.columns if c != source], F.struct(*fresh).alias(f"_made{source}"))
+    return _with_defaults(rows.select(*KEYS, "_renamed", "_basic.*", "_made_sorted.*", "_made_words.*", "_made_rows.*", "_names.*"))
+
+
+def _row_values(rows: DataFrame) -> DataFrame:
+    """The cells of each field read by its type: ``_rows`` by position, ``_sorted`` numbers, ``_words``."""
+    is_text, empty = F.col("general_type") == "c", lambda c: F.when(F.size(c) > 0, c)
+    value = F.when(is_text, F.lit(None).cast("double")).otherwise
+    read = F.transform("_cells", lambda c: F.struct(c["pos"].alias("pos"), F.struct(
+        (value(ty.parse_typed(c["raw"], F.col("data_type"))) + F.lit(0.0)).alias("v"), F.when(is_text, c["raw"]).alias("t")).alias("x")))
+    rows = rows.withColumn("_read", read).drop("_cells")
+    numbers = F.filter(F.transform("_read", lambda r: r["x"]["v"]), lambda v: v.isNotNull())
+    words = F.filter(F.transform("_read", lambda r: r["x"]["t"]), lambda t: t.isNotNull())
+    placed = F.filter("_read", lambda r: r["pos"].isNotNull() & (r["x"]["v"].isNotNull() | r["x"]["t"].isNotNull()))
+    return rows.withColumns({
+        "_sorted": F.when(F.col("general_type") == "q", empty(F.sort_array(numbers))),
+        "_words": F.when(is_text, empty(F.sort_array(words))),
+        "_rows": empty(F.sort_array(placed))}).drop("_read")
+
+
+def _row_numbers(rows: DataFrame, quantile_scale: str) -> DataFrame:
+    """``numeric_stats`` of the array ``_sorted``."""
+    s, c = F.col("_sorted"), F.col
+    rows = rows.withColumns({"n": F.when(s.isNotNull(), F.size(s).cast("bigint")), "_runs": F.when(s.isNotNull(), _runs(s))})
+    rows = rows.withColumn("_runs", _counted(c("_runs"), c("n")))
+    h = c("_runs")
+    rows = _with_mean(rows.withColumns({
+        "min": F.get(s, F.lit(0)), "max": F.get(s, F.size(s) - 1), "_sum": _total(h, lambda r: r["v"] * r["cnt"]),
+        "_abs": _total(h, lambda r: F.abs(r["v"]) * r["cnt"]), "_xlnx": _total(h, lambda r: _xlnx(r["v"]) * r["cnt"])}))
+    gap = lambda r: r["v"] - c("mean")
+    rows = _with_shape(rows.withColumns({
+        **{f"moment_{k}": _total(h, lambda r, k=k: F.pow(gap(r), F.lit(k)) * r["cnt"]) / c("n") for k in range(2, 11)},
+        "avg_abs_dev": _total(h, lambda r: F.abs(gap(r)) * r["cnt"]) / c("n")}))
+    probs = {"median": 0.5, **QUANTILE_SCALES[quantile_scale]}
+    shift = F.when(c("min") < 0, -c("min")).otherwise(F.lit(0.0))
+    gini_top = _total(h, lambda r: r["cnt"] * (2 * r["before"] + r["cnt"] - c("n")) * r["v"])
+    step = lambda r: F.coalesce(r["nxt"] - r["v"], F.lit(0.0))
+    ratio = lambda r: F.coalesce(F.try_divide(r["v"], r["nxt"]), F.lit(0.0))
+    repeats = c("n") - F.size(h)
+    blocked = F.exists(h, lambda r: F.coalesce(r["nxt"] == 0, F.lit(False)) | ((r["v"] == 0) & (r["cnt"] > 1)))
+    over = lambda total: F.try_divide(total, c("n") - 1)
+    log_spaced = _coefficient(over(repeats + _total(h, lambda r: ratio(r) * ratio(r))), over(repeats + _total(h, ratio)))
+    rows = _with_spacing(rows.withColumns({
+        **{name: _quantile(s, p) for name, p in probs.items()},
+        "gini": F.try_divide(gini_top, c("n") * (c("_sum") + c("n") * (shift + 1e-7))),
+        "num_unique_values": F.when(s.isNotNull(), F.size(h).cast("bigint")),
+        "lin_space_sequence_coeff": _coefficient(over(_total(h, lambda r: step(r) * step(r))), over(c("max") - c("min"))),
+        "log_space_sequence_coeff": F.when((F.size(h) > 1) & ~blocked, log_spaced)}))
+    rows = rows.withColumn("_gaps", F.sort_array(F.transform(s, lambda v: F.abs(v - c("median")))))
+    rows = rows.withColumn("med_abs_dev", _quantile(c("_gaps"), 0.5))
+    hits = {name: _total(h, lambda r, lo=lo, hi=hi: F.when((r["v"] < lo) | (r["v"] > hi), r["cnt"]).otherwise(F.lit(0)).cast("double"))
+            for name, (lo, hi) in _fences().items()}
+    rows = rows.withColumns({f"percent_outliers_{k}": x / c("n") for k, x in hits.items()})
+    rows = rows.withColumns({f"has_outliers_{k}": c(f"percent_outliers_{k}") > 0 for k in hits})
+    return _with_ratios(rows.drop("_runs", "_gaps"))
+
+
+def _row_words(rows: DataFrame) -> DataFrame:
+    """``categorical_stats`` and ``uniqueness`` of the array ``_words``."""
+    w, c = F.col("_words"), F.col
+    n = F.size(w)
+    rows = rows.withColumns({"_begins": F.when(w.isNotNull(), F.transform(_runs(w), lambda r: r["before"])),
+                             "_lengths": F.sort_array(F.transform(w, lambda t: F.length(t).cast("double")))})
+    begins, lengths = c("_begins"), c("_lengths")
+    rows = rows.withColumn("_counts", F.transform(begins, lambda b, i: F.coalesce(F.get(begins, i + 1), n.cast("bigint")) - b))
+    distinct = F.when(w.isNotNull(), F.size("_counts").cast("bigint"))
+    mean = _total(lengths, lambda x: x) / n
+    square = _total(lengths, lambda x: x * x) / n
+    return rows.withColumns({
+        "list_entropy": F.when(w.isNotNull(), F.greatest(F.ln(n) - _total(c("_counts"), lambda k: k * F.ln(k)) / n, F.lit(0.0))),
+        "percentage_of_mode": F.try_divide(F.array_max("_counts"), n),
+        "mean_value_length": mean, "median_value_length": _quantile(lengths, 0.5),
+        "min_value_length": F.get(lengths, F.lit(0)), "max_value_length": F.get(lengths, F.size(lengths) - 1),
+        "std_value_length": F.when(w.isNotNull(), F.sqrt(F.greatest(square - mean * mean, F.lit(0.0)))),
+        "num_unique_elements": distinct, "unique_percent": F.try_divide(distinct, n), "is_unique": distinct == n}).drop("_begins", "_lengths", "_counts")
+
+
+def _row_order(rows: DataFrame) -> DataFrame:
+    """``sequence_stats`` of the array ``_rows``."""
+    c = F.col
+    rising = F.forall(F.transform("_rows", lambda r, i: F.get(c("_rows"), i + 1)["x"] >= r["x"]), lambda up: F.coalesce(up, F.lit(True)))
+    at = F.filter(F.transform("_rows", lambda r: r["x"]["v"]), lambda v: v.isNotNull())
+    rows = rows.withColumns({"is_sorted": rising, "_at": F.when(F.size(at) > 0, at)})
+    rows = rows.withColumns({"is_monotonic": F.when(c("_at").isNotNull(), F.lit(True)), "_center": _total(c("_at"), lambda v: v) / F.size("_at")})
+    gap = lambda v: v - c("_center")
+    both = F.zip_with("_at", F.sort_array("_at"), lambda a, b: gap(a) * gap(b))
+    r = F.abs(F.try_divide(_total(both, lambda x: x), _total(c("_at"), lambda v: gap(v) * gap(v))))
+    return rows.withColumn("sortedness", F.when(F.size("_at") < 2, F.lit(1.0)).otherwise(r)).drop("_at", "_center")

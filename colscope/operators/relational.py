@@ -23,8 +23,9 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
 
     Keys become two 64-bit hashes, a row one; maps are hashed as JSON. With a whole-number
     order, that and the row's hash are packed into one decimal, so a single aggregate over
-    narrow rows chooses, combined map-side and without a sort; other orders take two. One
-    semi-join then fetches the chosen rows.
+    narrow rows chooses, combined map-side and without a sort, and one semi-join then fetches
+    the chosen rows. Other orders are compared alone first; whole rows are read and hashed only
+    where they share the least.
     """
     kinds = dict(df.dtypes)
     flat = lambda c: F.to_json(F.struct(c)) if "map<" in kinds[c] else F.col(f"`{c}`")
@@ -32,17 +33,17 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     hashed = F.xxhash64(*[x for c in df.columns for x in (F.col(f"`{c}`").isNull(), flat(c))])
     ids = {"_k1": F.xxhash64(*named), "_k2": F.xxhash64(F.lit(1), *named)}
     by = list(ids)
-    if kinds[order] in WHOLE:
-        place = F.unix_date(order) if kinds[order] == "date" else F.col(order)
-        whole = F.coalesce(place.cast("decimal(20,0)"), F.lit(str(1 << 63)).cast("decimal(20,0)"))
-        packed = (whole * F.lit(str(1 << 60)).cast("decimal(19,0)") + F.shiftrightunsigned(hashed, 4)).cast("decimal(38,0)")
-        marked = df.withColumns({**ids, "_row": packed})
-        best = marked.groupBy(*by).agg(F.min("_row").alias("_row"))
-    else:
-        marked = df.withColumns({**ids, "_row": hashed})
-        narrow = marked.select(*by, F.col(order).alias("_order"), "_row")
-        least = narrow.groupBy(*by).agg(F.min("_order").alias("_least"))
-        best = narrow.join(least, by).where(F.col("_order").eqNullSafe(F.col("_least"))).groupBy(*by).agg(F.min("_row").alias("_row"))
+    if kinds[order] not in WHOLE:
+        marked = df.withColumns({**ids, "_order": F.col(order)})
+        least = marked.groupBy(*by).agg(F.min("_order").alias("_least"))
+        first = marked.join(least, by).where(F.col("_order").eqNullSafe(F.col("_least")))
+        row = F.min_by(F.struct(*[F.col(f"`{c}`") for c in df.columns]), hashed)
+        return first.groupBy(*by).agg(row.alias("_first")).select(*[F.col("_first")[c].alias(c) for c in df.columns])
+    place = F.unix_date(order) if kinds[order] == "date" else F.col(order)
+    whole = F.coalesce(place.cast("decimal(20,0)"), F.lit(str(1 << 63)).cast("decimal(20,0)"))
+    packed = (whole * F.lit(str(1 << 60)).cast("decimal(19,0)") + F.shiftrightunsigned(hashed, 4)).cast("decimal(38,0)")
+    marked = df.withColumns({**ids, "_row": packed})
+    best = marked.groupBy(*by).agg(F.min("_row").alias("_row"))
     chosen = marked.join(best, [*by, "_row"], "left_semi")
     # The rows are dealt by key and hash already: equal rows meet without another shuffle.
     once = chosen.dropDuplicates([*by, "_row"]) if any("map<" in k for k in kinds.values()) else chosen.distinct()
