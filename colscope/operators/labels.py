@@ -38,6 +38,11 @@ def _references(traces: Column) -> Column:
     return F.flatten(F.transform(traces, of_trace))
 
 
+def _count(refs: str, src: str) -> Column:
+    """References of one source kind."""
+    return F.size(F.filter(refs, lambda r: r["src"] == src))
+
+
 def field_outcomes(charts: DataFrame, label_mode: str = "reference") -> DataFrame:
     """Trace type, source flags and counts of each field of each chart.
 
@@ -57,24 +62,25 @@ def field_outcomes(charts: DataFrame, label_mode: str = "reference") -> DataFram
             F.filter("refs", lambda r: ~F.array_contains(F.col("known"), r["field_id"])),
             lambda r: r["trace"])))
         .withColumn("last", F.when(F.col("broken").isNull(), F.size("kinds") - 1).otherwise(F.col("broken") - 1))
-        .withColumn("seen", F.filter("refs", lambda r: r["trace"] <= F.col("last"))))
-    fields = prepared.select("fid", "kinds", "refs", "broken", "last", "seen", F.explode("known").alias("field_id"))
+        .withColumn("uses", F.array(*[_count("refs", src) for src in SOURCES])))
+    # The references of a field are picked out once; all that follows looks at these few only.
+    fields = (prepared.select("fid", "kinds", "refs", "uses", "broken", "last", F.explode("known").alias("field_id"))
+              .withColumn("named", F.filter("refs", lambda r: r["field_id"] == F.col("field_id")))
+              .withColumn("seen", F.filter("named", lambda r: r["trace"] <= F.col("last"))))
 
-    mine = F.filter("seen", lambda r: r["field_id"] == F.col("field_id"))
+    mine = F.col("seen")
     own_last = F.array_max(F.transform(mine, lambda r: r["trace"]))
     whole = F.col("broken").isNull()
     kind = lambda at: F.when(F.size(mine) > 0, F.get("kinds", at))
     columns = [kind(own_last if label_mode == "own" else F.col("last")).alias("trace_type")]
     if label_mode == "both":
         columns.append(kind(own_last).alias("own_trace_type"))
+    fields = fields.withColumns({f"n_{src}": _count("named", src) for src in SOURCES})
     flags, singles, counts = [], [], []
-    def of_kind(src: str) -> Column:
-        return F.filter("refs", lambda r: r["src"] == src)
-
-    for src in SOURCES:
-        n = F.size(F.filter(of_kind(src), lambda r: r["field_id"] == F.col("field_id")))
+    for i, src in enumerate(SOURCES):
+        n = F.col(f"n_{src}")
         hit = whole & (n > 0)
-        alone = hit & (n > 1) & (n == F.size(of_kind(src)))
+        alone = hit & (n > 1) & (n == F.get("uses", F.lit(i)))
         flags.append(F.when(hit, F.lit(True)).alias(f"is_{src}"))
         singles.append(F.when(alone, F.lit(True)).alias(f"is_single_{src}"))
         counts.append(F.when(hit, n).alias(f"num_{src}"))

@@ -175,6 +175,12 @@ def test_features_and_outcomes_are_worked_out_once(spark, sf):
         assert df.inputFiles() and all(f"/{name}-" in f for f in df.inputFiles())
 
 
+def test_references_are_picked_out_once_a_field(spark, sf):
+    charts = corpus_queries.usable_charts(spark, sf)
+    plan = corpus_queries.lb.field_outcomes(charts, "both")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("filter(refs") <= len(corpus_queries.lb.SOURCES) + 2
+
+
 def test_keyed_json_files_do_not_follow_the_users(spark, tmp_path, monkeypatch):
     ev = spark.range(600).select(
         F.col("id").alias("event_id"), (F.col("id") % 200).alias("user_id"), F.lit("view").alias("event_type"), (F.col("id") * 0.5).alias("value"))
