@@ -195,6 +195,15 @@ def in_bag(keys: np.ndarray, bag: int, share: float, seed: int) -> np.ndarray:
     return (x ^ (x >> np.uint64(31))) < np.uint64(min(int(share * 2.0 ** 64), mask))
 
 
+def drawn_rows(blocks: RDD, bag: int, share: float, seed: int) -> RDD:
+    """The rows of one draw without their keys, kept until the next draw: its passes read nothing else."""
+    def draw(block: Block) -> Block:
+        drawn = block.take(np.flatnonzero(in_bag(block.key, bag, share, seed)))
+        return Block(drawn.y.astype(np.min_scalar_type(len(drawn.scores))), drawn.key[:0], drawn.bins, drawn.scores)
+
+    return blocks.map(draw).persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def gradient_cells(block: Block, trees: Sequence[Tree], wanted: Sequence[Sequence[int]], allowed: Sequence[Sequence[int]]) -> list[np.ndarray]:
     """Per class: gradients, Hessians and rows by (allowed feature, wanted leaf, bin) as an array of three sums a cell."""
     k, columns = len(block.scores), list(block.bins)
@@ -251,15 +260,14 @@ def _keep_best(found: dict[tuple[int, int], Split], key: tuple[int, int], split:
         found[key] = split
 
 
-def _best_splits(blocks: RDD, rounds: Sequence[Sequence[Tree]], trees: Sequence[Tree], wanted: Sequence[Sequence[int]], allowed: Sequence[Sequence[int]], features: int,
-                 bag: int, share: float, seed: int, least_rows: int, least_hessian: float) -> dict[tuple[int, int], Split]:
+def _best_splits(drawn: RDD, rounds: Sequence[Sequence[Tree]], trees: Sequence[Tree], wanted: Sequence[Sequence[int]], allowed: Sequence[Sequence[int]], features: int,
+                 least_rows: int, least_hessian: float) -> dict[tuple[int, int], Split]:
     """The split of most gain by (class, leaf); the sums of a class and feature meet in one task, only splits go to the driver."""
     def partial(part: Iterator[Block]) -> Iterator[tuple[int, np.ndarray]]:
         total = None
         for block in part:
-            drawn = block.take(np.flatnonzero(in_bag(block.key, bag, share, seed)))
-            drawn.scores = add_trees(drawn.scores, rounds, list(drawn.bins), True)
-            cells = gradient_cells(drawn, trees, wanted, allowed)
+            block.scores = add_trees(block.scores.copy(), rounds, list(block.bins), True)
+            cells = gradient_cells(block, trees, wanted, allowed)
             total = [a + b for a, b in zip(total, cells)] if total else cells
         for c, sums in enumerate(total or []):
             if wanted[c]:
@@ -273,9 +281,9 @@ def _best_splits(blocks: RDD, rounds: Sequence[Sequence[Tree]], trees: Sequence[
                 _keep_best(found, (c, leaf), best_split(cells[slot], f, least_rows, least_hessian))
         yield found
 
-    sums, pieces = blocks.mapPartitions(partial), blocks.getNumPartitions()
+    sums, pieces = drawn.mapPartitions(partial), drawn.getNumPartitions()
     if pieces > 1:
-        tasks = min(pieces, blocks.context.defaultParallelism, len(trees) * features)
+        tasks = min(pieces, drawn.context.defaultParallelism, len(trees) * features)
         sums = sums.reduceByKey(lambda a, b: a + b, tasks, int)
     best = {}
     for found in sums.mapPartitions(choose).collect():
@@ -316,6 +324,12 @@ class _Growing:
         return self.tree
 
 
+def _dropped(kept: RDD | None) -> None:
+    """Give up what the executors keep of an earlier draw."""
+    if kept is not None:
+        kept.unpersist()
+
+
 def fit(train: DataFrame, features: Sequence[str], label: str, trees: int = 100, leaves: int = 3, depth: int = 2, rate: float = 0.1, least_rows: int = 40,
         least_hessian: float = 3.0, feature_share: float = 0.8, row_share: float = 0.8, row_every: int = 5, refresh: int = 5, seed: int = 100) -> BoostedModel:
     """Boosted trees for the classes in ``label``; rows without a label take no part.
@@ -332,18 +346,22 @@ def fit(train: DataFrame, features: Sequence[str], label: str, trees: int = 100,
     base = [float(np.log(counts[c] / sum(counts.values()))) for c in labels]
     edges = bin_edges(train, features)
     blocks, kept, fresh = _read_blocks(binned_table(train, features, label, labels, edges, base, sum(counts.values()))), [], []
-    rng = np.random.default_rng(seed)
+    rng, drawn = np.random.default_rng(seed), None
     for r in range(trees if len(labels) > 1 else 0):
         if len(fresh) == refresh:
-            blocks, kept, fresh = with_scores(blocks, fresh), kept + fresh, []
+            blocks, kept, fresh, drawn = with_scores(blocks, fresh), kept + fresh, [], _dropped(drawn)
+        if drawn is None or r % row_every == 0:
+            _dropped(drawn)
+            drawn = drawn_rows(blocks, r // row_every, row_share, seed)
         size = max(1, round(feature_share * len(features)))
         growing = [_Growing(sorted(rng.choice(len(features), size, replace=False).tolist()), leaves, depth) for _ in labels]
         while any(wanted := [g.wanted() for g in growing]):
-            best = _best_splits(blocks, fresh, [g.tree for g in growing], wanted, [g.allowed for g in growing], len(features), r // row_every, row_share, seed, least_rows, least_hessian)
+            best = _best_splits(drawn, fresh, [g.tree for g in growing], wanted, [g.allowed for g in growing], len(features), least_rows, least_hessian)
             for c, g in enumerate(growing):
                 g.grow({leaf: split for (k, leaf), split in best.items() if k == c}, edges)
         if not any(g.tree.leaf for g in growing):
             break
         fresh = fresh + [[g.close(rate) for g in growing]]
+    _dropped(drawn)
     blocks.unpersist()
     return BoostedModel(list(features), labels, label, base, kept + fresh)

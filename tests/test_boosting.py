@@ -149,3 +149,12 @@ def test_no_pass_walks_many_rounds_again(spark, monkeypatch):
     monkeypatch.setattr(bo, "_best_splits", lambda blocks, rounds, *rest: walked.append(len(rounds)) or best(blocks, rounds, *rest))
     df = spark.createDataFrame([(float(i % 97), float(i % 13), "ab"[i % 97 > 33]) for i in range(2_000)], "a double, b double, kind string")
     assert len(bo.fit(df, ["a", "b"], "kind", trees=12).rounds) == 12 and max(walked) <= 5
+
+
+def test_rows_are_drawn_once_for_all_passes_of_a_draw(spark, monkeypatch):
+    draws, read, draw, best = [], [], bo.drawn_rows, bo._best_splits
+    monkeypatch.setattr(bo, "drawn_rows", lambda blocks, bag, *rest: draws.append(bag) or draw(blocks, bag, *rest))
+    monkeypatch.setattr(bo, "_best_splits", lambda rows, *rest: read.append(rows.is_cached and sum(len(b.key) for b in rows.collect())) or best(rows, *rest))
+    df = spark.createDataFrame([(float(i % 97), float(i % 13), "ab"[i % 97 > 33]) for i in range(2_000)], "a double, b double, kind string")
+    bo.fit(df, ["a", "b"], "kind", trees=12, row_every=4, refresh=6)
+    assert draws == [0, 1, 1, 2] and len(read) > 12 and set(read) == {0}
